@@ -1,0 +1,6 @@
+"""Registered queries of the graph engine and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
