@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, fingerprints, packing, parity_join, shared, token_files, toxicity
+from . import byte_bpe, exact_topk, fingerprints, packing, parity_join, shared, suffix_dedup, token_files, toxicity
 
 #: Fixed value: the id that closes a document in token files.
 TOKEN_FILE_END = 2
@@ -20,6 +20,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find_repeats(shared.documents(spark, sf_dir)).drop("spans")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_documents(shared.documents(spark, sf_dir))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -53,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_topk": op5_exact_topk,
     "op7_toxicity": op7_toxicity,
