@@ -129,7 +129,7 @@ def candidates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4) -> D
     rows = shared.texts(docs).mapInArrow(emit, "class long, keys array<long>").select(F.explode("keys").alias("key"), "class")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(n, "key").sortWithinPartitions("key", "class")
-    return shared.table(ordered.mapInArrow(lambda b: shared_keys(b, "class"), "key long, first long, class long"), "candidates", release=True)
+    return shared.table(ordered.mapInArrow(lambda b: shared_keys(b, "class"), "key long, first long, class long"), "candidates")
 
 
 def _verify(pairs: DataFrame, held: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -161,6 +161,7 @@ def jaccard_links(docs: DataFrame, members: DataFrame, words: int = 5, num: int
     # One row for each class: rows that share a doc_id are told apart by the class of their text.
     texts = shared.texts(docs).join(involved.where(F.col("doc_id").isNotNull()), "doc_id").select("class", "n", "text")
     nulls = shared.texts(docs).where(F.col("doc_id").isNull()).select("text")
+    only_null = involved.where(F.col("doc_id").isNull()).select("class")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches, most=2 << 20):
@@ -173,8 +174,9 @@ def jaccard_links(docs: DataFrame, members: DataFrame, words: int = 5, num: int
             )
 
     schema = "class long, n long, bits array<long>, text string"
-    held = texts.mapInArrow(own, schema).unionByName(nulls.mapInArrow(own, schema)).dropDuplicates(["class"])
-    held = shared.table(held, "class-texts", release=True)
+    # A class is held twice only where rows repeat a doc_id; its pairs are then verified twice, to the same links.
+    of_null = nulls.mapInArrow(own, schema).join(only_null, "class", "left_semi").dropDuplicates(["class"])
+    held = shared.table(texts.mapInArrow(own, schema).unionByName(of_null), "class-texts")
 
     stars = found.where(F.col("first") != F.col("class")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     links = _verify(stars, held, words, num, den)

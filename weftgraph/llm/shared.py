@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,24 +48,25 @@ def _remove_all() -> None:
             return
 
 
-def table(df: DataFrame, what: str, codec: str = "zstd", release: bool = False) -> DataFrame:
+#: Spark deletes an execution's shuffle files at its end; safe where the result is a table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later stages survive lost executors without
-    recomputing it.  With ``release`` the shuffle files behind it are freed at once."""
+    recomputing it, and the shuffle files behind it are freed at once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    if release:
-        release_shuffles(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path  # type: ignore[attr-defined]
     return out
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects the plans that own them; long jobs ask for it."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_table(df: DataFrame) -> None:
     """Deletes a work table that nothing reads any more."""
     if path := getattr(df, "_weft_path", None):

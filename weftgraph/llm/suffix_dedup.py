@@ -191,7 +191,7 @@ def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
     sent = rows.mapInArrow(send, "doc_id long, keys array<long>").select(F.explode("keys").alias("key"), "doc_id")
     ordered = sent.repartition(n, "key").sortWithinPartitions("key", "doc_id")
-    found = shared.table(ordered.mapInArrow(lambda b: shared_keys(b, "doc_id"), "key long, first long, doc_id long"), "shared-anchors", release=True)
+    found = shared.table(ordered.mapInArrow(lambda b: shared_keys(b, "doc_id"), "key long, first long, doc_id long"), "shared-anchors")
 
     wanted = found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -214,7 +214,7 @@ def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
     cut = rows.join(wanted, "doc_id").mapInArrow(slots, "key long, doc_id long, check long, ident long, slot binary")
     bucketed = cut.repartition(n, "key").sortWithinPartitions("key", "doc_id")
-    marks = shared.table(bucketed.mapInArrow(lambda b: _sort_stream(b, chunk), "doc_id long, check long, ident long, marks long"), "marks", release=True)
+    marks = shared.table(bucketed.mapInArrow(lambda b: _sort_stream(b, chunk), "doc_id long, check long, ident long, marks long"), "marks")
     return marks.groupBy("doc_id", "check").agg(F.collect_list(F.struct("ident", "marks")).alias("marked"))
 
 
