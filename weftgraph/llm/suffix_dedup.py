@@ -150,9 +150,11 @@ def _sort_stream(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.R
         return out, (keys[at], docs[at], s[at], e[at])
 
     for batch in batches:
-        key, doc, check, ident = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "doc_id", "check", "ident"))
-        raw = np.frombuffer(b"".join(batch.column("slot").to_pylist()), np.uint8).reshape(batch.num_rows, _SLOT + 2)
-        held.append((key, doc, check, ident, raw[:, :_SLOT], raw[:, _SLOT:].astype(np.int64)))
+        raw = np.frombuffer(b"".join(batch.column("slot").to_pylist()), np.uint8).reshape(batch.num_rows, _SLOT + 4)
+        slots, edges = raw[:, :_SLOT], raw[:, _SLOT : _SLOT + 2].astype(np.int64)
+        check = raw[:, _SLOT + 2].astype(np.int64) << 8 | raw[:, _SLOT + 3]
+        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        held.append((_row_hash(slots[:, _REACH : _REACH + GRAM]), doc, check, _ident(slots, edges), slots, edges))
         size += batch.num_rows
         if size >= chunk:
             out, carry = run(held, carry)
@@ -171,11 +173,16 @@ def _raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    at = np.arange(len(rows)) * rows.shape[1]
+    return range_hash(prefix_sums(np.ascontiguousarray(rows).ravel()), at, at + rows.shape[1]).astype(np.int64)
+
+
 def _ident(slots: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    both = np.ascontiguousarray(np.concatenate([slots, edges.astype(np.uint8)], axis=1))
-    sums = prefix_sums(both.ravel()) if len(both) else np.zeros(1, np.uint64)
-    at = np.arange(len(both)) * both.shape[1]
-    return range_hash(sums, at, at + both.shape[1]).astype(np.int64) if len(both) else np.zeros(0, np.int64)
+    return _row_hash(np.concatenate([slots, edges.astype(np.uint8)], axis=1))
 
 
 def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
@@ -197,24 +204,26 @@ def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches, most=1 << 20):
-            out: list[list] = [[], [], [], [], []]
+            ids, parts = [], []
             for doc_id, text, keys in zip(batch.column("doc_id").to_pylist(), _raw(batch), batch.column("keys")):
                 data = np.frombuffer(text, np.uint8)
                 places, h = anchors(data)
-                own = np.isin(h, keys.values.to_numpy(zero_copy_only=False))
-                s, e = contexts(data, places[own])
-                ident = _ident(s, e)
-                _, one = np.unique(ident, return_index=True)
-                both = np.ascontiguousarray(np.concatenate([s, e.astype(np.uint8)], axis=1)[one])
-                for column, values in zip(out, (h[own][one], np.full(len(one), doc_id), np.full(len(one), _check(text)), ident[one], both)):
-                    column.append(values)
-            key, doc, check, ident, both = (np.concatenate(x) for x in out)
-            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SLOT + 2), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(check), pa.array(ident), fixed], names=["key", "doc_id", "check", "ident", "slot"])
-
-    cut = rows.join(wanted, "doc_id").mapInArrow(slots, "key long, doc_id long, check long, ident long, slot binary")
-    bucketed = cut.repartition(n, "key").sortWithinPartitions("key", "doc_id")
+                s, e = contexts(data, places[np.isin(h, keys.values.to_numpy(zero_copy_only=False))])
+                _, one = np.unique(_ident(s, e), return_index=True)
+                check = np.full((len(one), 2), divmod(_check(text), 256), np.uint8)
+                parts.append(np.concatenate([s[one], e[one].astype(np.uint8), check], axis=1))
+                ids.append(np.full(len(one), doc_id))
+            both = np.concatenate(parts)
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SLOT + 4), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), fixed], names=["doc_id", "slot"])
+
+    # Written, so that the shuffle of the texts is gone before that of the slots begins.
+    joined = shared.table(rows.join(wanted, "doc_id"), "anchored-texts")
+    anchor = F.substring("slot", _REACH + 1, GRAM)
+    bucketed = joined.mapInArrow(slots, "doc_id long, slot binary").repartition(n, anchor).sortWithinPartitions(anchor, "doc_id")
     marks = shared.table(bucketed.mapInArrow(lambda b: _sort_stream(b, chunk), "doc_id long, check long, ident long, marks long"), "marks")
+    shared.drop_table(found)
+    shared.drop_table(joined)
     return marks.groupBy("doc_id", "check").agg(F.collect_list(F.struct("ident", "marks")).alias("marked"))
 
 
