@@ -40,9 +40,10 @@ def digests(text: str) -> np.ndarray:
     out = []
     for p in _PARAGRAPH.findall(text):
         if p := p.strip():
-            out.append(xxhash.xxh3_64_intdigest(p, seen[p]))
+            out.append((xxhash.xxh3_64_intdigest(p), seen[p]))
             seen[p] += 1
-    return np.array(out, dtype=np.uint64)
+    pairs = np.array(out, dtype=np.uint64).reshape(-1, 2)
+    return np.unique(_mix(pairs[:, 0] + pairs[:, 1] * np.uint64(0xD6E8FEB86659FD93), 5))
 
 
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -62,42 +63,40 @@ def sketch(d: np.ndarray, cells: int = CELLS) -> np.ndarray:
         at = _places(d, cells).ravel()
         out["count"] = np.bincount(at, minlength=cells)
         np.bitwise_xor.at(out["digest"], at, np.tile(d, 3))
-        np.bitwise_xor.at(out["check"], at, np.tile((_mix(d, 7) >> np.uint64(32)).astype(np.uint32), 3))
+        np.bitwise_xor.at(out["check"], at, np.tile(_check(d), 3))
     return out
 
 
+def _check(d: np.ndarray) -> np.ndarray:
+    return (_mix(d, 7) >> np.uint64(32)).astype(np.uint32)
+
+
 def peel(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]] | None:
-    """Digests only in a's text and only in b's, from the sketches; None if some can't be recovered."""
-    count = (a["count"].astype(np.int64) - b["count"]).tolist()
-    digest, check = (a["digest"] ^ b["digest"]).tolist(), (a["check"] ^ b["check"]).tolist()
+    """Digests only in a's text and only in b's, from the sketches; None if some can't be recovered.
+
+    Each round takes all cells that hold one digest; a difference that can be peeled is gone after few rounds.
+    """
+    count = a["count"].astype(np.int64) - b["count"]
+    digest, check = a["digest"] ^ b["digest"], a["check"] ^ b["check"]
     only: tuple[list[int], list[int]] = ([], [])
-    todo = [i for i, c in enumerate(count) if c in (1, -1)]
-    while todo:
-        i = todo.pop()
-        sign = count[i]
-        if sign not in (1, -1):
-            continue
-        one = np.array([digest[i]], np.uint64)
-        c = int(_mix(one, 7)[0] >> np.uint64(32))
-        if c != check[i]:
-            continue
-        value, at = digest[i], _places(one, len(count))[:, 0].tolist()
-        if i not in at:
-            continue
-        only[sign < 0].append(value)
-        if len(only[0]) + len(only[1]) > 3 * len(count):
-            return None
-        for k in at:
-            count[k] -= sign
-            digest[k] ^= value
-            check[k] ^= c
-            if count[k] in (1, -1):
-                todo.append(k)
-    return None if any(count) or any(digest) or any(check) else only
+    for _ in range(len(count)):
+        at = np.flatnonzero(np.abs(count) == 1)
+        at = at[check[at] == _check(digest[at])]
+        if not len(at):
+            break
+        value, first = np.unique(digest[at], return_index=True)
+        sign = count[at[first]]
+        cells = _places(value, len(count)).ravel()
+        np.subtract.at(count, cells, np.tile(sign, 3))
+        np.bitwise_xor.at(digest, cells, np.tile(value, 3))
+        np.bitwise_xor.at(check, cells, np.tile(_check(value), 3))
+        only[0].extend(value[sign > 0].tolist())
+        only[1].extend(value[sign < 0].tolist())
+    return None if count.any() or digest.any() or check.any() else only
 
 
 def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """The digests in which two texts differ, retrying with more cells; beyond four cells a digest it always ends."""
+    """The digests in which two texts differ, retrying with twice the cells; each retry fails with a small probability only."""
     while True:
         if (only := peel(sketch(a, cells), sketch(b, cells))) is not None:
             return only
