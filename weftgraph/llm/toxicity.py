@@ -18,7 +18,6 @@ by ``score`` only if named.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,31 +53,30 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - scores[:, None], -40, 40)))
 
 
-def fit(texts: list[str], grades: list[int], words: int = 4096, least: int = 3, clear: float = 4.0, l2: float = 2e-4, l1: float = 2e-4, steps: int = 400, rate: float = 0.3) -> OrdinalModel:
-    """Proximal Adam on the ordinal log-likelihood; sparse rows as index lists."""
+def fit(texts: list, grades: list[int], words: int = 4096, least: int = 3, clear: float = 4.0, l2: float = 2e-4, l1: float = 2e-4, steps: int = 400, rate: float = 0.3) -> OrdinalModel:
+    """Proximal Adam on the ordinal log-likelihood; sparse rows as index lists.  ``texts``: texts, or their features."""
     top = max(grades, default=0)
     if not top or len(set(grades)) < top + 1:
         return OrdinalModel([40.0] * max(top, 1))
     y = np.array(grades)
-    bags = [words_of(t) for t in texts]
-    df, hit = Counter(), Counter()
-    for bag, g in zip(bags, grades):
-        df.update(bag)
-        if g:
-            hit.update(bag)
+    # Features are numbered as they come, so the driver holds an integer for each word of the sample and each word once.
+    number: dict[str, int] = {}
+    bags = [np.fromiter({number.setdefault(w, len(number)) for w in (words_of(t) if isinstance(t, str) else t)}, np.int32) for t in texts]
+    cols = np.concatenate(bags).astype(np.int64)
+    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    names = np.array(list(number), dtype=object)
+    df = np.bincount(cols, minlength=len(names))
+    hit = np.bincount(cols[y[rows] > 0], minlength=len(names))
     n, pos = len(y), int((y > 0).sum())
-    # Signed gain of a word: how far its share of graded documents lies from the overall share, in standard deviations.
+    # Gain of a word: how far its share of graded documents lies from the overall share, in standard deviations.
     share = pos / n
-    gain = {w: abs(hit[w] - c * share) / np.sqrt(c * share * (1 - share) + 1e-9) for w, c in df.items() if c >= least}
-    gain = {w: g for w, g in gain.items() if g >= clear}
-    vocabulary = sorted(sorted(gain, key=lambda w: (-gain[w], w))[:words])
+    gain = np.where(df >= least, np.abs(hit - df * share) / np.sqrt(df * share * (1 - share) + 1e-9), 0)
+    chosen = sorted(np.flatnonzero(gain >= clear).tolist(), key=lambda i: (-gain[i], names[i]))[:words]
+    vocabulary = sorted(names[i] for i in chosen)
+    place = np.full(len(names), -1)
+    place[[number[w] for w in vocabulary]] = np.arange(len(vocabulary))
+    rows, cols = rows[place[cols] >= 0], place[cols][place[cols] >= 0]
     number = {w: i for i, w in enumerate(vocabulary)}
-    rows, cols = [], []
-    for r, bag in enumerate(bags):
-        own = sorted(number[w] for w in bag if w in number)
-        rows += [r] * len(own)
-        cols += own
-    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
     classes = np.bincount(y, minlength=top + 1)
     weight = (n / ((top + 1) * classes))[y]  # grades count alike
     w = np.zeros(len(vocabulary))
@@ -129,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int
 
     rows = training_rows(docs, labels, grade, sample).mapInArrow(bags, "text string, grade int, doc_id long")
     ranked = rows.dropDuplicates(["doc_id", "text"]).collect()
-    ranked = sorted(((r["grade"], r["doc_id"], r["text"]) for r in ranked))
-    return fit([t for _, _, t in ranked], [g for g, _, _ in ranked], **options)
+    ranked.sort(key=lambda r: (r["grade"], r["doc_id"], r["text"]))
+    return fit([r["text"].split(" ") if r["text"] else [] for r in ranked], [r["grade"] for r in ranked], **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
