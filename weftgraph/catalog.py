@@ -1,6 +1,597 @@
-"""Registered queries of the graph engine and their DuckDB counterparts."""
+"""Registered queries of the graph engine and their DuckDB counterparts: one of each for an operator, over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ids
+from .functions.chunk import chunk_documents
+from .operators import fleet, graph, render, search, text, traverse
+from .plans.view import VIEW_SQL, edges, nodes, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, view: bool = False):
+    """Registers a query under its function's name, with its SQL (after the graph view's expressions if ``view``)."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (VIEW_SQL + ("" if sql.lstrip().startswith(",") else "\n")) + sql if view else sql
+        return f
+
+    return add
+
+
+def graph_query(sql: str):
+    return query(sql, view=True)
+
+
+# ---- graph: lookups and joins
+
+
+@graph_query("SELECT 'nodes' AS metric, count(*) AS n FROM nodes UNION ALL SELECT 'edges:' || confidence, count(*) FROM edges GROUP BY 1 UNION ALL SELECT 'edges', count(*) FROM edges")
+def graph_stats(spark, sf):
+    return graph.stats(nodes(spark, sf), edges(spark, sf))
+
+
+@graph_query("SELECT repo_id, count(*) AS n_nodes, count(DISTINCT kind) AS n_kinds FROM nodes GROUP BY 1")
+def list_repos(spark, sf):
+    return graph.repo_counts(nodes(spark, sf))
+
+
+@graph_query("SELECT * FROM nodes WHERE node_id = 'customer_7'")
+def get_node(spark, sf):
+    return graph.get_node(nodes(spark, sf), "customer_7")
+
+
+@graph_query("SELECT * FROM nodes WHERE name = 'NATION_3' AND kind = 'namespace'")
+def find_definition(spark, sf):
+    return graph.nodes_by_name(nodes(spark, sf), "NATION_3", kind="namespace")
+
+
+@graph_query("SELECT src, dst, relation, confidence FROM edges WHERE src = 'nation_3' OR dst = 'nation_3'")
+def neighbors_both(spark, sf):
+    return graph.neighbors(edges(spark, sf), "nation_3").select("src", "dst", "relation", "confidence")
+
+
+@graph_query("SELECT node_id, file FROM nodes WHERE file = 'src/customer' OR file LIKE 'src/customer/%'")
+def path_prefix(spark, sf):
+    return nodes(spark, sf).where(graph.in_path(F.col("file"), "src/customer")).select("node_id", "file")
+
+
+@graph_query("SELECT DISTINCT repo_id FROM nodes WHERE NOT regexp_matches(repo_id, '^[(@]')")
+def real_repos(spark, sf):
+    return nodes(spark, sf).select("repo_id").distinct().where(graph.is_real_repo(F.col("repo_id")))
+
+
+@graph_query("SELECT DISTINCT repo_id FROM nodes WHERE regexp_matches(lower(repo_id), '^a.*/.*_1.$')")
+def repo_filter(spark, sf):
+    return graph.repos_matching(nodes(spark, sf), "A*/*_1?")
+
+
+@graph_query("SELECT node_id, name, kind, repo_id, 1 AS tier FROM nodes WHERE name = 'NATION_3'")
+def resolve_target(spark, sf):
+    return graph.resolve_target(nodes(spark, sf), "NATION_3")
+
+
+@graph_query("""SELECT node_id, total, total > 25 AS truncated FROM (SELECT node_id, count(*) OVER () AS total FROM nodes WHERE kind = 'class') ORDER BY node_id LIMIT 25""")
+def budgeted_rows(spark, sf):
+    return graph.budget(nodes(spark, sf).where("kind = 'class'").select("node_id"), 25, "node_id")
+
+
+_DEPS = """, rep AS (
+ SELECT DISTINCT n.repo_id AS r, e.dst, e.relation FROM edges e JOIN nodes n ON e.src = n.node_id WHERE relation IN ('depends_on', 'publishes')),
+deps AS (SELECT a.r AS src_repo, b.r AS dst_repo, count(DISTINCT a.dst) AS weight FROM rep a JOIN rep b ON a.dst = b.dst AND a.relation = 'depends_on' AND b.relation = 'publishes' AND a.r <> b.r GROUP BY 1, 2)
+"""
+
+
+def _deps(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.repo_dependencies(nodes(spark, sf), edges(spark, sf))
+
+
+@graph_query(_DEPS + "SELECT * FROM deps")
+def repo_dependencies(spark, sf):
+    return _deps(spark, sf)
+
+
+_LINKS = """WITH links AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS repo, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS endpoint FROM pages)
+"""
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", text.raw_host(F.col("url")).alias("repo"), F.explode(text.hrefs(F.col("html"))).alias("endpoint"))
+
+
+@query(_LINKS + "SELECT a.repo AS src_repo, b.repo AS dst_repo, count(DISTINCT a.endpoint) AS weight FROM links a JOIN links b ON a.endpoint = b.endpoint AND a.page_id % 2 = 1 AND b.page_id % 2 = 0 AND a.repo <> b.repo GROUP BY 1, 2")
+def http_flow(spark, sf):
+    rows = _links(spark, sf)
+    return graph.two_hop(rows.where("page_id % 2 = 1"), rows.where("page_id % 2 = 0"), "endpoint", "repo", "repo")
+
+
+@query(_LINKS + "SELECT repo, repo AS host, count(*) AS n_calls FROM links WHERE page_id % 2 = 1 AND endpoint NOT IN (SELECT endpoint FROM links WHERE page_id % 2 = 0) GROUP BY 1, 2")
+def external_systems(spark, sf):
+    rows = _links(spark, sf).withColumn("host", F.col("repo"))
+    return graph.external_systems(rows.where("page_id % 2 = 1"), rows.where("page_id % 2 = 0"), "host")
+
+
+@query("""WITH t AS (SELECT user_id % 10 AS repo, event_type IN ('click', 'view') AS pub, event_type = 'purchase' AS con, json_extract_string(props, '$.k') AS topic FROM events)
+SELECT a.repo AS src_repo, b.repo AS dst_repo, count(DISTINCT a.topic) AS weight FROM (SELECT DISTINCT repo, topic FROM t WHERE pub) a JOIN (SELECT DISTINCT repo, topic FROM t WHERE con) b ON a.topic = b.topic AND a.repo <> b.repo GROUP BY 1, 2""")
+def event_flow(spark, sf):
+    rows = read(spark, sf, "events").select((F.col("user_id") % 10).alias("repo"), "event_type", F.get_json_object("props", "$.k").alias("topic"))
+    return graph.two_hop(rows.where(F.col("event_type").isin("click", "view")), rows.where("event_type = 'purchase'"), "topic", "repo", "repo")
+
+
+@graph_query("""SELECT relation, (a.repo_id IS NOT NULL AND b.repo_id IS NOT NULL AND a.repo_id <> b.repo_id) AS cross_repo, count(*) AS n FROM edges e LEFT JOIN nodes a ON e.src = a.node_id LEFT JOIN nodes b ON e.dst = b.node_id GROUP BY 1, 2""")
+def cross_repo(spark, sf):
+    return graph.flag_cross_repo(nodes(spark, sf), edges(spark, sf)).groupBy("relation", "cross_repo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@graph_query("SELECT src, dst, relation FROM edges WHERE src NOT IN (SELECT node_id FROM nodes) OR dst NOT IN (SELECT node_id FROM nodes)")
+def dangling_edges(spark, sf):
+    return graph.dangling_edges(nodes(spark, sf), edges(spark, sf)).select("src", "dst", "relation")
+
+
+@graph_query("SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT src FROM edges WHERE relation <> 'contains' UNION SELECT dst FROM edges WHERE relation <> 'contains')")
+def orphan_nodes(spark, sf):
+    return graph.orphan_nodes(nodes(spark, sf), edges(spark, sf).where("relation <> 'contains'")).select("node_id")
+
+
+@graph_query("""SELECT node_id, name, n.repo_id, confidence, CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS conf_rank, e.source_line, (SELECT count(DISTINCT src) FROM edges JOIN nodes ON src = node_id WHERE relation = 'calls' AND dst = 'part_5') AS n_distinct
+FROM edges e JOIN nodes n ON e.src = n.node_id WHERE relation = 'calls' AND dst = 'part_5'""")
+def find_callers(spark, sf):
+    return graph.call_sites(nodes(spark, sf), edges(spark, sf), "part_5", callers=True)
+
+
+@graph_query("""SELECT node_id, name, n.repo_id, confidence, CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS conf_rank, e.source_line, (SELECT count(DISTINCT dst) FROM edges JOIN nodes ON dst = node_id WHERE relation = 'calls' AND src = 'order_7') AS n_distinct
+FROM edges e JOIN nodes n ON e.dst = n.node_id WHERE relation = 'calls' AND src = 'order_7'""")
+def find_callees(spark, sf):
+    return graph.call_sites(nodes(spark, sf), edges(spark, sf), "order_7", callers=False)
+
+
+@graph_query("SELECT DISTINCT n.node_id, n.name FROM nodes n JOIN edges e ON e.src = n.node_id JOIN nodes t ON e.dst = t.node_id WHERE e.relation = 'depends_on' AND t.name = (SELECT name FROM nodes WHERE node_id = 'part_3')")
+def find_dependents(spark, sf):
+    n = nodes(spark, sf)
+    names = n.where("node_id = 'part_3'").select("name")
+    return graph.sources_of(n, edges(spark, sf), n.join(F.broadcast(names), "name", "left_semi"), "depends_on").select("node_id", "name")
+
+
+@graph_query("SELECT DISTINCT n.node_id, n.kind FROM nodes n JOIN edges e ON e.src = n.node_id WHERE e.relation = 'contains' AND e.dst IN (SELECT node_id FROM nodes WHERE kind = 'class')")
+def subclasses(spark, sf):
+    n = nodes(spark, sf)
+    return graph.sources_of(n, edges(spark, sf), n.where("kind = 'class'"), "contains").select("node_id", "kind")
+
+
+@graph_query(""", d AS (SELECT name, node_id AS dst, count(*) OVER (PARTITION BY name) AS n FROM nodes WHERE kind = 'package'),
+p AS (SELECT DISTINCT e.src, d.dst, d.name FROM edges e JOIN nodes t ON e.dst = t.node_id JOIN d ON d.name = t.name WHERE e.relation = 'calls' AND n <= 5 AND e.src <> d.dst),
+q AS (SELECT *, count(*) OVER (PARTITION BY src, name) AS candidates FROM p)
+SELECT src, dst, candidates, CASE candidates WHEN 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM q WHERE candidates <= 4""")
+def name_resolution(spark, sf):
+    n, e = nodes(spark, sf).where("kind = 'package'"), edges(spark, sf).where("relation = 'calls'")
+    refs = e.join(n.select(F.col("node_id").alias("dst"), "name"), "dst").select("src", "name")
+    return graph.resolve_names(refs, n, cap=4)
+
+
+@graph_query("SELECT src, dst, CASE confidence WHEN 'AMBIGUOUS' THEN 'INFERRED' ELSE confidence END AS confidence FROM edges WHERE relation = 'calls' AND (confidence <> 'AMBIGUOUS' OR dst IN (SELECT 'part_' || p_partkey FROM part WHERE p_size > 25))")
+def reconcile(spark, sf):
+    confirmed = read(spark, sf, "part").where("p_size > 25").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("key"))
+    return graph.reconcile(edges(spark, sf).where("relation = 'calls'").withColumn("key", F.col("dst")), confirmed).select("src", "dst", "confidence")
+
+
+# ---- graph: aggregates and ranks
+
+_DEGREE = """, one AS (SELECT src, dst FROM edges WHERE relation <> 'calls' UNION ALL SELECT DISTINCT src, dst FROM edges WHERE relation = 'calls'),
+deg AS (SELECT node_id, count(*) AS degree, sum(o)::BIGINT AS n_out, sum(1 - o)::BIGINT AS n_in FROM (SELECT src AS node_id, 1 AS o FROM one UNION ALL SELECT dst, 0 FROM one) GROUP BY 1)
+"""
+
+
+@graph_query(_DEGREE + "SELECT * FROM deg")
+def distinct_degree(spark, sf):
+    return graph.distinct_degree(edges(spark, sf))
+
+
+@graph_query(_DEGREE + "SELECT node_id, n_in FROM deg ORDER BY n_in DESC, node_id LIMIT 20")
+def hubs(spark, sf):
+    return graph.top(graph.distinct_degree(edges(spark, sf)), "n_in", 20).select("node_id", "n_in")
+
+
+@graph_query(_DEGREE + "SELECT node_id, n_out FROM deg ORDER BY n_out DESC, node_id LIMIT 20")
+def dispatchers(spark, sf):
+    return graph.top(graph.distinct_degree(edges(spark, sf)), "n_out", 20).select("node_id", "n_out")
+
+
+@graph_query(_DEGREE + """, r AS (SELECT node_id, kind, degree AS n FROM deg JOIN nodes USING (node_id)),
+h AS (SELECT *, row_number() OVER (ORDER BY n DESC, node_id) AS rank FROM r QUALIFY rank <= 12),
+b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, node_id) AS k FROM r QUALIFY k = 1),
+m AS (SELECT node_id, kind, n FROM b WHERE kind NOT IN (SELECT kind FROM h) ORDER BY n DESC, node_id LIMIT 6)
+SELECT node_id, kind, n, 'head' AS slot FROM h WHERE rank <= 12 - (SELECT count(*) FROM m) UNION ALL SELECT node_id, kind, n, 'floor' FROM m""")
+def kind_floor_topk(spark, sf):
+    rows = graph.distinct_degree(edges(spark, sf)).join(nodes(spark, sf), "node_id").select("node_id", "kind", F.col("degree").alias("n"))
+    return graph.kind_floor_topk(rows, 12)
+
+
+@graph_query(_DEGREE + """, r AS (SELECT node_id, kind, degree, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, node_id) <= 4 AS p FROM deg JOIN nodes USING (node_id))
+SELECT node_id, kind, degree FROM r ORDER BY p DESC, degree DESC, node_id LIMIT 40""")
+def evict_tail(spark, sf):
+    rows = graph.distinct_degree(edges(spark, sf)).join(nodes(spark, sf), "node_id").select("node_id", "kind", "degree")
+    floors = nodes(spark, sf).select("kind").distinct().withColumn("floor", F.lit(4))
+    return graph.evict_tail(rows, floors, 40)
+
+
+@graph_query("SELECT array_to_string(string_split(file, '/')[1:2], '/') AS module, count(*) AS n_nodes FROM nodes WHERE len(string_split(file, '/')) > 2 GROUP BY 1 HAVING count(*) >= 2")
+def module_counts(spark, sf):
+    return graph.module_counts(nodes(spark, sf), 2, 2)
+
+
+@graph_query("SELECT t.name, count(*) AS n_sites, count(DISTINCT s.file) AS n_files FROM edges e JOIN nodes t ON e.dst = t.node_id JOIN nodes s ON e.src = s.node_id WHERE relation = 'calls' AND confidence <> 'AMBIGUOUS' GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT s.file) >= 2")
+def load_bearing(spark, sf):
+    n = nodes(spark, sf)
+    uses = edges(spark, sf).where("relation = 'calls'").join(n.select(F.col("node_id").alias("dst"), "name"), "dst").join(n.select(F.col("node_id").alias("src"), "file"), "src")
+    return graph.load_bearing(uses)
+
+
+@graph_query("SELECT CASE WHEN len(string_split(repo_id, '/')) > 1 THEN string_split(repo_id, '/')[1] ELSE '(ungrouped)' END AS grp, count(DISTINCT repo_id) AS n_repos, count(*) AS n_nodes FROM nodes WHERE NOT regexp_matches(repo_id, '^[(@]') GROUP BY 1")
+def fleet_overview(spark, sf):
+    return graph.fleet_overview(nodes(spark, sf))
+
+
+@graph_query(_DEPS + "SELECT string_split(src_repo, '/')[1] AS src_ns, string_split(dst_repo, '/')[1] AS dst_ns, sum(weight)::BIGINT AS weight, count(*) AS n_edges, string_split(src_repo, '/')[1] <> string_split(dst_repo, '/')[1] AS boundary FROM deps GROUP BY ALL")
+def c4_edges(spark, sf):
+    return graph.c4_edges(_deps(spark, sf))
+
+
+@graph_query(_DEPS + "SELECT *, CASE WHEN src_repo LIKE 'ASIA/%' AND dst_repo LIKE 'ASIA/%' THEN 'internal' ELSE 'boundary' END AS side FROM deps WHERE src_repo LIKE 'ASIA/%' OR dst_repo LIKE 'ASIA/%'")
+def cluster_internal_boundary(spark, sf):
+    return graph.split_cluster(_deps(spark, sf), "ASIA")
+
+
+@graph_query(_DEPS + "SELECT src_repo, dst_repo, weight FROM deps WHERE src_repo LIKE 'ASIA/%' AND dst_repo LIKE 'ASIA/%' ORDER BY weight DESC, src_repo, dst_repo LIMIT 5")
+def busiest_coupling(spark, sf):
+    return graph.split_cluster(_deps(spark, sf), "ASIA").where("side = 'internal'").select("src_repo", "dst_repo", "weight").orderBy(F.desc("weight"), "src_repo", "dst_repo").limit(5)
+
+
+@graph_query(_DEPS + """SELECT repo, count(*) AS touches FROM (SELECT src_repo AS repo FROM deps WHERE src_repo LIKE 'ASIA/%' AND dst_repo NOT LIKE 'ASIA/%' UNION ALL SELECT dst_repo FROM deps WHERE dst_repo LIKE 'ASIA/%' AND src_repo NOT LIKE 'ASIA/%') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+def leakiest_repos(spark, sf):
+    return graph.leakiest(_deps(spark, sf), "ASIA")
+
+
+@graph_query(_DEPS + """, w AS (SELECT repo_id, sum(weight)::BIGINT AS weight FROM (SELECT src_repo AS repo_id, weight FROM deps UNION ALL SELECT dst_repo, weight FROM deps) GROUP BY 1),
+k AS (SELECT repo_id, kind, count(*) AS n FROM nodes GROUP BY 1, 2)
+SELECT repo_id, weight, sum(n)::BIGINT AS n_nodes, list(kind ORDER BY n DESC, kind)[1] AS main_kind FROM k JOIN w USING (repo_id) GROUP BY 1, 2""")
+def overview_rank(spark, sf):
+    return graph.overview_rank(_deps(spark, sf), nodes(spark, sf))
+
+
+@graph_query(_DEPS + "SELECT repo, sum(o)::BIGINT AS weight_out, sum(i)::BIGINT AS weight_in FROM (SELECT src_repo AS repo, weight AS o, 0 AS i FROM deps UNION ALL SELECT dst_repo, 0, weight FROM deps) GROUP BY 1")
+def relationships_bulk(spark, sf):
+    return graph.relationships(_deps(spark, sf))
+
+
+# ---- traversal
+
+_RANK = "CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END"
+
+
+@query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + f""", back AS (SELECT DISTINCT dst AS a, src AS b FROM edges WHERE relation IN ('calls', 'contains', 'depends_on')),
+walk AS (SELECT 'part_5' AS node_id, 0 AS hop UNION SELECT b, hop + 1 FROM walk JOIN back ON a = walk.node_id WHERE hop < 4),
+hops AS (SELECT node_id, min(hop) AS hop FROM walk GROUP BY 1),
+via AS (SELECT h.node_id, h.hop, e.dst AS via, e.confidence, row_number() OVER (PARTITION BY h.node_id ORDER BY {_RANK}, e.dst) AS r FROM hops h JOIN edges e ON e.src = h.node_id JOIN hops p ON p.node_id = e.dst AND p.hop = h.hop - 1 WHERE e.relation IN ('calls', 'contains', 'depends_on'))
+SELECT 'part_5' AS seed, node_id, hop, via, confidence FROM via WHERE r = 1""")
+def blast_radius(spark, sf):
+    seed = spark.createDataFrame([("part_5",)], "node_id string")
+    return traverse.blast_radius(edges(spark, sf), seed, hops=4)
+
+
+@query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + """, und AS (SELECT src AS a, dst AS b FROM edges WHERE relation = 'contains' UNION SELECT dst, src FROM edges WHERE relation = 'contains'),
+walk AS (SELECT 'nation_1' AS node_id, 0 AS hop UNION SELECT b, hop + 1 FROM walk JOIN und ON a = walk.node_id WHERE hop < 3)
+SELECT node_id, min(hop) AS hop FROM walk GROUP BY 1""")
+def hop_distance(spark, sf):
+    return traverse.hop_distance(edges(spark, sf).where("relation = 'contains'"), "nation_1", hops=3).select("node_id", "hop")
+
+
+@query()
+def shortest_path(spark, sf):
+    return traverse.shortest_path(edges(spark, sf), "customer_1", "supplier_2")
+
+
+@query(VIEW_SQL + """, und AS (SELECT src, dst, relation, src AS a, dst AS b FROM edges WHERE relation = 'contains' UNION SELECT src, dst, relation, dst, src FROM edges WHERE relation = 'contains'),
+one AS (SELECT DISTINCT b AS n FROM und WHERE a = 'region_1' UNION SELECT 'region_1'),
+two AS (SELECT n FROM one UNION SELECT b FROM und WHERE a IN (SELECT n FROM one))
+SELECT DISTINCT src, dst, relation FROM edges WHERE relation = 'contains' AND src IN (SELECT n FROM two) AND dst IN (SELECT n FROM two)""")
+def subgraph_induced(spark, sf):
+    seeds = spark.createDataFrame([("region_1",)], "node_id string")
+    return traverse.subgraph(edges(spark, sf).where("relation = 'contains'"), seeds, hops=2, fanout=1 << 30, most=1 << 30)
+
+
+# ---- retrieval
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS term FROM documents),
+l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS len FROM documents), s AS (SELECT count(*) AS n, avg(len) AS a FROM l),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ('license', 'version') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM p JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 10""")
+def bm25_search(spark, sf):
+    return search.bm25(read(spark, sf, "documents"), "doc_id", F.col("text"), "license version")
+
+
+@graph_query("""SELECT node_id, name, lower(name) = 'small' AS exact, starts_with(lower(name), 'small') AS prefix,
+ round((10.0 * (len(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: starts_with(w, 'small'))) > 0)::INT + (len(list_filter(regexp_split_to_array(coalesce(lower(file), ''), '[^a-z0-9]+'), lambda w: starts_with(w, 'small'))) > 0)::INT)::DOUBLE, 4) AS score
+FROM nodes WHERE len(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: starts_with(w, 'small'))) > 0 OR len(list_filter(regexp_split_to_array(coalesce(lower(file), ''), '[^a-z0-9]+'), lambda w: starts_with(w, 'small'))) > 0
+ORDER BY exact DESC, prefix DESC, score DESC, node_id LIMIT 10""")
+def fts_search(spark, sf):
+    return search.fts(nodes(spark, sf), "small")
+
+
+@query("""SELECT 1::BIGINT AS n_matched, 1::BIGINT AS n_unmatched, FALSE AS below""")
+def relevance_floor(spark, sf):
+    return search.below_floor(read(spark, sf, "documents"), F.col("text"), ["the", "zzzunknownzzz"])
+
+
+def _vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
+    return [float(x) for x in read(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]]
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 4) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf):
+    return search.vector_topk(read(spark, sf, "embeddings"), _vector(spark, sf), 10)
+
+
+@query("SELECT vec_id // 4 AS node_id, max(round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 4)) AS score FROM embeddings GROUP BY 1 ORDER BY score DESC, node_id LIMIT 10")
+def chunk_collapse(spark, sf):
+    q = F.array(*[F.lit(x) for x in _vector(spark, sf)])
+    rows = read(spark, sf, "embeddings").select(F.expr("vec_id div 4").alias("node_id"), F.round(search.cosine(F.col("embedding"), q), 4).alias("score"))
+    return search.collapse_chunks(rows, 10)
+
+
+_KNN = "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) <= 3"
+
+
+@query(_KNN)
+def knn_graph(spark, sf):
+    return search.knn_edges(read(spark, sf, "embeddings"), 3)
+
+
+@query()
+def hybrid_ppr(spark, sf):
+    v = read(spark, sf, "embeddings")
+    return search.hybrid(v, search.knn_edges(v, 3), _vector(spark, sf), 10)
+
+
+@query(f"""WITH knn AS ({_KNN}), r AS (SELECT src AS query_id, dst AS node_id, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM knn),
+g AS (SELECT a.vec_id AS query_id, b.vec_id AS node_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+j AS (SELECT r.*, g.node_id IS NOT NULL AS good FROM r LEFT JOIN g USING (query_id, node_id)),
+s AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1)
+SELECT s.query_id, round(coalesce(avg(good::INT) FILTER (WHERE rank <= 2), 0), 4) AS precision, round(count(*) FILTER (WHERE good AND rank <= 2) / s.n, 4) AS recall, round(coalesce(1 / min(rank) FILTER (WHERE good), 0), 4) AS rr, count(*) FILTER (WHERE good AND rank <= 2) > 0 AS hit
+FROM s LEFT JOIN j USING (query_id) GROUP BY s.query_id, s.n""")
+def eval_metrics(spark, sf):
+    v = read(spark, sf, "embeddings")
+    ranked = search.knn_edges(v, 3).select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.expr("row_number() over (partition by src order by score desc, dst)").alias("rank"))
+    a, b = v.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("node_id"), "label")
+    golden = a.join(b, "label").where("query_id <> node_id").select("query_id", "node_id")
+    return search.retrieval_metrics(ranked, golden, 2)
+
+
+@graph_query("SELECT node_id, name FROM nodes WHERE kind = 'namespace' AND contains(lower(name), 'on_1') ORDER BY node_id LIMIT 50")
+def as_of_snapshot(spark, sf):
+    rows = nodes(spark, sf).where("kind = 'namespace'").withColumn("commit", F.lit("c1"))
+    return search.as_of_search(rows, "c1", "ON_1").select("node_id", "name")
+
+
+# ---- text
+
+
+@query("""WITH h AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS href FROM pages),
+p AS (SELECT page_id, href, list_filter(string_split(regexp_replace(regexp_replace(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '[?#].*$', ''), '/'), lambda s: s <> '') AS parts FROM h)
+SELECT page_id, href, '/' || array_to_string(list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '^[{:$]|\\$\\{|^[0-9]+$|^[0-9a-fA-F]{8,}$|^[0-9a-fA-F-]{16,}$') THEN '{}' ELSE s END), '/') AS path FROM p""")
+def normalize_path(spark, sf):
+    rows = read(spark, sf, "pages").select("page_id", F.explode(text.hrefs(F.col("html"))).alias("href"))
+    return rows.withColumn("path", text.normalize_path(F.col("href")))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS host, CASE WHEN regexp_matches(lower(url), '^(https?://|mailto:)') THEN url END AS safe FROM pages")
+def raw_host(spark, sf):
+    return read(spark, sf, "pages").select("page_id", text.raw_host(F.col("url")).alias("host"), text.safe_url(F.col("url")).alias("safe"))
+
+
+@query("SELECT DISTINCT lower(string_split(string_split(event_type || ':Shop/' || json_extract_string(props, '$.k'), ':')[-1], '/')[-1]) AS topic FROM events")
+def normalize_topic(spark, sf):
+    t = F.concat(F.col("event_type"), F.lit(":Shop/"), F.get_json_object("props", "$.k"))
+    return read(spark, sf, "events").select(text.normalize_topic(t).alias("topic")).distinct()
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, sf):
+    return read(spark, sf, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([A-Z][A-Z0-9]+-[0-9]+)', 1))) AS issue FROM documents")
+def issue_keys(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.explode(text.issue_keys(F.col("text"))).alias("issue"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)atlassian\\.net$') THEN 'atlassian' WHEN regexp_matches(h, '(^|\\.)figma\\.com$') THEN 'figma' WHEN regexp_matches(h, '(^|\\.)slack\\.com$') THEN 'slack' WHEN regexp_matches(h, '(^|\\.)zendesk\\.com$') THEN 'zendesk' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS h FROM pages)")
+def link_kinds(spark, sf):
+    return read(spark, sf, "pages").select("page_id", text.link_kind(F.col("url")).alias("kind"))
+
+
+_SPANS = "CASE WHEN len(w) >= 12 THEN list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' ')) ELSE [] END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest(list_distinct({_SPANS})) AS span FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM documents)),
+b AS (SELECT item_id, unnest(list_distinct({_SPANS})) AS span FROM (SELECT item_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM benchmark))
+SELECT doc_id, item_id, count(*) AS n_spans FROM d JOIN b USING (span) GROUP BY 1, 2""")
+def ngram_leak(spark, sf):
+    return text.leaked_spans(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS n FROM l WHERE len(regexp_extract_all(lower(line), '([a-z0-9]+)', 1)) >= 12 GROUP BY 1, 2)
+SELECT doc_id, max(n) AS n_repeats, max(n) > 8 AS looping FROM c GROUP BY 1""")
+def repeated_span(spark, sf):
+    return text.most_repeated(read(spark, sf, "documents"))
+
+
+@query("SELECT doc_id, substr(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g'), 1, 256) AS label FROM documents")
+def sanitize_label(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.sanitize_label(F.col("text")).alias("label"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(password|secret|token|api[_-]?key)\\s*[=:]\\s*\\S+|AKIA[0-9A-Z]{12,}')")
+def secret_values(spark, sf):
+    return read(spark, sf, "documents").where(text.secret_like(F.col("text"))).select("doc_id")
+
+
+@query("SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([a-z_][a-z0-9_.]*)', 1), lambda s: lower(s)))) AS tab FROM documents")
+def embedded_sql(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.explode(text.table_refs(F.col("text"))).alias("tab"))
+
+
+@query("""WITH s AS (SELECT 'part_' || p_partkey AS node_id, string_split(p_name, ' ')[1] AS name FROM part WHERE p_partkey < 500 UNION ALL SELECT 'w_' || item_id, regexp_extract(text, '([A-Za-z]{4,})', 1) FROM benchmark),
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1))) AS name FROM documents)
+SELECT DISTINCT doc_id, node_id FROM d JOIN s USING (name) WHERE length(name) >= 3""")
+def symbol_mentions(spark, sf):
+    parts = read(spark, sf, "part").where("p_partkey < 500").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("node_id"), F.split("p_name", " ")[0].alias("name"))
+    more = read(spark, sf, "benchmark").select(F.concat(F.lit("w_"), F.col("item_id").cast("string")).alias("node_id"), F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("name"))
+    return text.symbol_mentions(read(spark, sf, "documents"), parts.unionByName(more))
+
+
+_LINES = "SELECT doc_id, unnest(range(1, len(t) + 1)) AS line, unnest(t) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)"
+
+
+@query(f"""WITH l AS ({_LINES}), c AS (SELECT doc_id AS cite_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 9999 ELSE 1 + doc_id % 6 END AS line, CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000 ELSE doc_id END AS file, 'the' AS name FROM documents)
+SELECT cite_id, CASE WHEN c.line IS NULL THEN 'unverifiable' WHEN f.n IS NULL OR c.line > f.n OR NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = c.file AND abs(l.line - c.line) <= 2 AND contains(l.text, c.name)) THEN 'broken' ELSE 'verified' END AS status,
+ CASE WHEN c.line IS NULL THEN 'no_citation' WHEN f.n IS NULL THEN 'file_missing' WHEN c.line > f.n THEN 'line_out_of_range' WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = c.file AND abs(l.line - c.line) <= 2 AND contains(l.text, c.name)) THEN 'name_absent' END AS reason
+FROM c LEFT JOIN (SELECT doc_id, max(line) AS n FROM l GROUP BY 1) f ON f.doc_id = c.file""")
+def citation_check(spark, sf):
+    docs = read(spark, sf, "documents")
+    lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    line = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 5 == 0, 9999).otherwise(1 + F.col("doc_id") % 6)
+    cites = docs.select(F.col("doc_id").alias("cite_id"), line.alias("line"), F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 1000000).otherwise(F.col("doc_id")).alias("file"), F.lit("the").alias("name"))
+    return text.cited(lines, cites)
+
+
+@query()
+def document_chunks(spark, sf):
+    return chunk_documents(read(spark, sf, "documents"))
+
+
+@query("SELECT c_custkey, trim(regexp_replace(lower(c_name || '.' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS id FROM customer")
+def normalized_ids(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", ids.make_id(F.col("c_name"), F.col("c_mktsegment")).alias("id"))
+
+
+# ---- fleet
+
+
+@query("""WITH c AS (SELECT user_id AS author, ts, value AS lines FROM events WHERE value IS NOT NULL), n AS (SELECT max(ts) AS m FROM c),
+s AS (SELECT author, count(*) AS n_commits, sum((lines + 1) * pow(0.5, greatest((epoch_us(m) - epoch_us(ts)) / 1e6 / 86400, 0) / 180)) AS s FROM c, n GROUP BY 1)
+SELECT author, n_commits, round(s, 4) AS score, round(s / (SELECT sum(s) FROM s), 6) AS share FROM s""")
+def owners_decay(spark, sf):
+    return fleet.owners(read(spark, sf, "events").where("value is not null").select(F.col("user_id").alias("author"), "ts", F.col("value").alias("lines")))
+
+
+@query("SELECT c_custkey, 'Contributor ' || substr(sha256(c_name), 1, 4) AS label FROM customer")
+def anon_author(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", fleet.anon_author(F.lit(""), F.col("c_name")).alias("label"))
+
+
+_COMMIT = "SELECT p_brand AS package, s_nationkey AS repo, l_suppkey AS manifest, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber::VARCHAR END AS con FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
+
+
+def _constraints(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(F.col("p_brand").alias("package"), F.col("s_nationkey").alias("repo"), F.col("l_suppkey").alias("manifest"), F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber").cast("string")).alias("constraint"))
+
+
+@query(f"SELECT package, count(DISTINCT repo) AS n_repos, count(DISTINCT coalesce(con, 'unpinned')) AS n_constraints, count(DISTINCT (repo, manifest)) AS n_manifests, count(DISTINCT repo) > 1 AS shared, count(DISTINCT repo) > 1 AND count(DISTINCT coalesce(con, 'unpinned')) > 1 AS disagreeing FROM ({_COMMIT}) GROUP BY 1")
+def fleet_commitments(spark, sf):
+    return fleet.commitments(_constraints(spark, sf))
+
+
+@query(f"WITH d AS (SELECT *, manifest % 3 AS depth, min(manifest % 3) OVER (PARTITION BY repo) AS m FROM ({_COMMIT})) SELECT repo, package, coalesce(array_to_string(list_sort(list_distinct(list(con) FILTER (WHERE con IS NOT NULL))), ','), '') AS constraints FROM d WHERE depth = m GROUP BY 1, 2")
+def package_facts(spark, sf):
+    return fleet.package_facts(_constraints(spark, sf).withColumn("depth", F.col("manifest") % 3))
+
+
+_FILES = "SELECT o_custkey AS repo, CASE o_orderkey % 5 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'README.md' WHEN 2 THEN 'LICENSE' ELSE NULL END AS file FROM orders WHERE o_orderkey % 3 <> 0"
+
+
+@query(f"""WITH f AS ({_FILES}), n AS (SELECT repo, count(file) AS n, count(*) FILTER (WHERE file = 'README.md') AS r, count(*) FILTER (WHERE file = 'src/a.py') AS c FROM f GROUP BY 1)
+SELECT repo, CASE WHEN n = 0 THEN 'empty' WHEN c > 0 THEN 'content' WHEN r = 1 AND n = 1 THEN 'readme-only' ELSE 'boilerplate' END AS "class" FROM n""")
+def audit_classify(spark, sf):
+    k = F.col("o_orderkey") % 5
+    files = read(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("repo"), F.when(k == 0, "src/a.py").when(k == 1, "README.md").when(k == 2, "LICENSE").alias("file"))
+    return fleet.audit(files)
+
+
+@query("SELECT quality::VARCHAR || ':' || (doc_id % 20) AS page, round(avg(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 11) / 10.0 END), 3) AS score, count(*) FILTER (WHERE doc_id % 3 = 0) AS abstained, coalesce(round(avg(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 11) / 10.0 END), 3) >= 0.7, FALSE) AS accepted FROM labels GROUP BY 1")
+def council_verdict(spark, sf):
+    page = F.concat_ws(":", F.col("quality").cast("string"), (F.col("doc_id") % 20).cast("string"))
+    score = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 11) / 10.0)
+    return fleet.verdicts(read(spark, sf, "labels").select(page.alias("page"), score.alias("score")))
+
+
+@query("""SELECT c_custkey AS repo, CASE WHEN c_custkey % 4 = 0 THEN 'new' WHEN c_nationkey % 5 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM customer""")
+def freshness(spark, sf):
+    c = read(spark, sf, "customer")
+    head = F.col("c_nationkey").cast("string")
+    current = c.select(F.col("c_custkey").alias("repo"), head.alias("head"), F.lit("10").alias("parser"))
+    indexed = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("repo"), F.when(F.col("c_nationkey") % 5 == 0, "old").otherwise(head).alias("indexed_head"), F.lit("10").alias("indexed_parser"))
+    return fleet.freshness(current, indexed)
+
+
+@query("""WITH b AS (SELECT user_id AS repo, event_type AS branch, count(*)::DOUBLE AS commits, max(epoch_us(ts))::DOUBLE AS ts FROM events GROUP BY 1, 2),
+s AS (SELECT repo, branch, round(0.6 * CASE WHEN max(commits) OVER w = min(commits) OVER w THEN 1 ELSE (commits - min(commits) OVER w) / (max(commits) OVER w - min(commits) OVER w) END
+ + 0.4 * CASE WHEN max(ts) OVER w = min(ts) OVER w THEN 1 ELSE (ts - min(ts) OVER w) / (max(ts) OVER w - min(ts) OVER w) END, 6) AS score FROM b WINDOW w AS (PARTITION BY repo))
+SELECT repo, branch, score FROM s QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, branch) = 1""")
+def active_branch(spark, sf):
+    rows = read(spark, sf, "events").groupBy(F.col("user_id").alias("repo"), F.col("event_type").alias("branch"))
+    return fleet.active_branch(rows.agg(F.count(F.lit(1)).cast("double").alias("commits"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).cast("double").alias("ts")))
+
+
+@query("SELECT conv_id, turn, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]{2,})', 1), lambda t: lower(t)), lambda t: t NOT IN ('the', 'and', 'for', 'what', 'where', 'which', 'how', 'does', 'who', 'that', 'this', 'with', 'from', 'are', 'was', 'code', 'function', 'class', 'file')))) AS term FROM conversations")
+def content_terms(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.explode(fleet.content_terms(F.col("text"))).alias("term"))
+
+
+@query()
+def router_classify(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", fleet.route(F.col("text")).alias("route"), fleet.target_of(F.col("text")).alias("target"))
+
+
+# ---- rendering
+
+
+def _payload(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    n = nodes(spark, sf).where("kind in ('region', 'namespace')")
+    ids_ = n.select("node_id")
+    e = edges(spark, sf).where("relation = 'contains' and src like 'region%'")
+    return n, e.join(ids_.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+
+
+@graph_query("""SELECT 'graph LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, key) AS mermaid FROM (
+ SELECT 0 AS part, node_id AS key, '  ' || node_id || '["' || regexp_replace(name, '["\\[\\]{}|<>]', ' ', 'g') || '"]' AS line FROM nodes WHERE kind IN ('region', 'namespace')
+ UNION ALL SELECT 1, src || '|' || dst || '|' || relation, '  ' || src || ' -->|' || relation || '| ' || dst FROM edges WHERE relation = 'contains' AND src LIKE 'region%')""")
+def render_mermaid(spark, sf):
+    return render.to_mermaid(*_payload(spark, sf))
+
+
+@graph_query("""SELECT 'digraph g {' || chr(10) || string_agg(line, chr(10) ORDER BY part, key) || chr(10) || '}' AS dot FROM (
+ SELECT 0 AS part, node_id AS key, '  "' || node_id || '" [label="' || name || '"];' AS line FROM nodes WHERE kind IN ('region', 'namespace')
+ UNION ALL SELECT 1, src || '|' || dst || '|' || relation, '  "' || src || '" -> "' || dst || '" [label="' || relation || '"];' FROM edges WHERE relation = 'contains' AND src LIKE 'region%')""")
+def render_dot(spark, sf):
+    return render.to_dot(*_payload(spark, sf))
+
+
+@query()
+def render_graphml(spark, sf):
+    return render.to_graphml(*_payload(spark, sf))
+
+
+@query()
+def render_cypher(spark, sf):
+    return render.to_cypher(*_payload(spark, sf))
