@@ -52,47 +52,45 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _places(d: np.ndarray, cells: int) -> np.ndarray:
-    third = cells // 3
-    return np.stack([(_mix(d, k) % np.uint64(third)).astype(np.int64) + k * third for k in range(3)])
+_SHIFTS = (0, 21, 42)  # a digest's bits give its cell in each third
+_CHECK = 0x9E3779B97F4A7C15
 
 
 def sketch(d: np.ndarray, cells: int = CELLS) -> np.ndarray:
     out = np.zeros(cells, _CELL)
     if len(d):
-        at = _places(d, cells).ravel()
+        third = np.uint64(cells // 3)
+        at = np.concatenate([((d >> np.uint64(s)) % third) + third * np.uint64(k) for k, s in enumerate(_SHIFTS)]).astype(np.int64)
         out["count"] = np.bincount(at, minlength=cells)
-        np.bitwise_xor.at(out["digest"], at, np.tile(d, 3))
-        np.bitwise_xor.at(out["check"], at, np.tile(_check(d), 3))
+        check = (d * np.uint64(_CHECK)) >> np.uint64(32)
+        np.bitwise_xor.at(out["digest"], at, np.concatenate([d, d, d]))
+        np.bitwise_xor.at(out["check"], at, np.concatenate([check, check, check]).astype(np.uint32))
     return out
 
 
-def _check(d: np.ndarray) -> np.ndarray:
-    return (_mix(d, 7) >> np.uint64(32)).astype(np.uint32)
-
-
 def peel(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]] | None:
-    """Digests only in a's text and only in b's, from the sketches; None if some can't be recovered.
-
-    Each round takes all cells that hold one digest; a difference that can be peeled is gone after few rounds.
-    """
-    count = a["count"].astype(np.int64) - b["count"]
-    digest, check = a["digest"] ^ b["digest"], a["check"] ^ b["check"]
-    only: tuple[list[int], list[int]] = ([], [])
-    for _ in range(len(count)):
-        at = np.flatnonzero(np.abs(count) == 1)
-        at = at[check[at] == _check(digest[at])]
-        if not len(at):
-            break
-        value, first = np.unique(digest[at], return_index=True)
-        sign = count[at[first]]
-        cells = _places(value, len(count)).ravel()
-        np.subtract.at(count, cells, np.tile(sign, 3))
-        np.bitwise_xor.at(digest, cells, np.tile(value, 3))
-        np.bitwise_xor.at(check, cells, np.tile(_check(value), 3))
-        only[0].extend(value[sign > 0].tolist())
-        only[1].extend(value[sign < 0].tolist())
-    return None if count.any() or digest.any() or check.any() else only
+    """Digests only in a's text and only in b's, from the sketches; None if some can't be recovered."""
+    count = (a["count"].astype(np.int64) - b["count"]).tolist()
+    digest, check = (a["digest"] ^ b["digest"]).tolist(), (a["check"] ^ b["check"]).tolist()
+    third, only, left = len(count) // 3, ([], []), 4 * len(count)
+    todo = [i for i, c in enumerate(count) if c == 1 or c == -1]
+    while todo and left:
+        i = todo.pop()
+        sign, value = count[i], digest[i]
+        if (sign != 1 and sign != -1) or (value * _CHECK & _MASK) >> 32 != check[i]:
+            continue
+        cells = (value % third, (value >> 21) % third + third, (value >> 42) % third + 2 * third)
+        if i not in cells:
+            continue
+        c, left = check[i], left - 1
+        only[sign < 0].append(value)
+        for k in cells:
+            count[k] -= sign
+            digest[k] ^= value
+            check[k] ^= c
+            if count[k] == 1 or count[k] == -1:
+                todo.append(k)
+    return None if any(count) or any(digest) or any(check) else only
 
 
 def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[list[int], list[int]]:
@@ -119,8 +117,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _first_size(n: int) -> int:
-    """Texts with many paragraphs start with a larger sketch; the result is the same, retries are fewer."""
-    return max(CELLS, 3 * (n // 3))
+    """Cells for a first try: enough that texts which share nothing are peeled with few retries."""
+    return max(CELLS, 3 * (n // 2))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
