@@ -76,7 +76,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+
+
+def _license_sql() -> str:
+    """The scan by plain containment: every template against every window of its size class."""
+    rows = [f"('{name}', {m}, {words})" for m, _, own in licenses.size_classes(licenses.TEMPLATES, 0.75, 1e-4) for name, words in own]
+    shingles = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' ')))"
+    return f"""
+        WITH t AS (SELECT license, m, {shingles} AS template FROM (VALUES {", ".join(rows)}) AS x(license, m, w)),
+        d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT doc_id, m, start, w[start+1:start+2*m] AS w FROM (SELECT doc_id, w, m, unnest(range(0, len(w), m)) AS start FROM d, (SELECT DISTINCT m FROM t))),
+        h AS (SELECT doc_id, license, start, len(list_intersect(s, template)) / len(template) AS share FROM (SELECT doc_id, m, start, {shingles} AS s FROM p) JOIN t USING (m))
+        SELECT doc_id, license, round(max(share), 6) AS containment, count(*) AS n_windows, min(start)::BIGINT AS first_word FROM h WHERE share >= 0.75 GROUP BY 1, 2"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": _license_sql(),
     "op5_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
