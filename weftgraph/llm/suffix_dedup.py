@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .hashing import prefix_sums, range_hash, shared_keys
+from .hashing import mix, prefix_sums, range_hash, shared_keys
 
 SPAN, GRAM = 50, 24
 _REACH = SPAN - GRAM  # bytes on either side of an anchor that a string holding it can cover
@@ -52,27 +52,36 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - reach)], x[width - reach :]) if width > reach else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of a text of at least SPAN bytes: grams that are smallest within some string of SPAN bytes."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, prefix sums) of the anchors of a text of at least SPAN bytes: grams that are smallest within some string of SPAN bytes."""
     if len(data) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
     n = len(data) - GRAM + 1
     at = np.arange(n)
-    h = range_hash(prefix_sums(data), at, at + GRAM)
+    sums = prefix_sums(data)
+    h = range_hash(sums, at, at + GRAM)
     width = SPAN - GRAM + 1
     least = _slide(h, width, np.minimum)  # of the string that starts here
     most = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
     places = np.flatnonzero(h == most)
-    return places, h[places].astype(np.int64)
+    return places, h[places].astype(np.int64), sums
+
+
+def extents(n: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a text of length n on either side of each place that its context holds."""
+    return np.minimum(places, _REACH), np.minimum(n - places - GRAM, _REACH)
 
 
-def contexts(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots around the places (zeros outside the text), and for each the first and the number of starts that lie in the text."""
+def idents(sums: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of each context's bytes and of where the anchor lies in them."""
+    return mix(range_hash(sums, places - left, places + GRAM + right) + left.astype(np.uint64)).astype(np.int64)
+
+
+def contexts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Slots around the places: the context, zeros outside the text, and the two extents."""
     padded = np.concatenate([np.zeros(_REACH, np.uint8), data, np.zeros(_REACH + GRAM, np.uint8)])
     slots = np.lib.stride_tricks.sliding_window_view(padded, _SLOT)[places]
-    left, right = np.minimum(places, _REACH), np.minimum(len(data) - places - GRAM, _REACH)
-    edges = np.stack([_REACH - left, np.maximum(right + left - _REACH + 1, 0)], axis=1)
-    return slots, edges
+    return np.concatenate([slots, np.stack(extents(len(data), places), axis=1).astype(np.uint8)], axis=1)
 
 
 def _words(slots: np.ndarray, at: int, n: int) -> np.ndarray:
@@ -83,13 +92,11 @@ def _words(slots: np.ndarray, at: int, n: int) -> np.ndarray:
     return out
 
 
-def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks by the keys (first counts most), and the order."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+def _ranks(head: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks by head (at most four bytes), then rank (31 bits), and the order."""
+    key = head if rank is None else head << np.uint64(31) | rank.astype(np.uint64)
+    order = np.argsort(key)
+    new = np.append(False, key[order][1:] != key[order][:-1]) if len(order) else np.zeros(0, bool)
     ranks = np.empty(len(order), np.int64)
     ranks[order] = np.cumsum(new)
     return ranks, order
@@ -106,7 +113,7 @@ def sort_bucket(slots: np.ndarray, docs: np.ndarray, edges: np.ndarray) -> np.nd
     following = _SLOT
     for p in reversed(cover):
         head = _words(slots, p, following - p)
-        rank[p] = _ranks(head, rank[following])[0] if following in rank else _ranks(head)[0]
+        rank[p] = _ranks(head, rank.get(following))[0]
         following = p
     marks = np.zeros(n, np.int64)
     for r in range(_STARTS):
@@ -115,7 +122,7 @@ def sort_bucket(slots: np.ndarray, docs: np.ndarray, edges: np.ndarray) -> np.nd
             continue
         to = next(p for p in cover if p >= r)
         # A suffix's last bytes may lie outside the text, so neighbours are compared over the span.
-        order = own[_ranks(_words(slots, r, to - r)[own], rank[to][own])[1]] if to > r else own[np.argsort(rank[to][own], kind="stable")]
+        order = own[_ranks(_words(slots, r, to - r)[own], rank[to][own])[1]]
         strings = np.ascontiguousarray(slots[order, r : r + SPAN])
         new = np.append(True, (strings[1:] != strings[:-1]).any(1))
         starts = np.flatnonzero(new)
@@ -151,10 +158,12 @@ def _sort_stream(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.R
 
     for batch in batches:
         raw = np.frombuffer(b"".join(batch.column("slot").to_pylist()), np.uint8).reshape(batch.num_rows, _SLOT + 4)
-        slots, edges = raw[:, :_SLOT], raw[:, _SLOT : _SLOT + 2].astype(np.int64)
+        slots, (left, right) = raw[:, :_SLOT], raw[:, _SLOT : _SLOT + 2].astype(np.int64).T
         check = raw[:, _SLOT + 2].astype(np.int64) << 8 | raw[:, _SLOT + 3]
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        held.append((_row_hash(slots[:, _REACH : _REACH + GRAM]), doc, check, _ident(slots, edges), slots, edges))
+        sums, at = prefix_sums(np.ascontiguousarray(slots).ravel()), np.arange(batch.num_rows) * _SLOT + _REACH
+        key, edges = range_hash(sums, at, at + GRAM).astype(np.int64), np.stack([_REACH - left, np.maximum(right + left - _REACH + 1, 0)], axis=1)
+        held.append((key, doc, check, idents(sums, at, left, right), slots, edges))
         size += batch.num_rows
         if size >= chunk:
             out, carry = run(held, carry)
@@ -173,20 +182,8 @@ def _raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def _row_hash(rows: np.ndarray) -> np.ndarray:
-    """A hash of each row of bytes."""
-    if not len(rows):
-        return np.zeros(0, np.int64)
-    at = np.arange(len(rows)) * rows.shape[1]
-    return range_hash(prefix_sums(np.ascontiguousarray(rows).ravel()), at, at + rows.shape[1]).astype(np.int64)
-
-
-def _ident(slots: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return _row_hash(np.concatenate([slots, edges.astype(np.uint8)], axis=1))
-
-
 def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """(doc_id, check, marked): for each text with repeats, pairs of a context's hash and the starts marked in it."""
+    """(doc_id, _marks): for each document with repeats, (check of the text, hash of a context, starts marked in it)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = shared.texts(docs).where(F.col("doc_id").isNotNull())
 
@@ -207,11 +204,11 @@ def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
             ids, parts = [], []
             for doc_id, text, keys in zip(batch.column("doc_id").to_pylist(), _raw(batch), batch.column("keys")):
                 data = np.frombuffer(text, np.uint8)
-                places, h = anchors(data)
-                s, e = contexts(data, places[np.isin(h, keys.values.to_numpy(zero_copy_only=False))])
-                _, one = np.unique(_ident(s, e), return_index=True)
+                places, h, sums = anchors(data)
+                places = places[np.isin(h, keys.values.to_numpy(zero_copy_only=False))]
+                _, one = np.unique(idents(sums, places, *extents(len(data), places)), return_index=True)
                 check = np.full((len(one), 2), divmod(_check(text), 256), np.uint8)
-                parts.append(np.concatenate([s[one], e[one].astype(np.uint8), check], axis=1))
+                parts.append(np.concatenate([contexts(data, places[one]), check], axis=1))
                 ids.append(np.full(len(one), doc_id))
             both = np.concatenate(parts)
             fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SLOT + 4), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
@@ -224,34 +221,45 @@ def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     marks = shared.table(bucketed.mapInArrow(lambda b: _sort_stream(b, chunk), "doc_id long, check long, ident long, marks long"), "marks")
     shared.drop_table(found)
     shared.drop_table(joined)
-    return marks.groupBy("doc_id", "check").agg(F.collect_list(F.struct("ident", "marks")).alias("marked"))
+    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("check", "ident", "marks")).alias("_marks"))
 
 
-def covered(data: np.ndarray, marked: dict[int, int]) -> np.ndarray:
+def covered(data: np.ndarray, ident: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Which bytes lie in a marked string."""
-    places, _ = anchors(data)
-    s, e = contexts(data, places)
-    bits = np.array([marked.get(i, 0) for i in _ident(s, e).tolist()], dtype=np.int64)
+    places, _, sums = anchors(data)
+    order = np.argsort(ident)
+    ident, marks = ident[order], marks[order]
+    own = idents(sums, places, *extents(len(data), places))
+    at = np.minimum(np.searchsorted(ident, own), len(ident) - 1)
+    hit = ident[at] == own
+    places, bits = places[hit], marks[at[hit]]
     change = np.zeros(len(data) + 1, np.int32)
     for r in range(_STARTS):
         starts = places[(bits >> r) & 1 == 1] - _REACH + r
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + SPAN, -1)
+        change[starts] += 1  # places differ, so do the starts
+        change[starts + SPAN] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
 def _with_marks(docs: DataFrame, marks: DataFrame, *keep: str) -> DataFrame:
-    """Each row with the marks of its doc_id, by the check of its text."""
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("check", "marked")).alias("_marks"))
-    return shared.texts(docs, *keep).join(by_doc, "doc_id", "left")
+    """Each row with the marks of its doc_id."""
+    return shared.texts(docs, *keep).join(marks, "doc_id", "left")
+
+
+def _marks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """check, ident and marks of each row, as arrays."""
+    column = batch.column("_marks")
+    check, ident, marks = (column.values.field(k).to_numpy(zero_copy_only=False) for k in ("check", "ident", "marks"))
+    for given, a, b in zip(column.is_valid().to_pylist(), column.offsets.to_pylist(), column.offsets.to_pylist()[1:]):
+        yield (check[a:b], ident[a:b], marks[a:b]) if given else None
 
 
-def _runs(text: bytes, marks: list | None) -> tuple[np.ndarray, np.ndarray]:
+def _runs(text: bytes, marks: tuple | None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the removed runs."""
-    own = [m for m in marks or [] if m["check"] == _check(text)]
-    if not own:
+    own = marks[0] == _check(text) if marks is not None else np.zeros(0, bool)
+    if not own.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gone = np.concatenate([[False], covered(np.frombuffer(text, np.uint8), {x["ident"]: x["marks"] for m in own for x in m["marked"]}), [False]])
+    gone = np.concatenate([[False], covered(np.frombuffer(text, np.uint8), marks[1][own], marks[2][own]), [False]])
     change = np.flatnonzero(gone[1:] != gone[:-1])
     return change[::2], change[1::2]
 
@@ -267,7 +275,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches, most=2 << 20):
             out = []
-            for doc_id, text, marks in zip(batch.column("doc_id").to_pylist(), _raw(batch), batch.column("_marks").to_pylist()):
+            for doc_id, text, marks in zip(batch.column("doc_id").to_pylist(), _raw(batch), _marks_of(batch)):
                 a, b = _runs(text, marks)
                 spans = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())]
                 out.append((doc_id, len(text), int((b - a).sum()), len(a), hashlib.sha256(_rest(text, a, b)).hexdigest(), spans))
@@ -287,7 +295,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches, most=2 << 20):
             texts = []
-            for text, marks in zip(_raw(batch), batch.column("_marks").to_pylist()):
+            for text, marks in zip(_raw(batch), _marks_of(batch)):
                 a, b = _runs(text, marks)
                 texts.append(_rest(text, a, b).decode("utf-8", "ignore") if len(a) else text.decode())
             columns = [batch.column("doc_id"), pa.array(texts, pa.string()), *([batch.column("_row")] if rest else [])]
