@@ -18,7 +18,7 @@ by ``score`` only if named.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,15 +53,15 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - scores[:, None], -40, 40)))
 
 
-def fit(texts: list, grades: list[int], words: int = 4096, least: int = 3, clear: float = 4.0, l2: float = 2e-4, l1: float = 2e-4, steps: int = 400, rate: float = 0.3) -> OrdinalModel:
-    """Proximal Adam on the ordinal log-likelihood; sparse rows as index lists.  ``texts``: texts, or their features."""
+def fit(texts: Iterable[str], grades: list[int], words: int = 4096, least: int = 3, clear: float = 4.0, l2: float = 2e-4, l1: float = 2e-4, steps: int = 400, rate: float = 0.3) -> OrdinalModel:
+    """Proximal Adam on the ordinal log-likelihood; sparse rows as index lists.  Texts are read one by one."""
     top = max(grades, default=0)
     if not top or len(set(grades)) < top + 1:
         return OrdinalModel([40.0] * max(top, 1))
     y = np.array(grades)
     # Features are numbered as they come, so the driver holds an integer for each word of the sample and each word once.
     number: dict[str, int] = {}
-    bags = [np.fromiter({number.setdefault(w, len(number)) for w in (words_of(t) if isinstance(t, str) else t)}, np.int32) for t in texts]
+    bags = [np.fromiter({number.setdefault(w, len(number)) for w in words_of(t)}, np.int32) for t in texts]
     cols = np.concatenate(bags).astype(np.int64)
     rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     names = np.array(list(number), dtype=object)
@@ -118,17 +118,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: str = "toxic", samp
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = 4000, **options) -> OrdinalModel:
-    """Fits on the bounded sample.  Words are cut on the executors; the driver gets word sets of at most ``sample`` documents of a grade."""
+    """Fits on the bounded sample.  Words are cut on the executors; the driver gets the distinct words of at most ``sample`` documents of a grade."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [" ".join(sorted(words_of(t))) for t in batch.column("text").to_pylist()]
+            sets = [" ".join(sorted(set(_WORD.findall(t.lower())))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), batch.column("grade"), batch.column("doc_id")], names=["text", "grade", "doc_id"])
 
     rows = training_rows(docs, labels, grade, sample).mapInArrow(bags, "text string, grade int, doc_id long")
     ranked = rows.dropDuplicates(["doc_id", "text"]).collect()
     ranked.sort(key=lambda r: (r["grade"], r["doc_id"], r["text"]))
-    return fit([r["text"].split(" ") if r["text"] else [] for r in ranked], [r["grade"] for r in ranked], **options)
+    return fit((r["text"] for r in ranked), [r["grade"] for r in ranked], **options)
 
 
 def score(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
