@@ -450,11 +450,11 @@ def embedded_sql(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.explode(text.table_refs(F.col("text"))).alias("tab"))
 
 
-@query("""WITH s AS (SELECT 'part_' || p_partkey AS node_id, string_split(p_name, ' ')[1] AS name FROM part WHERE p_partkey < 500 UNION ALL SELECT 'w_' || item_id, regexp_extract(text, '([A-Za-z]{4,})', 1) FROM benchmark),
+@query("""WITH s AS (SELECT 'part_' || p_partkey AS node_id, string_split(p_name, ' ')[1] AS name FROM part UNION ALL SELECT 'w_' || item_id, regexp_extract(text, '([A-Za-z]{4,})', 1) FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1))) AS name FROM documents)
 SELECT DISTINCT doc_id, node_id FROM d JOIN s USING (name) WHERE length(name) >= 3""")
 def symbol_mentions(spark, sf):
-    parts = read(spark, sf, "part").where("p_partkey < 500").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("node_id"), F.split("p_name", " ")[0].alias("name"))
+    parts = read(spark, sf, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("node_id"), F.split("p_name", " ")[0].alias("name"))
     more = read(spark, sf, "benchmark").select(F.concat(F.lit("w_"), F.col("item_id").cast("string")).alias("node_id"), F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("name"))
     return text.symbol_mentions(read(spark, sf, "documents"), parts.unionByName(more))
 
@@ -517,14 +517,14 @@ def package_facts(spark, sf):
     return fleet.package_facts(_constraints(spark, sf).withColumn("depth", F.col("manifest") % 3))
 
 
-_FILES = "SELECT o_custkey AS repo, CASE o_orderkey % 5 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'README.md' WHEN 2 THEN 'LICENSE' ELSE NULL END AS file FROM orders WHERE o_orderkey % 3 <> 0"
+_FILES = "SELECT o_custkey AS repo, CASE o_orderkey % 5 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'README.md' WHEN 2 THEN 'LICENSE' ELSE NULL END AS file FROM orders"
 
 
 @query(f"""WITH f AS ({_FILES}), n AS (SELECT repo, count(file) AS n, count(*) FILTER (WHERE file = 'README.md') AS r, count(*) FILTER (WHERE file = 'src/a.py') AS c FROM f GROUP BY 1)
 SELECT repo, CASE WHEN n = 0 THEN 'empty' WHEN c > 0 THEN 'content' WHEN r = 1 AND n = 1 THEN 'readme-only' ELSE 'boilerplate' END AS "class" FROM n""")
 def audit_classify(spark, sf):
     k = F.col("o_orderkey") % 5
-    files = read(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("repo"), F.when(k == 0, "src/a.py").when(k == 1, "README.md").when(k == 2, "LICENSE").alias("file"))
+    files = read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), F.when(k == 0, "src/a.py").when(k == 1, "README.md").when(k == 2, "LICENSE").alias("file"))
     return fleet.audit(files)
 
 
@@ -535,12 +535,12 @@ def council_verdict(spark, sf):
     return fleet.verdicts(read(spark, sf, "labels").select(page.alias("page"), score.alias("score")))
 
 
-@query("""SELECT c_custkey AS repo, CASE WHEN c_custkey % 4 = 0 THEN 'new' WHEN c_nationkey % 5 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM customer""")
+@query("""SELECT c_custkey AS repo, CASE WHEN c_acctbal < 0 THEN 'new' WHEN c_nationkey % 5 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM customer""")
 def freshness(spark, sf):
     c = read(spark, sf, "customer")
     head = F.col("c_nationkey").cast("string")
     current = c.select(F.col("c_custkey").alias("repo"), head.alias("head"), F.lit("10").alias("parser"))
-    indexed = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("repo"), F.when(F.col("c_nationkey") % 5 == 0, "old").otherwise(head).alias("indexed_head"), F.lit("10").alias("indexed_parser"))
+    indexed = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("repo"), F.when(F.col("c_nationkey") % 5 == 0, "old").otherwise(head).alias("indexed_head"), F.lit("10").alias("indexed_parser"))
     return fleet.freshness(current, indexed)
 
 

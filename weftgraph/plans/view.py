@@ -34,7 +34,7 @@ def _nations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """node_id, repo_id, kind, name, file, line_start, lang.  A tenth of the customers have no node, so edges dangle."""
+    """node_id, repo_id, kind, name, file, line_start, lang.  Customers in debt have no node, so edges dangle."""
     nation = _nations(spark, sf)
     customer = read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     supplier = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -44,7 +44,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         row(read(spark, sf, "region"), _key("region", "r_regionkey"), c("r_name"), "region", c("r_name"), F.lit("src/region.py"), c("r_regionkey") + 1),
         row(nation, _key("nation", "n_nationkey"), c("repo"), "namespace", c("n_name"), F.lit("src/nation.py"), c("n_nationkey") + 1),
-        row(customer.where("c_custkey % 10 <> 0"), _key("customer", "c_custkey"), c("repo"), "class", c("c_name"), F.concat(F.lit("src/customer/"), F.lower("c_mktsegment"), F.lit(".py")), c("c_custkey")),
+        row(customer.where("c_acctbal >= 0"), _key("customer", "c_custkey"), c("repo"), "class", c("c_name"), F.concat(F.lit("src/customer/"), F.lower("c_mktsegment"), F.lit(".py")), c("c_custkey")),
         row(supplier, _key("supplier", "s_suppkey"), c("repo"), "interface", c("s_name"), F.concat(F.lit("src/supplier/"), (c("s_suppkey") % 7).cast("string"), F.lit(".py")), c("s_suppkey")),
         row(orders, _key("order", "o_orderkey"), c("repo"), "function", _key("order", "o_orderkey"), F.concat(F.lit("app/orders/"), F.substring("o_orderpriority", 1, 1), F.lit(".py")), c("o_orderkey")),
         row(read(spark, sf, "part"), _key("part", "p_partkey"), F.lit("(packages)"), "package", F.concat_ws(" ", "p_name", "p_brand"), F.lit(None).cast("string"), F.lit(None)),
@@ -84,7 +84,7 @@ ord AS (SELECT * FROM orders JOIN cust ON o_custkey = c_custkey),
 nodes AS (
  SELECT 'region_' || r_regionkey AS node_id, r_name AS repo_id, 'region' AS kind, r_name AS name, 'src/region.py' AS file, (r_regionkey + 1)::INT AS line_start, 'py' AS lang FROM region
  UNION ALL SELECT 'nation_' || n_nationkey, repo, 'namespace', n_name, 'src/nation.py', (n_nationkey + 1)::INT, 'py' FROM nat
- UNION ALL SELECT 'customer_' || c_custkey, repo, 'class', c_name, 'src/customer/' || lower(c_mktsegment) || '.py', c_custkey::INT, 'py' FROM cust WHERE c_custkey % 10 <> 0
+ UNION ALL SELECT 'customer_' || c_custkey, repo, 'class', c_name, 'src/customer/' || lower(c_mktsegment) || '.py', c_custkey::INT, 'py' FROM cust WHERE c_acctbal >= 0
  UNION ALL SELECT 'supplier_' || s_suppkey, repo, 'interface', s_name, 'src/supplier/' || (s_suppkey % 7) || '.py', s_suppkey::INT, 'py' FROM supp
  UNION ALL SELECT 'order_' || o_orderkey, repo, 'function', 'order_' || o_orderkey, 'app/orders/' || substr(o_orderpriority, 1, 1) || '.py', o_orderkey::INT, 'py' FROM ord
  UNION ALL SELECT 'part_' || p_partkey, '(packages)', 'package', p_name || ' ' || p_brand, NULL, NULL, 'py' FROM part),
