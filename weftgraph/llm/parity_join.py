@@ -9,10 +9,10 @@ agree (pigeonhole).  If a set has more than d words in use, some word in use agr
 value).  The few sets with so many unused words also share one key of their band, so no pair is lost.
 
 Equal sets form a class with a 64-bit id (a hash of the whole set); all work is on classes.  Rows (key, class) are sorted within
-their shuffle partition and streamed.  In each key group every class is compared with the group's smallest; exact
-verification reads the texts of both.  Links give components, and only the pairs of a group whose classes are still in different
-components are compared in a second step, which is exact: bit sketches whose Hamming distance exceeds the bound drop pairs
-inside the join.  Copies are never expanded into pairs and no group is capped.
+their shuffle partition and streamed.  Every class is compared with the smallest class of one of its groups; exact
+verification reads the texts of both.  Links give components, components of one group meet by one class each, and only the pairs of
+a group whose classes are then still in different components are compared in a last step, which is exact: bit sketches whose
+Hamming distance exceeds the bound drop pairs inside the join.  Copies are never expanded into pairs and no group is capped.
 
 Null text counts as empty; texts without words have an empty set and are linked with nothing; a null doc_id takes part in
 links, and a component of nulls alone has a null id.  Repeated rows give a row each.  An empty table gives no rows; other columns are ignored.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -178,18 +178,44 @@ def jaccard_links(docs: DataFrame, members: DataFrame, words: int = 5, num: int
     of_null = nulls.mapInArrow(own, schema).join(only_null, "class", "left_semi").dropDuplicates(["class"])
     held = shared.table(texts.mapInArrow(own, schema).unionByName(of_null), "class-texts")
 
-    stars = found.where(F.col("first") != F.col("class")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    links = _verify(stars, held, words, num, den)
+    sketches = shared.table(held.select("class", "n", "bits"), "sketches")
+    # First each class meets, of the first classes of its keys, the one it shares most keys with.
+    often = found.where(F.col("first") != F.col("class")).groupBy("class", "first").agg(F.count(F.lit(1)).alias("k"))
+    stars = often.groupBy("class").agg(F.max(F.struct("k", F.bitwise_not("first").alias("f"))).alias("m")).select(F.bitwise_not("m.f").alias("a"), F.col("class").alias("b"))
+    links = _verify(_near(stars, sketches, num, den), held, words, num, den)
+    # Then, in keys whose classes are still apart, each component meets the key's smallest by one class of each.
+    rest = _unsettled(found, links)
+    part = rest.groupBy("key", "part").agg(F.min("class").alias("b"))
+    least = part.groupBy("key").agg(F.min(F.struct("part", F.col("b").alias("a"))).alias("m")).select("key", F.col("m.part").alias("lo"), F.col("m.a").alias("a"))
+    pairs = part.join(least, "key").where(F.col("part") != F.col("lo")).select("a", "b").distinct()
+    links = shared.table(links.unionByName(_verify(_near(pairs, sketches, num, den), held, words, num, den)), "links")
+    # Last, all pairs of a key whose classes lie in different components: whatever is linked is now joined.
+    rest = shared.table(_unsettled(found, links).join(sketches, "class"), "unsettled")
+    x, y = rest.alias("x"), rest.alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & _may_link("x", "y", num, den)
+    pairs = x.join(y, near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    return links.unionByName(_verify(pairs, held, words, num, den))
+
+
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sizes and the Hamming distance of the bit sketches leave a link possible."""
+    apart = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+    both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.class")).join(sketches.alias("y"), F.col("b") == F.col("y.class"))
+    return both.where(_may_link("x", "y", num, den)).select("a", "b")
+
+
+def _unsettled(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, class, part) of keys whose classes lie in several components (parts)."""
     label = components(links).withColumnRenamed("node", "class")
     rows = found.select("key", "class").join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("part"))
     split = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    sketch = held.select("class", "n", "bits")
-    rest = shared.table(rows.join(split, "key").join(sketch, "class"), "unsettled")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
-    near = (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    return links.unionByName(_verify(pairs, held, words, num, den))
+    return shared.table(rows.join(split, "key"), "split-keys")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4) -> DataFrame:
