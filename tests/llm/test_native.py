@@ -72,6 +72,22 @@ def test_disclosing_terms_and_masks(spark):
     assert pii.pii_spans(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_terms_of_entities_in_one_text(spark):
+    many = [(1000 + i, f"plain filler words number {i}") for i in range(3000)]
+    rows = [(1, "write to solo@mail.org about Quorvath and filler"), (2, "zelmindra waits"), (3, "call duo@mail.org for zelmindra")]
+    out = {r["doc_id"]: r for r in pii.pii_spans(docs_of(spark, rows + many)).where("doc_id < 10").collect()}
+    words = lambda i: [dict(rows)[i][int(s):int(e)] for k, s, e in (x.split(":") for x in out[i]["spans"].split(",") if x) if k == "term"]
+    assert words(1) == ["write", "about", "Quorvath"] and words(2) == [] and words(3) == ["call"]
+    few = {r["doc_id"]: r["n_term"] for r in pii.pii_spans(docs_of(spark, rows + many[:100])).collect()}
+    assert set(few.values()) == {0}
+
+
+def test_terms_appear_on_documents(spark):
+    out = queries.op3_pii(spark, "/root/testdata/sf0.1").where("n_term > 0").select("n_email", "n_ip", "n_card", "n_phone", "n_term").collect()
+    assert len(out) > 300 and all(sum(tuple(r)[:4]) for r in out)
+    print("documents with terms", len(out), "term spans", sum(r["n_term"] for r in out))
+
+
 def test_op3_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((*tuple(r)[:5], r["base_sha256"]) for r in queries.op3_pii(spark, sf).collect())

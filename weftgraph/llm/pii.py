@@ -7,9 +7,12 @@ of one kind of sign take linear time.
 
 *Disclosure.*  The protected entities are the values found.  Over the whole corpus, of N texts, a term t that stands in n_t of them and
 together with entity e (in n_e texts) in n_et has pointwise mutual information log2(n_et N / (n_e n_t)); e's information is
-log2(N / n_e).  Their ratio is the share of e's identity that t discloses.  In texts with e, terms with at least ``support`` joint texts and a
-ratio of at least ``disclosure`` are spans of kind "term": sanitising replaces base spans by their kind and
-terms by [TERM].  Equal texts count once, so copies are no evidence.
+log2(N / n_e).  Their ratio is the share of e's identity that t discloses.  In texts with e, terms with a ratio of at least
+``disclosure`` are spans of kind "term": sanitising replaces base spans by their kind and terms by [TERM].
+
+With ``support`` joint texts the counts are taken as they stand.  With fewer, and for every entity that stands in one or two texts only, the
+share n_et / n_t of t's texts that hold e is replaced by its lower 95 % bound (Wilson), so what one joint text proves depends on N: a term that
+stands nowhere else discloses an entity of one text from N = 2,650 on.  Equal texts count once, so copies are no evidence.
 
 Offsets are code points, ends exclusive.  Null text counts as empty; null and repeated doc_ids are kept, a row each; an empty table gives
 no rows; ``sanitize`` keeps all other columns.
@@ -40,6 +43,8 @@ _HINTS = {
 }
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 _WORD = r"[\p{L}]+"
+#: Fixed value: the normal quantile of the lower bound, squared.
+_Z2 = 1.96**2
 
 
 def _digits(x: Column) -> Column:
@@ -102,24 +107,31 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
 
 
+def _lower_share(k: Column, n: Column) -> Column:
+    """The lower 95 % bound (Wilson) of a share of which k in n were seen."""
+    p = k / n
+    return (p + _Z2 / (2 * n) - F.sqrt(_Z2 * (p * (1 - p) / n + _Z2 / (4 * n * n)))) / (1 + _Z2 / n)
+
+
 def disclosing_terms(found: DataFrame, rows: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """(entity, term) pairs above the threshold; ``found`` has _text and _base of texts with base spans, ``rows`` all texts."""
-    unique = found.groupBy(F.xxhash64("_text").alias("_h")).agg(F.min(F.struct("_text", "_base")).alias("x")).select("x.*")
+    """(_h, term): the terms of each text that disclose an entity of it; ``found`` has _h, _text and _base of texts with base spans, ``rows`` _h and _text of all."""
+    unique = found.groupBy("_h").agg(F.min(F.struct("_text", "_base")).alias("x")).select("_h", "x.*")
     entities = F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
     bare = F.aggregate("_base", F.col("_text"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
-    held = shared.table(unique.select(entities.alias("es"), terms_of(bare).alias("ts")), "entity-texts")
-    n_e = held.select(F.explode("es").alias("entity")).groupBy("entity").count().withColumnRenamed("count", "n_e").where(F.col("n_e") >= support)
-    # Only entities with enough texts can reach the support, so only they are paired with terms.
-    seen = held.select(F.explode("es").alias("entity"), "ts").join(n_e, "entity").select("entity", "n_e", F.explode("ts").alias("term"))
-    joint = seen.groupBy("entity", "n_e", "term").count().withColumnRenamed("count", "n_et").where(F.col("n_et") >= support)
-    joint = shared.table(joint, "joint-counts")
+    held = shared.table(unique.select("_h", entities.alias("es"), terms_of(bare).alias("ts")), "entity-texts")
+    n_e = held.select(F.explode("es").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    seen = held.select("_h", F.explode("es").alias("entity"), "ts").select("_h", "entity", F.explode("ts").alias("term"))
+    joint = shared.table(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).join(n_e, "entity"), "joint-counts")
     wanted = joint.select("term").distinct()
     # Document frequencies over the whole corpus: terms are counted within each task before they are shuffled.
     n_t = rows.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").count().withColumnRenamed("count", "n_t").join(wanted, "term")
-    scored = joint.join(n_t, "term").withColumn("n_all", F.lit(rows.count()))
-    pmi = F.log2(F.col("n_et") * F.col("n_all") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    scored = joint.join(n_t, "term").withColumn("n_all", F.lit(rows.count())).withColumn("n_t", F.greatest("n_t", "n_et"))
+    share = F.when(F.col("n_et") >= support, F.col("n_et") / F.col("n_t")).otherwise(_lower_share(F.col("n_et"), F.col("n_t")))
     information = F.log2(F.col("n_all") / F.col("n_e"))
-    return scored.where((information > 0) & (pmi >= information * disclosure)).select("entity", "term")
+    pmi = F.log2(share) + information
+    risky = shared.table(scored.where((information > 0) & (pmi >= information * disclosure)).select("entity", "term"), "disclosing-terms")
+    # A text's own terms only: the terms of all texts of an entity would meet all its texts.
+    return seen.join(risky, ["entity", "term"], "left_semi").select("_h", "term").distinct()
 
 
 def find_pii(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
@@ -131,24 +143,23 @@ def find_pii(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> Data
         any_hint = any_hint | hint(F.col("_text"))
     found = rows.where(any_hint).select("_h", "_text").withColumn("_base", base_spans(F.col("_text"))).where(F.size("_base") > 0)
     found = shared.table(found, "base-spans")
-    risky = shared.table(disclosing_terms(found, rows, support, disclosure), "disclosing-terms")
-    # Terms of the texts with entities that have some, by text; a text with several rows is listed once.
-    entity = F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))).alias("entity")
-    by_text = found.select("_h", entity).distinct().join(risky, "entity").select("_h", "term").distinct()
+    by_text = disclosing_terms(found, rows, support, disclosure)
     # Letters only, so a term is its own pattern; longer ones first.
     ordered = F.reverse(F.array_sort(F.transform(F.collect_list("term"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
     words = by_text.groupBy("_h").agg(F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.concat_ws("|", F.transform(ordered, lambda x: x["t"])), F.lit(r")(?!\p{L})")).alias("_pattern"))
     words = shared.table(words, "term-patterns")
-    return _with_patterns(rows, words).withColumn("_base", base_spans(F.col("_text"))).withColumn(
+    return _with_patterns(rows, words, any_hint).withColumn("_base", base_spans(F.col("_text"))).withColumn(
         "_spans", F.when(F.col("_pattern").isNull(), F.col("_base")).otherwise(F.concat("_base", F.filter(located(F.col("_text"), F.coalesce("_pattern", F.lit("(?!)")), 4), lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))))
     ).drop("_h", "_pattern")
 
 
-def _with_patterns(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Texts meet their term patterns by hash: a shuffle of the texts unless no text has one."""
+def _with_patterns(rows: DataFrame, words: DataFrame, may_hold: Column) -> DataFrame:
+    """Texts meet their term patterns by hash: a shuffle of the texts that may hold an entity, unless no text has a pattern."""
+    none = F.lit(None).cast("string")
     if words.limit(1).count() == 0:
-        return rows.withColumn("_pattern", F.lit(None).cast("string"))
-    return rows.join(words, "_h", "left")
+        return rows.withColumn("_pattern", none)
+    met = rows.where(may_hold).join(words, "_h", "left").select(*[F.col(f"`{c}`") for c in rows.columns], "_pattern")
+    return met.unionAll(rows.where(~may_hold).withColumn("_pattern", none))
 
 
 def pii_spans(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
