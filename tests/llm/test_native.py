@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -82,10 +84,44 @@ def test_terms_of_entities_in_one_text(spark):
     assert set(few.values()) == {0}
 
 
+def test_copies_are_no_evidence(spark):
+    rows = [(i, f"quorvath has written from u@mail.org in case {chr(97 + i) * 4}") for i in range(3)]
+    rows += [(100 + i, rows[0][1]) for i in range(300)] + [(1000 + i, f"plain filler number {i}") for i in range(700)]
+    out = {r["doc_id"]: r["spans"] for r in pii.pii_spans(docs_of(spark, rows)).where("doc_id < 1000").collect()}
+    assert len(out) == 303 and all("term:0:8" in s.split(",") for s in out.values())
+
+
+def brute_terms(texts, support=3, disclosure=0.8):
+    """Terms of each distinct text by plain counts."""
+    terms = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 4}
+    held, n_t, n_e, n_et = {}, Counter(), Counter(), Counter()
+    for t in texts:
+        n_t.update(terms(t))
+        if spans := base(t):
+            bare = t
+            for _, a, b in spans:
+                bare = bare.replace(t[a:b], " ")
+            held[t] = {(k, t[a:b]) for k, a, b in spans}, terms(bare)
+            n_e.update(held[t][0])
+            n_et.update((e, w) for e in held[t][0] for w in held[t][1])
+
+    def discloses(e, w):
+        k, n, z = n_et[e, w], max(n_t[w], n_et[e, w]), 1.96**2
+        low = (k / n + z / 2 / n - math.sqrt(z * (k / n * (1 - k / n) / n + z / 4 / n / n))) / (1 + z / n)
+        information = math.log2(len(texts) / n_e[e])
+        return information > 0 and math.log2(k / n if k >= support else low) + information >= information * disclosure
+
+    return {t: {w for w in ws if any(discloses(e, w) for e in es)} for t, (es, ws) in held.items()}
+
+
 def test_terms_appear_on_documents(spark):
-    out = queries.op3_pii(spark, "/root/testdata/sf0.1").where("n_term > 0").select("n_email", "n_ip", "n_card", "n_phone", "n_term").collect()
-    assert len(out) > 300 and all(sum(tuple(r)[:4]) for r in out)
-    print("documents with terms", len(out), "term spans", sum(r["n_term"] for r in out))
+    sf = "/root/testdata/sf0.1"
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = brute_terms(set(text.values()))
+    out = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",")] for r in queries.op3_pii(spark, sf).where("n_term > 0").collect()}
+    got = {d: {text[d][int(a) : int(b)].lower() for k, a, b in spans if k == "term"} for d, spans in out.items()}
+    print("documents with terms", len(got), "spans", sum(k == "term" for s in out.values() for k, _, _ in s), "terms", len(set().union(*got.values())))
+    assert got and got == {d: want[t] for d, t in text.items() if want.get(t)}
 
 
 def test_op3_on_documents(spark, sf):

@@ -123,9 +123,10 @@ def disclosing_terms(found: DataFrame, rows: DataFrame, support: int = 3, disclo
     seen = held.select("_h", F.explode("es").alias("entity"), "ts").select("_h", "entity", F.explode("ts").alias("term"))
     joint = shared.table(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).join(n_e, "entity"), "joint-counts")
     wanted = joint.select("term").distinct()
-    # Document frequencies over the whole corpus: terms are counted within each task before they are shuffled.
-    n_t = rows.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").count().withColumnRenamed("count", "n_t").join(wanted, "term")
-    scored = joint.join(n_t, "term").withColumn("n_all", F.lit(rows.count())).withColumn("n_t", F.greatest("n_t", "n_et"))
+    # Document frequencies over the distinct texts of the corpus: terms are counted within each task before they are shuffled.
+    texts = rows.select("_h", "_text").dropDuplicates(["_h"])
+    n_t = texts.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").count().withColumnRenamed("count", "n_t").join(wanted, "term")
+    scored = joint.join(n_t, "term").withColumn("n_all", F.lit(rows.select("_h").distinct().count())).withColumn("n_t", F.greatest("n_t", "n_et"))
     share = F.when(F.col("n_et") >= support, F.col("n_et") / F.col("n_t")).otherwise(_lower_share(F.col("n_et"), F.col("n_t")))
     information = F.log2(F.col("n_all") / F.col("n_e"))
     pmi = F.log2(share) + information
