@@ -177,3 +177,19 @@ def test_band_settings(shortest, most):
 def test_op6_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(x) for x in queries.op6_license_scan(spark, sf).collect()) == brute_licenses(rows, licenses.TEMPLATES)
+
+
+def test_short_notices_on_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {d for d, t in text.items() if " all rights reserved " in f" {' '.join(re.findall('[a-z0-9]+', t.lower()))} "}
+    got = queries.op6_short_notices(spark, sf).collect()
+    assert len(want) >= 66 and {r["doc_id"] for r in got} == want
+    assert {(r["license"], r["containment"]) for r in got} == {("All-rights-reserved-line", 1.0)}
+
+
+def test_short_and_long_templates_together(spark):
+    filler = " ".join(f"w{i}" for i in range(37))
+    rows = [(1, "(c) ALL rights\nreserved."), (2, f"{filler} all rights reserved {filler}"), (3, "all rights are reserved"), (4, f"x {licenses.TEMPLATES['MIT']} {filler}"), (5, "public"), (6, None)]
+    got = {(r["doc_id"], r["license"], r["n_windows"], r["first_word"]) for r in licenses.scan(docs_of(spark, rows), {**licenses.TEMPLATES, **licenses.SHORT_TEMPLATES, "one": "Public"}).collect()}
+    assert got == {(1, "All-rights-reserved-line", 1, 0), (2, "All-rights-reserved-line", 2, 24), (4, "MIT", 1, 0), (5, "one", 1, 0)}

@@ -42,6 +42,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(shared.documents(spark, sf_dir))
 
 
+def op6_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(shared.documents(spark, sf_dir), licenses.SHORT_TEMPLATES)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_topk": op5_exact_topk,
     "op6_license_scan": op6_license_scan,
+    "op6_short_notices": op6_short_notices,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
