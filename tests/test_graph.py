@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -191,3 +193,32 @@ def test_pagerank_keeps_mass():
 
     r = search.personalized_pagerank(pd.DataFrame({"src": [1, 2], "dst": [2, 3]}), {1: 1.0, 9: 0.5})
     assert math.isclose(sum(r.values()), 1.0) and r[1] > r[2] > r[3]
+
+
+def repeats_of(t, least=12):
+    """Sentences and 12-word spans by plain counts, as the reference has them."""
+    sentences, spans = [], []
+    for line in t.splitlines():
+        parts = re.split(r"(?<=[.!?])\s+", line.strip().lstrip("#-*>+ ").strip())
+        sentences += [w for w in (tuple(re.findall("[a-z0-9]+", p.lower())) for p in parts) if len(w) >= least]
+        w = re.findall("[a-z0-9]+", line.lower())
+        spans += [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+    return tuple(max(Counter(x).values(), default=0) for x in (sentences, spans))
+
+
+def test_repeats_within_lines(spark):
+    said = "The same twelve words are written here once more without an end"
+    rows = [(1, f"{said}. " * 20), (2, f"{said} " * 20), (3, "\n".join(f"{'-*#>'[i % 4]} {said.upper() if i % 2 else said}!" for i in range(9)))]
+    rows += [(4, f"{said}?\u00a0{said}?\u2028{said}?\r\n{said}?"), (5, "\n".join(["- pytest", "- ruff"] * 20)), (6, None), (7, ""), (8, said)]
+    got = {r["doc_id"]: (r["n_sentence"], r["n_span"], r["looping"]) for r in text.repeats(frame(spark, rows, "doc_id long, text string")).collect()}
+    want = {i: (*repeats_of(t or ""), max(repeats_of(t or "")) > 8) for i, t in rows}
+    assert got == want and {i for i in got if got[i][2]} == {1, 2, 3}
+
+
+def test_repeats_on_documents(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sorted(tuple(r) for r in catalog.QUERIES["repeated_sentence_or_span"](spark, sf).collect())
+    assert got == sorted((i, *repeats_of(t), max(repeats_of(t)) > 8) for i, t in docs.items())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert got == sorted(con.sql(catalog.ORACLE_SQL["repeated_sentence_or_span"]).fetchall())

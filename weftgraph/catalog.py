@@ -435,6 +435,20 @@ def repeated_span(spark, sf):
     return text.most_repeated(read(spark, sf, "documents"))
 
 
+@query(r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, unnest(regexp_split_to_array(text, '[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS line FROM d),
+w AS (SELECT r, regexp_extract_all(lower(line), '([a-z0-9]+)', 1) AS w FROM l),
+p AS (SELECT r, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i+11], ' '))) AS s FROM w),
+q AS (SELECT r, unnest(regexp_split_to_array(regexp_replace(line, '([.!?])[\t\x1f\p{Zs}]+', '\1' || chr(10), 'g'), chr(10))) AS part FROM l),
+t AS (SELECT r, regexp_extract_all(lower(part), '([a-z0-9]+)', 1) AS w FROM q),
+ns AS (SELECT r, max(n) AS n FROM (SELECT r, count(*) AS n FROM t WHERE len(w) >= 12 GROUP BY r, w) GROUP BY r),
+np AS (SELECT r, max(n) AS n FROM (SELECT r, count(*) AS n FROM p GROUP BY r, s) GROUP BY r)
+SELECT doc_id, coalesce(ns.n, 0)::INTEGER AS n_sentence, coalesce(np.n, 0)::INTEGER AS n_span, greatest(coalesce(ns.n, 0), coalesce(np.n, 0)) > 8 AS looping
+FROM d LEFT JOIN ns ON d.r = ns.r LEFT JOIN np ON d.r = np.r""")
+def repeated_sentence_or_span(spark, sf):
+    return text.repeats(read(spark, sf, "documents"))
+
+
 @query("SELECT doc_id, substr(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g'), 1, 256) AS label FROM documents")
 def sanitize_label(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.sanitize_label(F.col("text")).alias("label"))

@@ -91,6 +91,35 @@ def most_repeated(docs: DataFrame, least_words: int = LEAK_WORDS) -> DataFrame:
     return long.groupBy("doc_id").agg(F.max("n").alias("n_repeats")).withColumn("looping", F.col("n_repeats") > MOST_REPEATS)
 
 
+#: What ends a line, and a sentence within it.
+LINE_END, SENTENCE_END = r"[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]", r"(?<=[.!?])[\t\x1f\p{Zs}]+"
+
+
+def _most_equal(hashes: Column) -> Column:
+    """How often the most frequent value of an array stands in it; 0 if the array is empty."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, h: Column) -> Column:
+        run = F.when(acc["last"] == h, acc["run"] + 1).otherwise(1)
+        return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(F.sort_array(hashes), start, step, lambda acc: acc["best"])
+
+
+def repeats(docs: DataFrame, least_words: int = LEAK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
+    """(doc_id, n_sentence, n_span, looping) of each row: how often its most repeated sentence of at least ``least_words`` words stands in it, and
+    its most repeated span of as many words within a line.  Words are lower-cased, list marks and other signs do not count."""
+    lines = F.split(F.coalesce("text", F.lit("")), LINE_END)
+    sentences = F.filter(F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, SENTENCE_END), words))), lambda w: F.size(w) >= least_words)
+
+    def starts(w: Column) -> Column:
+        last = F.size(w) - least_words
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(w, i, least_words)))).otherwise(F.array().cast("array<bigint>"))
+
+    found = docs.select("doc_id", _most_equal(F.transform(sentences, lambda w: F.xxhash64(w))).alias("n_sentence"), _most_equal(F.flatten(F.transform(F.transform(lines, words), starts))).alias("n_span"))
+    return found.withColumn("looping", F.greatest("n_sentence", "n_span") > most)
+
+
 def symbol_mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(doc_id, node_id) of symbols of at least three letters that a text names as a whole word."""
     seen = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("name"))
