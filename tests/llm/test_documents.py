@@ -89,6 +89,12 @@ def test_topk_large_components():
     assert s.tolist() == [(1 << 41) + 5, -(1 << 41) + 15]
 
 
+def test_quantize_keeps_vectors_below_the_stated_limit(spark):
+    rows = [(1, [2.0**53, 1.0]), (2, [-(2.0**53), 1.0]), (3, [2.0**54, 1.0]), (4, [1.0, -(2.0**54)])]
+    got = {r["vec_id"]: r["q"] for r in exact_topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: [2**61, 256], 2: [-(2**61), 256]} and "2**62 / scale" in exact_topk.__doc__ and "2**62 / scale" in exact_topk.quantize.__doc__
+
+
 def test_op5_against_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")

@@ -8,7 +8,8 @@ vec_id wins ties.
 
 Queries and candidates meet in a grid of bounded cells (``query_cell`` queries by ``cell`` candidates), each one
 task's work; the k best of each cell are merged by a window for each query.  Rows whose vector is null or holds a null or non-finite
-component take no part; neither do null ids.  Vectors of different dimension are not compared.  Rows that
+component take no part; neither do null ids, nor vectors with a component of 2**62 / scale (2**54) or more in size, whose floor(scale * x) a
+64-bit integer need not hold.  Vectors of different dimension are not compared.  Rows that
 repeat an id are candidates of their own (a query's own id is left out altogether); an empty table gives no rows; other
 columns are ignored.
 """
@@ -30,7 +31,7 @@ _SAFE = 1 << 27
 
 
 def quantize(df: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and q: each component x as floor(scale * x), for rows whose vector is whole and finite."""
+    """vec_id and q: each component x as floor(scale * x), for rows whose vector is whole and finite, with components below 2**62 / scale in size."""
     x = F.col(vector).cast("array<double>")
     limit = F.lit(float(1 << 62) / scale)
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < limit)) & (F.size(x) > 0)
