@@ -49,3 +49,12 @@ def test_run_equals_stages_and_edges(spark, sf):
     *_, packed = stages(spark, docs, sf)
     assert {r["doc_id"] for r in packed.collect()} >= {1, 2, None}
     assert stages(spark, docs.limit(0), sf)[-1].count() == 0
+
+
+def test_near_duplicates_are_judged_by_row(spark, sf):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, say("a"), "first"), (2, say("a"), "copy"), (2, say("b"), "clean, id of a copy"), (7, say("c"), "one"), (7, say("d"), "two, same id")]
+    rows += [(None, say("e"), "no id"), (None, say("e"), "no id"), (None, say("a"), "copy without id"), (9, None, "empty"), (None, "", "empty")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, class string"), sf)
+    assert got.columns == ["doc_id", "text", "class"]
+    assert sorted(r["class"] for r in got.collect()) == ["clean, id of a copy", "empty", "empty", "first", "no id", "one", "two, same id"]
