@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -32,15 +33,19 @@ def fuzz(n, seed=3):
 @pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_tokenizer_equals_library(name, keeps):
     whole = Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
     cached = CachedTokenizer(P.path(name), keeps, entries=50)
-    for text in fuzz(800) + [t or "" for _, t in EDGES]:
-        assert np.frombuffer(cached.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [*fuzz(800), *(t or "" for _, t in EDGES), "a page about <|endoftext|> markers", "<|startoftext|>x y<|endoftext|>\n", "<|ENDOFTEXT|> z"]
+    want = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    many = cached.encode_many(pa.array(texts))
+    for text, ids, got in zip(texts, want, many):
+        assert np.frombuffer(cached.encode(text), "<u4").tolist() == ids, repr(text)
+        assert np.frombuffer(got, "<u4").tolist() == ids, repr(text)
+    assert cached.encode_many(pa.array([], pa.string())) == []
+    assert cached.encode_many(pa.array(["x", *texts]).slice(1)) == many
 
 
 def truth1(rows):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -142,7 +147,6 @@ def test_packing_edges(spark):
 
 def test_op9_on_documents(spark, sf):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     want, total = set(), 0
     for d, x in zip(t["doc_id"], t["text"]):

@@ -101,10 +101,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = 20
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = cached_tokenizer(tokenizer, False, "<u4"), np.array([end_id], "<u4").tobytes()
-        for batch in shared.slices(batches):
+        for batch in shared.slices(batches, most=8 << 20):
             out: list[tuple] = []
-            for doc_id, row, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "row", "text"))):
-                ids = tok.encode(text) + end
+            for doc_id, row, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), tok.encode_many(batch.column("text"))):
+                ids += end
                 out += [(doc_id, row, p, p * most, len(part) // 4, part) for p in range(-(-len(ids) // (4 * most))) for part in [ids[4 * most * p : 4 * most * (p + 1)]]]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=["doc_id", "row", "piece", "start", "length", "ids"])

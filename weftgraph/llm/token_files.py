@@ -151,15 +151,15 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, tok = context.partitionId(), cached_tokenizer(tokenizer, True, dtype)
-        end = np.array([end_id], dtype=dtype)
+        end = np.array([end_id], dtype=dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         writer, tmp, path = None, f"{root}/.shard-{shard:06d}-{context.taskAttemptId()}", f"{root}/shard-{shard:06d}"
-        for batch in shared.slices(batches):
+        for batch in shared.slices(batches, most=8 << 20):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 writer = ShardWriter(fs, tmp, dtype, length, rows_per_batch)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                writer.add(doc_id, np.concatenate([np.frombuffer(tok.encode(text), dtype=dtype), end]))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.encode_many(batch.column("text"))):
+                writer.add(doc_id, np.frombuffer(ids + end, dtype=dtype))
         if writer is None:
             return
         writer.close()
