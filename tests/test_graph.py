@@ -101,7 +101,7 @@ def test_fleet_counts_repositories(spark):
     assert got == {"p": (1, False, False), "q": (2, True, True)}
 
 
-ROUTED = [("who calls parse_source?", "callers", "parse_source"), ("what breaks if I change `GraphStore`?", "impact", "GraphStore"), ("who owns the parser", "owners", None), ("subclasses of BaseSource", "subclasses", "BaseSource"), ("what depends on requests", "dependents", None), ("where is read_shard defined", "definition", "read_shard"), ("explain HybridSearch", "explain", "HybridSearch"), ("vector index", "search", None)]
+ROUTED = [("who calls parse_source?", "callers", "parse_source"), ("what breaks if I change `GraphStore`?", "impact", "GraphStore"), ("who owns the parser", "owners", "parser"), ("subclasses of BaseSource", "subclasses", "BaseSource"), ("what depends on requests", "dependents", "requests"), ("where is read_shard defined", "definition", "read_shard"), ("explain HybridSearch", "explain", "HybridSearch"), ("vector index", "search", "index")]
 
 
 def test_router(spark):

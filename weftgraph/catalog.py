@@ -75,9 +75,13 @@ def repo_filter(spark, sf):
     return graph.repos_matching(nodes(spark, sf), "A*/*_1?")
 
 
-@graph_query("SELECT node_id, name, kind, repo_id, 1 AS tier FROM nodes WHERE name = 'NATION_3'")
+@graph_query("""SELECT * FROM (SELECT 'part_9' AS asked, node_id, name, kind, repo_id, 0 AS tier FROM nodes WHERE node_id = 'part_9'
+UNION ALL SELECT 'NATION_3', node_id, name, kind, repo_id, 1 FROM nodes WHERE name = 'NATION_3'
+UNION ALL (SELECT 'old anv', node_id, name, kind, repo_id, 2 FROM nodes WHERE regexp_matches(lower(name), '(^|[^a-z0-9])old') AND regexp_matches(lower(name), '(^|[^a-z0-9])anv') ORDER BY node_id LIMIT 20))""")
 def resolve_target(spark, sf):
-    return graph.resolve_target(nodes(spark, sf), "NATION_3")
+    n = nodes(spark, sf)
+    found = [graph.resolve_target(n, asked).withColumn("asked", F.lit(asked)) for asked in ("part_9", "NATION_3", "old anv")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @graph_query("""SELECT node_id, total, total > 25 AS truncated FROM (SELECT node_id, count(*) OVER () AS total FROM nodes WHERE kind = 'class') ORDER BY node_id LIMIT 25""")
@@ -108,16 +112,25 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", text.raw_host(F.col("url")).alias("repo"), F.explode(text.hrefs(F.col("html"))).alias("endpoint"))
 
 
-@query(_LINKS + "SELECT a.repo AS src_repo, b.repo AS dst_repo, count(DISTINCT a.endpoint) AS weight FROM links a JOIN links b ON a.endpoint = b.endpoint AND a.page_id % 2 = 1 AND b.page_id % 2 = 0 AND a.repo <> b.repo GROUP BY 1, 2")
+_SECTIONS = _LINKS + """, ex AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS repo, regexp_extract(url, '://[^/]*(/[^/?#]*)', 1) AS endpoint FROM pages)
+"""
+
+
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    """What a page exposes: the section of its own address."""
+    return read(spark, sf, "pages").select(text.raw_host(F.col("url")).alias("repo"), F.regexp_extract("url", r"://[^/]*(/[^/?#]*)", 1).alias("endpoint"))
+
+
+@query(_SECTIONS + "SELECT a.repo AS src_repo, b.repo AS dst_repo, count(DISTINCT endpoint) AS weight FROM links a JOIN ex b USING (endpoint) WHERE a.repo <> b.repo GROUP BY 1, 2")
 def http_flow(spark, sf):
-    rows = _links(spark, sf)
-    return graph.two_hop(rows.where("page_id % 2 = 1"), rows.where("page_id % 2 = 0"), "endpoint", "repo", "repo")
+    return graph.two_hop(_links(spark, sf), _sections(spark, sf), "endpoint", "repo", "repo")
 
 
-@query(_LINKS + "SELECT repo, repo AS host, count(*) AS n_calls FROM links WHERE page_id % 2 = 1 AND endpoint NOT IN (SELECT endpoint FROM links WHERE page_id % 2 = 0) GROUP BY 1, 2")
+@query(_SECTIONS + "SELECT repo, repo AS host, count(*) AS n_calls FROM links WHERE endpoint NOT IN (SELECT endpoint FROM ex) GROUP BY 1, 2")
 def external_systems(spark, sf):
-    rows = _links(spark, sf).withColumn("host", F.col("repo"))
-    return graph.external_systems(rows.where("page_id % 2 = 1"), rows.where("page_id % 2 = 0"), "host")
+    # A link without a host is resolved against its page's address, whose host is then the one called.
+    whole = F.concat(F.lit("https://"), F.col("repo"), F.col("endpoint"))
+    return graph.external_systems(_links(spark, sf).withColumn("host", text.raw_host(whole)), _sections(spark, sf), "host")
 
 
 @query("""WITH t AS (SELECT user_id % 10 AS repo, event_type IN ('click', 'view') AS pub, event_type = 'purchase' AS con, json_extract_string(props, '$.k') AS topic FROM events)
@@ -215,12 +228,14 @@ def kind_floor_topk(spark, sf):
     return graph.kind_floor_topk(rows, 12)
 
 
-@graph_query(_DEGREE + """, r AS (SELECT node_id, kind, degree, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, node_id) <= 4 AS p FROM deg JOIN nodes USING (node_id))
-SELECT node_id, kind, degree FROM r ORDER BY p DESC, degree DESC, node_id LIMIT 40""")
+@query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + _DEGREE + """, own AS (SELECT node_id, kind, degree FROM deg JOIN nodes USING (node_id)),
+k AS (SELECT kind, count(*) AS n, row_number() OVER (ORDER BY count(*), kind) AS i, count(*) OVER () AS m FROM own GROUP BY 1),
+fl AS (SELECT i, kind, least(n, 20 // m) AS floor, 20 - least(n, 20 // m) AS rest FROM k WHERE i = 1 UNION ALL SELECT k.i, k.kind, least(n, rest // (m - k.i + 1)), rest - least(n, rest // (m - k.i + 1)) FROM fl JOIN k ON k.i = fl.i + 1),
+w AS (SELECT own.*, row_number() OVER (PARTITION BY kind ORDER BY degree DESC, node_id) AS q FROM own)
+SELECT node_id, kind, degree FROM w JOIN fl USING (kind) ORDER BY q <= floor DESC, degree DESC, node_id LIMIT 40""")
 def evict_tail(spark, sf):
     rows = graph.distinct_degree(edges(spark, sf)).join(nodes(spark, sf), "node_id").select("node_id", "kind", "degree")
-    floors = nodes(spark, sf).select("kind").distinct().withColumn("floor", F.lit(4))
-    return graph.evict_tail(rows, floors, 40)
+    return graph.evict_tail(rows, graph.floors_of(rows, 20), 40)
 
 
 @graph_query("SELECT array_to_string(string_split(file, '/')[1:2], '/') AS module, count(*) AS n_nodes FROM nodes WHERE len(string_split(file, '/')) > 2 GROUP BY 1 HAVING count(*) >= 2")
@@ -277,14 +292,28 @@ def relationships_bulk(spark, sf):
 _RANK = "CASE confidence WHEN 'EXTRACTED' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END"
 
 
-@query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + f""", back AS (SELECT DISTINCT dst AS a, src AS b FROM edges WHERE relation IN ('calls', 'contains', 'depends_on')),
-walk AS (SELECT 'part_5' AS node_id, 0 AS hop UNION SELECT b, hop + 1 FROM walk JOIN back ON a = walk.node_id WHERE hop < 4),
+def _walk(relations: str, hops: int) -> str:
+    """Who reaches part_5 backwards over some relations, as SQL."""
+    return f""", back AS (SELECT DISTINCT dst AS a, src AS b FROM edges WHERE relation IN ({relations})),
+walk AS (SELECT 'part_5' AS node_id, 0 AS hop UNION SELECT b, hop + 1 FROM walk JOIN back ON a = walk.node_id WHERE hop < {hops}),
 hops AS (SELECT node_id, min(hop) AS hop FROM walk GROUP BY 1),
-via AS (SELECT h.node_id, h.hop, e.dst AS via, e.confidence, row_number() OVER (PARTITION BY h.node_id ORDER BY {_RANK}, e.dst) AS r FROM hops h JOIN edges e ON e.src = h.node_id JOIN hops p ON p.node_id = e.dst AND p.hop = h.hop - 1 WHERE e.relation IN ('calls', 'contains', 'depends_on'))
-SELECT 'part_5' AS seed, node_id, hop, via, confidence FROM via WHERE r = 1""")
+via AS (SELECT 'part_5' AS seed, h.node_id, h.hop, e.dst AS via, e.confidence, e.relation, e.source_line AS line, row_number() OVER (PARTITION BY h.node_id ORDER BY {_RANK}, e.dst, e.relation, e.source_line) AS r
+ FROM hops h JOIN edges e ON e.src = h.node_id JOIN hops p ON p.node_id = e.dst AND p.hop = h.hop - 1 WHERE e.relation IN ({relations}))
+"""
+
+
+@query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + _walk("'calls', 'depends_on', 'inherits', 'references', 'reads', 'writes', 'uses'", 3) + f"""SELECT seed, node_id, hop, via, confidence, relation, line, (SELECT count(*) FROM via JOIN nodes USING (node_id) WHERE r = 1) > 25 AS truncated
+FROM via JOIN nodes USING (node_id) WHERE r = 1 ORDER BY hop, {_RANK}, node_id LIMIT 25""")
 def blast_radius(spark, sf):
     seed = spark.createDataFrame([("part_5",)], "node_id string")
-    return traverse.blast_radius(edges(spark, sf), seed, hops=4)
+    return traverse.blast_radius(edges(spark, sf), seed, limit=25, nodes=nodes(spark, sf))
+
+
+@query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + _walk("'calls', 'contains', 'depends_on'", 4) + "SELECT seed, node_id, hop, via, confidence FROM via WHERE r = 1")
+def reverse_reach(spark, sf):
+    """Several hops, over relations that the default leaves out, without a limit."""
+    seed = spark.createDataFrame([("part_5",)], "node_id string")
+    return traverse.blast_radius(edges(spark, sf), seed, hops=4, relations=["calls", "contains", "depends_on"], limit=None).select("seed", "node_id", "hop", "via", "confidence")
 
 
 @query(VIEW_SQL.replace("WITH nat", "WITH RECURSIVE nat") + """, und AS (SELECT src AS a, dst AS b FROM edges WHERE relation = 'contains' UNION SELECT dst, src FROM edges WHERE relation = 'contains'),
@@ -294,18 +323,24 @@ def hop_distance(spark, sf):
     return traverse.hop_distance(edges(spark, sf).where("relation = 'contains'"), "nation_1", hops=3).select("node_id", "hop")
 
 
-@query()
+@query(VIEW_SQL + """, und AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+l1 AS (SELECT b AS n, 'customer_1' AS via FROM und WHERE a = 'customer_1'),
+l2 AS (SELECT b AS n, min(a) AS via FROM und WHERE a IN (SELECT n FROM l1) AND b <> 'customer_1' AND b NOT IN (SELECT n FROM l1) GROUP BY 1),
+l3 AS (SELECT b AS n, min(a) AS via FROM und WHERE a IN (SELECT n FROM l2) AND b <> 'customer_1' AND b NOT IN (SELECT n FROM l1) AND b NOT IN (SELECT n FROM l2) GROUP BY 1),
+e AS (SELECT 2 AS len, 'supplier_2' AS n2, via AS n1, NULL AS n3 FROM l2 WHERE n = 'supplier_2' UNION ALL SELECT 3, l3.via, l2.via, 'supplier_2' FROM l3 JOIN l2 ON l2.n = l3.via WHERE l3.n = 'supplier_2')
+SELECT 0 AS step, 'customer_1' AS node_id FROM e UNION ALL SELECT 1, n1 FROM e UNION ALL SELECT 2, n2 FROM e UNION ALL SELECT 3, n3 FROM e WHERE len = 3""")
 def shortest_path(spark, sf):
     return traverse.shortest_path(edges(spark, sf), "customer_1", "supplier_2")
 
 
 @query(VIEW_SQL + """, und AS (SELECT src, dst, relation, src AS a, dst AS b FROM edges WHERE relation = 'contains' UNION SELECT src, dst, relation, dst, src FROM edges WHERE relation = 'contains'),
-one AS (SELECT DISTINCT b AS n FROM und WHERE a = 'region_1' UNION SELECT 'region_1'),
-two AS (SELECT n FROM one UNION SELECT b FROM und WHERE a IN (SELECT n FROM one))
-SELECT DISTINCT src, dst, relation FROM edges WHERE relation = 'contains' AND src IN (SELECT n FROM two) AND dst IN (SELECT n FROM two)""")
+capped AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY relation, src, dst) AS r FROM und QUALIFY r <= 4),
+h1 AS (SELECT DISTINCT b AS n FROM capped WHERE a = 'region_1' AND b <> 'region_1'), h2 AS (SELECT DISTINCT b AS n FROM capped WHERE a IN (SELECT n FROM h1) AND b <> 'region_1' AND b NOT IN (SELECT n FROM h1)),
+kept AS (SELECT n FROM (SELECT 'region_1' AS n, 0 AS h UNION ALL SELECT n, 1 FROM h1 UNION ALL SELECT n, 2 FROM h2) ORDER BY h, n LIMIT 12)
+SELECT DISTINCT src, dst, relation FROM edges WHERE relation = 'contains' AND src IN (SELECT n FROM kept) AND dst IN (SELECT n FROM kept)""")
 def subgraph_induced(spark, sf):
     seeds = spark.createDataFrame([("region_1",)], "node_id string")
-    return traverse.subgraph(edges(spark, sf).where("relation = 'contains'"), seeds, hops=2, fanout=1 << 30, most=1 << 30)
+    return traverse.subgraph(edges(spark, sf).where("relation = 'contains'"), seeds, hops=2, fanout=4, most=12)
 
 
 # ---- retrieval
@@ -327,9 +362,10 @@ def fts_search(spark, sf):
     return search.fts(nodes(spark, sf), "small")
 
 
-@query("""SELECT 1::BIGINT AS n_matched, 1::BIGINT AS n_unmatched, FALSE AS below""")
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS term FROM documents), t AS (SELECT unnest(['license', 'version', 'zzzunknownzzz', 'thecopyright', 'copyright']) AS term)
+SELECT count(w.term) AS n_matched, count(*) - count(w.term) AS n_unmatched, count(w.term) = 0 AS below FROM t LEFT JOIN w USING (term)""")
 def relevance_floor(spark, sf):
-    return search.below_floor(read(spark, sf, "documents"), F.col("text"), ["the", "zzzunknownzzz"])
+    return search.below_floor(read(spark, sf, "documents"), F.col("text"), ["license", "version", "zzzunknownzzz", "thecopyright", "copyright"])
 
 
 def _vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
@@ -376,10 +412,13 @@ def eval_metrics(spark, sf):
     return search.retrieval_metrics(ranked, golden, 2)
 
 
-@graph_query("SELECT node_id, name FROM nodes WHERE kind = 'namespace' AND contains(lower(name), 'on_1') ORDER BY node_id LIMIT 50")
+@graph_query("SELECT node_id, name || '_c1' AS name FROM nodes WHERE kind = 'class' AND contains(name, '00001') ORDER BY node_id LIMIT 50")
 def as_of_snapshot(spark, sf):
-    rows = nodes(spark, sf).where("kind = 'namespace'").withColumn("commit", F.lit("c1"))
-    return search.as_of_search(rows, "c1", "ON_1").select("node_id", "name")
+    """Two commits of all classes: the first under other names, the second under their own and without some of them."""
+    n = nodes(spark, sf).where("kind = 'class'")
+    first = n.withColumn("name", F.concat("name", F.lit("_c1"))).withColumn("commit", F.lit("c1"))
+    rows = first.unionByName(n.where("line_start % 2 = 0").withColumn("commit", F.lit("c2")))
+    return search.as_of_search(rows, "c1", "00001").select("node_id", "name")
 
 
 # ---- text
@@ -409,14 +448,19 @@ def html_title(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))
 
 
-@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([A-Z][A-Z0-9]+-[0-9]+)', 1))) AS issue FROM documents")
+@query("SELECT p_partkey AS id, p_type || '-' || p_size AS issue FROM part UNION ALL SELECT p_partkey, 'X2-' || p_partkey FROM part WHERE p_size > 25")
 def issue_keys(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.explode(text.issue_keys(F.col("text"))).alias("issue"))
+    p, size, key = read(spark, sf, "part"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    said = F.concat(F.col("p_name"), F.lit(" fixes "), F.col("p_type"), F.lit("-"), size, F.lit(", again "), F.col("p_type"), F.lit("-"), size, F.lit("; not a-1 or B-x"), F.when(F.col("p_size") > 25, F.concat(F.lit(" see X2-"), key)).otherwise(""))
+    return p.select(F.col("p_partkey").alias("id"), F.explode(text.issue_keys(said)).alias("issue"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)atlassian\\.net$') THEN 'atlassian' WHEN regexp_matches(h, '(^|\\.)figma\\.com$') THEN 'figma' WHEN regexp_matches(h, '(^|\\.)slack\\.com$') THEN 'slack' WHEN regexp_matches(h, '(^|\\.)zendesk\\.com$') THEN 'zendesk' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS h FROM pages)")
+@query("SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'atlassian' WHEN 'SMALL' THEN 'figma' WHEN 'MEDIUM' THEN 'slack' WHEN 'PROMO' THEN 'zendesk' ELSE 'other' END AS kind FROM part")
 def link_kinds(spark, sf):
-    return read(spark, sf, "pages").select("page_id", text.link_kind(F.col("url")).alias("kind"))
+    host = {"ECONOMY": "acme.atlassian.net", "SMALL": "www.figma.com", "MEDIUM": "acme.slack.com", "PROMO": "help.zendesk.com", "STANDARD": "notfigma.com", "LARGE": "slack.com.example.org"}
+    names = F.create_map(*[F.lit(x) for pair in host.items() for x in pair])
+    url = F.concat(F.lit("https://"), F.element_at(names, F.col("p_type")), F.lit("/x/"), F.col("p_partkey").cast("string"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.link_kind(url).alias("kind"))
 
 
 _SPANS = "CASE WHEN len(w) >= 12 THEN list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' ')) ELSE [] END"
@@ -567,7 +611,9 @@ def active_branch(spark, sf):
     return fleet.active_branch(rows.agg(F.count(F.lit(1)).cast("double").alias("commits"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).cast("double").alias("ts")))
 
 
-@query("SELECT conv_id, turn, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]{2,})', 1), lambda t: lower(t)), lambda t: t NOT IN ('the', 'and', 'for', 'what', 'where', 'which', 'how', 'does', 'who', 'that', 'this', 'with', 'from', 'are', 'was', 'code', 'function', 'class', 'file')))) AS term FROM conversations")
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1), lambda t: length(t) >= 3 AND lower(t) NOT IN (""" + ", ".join(f"'{x}'" for x in fleet.GENERIC) + """)) AS w FROM conversations),
+e AS (SELECT conv_id, turn, unnest(w) AS t, unnest(range(len(w))) AS i FROM w)
+SELECT conv_id, turn, arg_min(t, i) AS term FROM e GROUP BY conv_id, turn, lower(t)""")
 def content_terms(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", F.explode(fleet.content_terms(F.col("text"))).alias("term"))
 
@@ -601,11 +647,14 @@ def render_dot(spark, sf):
     return render.to_dot(*_payload(spark, sf))
 
 
-@query()
+@graph_query("""SELECT '<graphml><graph edgedefault="directed">' || chr(10) || string_agg(line, chr(10) ORDER BY part, key) || chr(10) || '</graph></graphml>' AS graphml FROM (
+ SELECT 0 AS part, node_id AS key, '<node id="' || node_id || '"><data key="name">' || replace(name, '&', '&amp;') || '</data></node>' AS line FROM nodes WHERE kind IN ('region', 'namespace')
+ UNION ALL SELECT 1, src || '|' || dst || '|' || relation, '<edge source="' || src || '" target="' || dst || '"><data key="relation">' || relation || '</data></edge>' FROM edges WHERE relation = 'contains' AND src LIKE 'region%')""")
 def render_graphml(spark, sf):
     return render.to_graphml(*_payload(spark, sf))
 
 
-@query()
+@graph_query("""SELECT string_agg(line, chr(10) ORDER BY part, key) AS cypher FROM (SELECT 0 AS part, node_id AS key, 'MERGE (:Node {id: "' || node_id || '", name: "' || name || '"});' AS line FROM nodes WHERE kind IN ('region', 'namespace')
+ UNION ALL SELECT 1, src || '|' || dst || '|' || relation, 'MATCH (a {id: "' || src || '"}), (b {id: "' || dst || '"}) MERGE (a)-[:' || upper(relation) || ']->(b);' FROM edges WHERE relation = 'contains' AND src LIKE 'region%')""")
 def render_cypher(spark, sf):
     return render.to_cypher(*_payload(spark, sf))

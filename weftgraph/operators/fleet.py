@@ -22,6 +22,37 @@ def owners(commits: DataFrame) -> DataFrame:
     return score.join(F.broadcast(total)).select("author", "n_commits", F.round("s", 4).alias("score"), F.round(F.col("s") / F.col("t"), 6).alias("share"))
 
 
+def owner_table(commits: DataFrame) -> DataFrame:
+    """(author, name, n_commits, score, share, last_active) from (email, name, ts, lines): an author is an e-mail, else a name; the name is that of the latest commit; the day is UTC's."""
+    author = F.coalesce(F.nullif(F.col("email"), F.lit("")), F.col("name"), F.lit(""))
+    rows = commits.withColumn("author", author)
+    scored = owners(rows.select("author", "ts", "lines"))
+    latest = rows.groupBy("author").agg(F.max(F.struct("ts", "name")).alias("m"))
+    return scored.join(latest, "author").select("author", F.col("m.name").alias("name"), "n_commits", "score", "share", F.date_format("m.ts", "yyyy-MM-dd").alias("last_active"))
+
+
+def commitment_classes(deps: DataFrame) -> DataFrame:
+    """(repo, class) of repositories from (repo, manifest, package, group, readable): unreadable where no manifest could be read, nothing where they ask for nothing, dev-only where
+    they ask for development packages alone, else committed."""
+    n = deps.groupBy("repo").agg(F.max(F.col("readable").cast("int")).alias("r"), F.count("package").alias("n"), F.sum((F.col("package").isNotNull() & F.col("group").isin("runtime", "peer")).cast("int")).alias("c"))
+    return n.select("repo", F.when(F.col("r") == 0, "unreadable").when(F.col("n") == 0, "nothing").when(F.col("c") == 0, "dev-only").otherwise("committed").alias("class"))
+
+
+def dependency_split(edges: DataFrame) -> DataFrame:
+    """(repo, package, side): what a repository publishes (own), needs to run (runtime) and needs besides (dev), from (repo, package, relation, group); its own packages are no dependencies of it."""
+    own = edges.where("relation = 'publishes'").select("repo", "package").distinct()
+    needs = edges.where("relation = 'depends_on'").groupBy("repo", "package").agg(F.max(F.col("group").isin("runtime", "peer").cast("int")).alias("r"))
+    needs = needs.join(own, ["repo", "package"], "left_anti").select("repo", "package", F.when(F.col("r") == 1, "runtime").otherwise("dev").alias("side"))
+    return own.withColumn("side", F.lit("own")).unionByName(needs)
+
+
+def age_buckets(repos: DataFrame, now: Column) -> DataFrame:
+    """(bucket, n): repositories by the days since their last commit (repo, last): 30, 90, 180, 365 days or more, or never."""
+    days = F.datediff(now, F.col("last"))
+    bucket = F.when(days.isNull(), "never").when(days <= 30, "<=30").when(days <= 90, "<=90").when(days <= 180, "<=180").when(days <= 365, "<=365").otherwise(">365")
+    return repos.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def commitments(deps: DataFrame) -> DataFrame:
     """(package, n_repos, n_constraints, n_manifests, shared, disagreeing) from (package, repo, manifest, constraint): repositories, not manifests, are counted."""
     out = deps.groupBy("package").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct(F.coalesce("constraint", F.lit("unpinned"))).alias("n_constraints"), F.count_distinct("repo", "manifest").alias("n_manifests"))
@@ -30,7 +61,8 @@ def commitments(deps: DataFrame) -> DataFrame:
 
 def package_facts(deps: DataFrame) -> DataFrame:
     """(repo, package, constraints) from the repository's shallowest manifests, distinct constraints merged in order."""
-    shallow = deps.withColumn("_d", F.min("depth").over(Window.partitionBy("repo"))).where(F.col("depth") == F.col("_d"))
+    least = deps.groupBy("repo").agg(F.min("depth").alias("depth"))
+    shallow = deps.join(least, ["repo", "depth"])
     return shallow.groupBy("repo", "package").agg(F.array_join(F.array_sort(F.collect_set("constraint")), ",").alias("constraints"))
 
 
@@ -63,37 +95,74 @@ def active_branch(branches: DataFrame) -> DataFrame:
     return rows.withColumn("_r", best).where("_r = 1").select("repo", "branch", "score")
 
 
-#: Routes in the order in which they are tried.
+#: Routes in the order in which they are tried, each with the pattern that asks for it.
 ROUTES = [
-    ("impact", r"(?i)\b(impact|blast radius|what breaks|affected)\b"),
-    ("owners", r"(?i)\b(who (owns|knows|maintains|wrote)|owners? of|maintainers?)\b"),
-    ("subclasses", r"(?i)\b(subclass(es)?|inherits? from|extends|implementations? of|derived)\b"),
-    ("dependents", r"(?i)\b(depends? on|dependents?|dependencies)\b"),
-    ("callers", r"(?i)\b(who calls|callers? of|call sites?|where is .* (called|used)|calls)\b"),
-    ("definition", r"(?i)\b(where is|defined?|definition of|declared?)\b"),
-    ("explain", r"(?i)\b(what (is|does)|explain|how does|describe)\b"),
+    ("impact", r"\b(blast\s*radius|what\s+breaks|breaks?\s+if|impact\s+of|affected\s+by|safe\s+to\s+(change|remove|delete|rename)|if\s+i\s+(change|remove|delete|rename|modify)|ripple)\b"),
+    ("owners", r"\b(who\s+(owns|knows|wrote|maintains|should\s+i\s+ask)|owner\s+of|maintainer|\bsme\b|subject\s+matter|expert\s+(on|in|for))\b"),
+    ("subclasses", r"\b(subclasses?\s+of|subtypes?\s+of|what\s+(extends|implements|subclasses)|who\s+(extends|implements)|classes?\s+that\s+(extend|implement)|implementations?\s+of|derived\s+(from|classes)|extended\s+by)\b"),
+    ("dependents", r"\b(what\s+depends\s+on|who\s+depends\s+on|depends?\s+on|dependents?\s+of|which\s+repos?\s+(use|depend)|reverse\s+depend|consumers?\s+of\s+the\s+package)\b"),
+    ("callers", r"\b(who\s+calls|what\s+calls|callers?\s+of|called\s+by|call\s+sites?|usages?\s+of|who\s+uses|where\s+is\s+\S+\s+used)\b"),
+    ("definition", r"\b(where\s+is\s+\S+\s+defined|where(?:'s|\s+is)\b|defined|definition\s+of|declar(?:e|ed|ation)|find\s+the\s+definition|locate)\b"),
+    ("explain", r"\b(explain|how\s+does\b|how\s+do(?:es)?\s+\S+\s+work|what\s+is\b|what'?s\b|overview\s+of|describe|tell\s+me\s+about|architecture\s+of|walk\s+me\s+through|summar(?:y|ize|ise))\b"),
 ]
+#: Words of a question that are never what it asks about.
+SCAFFOLD = (
+    "a an the is are was were be to of in on for with and or not it this that where who what how why which does do did defined definition calls call caller callers used uses use depends depend dependents owns owner knows know "
+    "wrote maintainer maintains explain describe about work works breaks summarise summarize summary overview break if i change remove delete rename modify impact blast radius safe package repo repository function class method "
+    "module symbol code you me please can could would should extends extend implements implement subclass subclasses subtype subtypes derived implementations"
+).split()
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return text.rlike("(?iU)" + pattern)
 
 
 def route(question: Column) -> Column:
     out = F.lit("search")
     for name, pattern in reversed(ROUTES):
-        out = F.when(question.rlike(pattern), name).otherwise(out)
+        out = F.when(_matches(question, pattern), name).otherwise(out)
     return out
 
 
+def _subject(text: Column) -> Column:
+    """What a text is about: its first quoted span, else the last of its tokens that look like code, else the last that may be a name; null if there is none."""
+    quoted = F.regexp_extract(text, r"[`\"']([^`\"']+)[`\"']", 1)
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_./-]*)"), F.lit(1)), lambda t: F.regexp_replace(t, r"[./_-]+$", ""))
+    code = lambda t: t.rlike(r"[._/-]|[a-z][A-Z]|^[A-Z]")
+    names = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(SCAFFOLD) & (code(t) | ((F.length(t) >= 3) & (t == F.lower(t)) & t.rlike("[a-z]"))))
+    last = F.coalesce(F.try_element_at(F.filter(names, code), F.lit(-1)), F.try_element_at(names, F.lit(-1)))
+    return F.when(quoted != "", F.trim(quoted)).otherwise(last)
+
+
 def target_of(question: Column) -> Column:
-    """What a question asks about: a quoted span, else its last word that looks like a symbol."""
-    quoted = F.regexp_extract(question, r"[`'\"]([^`'\"]+)[`'\"]", 1)
-    tokens = F.regexp_extract_all(question, F.lit(r"([A-Za-z_][\w.:]*)"), F.lit(1))
-    strong = F.filter(tokens, lambda t: t.rlike(r"[a-z][A-Z]|_|::|\w\.\w|^[A-Z]{2,}") | t.rlike(r"^[A-Z][a-z]+[A-Z]"))
-    return F.when(quoted != "", quoted).otherwise(F.try_element_at(strong, F.lit(-1)))
+    """What a question asks about, taken from the first sentence that both asks for the route and names something, if it has several, else from all of it."""
+    parts = F.filter(F.split(F.trim(question), r"(?<=[.?!])\s+"), lambda s: F.trim(s) != "")
+    asking = F.lit(None).cast("string")
+
+    def first(pattern: str) -> Column:
+        return F.get(F.filter(parts, lambda s: _matches(s, pattern) & _subject(s).isNotNull()), 0)
+
+    for name, pattern in ROUTES:
+        asking = F.when(route(question) == name, first(pattern)).otherwise(asking)
+    return _subject(F.when(F.size(parts) > 1, F.coalesce(asking, question)).otherwise(question))
 
 
 #: Words that say nothing about what a question asks for.
-GENERIC = ["the", "and", "for", "what", "where", "which", "how", "does", "who", "that", "this", "with", "from", "are", "was", "code", "function", "class", "file"]
+GENERIC = (
+    "a an the is are was were be been being am do does did doing have has had having to of in on at for with and or not it its this that these those there here what which who whom whose when where why how can could would should "
+    "may might will shall must me my we our you your they their he she him her his hers about into over under from by as if then than so such all any both each few more most other some only own same too very just also i no nor but "
+    "give list show tell find get make use used using name explain describe summarise summarize summary overview walk through work works working defined define definition declared declaration call calls called caller callers "
+    "depend depends dependent dependents own owns owner owners know knows wrote maintain maintains maintainer extend extends implement implements repository repo repos service services component components system file files line "
+    "lines code function class method module package symbol main every please thanks"
+).split()
 
 
 def content_terms(text: Column) -> Column:
-    terms = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]{2,})"), F.lit(1)), lambda t: F.lower(t))
-    return F.array_distinct(F.filter(terms, lambda t: ~t.isin(GENERIC)))
+    """The words worth looking for, each once whatever its case, as it stands first."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(GENERIC))
+
+    def first(w: Column) -> Column:
+        low = F.transform(w, lambda t: F.lower(t))
+        return F.transform(F.array(low), lambda n: F.transform(F.array_distinct(n), lambda t: F.element_at(w, F.array_position(n, t).cast("int"))))[0]
+
+    return F.transform(F.array(words), first)[0]

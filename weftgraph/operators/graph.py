@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.view import PER_SITE, confidence_rank
+from . import search
 
 
 # ---- lookups
@@ -46,8 +49,6 @@ def repo_scope(repo: str) -> list[str]:
 
 def glob_pattern(glob: str) -> str:
     """A case-insensitive pattern, anchored at both ends, for a glob of * and ?."""
-    import re
-
     return "(?i)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob) + "$"
 
 
@@ -61,12 +62,32 @@ def budget(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
     return rows.orderBy(*order).limit(max(0, limit)).join(F.broadcast(total)).withColumn("truncated", F.col("total") > max(0, limit))
 
 
-def resolve_target(nodes: DataFrame, name: str) -> DataFrame:
-    """Candidates by tier: exact id, exact name, name prefix; only the first tier that has any."""
-    tier = F.when(F.col("node_id") == name, 0).when(F.col("name") == name, 1).when(F.lower("name").startswith(name.lower()), 2)
+#: Kinds that an impact walk may start from before others of the same name.
+SOURCE_KINDS = ["class", "function", "interface", "method", "struct", "enum", "table", "view"]
+
+
+def resolve_target(nodes: DataFrame, name: str, limit: int = 20) -> DataFrame:
+    """Candidates by tier: exact id, exact name, words that begin with every term of the name; only the first tier that has any, source kinds before others, files without "test" before
+    others, then by id; at most ``limit``."""
+    terms = [t for t in re.split(r"[^a-z0-9]+", name.lower()) if t]
+    words = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")
+    lexical = F.lit(bool(terms))
+    for t in terms:
+        lexical = lexical & search.begins(words, t)
+    tier = F.when(F.col("node_id") == name, 0).when(F.col("name") == name, 1).when(lexical, 2)
     hits = nodes.withColumn("tier", tier).where(F.col("tier").isNotNull())
     first = hits.agg(F.min("tier").alias("tier"))
-    return hits.join(F.broadcast(first), "tier").select("node_id", "name", "kind", "repo_id", "tier")
+    test = F.coalesce(F.lower("file").contains("test"), F.lit(False))
+    ranked = hits.join(F.broadcast(first), "tier").orderBy((~F.col("kind").isin(SOURCE_KINDS)).cast("int"), test.cast("int"), "node_id").limit(limit)
+    return ranked.select("node_id", "name", "kind", "repo_id", "tier")
+
+
+def miss_note(nodes: DataFrame, name: str, kind: str | None = None, repo: str | None = None) -> str | None:
+    """Why a definition was not found: it is nowhere, or only where the filters don't look.  None if it was found."""
+    if nodes_by_name(nodes, name, kind, repo).limit(1).count():
+        return None
+    others = nodes_by_name(nodes, name).limit(1).count()
+    return f"{name} is defined, but not with these filters" if others else f"{name} is not in the graph"
 
 
 # ---- joins
@@ -99,8 +120,11 @@ def flag_cross_repo(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = nodes.select("node_id")
-    return edges.join(ids, F.col("src") == F.col("node_id"), "left_anti").unionByName(edges.join(ids, F.col("src") == F.col("node_id"), "left_semi").join(ids, F.col("dst") == F.col("node_id"), "left_anti"))
+    """Edges with an end that is no node, in one pass over them."""
+    known = nodes.select("node_id").distinct().withColumn("_ok", F.lit(True))
+    side = lambda at: known.select(F.col("node_id").alias(at), F.col("_ok").alias(f"_{at}"))
+    rows = edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left").where(F.col("_src").isNull() | F.col("_dst").isNull())
+    return rows.select(*edges.columns)
 
 
 def orphan_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,6 +157,78 @@ def resolve_names(refs: DataFrame, definitions: DataFrame, cap: int = 6) -> Data
     return pairs.withColumn("candidates", n).where(F.col("candidates") <= cap).select("src", "dst", "candidates", F.when(F.col("candidates") == 1, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"))
 
 
+#: Languages that call into each other, by family; any other is a family of its own.
+FAMILIES = {"javascript": "js", "typescript": "js", "tsx": "js", "c": "c", "cpp": "c", "java": "jvm", "kotlin": "jvm", "scala": "jvm"}
+#: Fixed value: a name with more definitions than this says nothing.
+MOST_CANDIDATES = 6
+
+
+def family(lang: Column) -> Column:
+    """The interoperating family of a language; null where it is not known."""
+    names = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
+    return F.coalesce(F.element_at(names, lang), lang)
+
+
+def resolve_references(refs: DataFrame, definitions: DataFrame, relation: str, kinds: list[str], same_language: bool = True, per_site: bool = False, cap: int = MOST_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, relation, confidence, candidates, file, line) that references (src, name, lang, file, line) mean, and counts of what became of the references
+    (resolved, ambiguous, dropped).
+
+    Candidates are definitions (node_id, name, kind, lang, file, internal) of one of ``kinds``; with ``same_language`` those of the reference's family or of none.  Those that
+    other files can see, or that stand in the reference's own file, are preferred; if there are none, all stay.  One candidate is INFERRED, up to ``cap``
+    AMBIGUOUS, more are dropped and counted; a reference to itself is no edge.  An edge for each site, or for each pair that with the smallest line.
+
+    Candidates are counted by (name, family, visibility) before any reference meets them, so a name with many definitions never expands.
+    """
+    own = definitions.where(F.col("kind").isin(kinds)).select("name", F.col("node_id").alias("dst"), family(F.col("lang")).alias("f"), F.col("file").alias("at"), F.coalesce("internal", F.lit(False)).alias("internal")).distinct()
+    any_, none = F.lit("*any"), F.lit("*none")
+    # A definition is found under its family, one of no family under "none", and everything under "any".
+    own = own.withColumn("key", F.explode(F.array(any_, F.coalesce("f", none))))
+    sites = refs.select("src", "name", family(F.col("lang")).alias("f"), "file", "line").withColumn("_id", F.xxhash64("src", "name", "f", "file"))
+    uses = sites.select("src", "name", "f", "file").distinct()
+    seen_as = F.when(F.col("f").isNull(), F.array(any_)).otherwise(F.array(F.col("f"), none)) if same_language else F.array(any_)
+    keyed = uses.withColumn("key", F.explode(seen_as))
+    total = own.groupBy("name", "key").agg(F.sum((~F.col("internal")).cast("long")).alias("n_ext"), F.count(F.lit(1)).alias("n_all"))
+    local = own.where("internal").groupBy("name", "key", F.col("at").alias("file")).agg(F.count(F.lit(1)).alias("n_own"))
+    counted = keyed.join(total, ["name", "key"]).join(local, ["name", "key", "file"], "left")
+    per = counted.groupBy("src", "name", "f", "file").agg(F.sum("n_ext").alias("e"), F.sum(F.coalesce("n_own", F.lit(0))).alias("o"), F.sum("n_all").alias("a"))
+    per = per.withColumn("candidates", F.when(F.col("e") + F.col("o") > 0, F.col("e") + F.col("o")).otherwise(F.col("a")))
+    fits = per.where(F.col("candidates") <= cap).withColumn("key", F.explode(seen_as))
+    preferred = F.col("e") + F.col("o") > 0
+    ext = own.where("not internal").select("name", "key", "dst")
+    inner = own.where("internal").select("name", "key", "dst", F.col("at").alias("file"))
+    cols = ["src", "name", "f", "file", "candidates", "dst"]
+    met = fits.where(preferred & (F.col("e") > 0)).join(ext, ["name", "key"]).select(*cols)
+    met = met.unionByName(fits.where(preferred & (F.col("o") > 0)).join(inner, ["name", "key", "file"]).select(*cols))
+    met = met.unionByName(fits.where(~preferred).join(inner.drop("file"), ["name", "key"]).select(*cols)).where("src <> dst")
+    out = sites.alias("s").join(met.alias("m"), (F.col("s.src") == F.col("m.src")) & (F.col("s.name") == F.col("m.name")) & F.col("s.file").eqNullSafe(F.col("m.file")) & F.col("s.f").eqNullSafe(F.col("m.f")))
+    confidence = F.when(F.col("candidates") == 1, "INFERRED").otherwise("AMBIGUOUS")
+    edges = out.select("m.src", "m.dst", F.lit(relation).alias("relation"), confidence.alias("confidence"), F.col("candidates").cast("int").alias("candidates"), "s.file", "s.line").distinct()
+    if not per_site:
+        first = F.min(F.struct("line", "file", "confidence", "candidates")).alias("w")
+        edges = edges.groupBy("src", "dst", "relation").agg(first).select("src", "dst", "relation", "w.confidence", "w.candidates", "w.file", "w.line")
+    fate = F.when(F.col("candidates") == 1, "resolved").when(F.col("candidates") <= cap, "ambiguous").otherwise("dropped")
+    counts = sites.join(per.select(F.xxhash64("src", "name", "f", "file").alias("_id"), "candidates"), "_id").groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
+    return edges, counts
+
+
+def resolve_methods(pending: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node_id, class_id): methods defined out of line, by their qualifier (node_id, qualifier such as NS.Box), and the one class it means: that whose chain is
+    the whole qualifier, else the one whose chain ends with it.  No class, or several, leaves the method where it is.
+
+    Classes are (node_id, name, chain).  Suffixes meet by the bare name, in which classes are few; names that more than a thousand classes share are
+    decided by counts of whole chains and of their suffixes, which are looked up by equality.
+    """
+    c = classes.select(F.col("node_id").alias("class_id"), "chain")
+    parts = F.split("chain", r"\.")
+    # Every suffix of a chain on a segment's bound is a key; a chain has few segments.
+    keyed = c.withColumn("qualifier", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))))
+    per = keyed.withColumn("whole", F.col("qualifier") == F.col("chain")).groupBy("qualifier").agg(
+        F.sum(F.col("whole").cast("int")).alias("n_whole"), F.min(F.when(F.col("whole"), F.col("class_id"))).alias("whole_id"), F.count(F.lit(1)).alias("n_any"), F.min("class_id").alias("any_id"))
+    met = pending.select("node_id", "qualifier").join(per, "qualifier")
+    found = F.when(F.col("n_whole") == 1, F.col("whole_id")).when(F.col("n_any") == 1, F.col("any_id"))
+    return met.select("node_id", found.alias("class_id")).where(F.col("class_id").isNotNull())
+
+
 def reconcile(edges: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Ambiguous edges stay only if their key is confirmed, and are then inferred; others stay as they are."""
     c = confirmed.select("key").distinct().withColumn("_ok", F.lit(True))
@@ -198,11 +294,21 @@ def fair_floors(histogram: dict[str, int], total: int) -> dict[str, int]:
     return out
 
 
-def evict_tail(rows: DataFrame, floors: DataFrame, cap: int) -> DataFrame:
-    """The ``cap`` best by degree, where each kind keeps its best rows up to its floor."""
-    within = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("degree"), "node_id"))
-    marked = rows.withColumn("_w", within).join(F.broadcast(floors), "kind", "left").withColumn("_p", F.coalesce(F.col("_w") <= F.col("floor"), F.lit(False)))
-    return marked.orderBy(F.desc("_p"), F.desc("degree"), "node_id").limit(cap).select("node_id", "kind", "degree")
+def floors_of(rows: DataFrame, total: int) -> DataFrame:
+    """(kind, floor): max-min fair shares of ``total`` slots over the kinds of ``rows``; the driver holds one count for each kind."""
+    shares = fair_floors({r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}, total)
+    return rows.sparkSession.createDataFrame(sorted(shares.items()), "kind string, floor int")
+
+
+def evict_tail(rows: DataFrame, floors: DataFrame, cap: int, salts: int = 64) -> DataFrame:
+    """The ``cap`` best by degree, where each kind keeps its best rows up to its floor.  The best of a kind are found among the best of its salts, so
+    a kind that holds most rows is spread over tasks."""
+    order = (F.desc("degree"), "node_id")
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("node_id"), F.lit(salts)))
+    first = salted.withColumn("_w", F.row_number().over(Window.partitionBy("kind", "_s").orderBy(*order))).where(F.col("_w") <= cap)
+    marked = first.withColumn("_w", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("_w") <= cap)
+    marked = marked.join(F.broadcast(floors), "kind", "left").withColumn("_p", F.coalesce(F.col("_w") <= F.col("floor"), F.lit(False)))
+    return marked.orderBy(F.desc("_p"), *order).limit(cap).select("node_id", "kind", "degree")
 
 
 def module_counts(nodes: DataFrame, depth: int, least: int) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines that a text form may have.
+MOST_LINES = 20_000
+
 
 def _quoted(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -17,7 +20,9 @@ def _escaped(x: Column) -> Column:
 
 
 def _document(lines: DataFrame, head: str, tail: str, name: str) -> DataFrame:
-    """``lines`` (part, key, line) of a bounded payload, joined in order."""
+    """``lines`` (part, key, line) of a bounded payload, joined in order; a payload that is not bounded is refused."""
+    if lines.limit(MOST_LINES + 1).count() > MOST_LINES:
+        raise ValueError(f"a payload of more than {MOST_LINES} lines is not drawn; narrow it first")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "line"))), lambda x: x["line"]), "\n")
     return lines.agg(F.concat(F.lit(head), body, F.lit(tail)).alias(name))
 

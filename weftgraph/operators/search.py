@@ -58,6 +58,18 @@ def fts(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return hits.orderBy(F.desc("exact"), F.desc("prefix"), F.desc("score"), "node_id").limit(limit)
 
 
+def begins(words: Column, term: str) -> Column:
+    """Whether some word of an array begins with a term."""
+    return F.exists(words, lambda w: w.startswith(term))
+
+
+def fts_any(nodes: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
+    """Nodes of which some word of the name or file begins with one of the terms, by how many do, then by id."""
+    words = F.split(F.lower(F.concat_ws(" ", "name", "file")), r"[^a-z0-9]+")
+    n = sum((begins(words, t.lower()).cast("int") for t in terms), F.lit(0))
+    return nodes.select("node_id", "name", n.alias("score")).where("score > 0").orderBy(F.desc("score"), "node_id").limit(limit)
+
+
 def below_floor(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """(n_matched, n_unmatched, below): a question is below the floor if some terms match nothing and none matches."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]+)"), F.lit(1)))

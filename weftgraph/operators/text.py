@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.work import small
+
 #: Spans and repeats at which a page is refused.
 LEAK_WORDS, MOST_REPEATS = 12, 8
 
@@ -71,16 +73,27 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
+def _bound(x: Column, use) -> Column:
+    """``use`` of ``x`` with x computed once, however often the result refers to it: a lambda's variable binds it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def spans(text: Column, n: int) -> Column:
-    w = words(text)
-    last = F.size(w) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Hashes of the n words from each place on; linear in the length of the text."""
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    return _bound(words(text), of)
 
 
 def leaked_spans(docs: DataFrame, protected: DataFrame, n: int = LEAK_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_spans) of spans of n words that a document shares with a protected text.  Only spans' hashes are shuffled."""
-    own = protected.select("item_id", F.explode(F.array_distinct(spans(F.col("text"), n))).alias("span")).select("item_id", F.xxhash64("span").alias("h"))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.transform(spans(F.col("text"), n), lambda s: F.xxhash64(s)))).alias("h"))
+    """(doc_id, item_id, n_spans) of spans of n words that a document shares with a protected text.  Where the protected spans are few they are broadcast
+    and the documents' spans are never shuffled; where they are many, hashes alone are."""
+    own = protected.select("item_id", F.explode(F.array_distinct(spans(F.col("text"), n))).alias("h"))
+    seen = docs.select("doc_id", F.explode(F.array_distinct(spans(F.col("text"), n))).alias("h"))
+    own = F.broadcast(own) if small(own) else own
     return seen.join(own, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_spans"))
 
 

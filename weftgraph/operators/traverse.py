@@ -1,52 +1,74 @@
-"""Breadth-first traversals as frontier joins; every hop is a bounded shuffle and its result a checkpoint."""
+"""Breadth-first traversals as frontier joins; every hop is a bounded shuffle and its result a work table in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.view import confidence_rank
+from ..plans.work import work_table
+
+#: The relations that carry an impact, how far it is followed, and how many hits are kept.
+IMPACT = ["calls", "depends_on", "inherits", "references", "reads", "writes", "uses"]
+HOPS, HITS = 3, 100
 
-#: The relations that carry an impact.
-IMPACT = ["calls", "inherits", "imports", "references", "uses", "depends_on", "contains"]
 
+def _surest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the edges (at, next, ...) of a pair the surest: by confidence, relation and line."""
+    edge = F.struct(confidence_rank(F.col("confidence")).alias("r"), "relation", "line", "confidence")
+    return rows.groupBy(*keys).agg(F.min(edge).alias("e"))
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder; a temporary one is set only where none is named."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weft-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
 
+def blast_radius(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, relations: list[str] | None = None, limit: int | None = HITS, nodes: DataFrame | None = None) -> DataFrame:
+    """What reaches a seed backwards: (seed, node_id, hop, via, confidence, relation, line, truncated).  The first reach wins: fewest hops, surest edge, smallest
+    via (the node reached before); relation and line are those of its edge, the place to look at.  Of a seed the first ``limit`` by hop, confidence and id stay, and
+    truncated says whether there were more.  With ``nodes``, ends that are no node are neither hits nor followed.
 
-def blast_radius(edges: DataFrame, seeds: DataFrame, hops: int = 3, relations: list[str] | None = None) -> DataFrame:
-    """(seed, node_id, hop, via, confidence) of everything that reaches a seed backwards; the first reach wins: fewest hops, surest edge, smallest via."""
-    back = edges.where(F.col("relation").isin(relations or IMPACT)).select(F.col("dst").alias("at"), F.col("src").alias("next"), "confidence")
-    # Only the surest edge of a pair can be a first reach.
-    back = back.groupBy("at", "next").agg(F.min(F.struct(confidence_rank(F.col("confidence")).alias("r"), "confidence")).alias("e"))
-    seen = seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("confidence"))
-    frontier = seen.select("seed", "node_id")
+    The first hop reads only edges into the seeds; the adjacency is written once a second hop needs it, so that further hops read it and not the view behind it.
+    """
+    line = F.col("source_line") if "source_line" in edges.columns else F.lit(None).cast("int")
+    back = edges.where(F.col("relation").isin(relations or IMPACT)).select(F.col("dst").alias("at"), F.col("src").alias("next"), "confidence", "relation", line.alias("line"))
+    known = nodes.select(F.col("node_id").alias("next")).distinct() if nodes is not None else None
+    frontier = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("at")).distinct()
+    seen = frontier.select("seed", F.col("at").alias("node_id"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("int").alias("line"))
+    stored = None
     for hop in range(1, hops + 1):
-        reached = frontier.join(back, F.col("node_id") == F.col("at")).select("seed", F.col("next").alias("node_id"), F.struct("e.r", F.col("at").alias("via"), "e.confidence").alias("w"))
-        first = reached.groupBy("seed", "node_id").agg(F.min("w").alias("w")).join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
-        new = cut(first.select("seed", "node_id", F.lit(hop).alias("hop"), F.col("w.via").alias("via"), F.col("w.confidence").alias("confidence")))
-        seen, frontier = seen.unionByName(new), new.select("seed", "node_id")
+        if hop == 1:
+            own = _surest(back.join(frontier, "at"), ["seed", "at", "next"])
+        else:
+            if stored is None:
+                stored = work_table(_surest(back, ["at", "next"]), "adjacency")
+            own = frontier.join(stored, "at")
+        if known is not None:
+            own = own.join(known, "next", "left_semi")
+        reach = own.groupBy("seed", F.col("next").alias("node_id")).agg(F.min(F.struct("e.r", F.col("at").alias("via"), "e.confidence", "e.relation", "e.line")).alias("w"))
+        first = reach.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
+        new = work_table(first.select("seed", "node_id", F.lit(hop).alias("hop"), "w.via", "w.confidence", "w.relation", "w.line"), "frontier")
+        seen, frontier = seen.unionByName(new), new.select("seed", F.col("node_id").alias("at"))
         if new.isEmpty():
             break
-    return seen.where("hop > 0")
+    hits = seen.where("hop > 0")
+    if limit is None:
+        return hits.withColumn("truncated", F.lit(False))
+    totals = hits.groupBy("seed").agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    order = Window.partitionBy("seed").orderBy("hop", confidence_rank(F.col("confidence")), "node_id")
+    return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r").join(totals, "seed")
+
+
+def impact_index(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, limit: int | None = None) -> DataFrame:
+    """(seed, n_hits, n_direct, n_sure, furthest) of many seeds in one traversal."""
+    hits = blast_radius(edges, seeds, hops, limit=limit)
+    return hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n_hits"), F.sum((F.col("hop") == 1).cast("long")).alias("n_direct"), F.sum((F.col("confidence") == "EXTRACTED").cast("long")).alias("n_sure"), F.max("hop").alias("furthest"))
 
 
 def hop_distance(edges: DataFrame, start: str, hops: int = 6) -> DataFrame:
     """(node_id, hop, via) over undirected edges; ``via`` is the smallest predecessor."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = work_table(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "adjacency")
     seen = edges.sparkSession.createDataFrame([(start, 0, None)], "node_id string, hop int, via string")
     frontier = seen.select("node_id")
     for hop in range(1, hops + 1):
         reached = frontier.join(both, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("via"))
-        new = cut(reached.join(seen, F.col("n") == F.col("node_id"), "left_anti").select(F.col("n").alias("node_id"), F.lit(hop).alias("hop"), "via"))
+        new = work_table(reached.join(seen, F.col("n") == F.col("node_id"), "left_anti").select(F.col("n").alias("node_id"), F.lit(hop).alias("hop"), "via"), "frontier")
         seen, frontier = seen.unionByName(new), new.select("node_id")
         if new.isEmpty():
             break
@@ -55,7 +77,17 @@ def hop_distance(edges: DataFrame, start: str, hops: int = 6) -> DataFrame:
 
 def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 6) -> DataFrame:
     """(step, node_id) of one shortest undirected path, empty if there is none within ``hops``; the driver walks back over at most ``hops`` rows."""
-    seen = cut(hop_distance(edges, start, hops))
+    both = work_table(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "adjacency")
+    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "node_id string, hop int, via string")
+    frontier = seen.select("node_id")
+    for hop in range(1, hops + 1):
+        if start == end or frontier.where(F.col("node_id") == end).limit(1).count():
+            break
+        reached = frontier.join(both, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("via"))
+        new = work_table(reached.join(seen, F.col("n") == F.col("node_id"), "left_anti").select(F.col("n").alias("node_id"), F.lit(hop).alias("hop"), "via"), "frontier")
+        seen, frontier = seen.unionByName(new), new.select("node_id")
+        if new.isEmpty():
+            break
     path, at = [], end
     while at is not None and (row := seen.where(F.col("node_id") == at).first()):
         path.append((row["hop"], at))
@@ -63,15 +95,52 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 6) -> Data
     return edges.sparkSession.createDataFrame(path, "step int, node_id string")
 
 
+def path_citations(edges: DataFrame, path: DataFrame) -> DataFrame:
+    """(step, from_id, to_id, relation, confidence, line, forward) of each step of a path: its surest edge, in whichever direction it runs."""
+    a, b = path.select("step", F.col("node_id").alias("from_id")), path.select((F.col("step") - 1).alias("step"), F.col("node_id").alias("to_id"))
+    steps = F.broadcast(a.join(b, "step"))  # one row for each hop
+    line = F.col("source_line") if "source_line" in edges.columns else F.lit(None).cast("int")
+    rows = edges.select("src", "dst", "relation", "confidence", line.alias("line"))
+    ways = rows.join(steps, (F.col("src") == F.col("from_id")) & (F.col("dst") == F.col("to_id"))).withColumn("forward", F.lit(True))
+    ways = ways.unionByName(rows.join(steps, (F.col("dst") == F.col("from_id")) & (F.col("src") == F.col("to_id"))).withColumn("forward", F.lit(False)))
+    best = ways.groupBy("step", "from_id", "to_id").agg(F.min(F.struct(confidence_rank(F.col("confidence")).alias("r"), (~F.col("forward")).alias("b"), "relation", "line", "confidence", "forward")).alias("w"))
+    return best.select("step", "from_id", "to_id", "w.relation", "w.confidence", "w.line", "w.forward")
+
+
+def path_gap(path: DataFrame, start: str, end: str, hops: int = 6) -> str | None:
+    """What to say where no path was found; None if there is one."""
+    return None if path.limit(1).count() else f"no path between {start} and {end} within {hops} hops"
+
+
 def subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 50, most: int = 500) -> DataFrame:
     """Edges induced by the nodes within ``hops`` of the seeds, at most ``fanout`` followed from a node and ``most`` nodes; (src, dst, relation) once."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation", "src", "dst").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "relation", "src", "dst"))
+    both = work_table(both.distinct(), "adjacency")
     seen = seeds.select("node_id", F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):
         at = seen.where(F.col("hop") == hop - 1).select(F.col("node_id").alias("a"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy("relation", "src", "dst"))
-        step = both.join(at, "a", "left_semi").distinct().withColumn("_r", rank).where(F.col("_r") <= fanout).select(F.col("b").alias("node_id")).distinct()
-        seen = cut(seen.unionByName(step.join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop))))
+        step = both.join(at, "a", "left_semi").withColumn("_r", rank).where(F.col("_r") <= fanout).select(F.col("b").alias("node_id")).distinct()
+        seen = work_table(seen.unionByName(step.join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop))), "reached")
     kept = seen.orderBy("hop", "node_id").limit(most).select("node_id")
     ends = edges.join(kept.withColumnRenamed("node_id", "src"), "src", "left_semi").join(kept.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     return ends.select("src", "dst", "relation").distinct()
+
+
+def call_sequence(calls: list[tuple[str, str, int | None]], start: str, most: int = 200) -> list[tuple[str, str, int | None]]:
+    """The calls made from ``start``, in the order of their lines and depth first; a call back into the open path is told but not followed.  ``calls`` is a bounded payload."""
+    out: list[tuple[str, str, int | None]] = []
+    by: dict[str, list[tuple[str, int | None]]] = {}
+    for src, dst, line in sorted(calls, key=lambda c: (c[2] is None, c[2] or 0, c[1])):
+        by.setdefault(src, []).append((dst, line))
+    stack = [(start, iter(by.get(start, ())), {start})]
+    while stack and len(out) < most:
+        at, left, on_path = stack[-1]
+        step = next(left, None)
+        if step is None:
+            stack.pop()
+            continue
+        out.append((at, *step))
+        if step[0] not in on_path:
+            stack.append((step[0], iter(by.get(step[0], ())), on_path | {step[0]}))
+    return out
