@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
+#: Rows of one repository beyond which a shard is worth a warning.
+LARGE = 50_000_000
 
 
 def write_shard(df: DataFrame, path: str) -> None:
@@ -13,8 +15,59 @@ def write_shard(df: DataFrame, path: str) -> None:
     df.repartition("repo_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of shards; ids that look like numbers stay text, as they were written."""
+    schema = spark.read.parquet(path).schema
+    names = ("repo_id", "commit")
+    return spark.read.schema(", ".join(f"`{f.name}` {'string' if f.name in names else f.dataType.simpleString()}" for f in schema)).parquet(path)
+
+
+def large_shards(df: DataFrame, most: int = LARGE) -> DataFrame:
+    """(repo_id, n) of the repositories whose shard is large."""
+    return df.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+class LazyShard:
+    """A repository's shard that is looked at when it is made and read when it is used: ``changed`` tells whether its files are others than then."""
+
+    def __init__(self, spark: SparkSession, path: str, repo: str):
+        self._spark, self._path, self._repo = spark, path, repo
+        self.identity = self._look()
+
+    def _look(self) -> tuple:
+        p = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/repo_id={self._repo}")
+        fs = p.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return ()
+        return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(p)))
+
+    def exists(self) -> bool:
+        return bool(self.identity)
+
+    def changed(self) -> bool:
+        return self._look() != self.identity
+
+    def rows(self) -> DataFrame:
+        return read_shard(self._spark, self._path, self._repo)
+
+
+def parser_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(repo_id, parser) by the smallest read there is: one column, of which the footers tell the extremes; repositories with several parsers have a row each."""
+    return read_table(spark, path).groupBy("repo_id").agg(F.min("parser").alias("parser"), F.max("parser").alias("_m")).select("repo_id", F.explode(F.array_distinct(F.array("parser", "_m"))).alias("parser"))
+
+
+def rebuild(spark: SparkSession, shard: str, target: str, repo: str) -> int:
+    """Replaces a repository's partition of ``target`` by its shard; the rows written.  A repository without a shard is an error, and nothing is dropped for it."""
+    rows = read_table(spark, shard).where(F.col("repo_id") == repo)
+    n = rows.count()
+    if not n:
+        raise LookupError(f"{repo} has no shard")
+    write_shard(rows, target)
+    return n
+
+
 def read_shard(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
-    out = spark.read.parquet(path)
+    out = read_table(spark, path)
     return out.where(F.col("repo_id") == repo) if repo else out
 
 
@@ -26,14 +79,22 @@ def archive(df: DataFrame, path: str, commit: str) -> None:
 
 def read_at(spark: SparkSession, path: str, repo: str, commit: str) -> DataFrame:
     """One snapshot; an unknown commit is an error, not an empty result."""
-    out = spark.read.parquet(path).where((F.col("repo_id") == repo) & (F.col("commit") == commit))
+    out = read_table(spark, path).where((F.col("repo_id") == repo) & (F.col("commit") == commit))
     if out.isEmpty():
         raise LookupError(f"{repo} was not indexed at {commit}")
     return out
 
 
+def read_as_of(spark: SparkSession, path: str, history: DataFrame, repo: str, at: str) -> DataFrame:
+    """The last snapshot that was indexed at or before a time, by the history (repo_id, commit, indexed_at) of what was indexed when."""
+    last = history.where((F.col("repo_id") == repo) & (F.col("indexed_at") <= F.lit(at).cast("timestamp"))).orderBy(F.desc("indexed_at"), F.desc("commit")).first()
+    if last is None:
+        raise LookupError(f"{repo} was not indexed before {at}")
+    return read_at(spark, path, repo, last["commit"])
+
+
 def indexed_commits(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("repo_id") == repo).select("commit").distinct()
+    return read_table(spark, path).where(F.col("repo_id") == repo).select("commit").distinct()
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "node_id") -> DataFrame:
@@ -46,8 +107,25 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
+def partitions_of(repo: str) -> list[str]:
+    """The partitions that hold a repository: its own, and those of its connectors and enrichments."""
+    return [repo, f"@connect:{repo}", f"@enrich:{repo}"]
+
+
 def forget(spark: SparkSession, paths: list[str], repo: str) -> None:
-    """Drops a repository's partition from every table."""
+    """Drops a repository's partitions, also those of its connectors and enrichments, from every table."""
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repo_id={repo}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        for own in partitions_of(repo):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path, "repo_id=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(own))
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def migrate(spark: SparkSession, path: str, old: str, new: str) -> int:
+    """Moves a repository's partitions to a new id; the rows moved.  The new ones are written before the old ones go, so a failure loses nothing; a second run finds nothing to move."""
+    rows = read_table(spark, path)
+    own = rows.where(F.col("repo_id").isin(partitions_of(old)))
+    n = own.count()
+    if n:
+        write_shard(own.withColumn("repo_id", F.replace("repo_id", F.lit(old), F.lit(new))), path)
+        forget(spark, [path], old)
+    return n

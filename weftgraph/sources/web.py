@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Elements whose text is not content.
@@ -16,27 +18,26 @@ HIDDEN = {"script", "style", "noscript", "template", "svg"}
 
 
 class _Text(HTMLParser):
+    """Runs of visible text.  ``_open`` holds the hidden elements and the title that are open; what is innermost decides where a run goes."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.lines = "", []
-        self._depth, self._in_title = 0, False
+        self.runs: list[tuple[str, str]] = []
+        self._open: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._depth += tag in HIDDEN
-        self._in_title = tag == "title"
+        if tag in HIDDEN or (tag == "title" and not self._open):
+            self._open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN and self._depth:
-            self._depth -= 1
-        if tag == "title":
-            self._in_title = False
+        if tag in self._open:
+            while self._open.pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        run = " ".join(data.split())
-        if run and self._in_title:
-            self.title = self.title or run
-        elif run and not self._depth:
-            self.lines.append(run)
+        where = self._open[-1] if self._open else "body"
+        if where not in HIDDEN and (run := " ".join(data.split())):
+            self.runs.append((where, run))
 
 
 def html_to_text(html: str) -> tuple[str, str]:
@@ -44,7 +45,7 @@ def html_to_text(html: str) -> tuple[str, str]:
     p = _Text()
     p.feed(html)
     p.close()
-    return p.title, "\n".join(p.lines)
+    return next((run for where, run in p.runs if where == "title"), ""), "\n".join(run for where, run in p.runs if where == "body")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -84,8 +85,53 @@ def json_records(raw: DataFrame, column: str, records: str, fields: dict[str, st
     return rows.select(*[F.get_json_object("r", f"$.{path}").alias(name) for name, path in fields.items()])
 
 
+def page_infos(data: Any, most: int = 100_000) -> Iterator[dict]:
+    """The pageInfo objects of a GraphQL answer, however deep, without recursion; an answer of more than ``most`` values is refused."""
+    todo, seen = [data], 0
+    while todo:
+        seen += 1
+        if seen > most:
+            raise ValueError(f"an answer of more than {most} values")
+        x = todo.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get("pageInfo"), dict):
+                yield x["pageInfo"]
+            todo += [v for v in x.values() if isinstance(v, (dict, list))]
+        elif isinstance(x, list):
+            todo += [v for v in x if isinstance(v, (dict, list))]
+
+
 def has_next_page(data: Any) -> bool:
-    """Whether a GraphQL answer holds a page with more after it."""
-    if isinstance(data, dict):
-        return data.get("hasNextPage") is True or any(map(has_next_page, data.values()))
-    return isinstance(data, list) and any(map(has_next_page, data))
+    """Whether a GraphQL answer holds a page with more after it, as its pageInfo says."""
+    return any(info.get("hasNextPage") is True for info in page_infos(data))
+
+
+def pages_of(fetch: Callable[[str], tuple[str, str | None]], first: str, cursor: str | None = None, most: int = 100) -> Iterator[str]:
+    """The bodies of a paged service: ``fetch`` takes an address and gives a body and its Link header.  The next address is the Link header's, or the first with the
+    ``cursor`` (a dotted path) of the body; a page that was met before, an empty cursor or ``most`` pages end it."""
+    url, met = first, set()
+    while url and url not in met and len(met) < most:
+        met.add(url)
+        body, header = fetch(url)
+        yield body
+        if cursor is None:
+            url = next_link(header)
+            continue
+        try:
+            mark = dig(json.loads(body), cursor)
+        except ValueError:
+            return
+        url = f"{first}{'&' if '?' in first else '?'}cursor={quote(str(mark), safe='')}" if mark else None
+
+
+def read_paged(spark: SparkSession, starts: list[str], fetch: Callable[[str], tuple[str, str | None]], cursor: str | None = None, most: int = 100) -> DataFrame:
+    """(start, page, body) of several paged services, each walked by one task: pages of one service follow each other."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in pdf["start"]:
+                for i, body in enumerate(pages_of(fetch, start, cursor, most)):
+                    yield pd.DataFrame({"start": [start], "page": [i], "body": [body]})
+
+    rows = spark.createDataFrame([(s,) for s in starts], "start string").repartition(max(1, len(starts)))
+    return rows.mapInPandas(work, "start string, page int, body string")

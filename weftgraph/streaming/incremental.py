@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.shards import write_shard
+from ..plans.work import work_table
+from ..sources.shards import read_table, write_shard
 
 
 def needs_reindex(current: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -21,26 +22,45 @@ def needs_reindex(current: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def index_stream(spark: SparkSession, incoming: str, schema: str, target: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Follows ``incoming`` (rows with repo_id, head, parser and payload); each batch replaces the changed repositories in ``target``."""
+    """Follows ``incoming`` (rows with repo_id, head, parser, seq and payload); each batch replaces the repositories in ``target`` whose head is new.
+
+    A shard may arrive in several batches: rows of the head and parser that a repository already has, with the same ``seq``, are added to what is there; the same head
+    with a later ``seq`` is a shard that was indexed before and is skipped.  A row that arrives twice stands once, so a batch that is run again leaves the same.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        heads = batch.groupBy("repo_id").agg(F.max_by("head", "seq").alias("head"), F.max_by("parser", "seq").alias("parser"))
-        try:
-            known = session.read.parquet(state)
-        except Exception as e:  # the first batch has no state yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = session.createDataFrame([], "head string, parser string, repo_id string")
-        changed = needs_reindex(heads, known).select("repo_id", "head", "parser")
-        rows = batch.join(changed, ["repo_id", "head", "parser"])
-        write_shard(rows, target)
-        write_shard(changed, state)
+        heads = batch.groupBy("repo_id").agg(F.max(F.struct("seq", "head", "parser")).alias("m")).select("repo_id", "m.head", "m.parser", "m.seq")
+        known = _or_empty(session, state, "head string, parser string, seq long, repo_id string")
+        old = known.select("repo_id", F.col("head").alias("_h"), F.col("parser").alias("_p"), F.col("seq").alias("_s"))
+        met = heads.join(old, "repo_id", "left")
+        same = F.coalesce(F.col("head").eqNullSafe(F.col("_h")) & F.col("parser").eqNullSafe(F.col("_p")) & F.col("_s").isNotNull(), F.lit(False))
+        goes_on = same & (F.col("seq") == F.col("_s"))
+        late = F.coalesce(F.col("seq") < F.col("_s"), F.lit(False))
+        taken = work_table(met.where((~same & ~late) | goes_on).select("repo_id", "head", "parser", "seq", goes_on.alias("_more")), "taken")
+        if taken.isEmpty():
+            return
+        rows = batch.join(taken, ["repo_id", "head", "parser", "seq"])
+        more = rows.where("_more").select("repo_id").distinct()
+        if not more.isEmpty():
+            # A partition is replaced as a whole, so what it holds goes along; it is read before it is written over.
+            there = read_table(session, target).join(more, "repo_id", "left_semi")
+            rows = rows.drop("_more").unionByName(there.select(*[c for c in rows.columns if c != "_more"]))
+        else:
+            rows = rows.drop("_more")
+        write_shard(work_table(rows.distinct(), "merged"), target)
+        write_shard(taken.drop("_more"), state)
 
     source = spark.readStream.schema(schema).parquet(incoming)
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _or_empty(session: SparkSession, path: str, schema: str) -> DataFrame:
+    p = session._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(session._jsc.hadoopConfiguration()).exists(p)
+    return read_table(session, path) if there else session.createDataFrame([], schema)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extension: events of each kind in tumbling windows, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select("window.start", "event_type", "n")
