@@ -59,7 +59,10 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     supplier = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     orders = read(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     line = read(spark, sf, "lineitem")
-    sold = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    # Pairs are made distinct by their integer keys, before names and repositories are joined to them.
+    sold = line.select("l_suppkey", "l_partkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    placed = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    needed = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct().join(customer, F.col("o_custkey") == F.col("c_custkey"))
     bought = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     flag = F.when(F.col("l_returnflag") == "N", "EXTRACTED").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("AMBIGUOUS")
     no_line, sure = F.lit(None), F.lit("EXTRACTED")
@@ -70,8 +73,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         row(customer, _key("nation", "c_nationkey"), _key("customer", "c_custkey"), "contains", sure, no_line, c("repo")),
         row(supplier, _key("nation", "s_nationkey"), _key("supplier", "s_suppkey"), "contains", sure, no_line, c("repo")),
         row(orders, _key("customer", "o_custkey"), _key("order", "o_orderkey"), "contains", sure, no_line, c("repo")),
-        row(sold, _key("supplier", "l_suppkey"), _key("part", "l_partkey"), "publishes", sure, no_line, c("repo")).distinct(),
-        row(bought, _key("customer", "o_custkey"), _key("part", "l_partkey"), "depends_on", sure, no_line, c("repo")).distinct(),
+        row(sold, _key("supplier", "l_suppkey"), _key("part", "l_partkey"), "publishes", sure, no_line, c("repo")),
+        row(needed, _key("customer", "o_custkey"), _key("part", "l_partkey"), "depends_on", sure, no_line, c("repo")),
         row(bought, _key("order", "l_orderkey"), _key("part", "l_partkey"), "calls", flag, c("l_linenumber"), c("repo")),
     ]
     return reduce(DataFrame.unionByName, parts)
