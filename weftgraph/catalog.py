@@ -407,9 +407,11 @@ FROM s LEFT JOIN j USING (query_id) GROUP BY s.query_id, s.n""")
 def eval_metrics(spark, sf):
     v = read(spark, sf, "embeddings")
     ranked = search.knn_edges(v, 3).select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.expr("row_number() over (partition by src order by score desc, dst)").alias("rank"))
-    a, b = v.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("node_id"), "label")
-    golden = a.join(b, "label").where("query_id <> node_id").select("query_id", "node_id")
-    return search.retrieval_metrics(ranked, golden, 2)
+    # Golden is every other vector of the label; only the retrieved pairs of it are made, and its size is a count.
+    a, b = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), v.select(F.col("vec_id").alias("node_id"), F.col("label").alias("b"))
+    golden = ranked.select("query_id", "node_id").join(a, "query_id").join(b, "node_id").where("a = b").select("query_id", "node_id")
+    n = v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_good")).where("n_good > 0")
+    return search.retrieval_metrics(ranked, golden, 2, v.join(n, "label").select(F.col("vec_id").alias("query_id"), "n_good"))
 
 
 @graph_query("SELECT node_id, name || '_c1' AS name FROM nodes WHERE kind = 'class' AND contains(name, '00001') ORDER BY node_id LIMIT 50")

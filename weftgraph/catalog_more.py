@@ -419,8 +419,14 @@ def ann_topk(spark, sf):
     return embed.ann_topk(v, v.where("vec_id % 50 = 0"), 10)
 
 
-_QUESTIONS = """SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'what breaks if I change order_' || o_orderkey WHEN '2-HIGH' THEN 'Who calls order_' || o_orderkey || '? List every caller.' WHEN '3-MEDIUM' THEN 'where is `order_' || o_orderkey || '` defined'
- WHEN '4-NOT SPECIFIED' THEN 'which repos use order_' || o_orderkey ELSE CASE o_orderstatus WHEN 'F' THEN 'who owns the order_' || o_orderkey WHEN 'O' THEN 'subclasses of order_' || o_orderkey ELSE 'logic for refunding order_' || o_orderkey END END AS q"""
+@query(f"""WITH m AS ({ORACLE_SQL["eval_metrics"]}), knn AS ({catalog._KNN}), r AS (SELECT src AS query_id, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM knn),
+t AS (SELECT query_id, sum(greatest(1, length('vector v' || dst || ' label' || label) // 4)) AS t FROM r JOIN embeddings ON dst = vec_id WHERE rank <= 2 GROUP BY 1)
+SELECT count(*) AS n_queries, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(rr), 4) AS mrr, round(avg(hit::INT), 4) AS hit_rate, round(avg(coalesce(t, 0)), 4) AS est_tokens, round(avg(precision) / (avg(coalesce(t, 0)) / 1000), 4) AS precision_per_1k FROM m LEFT JOIN t USING (query_id)""")
+def retrieval_summary(spark, sf):
+    v = read(spark, sf, "embeddings")
+    ranked = search.knn_edges(v, 3).select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.expr("row_number() over (partition by src order by score desc, dst)").alias("rank"))
+    n = v.select(F.col("vec_id").alias("node_id"), F.lit("vector").alias("kind"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("file"))
+    return search.run_summary(catalog.QUERIES["eval_metrics"](spark, sf), ranked, n, 2)
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'impact' WHEN '2-HIGH' THEN 'callers' WHEN '3-MEDIUM' THEN 'definition' WHEN '4-NOT SPECIFIED' THEN 'dependents' ELSE CASE o_orderstatus WHEN 'F' THEN 'owners' WHEN 'O' THEN 'subclasses' ELSE 'search' END END AS route, 'order_' || o_orderkey AS target FROM orders""")

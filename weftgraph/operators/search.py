@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.work import small
+
 #: Column weights and constants of the ranking.
 WEIGHTS = {"name": 10.0, "qualified_name": 3.0, "file": 1.0}
 K1, B = 1.2, 0.75
@@ -142,34 +144,46 @@ def personalized_pagerank(edges: pd.DataFrame, seeds: dict[int, float], damping:
     return dict(zip(ids, r.tolist()))
 
 
-def hybrid(vectors: DataFrame, edges: DataFrame, query: list[float], k: int = 10, seeds: int = 20, hops: int = 2) -> DataFrame:
-    """Seeds by cosine, their neighbourhood within ``hops``, ranked by personalized PageRank.  The neighbourhood of 20 seeds is gathered by one grouped task."""
-    first = vector_topk(vectors, query, seeds).select(F.col("vec_id").alias("id"), "score")
+def hybrid_rank(edges: DataFrame, seeds: DataFrame, k: int = 10, hops: int = 2) -> DataFrame:
+    """(query_id, node_id, score) of many queries: the neighbourhood of a query's seeds (query_id, id, score) within ``hops``, ranked by personalized PageRank.
+
+    A query's neighbourhood is one group, as large as its few seeds' surroundings; queries are spread over tasks.  Frontiers are broadcast only where their size is checked and small.
+    """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    found, near = None, first.select("id")
+    found, near = None, seeds.select("query_id", "id").distinct()
     for _ in range(hops):
-        step = both.join(F.broadcast(near), F.col("src") == F.col("id"), "left_semi")
+        side = F.broadcast(near) if small(near) else near
+        step = both.join(side, F.col("src") == F.col("id")).select("query_id", "src", "dst")
         found = step if found is None else found.union(step)
-        near = step.select(F.col("dst").alias("id")).union(near).distinct()
-    rows = found.distinct().select("src", "dst", F.lit(None).cast("double").alias("score")).unionByName(first.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "score"))
+        near = step.select("query_id", F.col("dst").alias("id")).union(near).distinct()
+    none = F.lit(None)
+    own = seeds.select("query_id", F.col("id").alias("src"), none.cast("long").alias("dst"), "score")
+    rows = own if found is None else found.distinct().select("query_id", "src", "dst", none.cast("double").alias("score")).unionByName(own)
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["dst"].isna()]
         r = personalized_pagerank(pdf[~pdf["dst"].isna()].astype({"dst": "int64"}), dict(zip(own["src"].tolist(), own["score"].tolist())))
-        return pd.DataFrame({"node_id": list(r), "score": np.round(list(r.values()), 6)})
+        best = sorted(((round(v, 6), i) for i, v in r.items()), key=lambda x: (-x[0], x[1]))[:k]
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node_id": [i for _, i in best], "score": [v for v, _ in best]})
+
+    return rows.groupBy("query_id").applyInPandas(rank, "query_id long, node_id long, score double")
 
-    out = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(rank, "node_id long, score double")
-    return out.orderBy(F.desc("score"), "node_id").limit(k)
+
+def hybrid(vectors: DataFrame, edges: DataFrame, query: list[float], k: int = 10, seeds: int = 20, hops: int = 2) -> DataFrame:
+    """(node_id, score) of one query: seeds by cosine, their neighbourhood ranked by ``hybrid_rank``."""
+    first = vector_topk(vectors, query, seeds).select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "score")
+    return hybrid_rank(edges, first, k, hops).select("node_id", "score").orderBy(F.desc("score"), "node_id").limit(k)
 
 
-def retrieval_metrics(ranked: DataFrame, golden: DataFrame, k: int) -> DataFrame:
-    """(query_id, precision, recall, rr, hit): precision over the rows retrieved in the first k; the reciprocal rank over all retrieved."""
+def retrieval_metrics(ranked: DataFrame, golden: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
+    """(query_id, precision, recall, rr, hit): precision over the rows retrieved in the first k; the reciprocal rank over all retrieved.  With ``sizes`` (query_id, n_good) golden need only
+    hold the pairs that were retrieved."""
     g = golden.select("query_id", "node_id").distinct().withColumn("good", F.lit(1))
     rows = ranked.join(g, ["query_id", "node_id"], "left")
     per = rows.groupBy("query_id").agg(
         F.sum((F.col("rank") <= k).cast("long")).alias("n_top"), F.sum(F.when(F.col("rank") <= k, F.coalesce("good", F.lit(0))).otherwise(0)).alias("n_hit"), F.min(F.when(F.col("good") == 1, F.col("rank"))).alias("first")
     )
-    sizes = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_good"))
+    sizes = sizes if sizes is not None else g.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_good"))
     p = sizes.join(per, "query_id", "left")
     hit = F.coalesce("n_hit", F.lit(0))
     return p.select("query_id", F.round(F.when(F.coalesce("n_top", F.lit(0)) > 0, hit / F.col("n_top")).otherwise(0.0), 4).alias("precision"), F.round(hit / F.col("n_good"), 4).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 4).alias("rr"), (hit > 0).alias("hit"))
@@ -199,3 +213,15 @@ def embed_batches(texts: Column, dim: int = 64) -> Column:
             yield pd.Series(out)
 
     return embed(texts)
+
+
+def run_summary(metrics: DataFrame, ranked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """One row for a run: means of precision, recall, reciprocal rank and hits, the mean of the tokens that the first k answers cost, and precision for each 1,000 of them (0 where there are none).
+    An answer costs a token for each four signs of its kind, qualified name (else name) and file, one at least."""
+    name = F.coalesce("qualified_name", "name") if "qualified_name" in nodes.columns else F.col("name")
+    cost = F.greatest(F.lit(1), F.floor(F.length(F.concat(F.col("kind"), F.lit(" "), name, F.lit(" "), F.coalesce("file", F.lit("")))) / 4)).cast("long")
+    tokens = ranked.where(F.col("rank") <= k).join(nodes.select("node_id", cost.alias("t")), "node_id").groupBy("query_id").agg(F.sum("t").alias("t"))
+    rows = metrics.join(tokens, "query_id", "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    mean = rows.agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"), F.avg("rr").alias("mrr"), F.avg(F.col("hit").cast("int")).alias("h"), F.avg("t").alias("t"), F.count(F.lit(1)).alias("n_queries"))
+    per = F.when(F.col("t") > 0, F.col("p") / (F.col("t") / 1000)).otherwise(0.0)
+    return mean.select("n_queries", *[F.round(c, 4).alias(n) for c, n in (("p", "precision"), ("r", "recall"), ("mrr", "mrr"), ("h", "hit_rate"), ("t", "est_tokens"))], F.round(per, 4).alias("precision_per_1k"))
