@@ -413,6 +413,15 @@ def node_texts(spark, sf):
     return n.select("node_id", embed.node_text(n).alias("text"))
 
 
+@graph_query(""", w AS (SELECT node_id, name, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(coalesce(lower(file), ''), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM nodes),
+f AS (SELECT node_id, name, len(a) + len(b) AS len, 10 * len(list_filter(a, lambda x: starts_with(x, 'old'))) + len(list_filter(b, lambda x: starts_with(x, 'old'))) AS f0, 10 * len(list_filter(a, lambda x: starts_with(x, 'brand'))) + len(list_filter(b, lambda x: starts_with(x, 'brand'))) AS f1 FROM w),
+t AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM f)
+SELECT node_id, name, lower(name) = 'old brand' AS exact, starts_with(lower(name), 'old brand') AS prefix, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / a)), 4) AS score
+FROM f, t WHERE f0 > 0 AND f1 > 0 ORDER BY exact DESC, prefix DESC, score DESC, node_id LIMIT 10""")
+def fts_bm25(spark, sf):
+    return search.fts_bm25(nodes(spark, sf), "old brand")
+
+
 @query()
 def ann_topk(spark, sf):
     v = read(spark, sf, "embeddings")

@@ -60,6 +60,32 @@ def fts(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return hits.orderBy(F.desc("exact"), F.desc("prefix"), F.desc("score"), "node_id").limit(limit)
 
 
+def fts_bm25(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """(node_id, name, exact, prefix, score): nodes of which every query term begins some word; exact names first, then names that begin with the query, then by BM25 over the
+    columns together, a word counting by its column's weight; a term that most nodes hold keeps a small weight above zero.
+
+    One scan counts words for each term and column; the totals are one row, so nothing but the hits' order is shuffled.
+    """
+    columns = [c for c in WEIGHTS if c in nodes.columns]
+    terms = list(dict.fromkeys(query_terms(query)))
+    words = {c: F.filter(F.split(F.coalesce(F.lower(c), F.lit("")), r"[^a-z0-9]+"), lambda w: w != "") for c in columns}
+
+    def weighted(term: str) -> Column:
+        return sum((F.size(F.filter(words[c], lambda w: w.startswith(term))) * F.lit(WEIGHTS[c]) for c in columns), F.lit(0.0))
+
+    rows = nodes.select("node_id", "name", sum((F.size(words[c]) for c in columns), F.lit(0)).alias("len"), *[weighted(t).alias(f"f{i}") for i, t in enumerate(terms)])
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("a"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))])
+    met = rows
+    for i in range(len(terms)):
+        met = met.where(F.col(f"f{i}") > 0)
+    idf = lambda i: F.greatest(F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)), F.lit(1e-6))
+    part = lambda i: idf(i) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("len") / F.col("a")))
+    score = sum((part(i) for i in range(len(terms))), F.lit(0.0))
+    q = query.lower()
+    hits = met.join(F.broadcast(totals)).select("node_id", "name", (F.lower("name") == q).alias("exact"), F.lower("name").startswith(q).alias("prefix"), F.round(score, 4).alias("score"))
+    return hits.orderBy(F.desc("exact"), F.desc("prefix"), F.desc("score"), "node_id").limit(limit)
+
+
 def begins(words: Column, term: str) -> Column:
     """Whether some word of an array begins with a term."""
     return F.exists(words, lambda w: w.startswith(term))
