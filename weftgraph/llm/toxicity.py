@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -106,15 +106,25 @@ def fit(texts: Iterable[str], grades: list[int], words: int = 4096, least: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = 4000) -> DataFrame:
-    """(text, grade) of at most ``sample`` documents of each grade: those with the smallest id hashes."""
+    """(text, grade, doc_id) of at most ``sample`` documents of each grade: those with the smallest id hashes.  Of several rows with
+    one id, that with the smallest hash of its text (then the smallest text) stands for it."""
     graded = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(grade).cast("int")).alias("grade"))
-    order = F.xxhash64("doc_id")
-    # A first cut within salts keeps any window small; the second sees at most 64 * sample rows of a grade.
-    salted = graded.withColumn("_s", F.pmod(order, F.lit(64)))
-    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy("grade", "_s").orderBy(order, "doc_id"))).where(F.col("_r") <= sample)
-    chosen = first.withColumn("_r", F.row_number().over(Window.partitionBy("grade").orderBy(order, "doc_id"))).where(F.col("_r") <= sample).select("doc_id", "grade")
-    # A document id may repeat in documents: the join keeps each row's text, the driver the first ``sample`` of a grade.
-    return shared.texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "grade", "doc_id")
+    graded = shared.table(graded.withColumn("_h", F.xxhash64("doc_id")).withColumn("_slot", F.shiftright("_h", 54)), "graded")
+    # 1,024 slots of the hash's range for each grade: whole slots are in or out, rows are ranked only where the sample ends in a slot.
+    whole, cut, before = [], [], {}
+    for r in sorted(graded.groupBy("grade", "_slot").count().collect(), key=lambda r: (r["grade"], r["_slot"])):
+        room = sample - before.get(r["grade"], 0)
+        before[r["grade"]] = before.get(r["grade"], 0) + r["count"]
+        if r["count"] <= room:
+            whole.append((r["grade"], r["_slot"], r["count"]))
+        elif room > 0:
+            cut.append((r["grade"], r["_slot"], room))
+    slots = graded.sparkSession.createDataFrame(whole + cut, "grade int, _slot long, _room long")
+    ranked = graded.join(F.broadcast(slots), ["grade", "_slot"]).withColumn("_r", F.row_number().over(Window.partitionBy("grade", "_slot").orderBy("_h", "doc_id")))
+    chosen = ranked.where(F.col("_r") <= F.col("_room")).select("doc_id", "grade")
+    # At most ``sample`` ids of each grade are left: the broadcast is bounded, and so is what the aggregate keeps.
+    own = shared.texts(docs).join(F.broadcast(chosen), "doc_id")
+    return own.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(F.col("t.text").alias("text"), "grade", "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = 4000, **options) -> OrdinalModel:
@@ -126,25 +136,37 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), batch.column("grade"), batch.column("doc_id")], names=["text", "grade", "doc_id"])
 
     rows = training_rows(docs, labels, grade, sample).mapInArrow(bags, "text string, grade int, doc_id long")
-    ranked = rows.dropDuplicates(["doc_id", "text"]).collect()
+    ranked = rows.collect()
     ranked.sort(key=lambda r: (r["grade"], r["doc_id"], r["text"]))
     return fit((r["text"] for r in ranked), [r["grade"] for r in ranked], **options)
 
 
-def score(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, expected_severity, grade, p_toxic, is_toxic (and the columns in ``keep``) of every row."""
-    kinds = dict(docs.dtypes)
-    names = [k for k in keep if k != "doc_id"]
-    schema = "doc_id long, expected_severity double, grade int, p_toxic double, is_toxic boolean" + "".join(f", `{k}` {kinds[k]}" for k in names)
-    shared_model = docs.sparkSession.sparkContext.broadcast(model)
-
-    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared_model.value
-        for batch in shared.slices(batches, column="_text"):
-            above = m.at_least(m.scores(batch.column("_text").to_pylist()))
+def verdict(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> Column:
+    """A struct of expected_severity, grade, p_toxic and is_toxic for the text of each row; Python sees the texts alone, whatever else a row holds."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("expected_severity double, grade int, p_toxic double, is_toxic boolean")
+    def grades(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = held.value
+        for column in columns:
+            scores = [m.scores(b.column("text").to_pylist()) for b in shared.slices([pa.record_batch([column], ["text"])])]
+            above = m.at_least(np.concatenate([np.zeros(0), *scores]))
             likely = np.argmax(np.column_stack([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]]), axis=1)
-            columns = [batch.column("doc_id"), pa.array(above.sum(1).round(6)), pa.array(likely.astype(np.int32)), pa.array(above[:, 0].round(6)), pa.array(above[:, 0] >= reject)]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(k) for k in names)], names=["doc_id", "expected_severity", "grade", "p_toxic", "is_toxic", *names])
+            parts = [pa.array(above.sum(1).round(6)), pa.array(likely.astype(np.int32)), pa.array(above[:, 0].round(6)), pa.array(above[:, 0] >= reject)]
+            yield pa.StructArray.from_arrays(parts, ["expected_severity", "grade", "p_toxic", "is_toxic"])
+
+    return grades(F.coalesce(F.col("text"), F.lit("")))
+
+
+_OWN = ("doc_id", "expected_severity", "grade", "p_toxic", "is_toxic")
+
+
+def score(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, expected_severity, grade, p_toxic, is_toxic of every row, and the columns in ``keep`` but those of these names."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), verdict(docs, model, reject).alias("s"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{k}`") for k in keep if k not in _OWN]).alias("k"))
+    return rows.select("doc_id", *[F.col("s")[c].alias(c) for c in _OWN[1:]], *[F.col("k")[k].alias(k) for k in keep if k not in _OWN])
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"), *names)
-    return rows.mapInArrow(grade, schema)
+def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject; null and empty texts hold no word and stay unless the prior alone rejects."""
+    return docs.where(~verdict(docs, model, reject)["is_toxic"])
