@@ -12,7 +12,8 @@ log2(N / n_e).  Their ratio is the share of e's identity that t discloses.  In t
 
 With ``support`` joint texts the counts are taken as they stand.  With fewer, and for every entity that stands in one or two texts only, the
 share n_et / n_t of t's texts that hold e is replaced by its lower 95 % bound (Wilson), so what one joint text proves depends on N: a term that
-stands nowhere else discloses an entity of one text from N = 2,650 on.  Equal texts count once, so copies are no evidence.
+stands nowhere else discloses an entity of one text from N = 2,650 on.  Equal texts count once, so copies are no evidence.  n_t counts every text
+with the word, joint counts leave out words that stand within an entity only.
 
 Offsets are code points, ends exclusive.  Null text counts as empty; null and repeated doc_ids are kept, a row each; an empty table gives
 no rows; ``sanitize`` keeps all other columns.
@@ -136,22 +137,23 @@ def disclosing_terms(found: DataFrame, rows: DataFrame, support: int = 3, disclo
 
 
 def find_pii(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """``docs`` with _text (text, null: empty), _base and _spans (base spans, then term spans): arrays of (kind, start, end, value)."""
-    spark = docs.sparkSession
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_h", F.xxhash64("_text"))
+    """Of every row d (a struct of all columns of ``docs``, so no name of theirs can clash), text (null: empty), base and spans (base spans, then term
+    spans): arrays of (kind, start, end, value)."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    rows = docs.select(own, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     any_hint = F.lit(False)
     for hint in _HINTS.values():
         any_hint = any_hint | hint(F.col("_text"))
     found = rows.where(any_hint).select("_h", "_text").withColumn("_base", base_spans(F.col("_text"))).where(F.size("_base") > 0)
     found = shared.table(found, "base-spans")
-    by_text = disclosing_terms(found, rows, support, disclosure)
+    by_text = disclosing_terms(found, rows.select("_h", "_text"), support, disclosure)
     # Letters only, so a term is its own pattern; longer ones first.
     ordered = F.reverse(F.array_sort(F.transform(F.collect_list("term"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
     words = by_text.groupBy("_h").agg(F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.concat_ws("|", F.transform(ordered, lambda x: x["t"])), F.lit(r")(?!\p{L})")).alias("_pattern"))
     words = shared.table(words, "term-patterns")
-    return _with_patterns(rows, words, any_hint).withColumn("_base", base_spans(F.col("_text"))).withColumn(
-        "_spans", F.when(F.col("_pattern").isNull(), F.col("_base")).otherwise(F.concat("_base", F.filter(located(F.col("_text"), F.coalesce("_pattern", F.lit("(?!)")), 4), lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))))
-    ).drop("_h", "_pattern")
+    out = _with_patterns(rows, words, any_hint).withColumn("_base", base_spans(F.col("_text")))
+    terms = F.filter(located(F.col("_text"), F.coalesce("_pattern", F.lit("(?!)")), 4), lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return out.select("d", F.col("_text").alias("text"), F.col("_base").alias("base"), F.when(F.col("_pattern").isNull(), F.col("_base")).otherwise(F.concat("_base", terms)).alias("spans"))
 
 
 def _with_patterns(rows: DataFrame, words: DataFrame, may_hold: Column) -> DataFrame:
@@ -159,29 +161,29 @@ def _with_patterns(rows: DataFrame, words: DataFrame, may_hold: Column) -> DataF
     none = F.lit(None).cast("string")
     if words.limit(1).count() == 0:
         return rows.withColumn("_pattern", none)
-    met = rows.where(may_hold).join(words, "_h", "left").select(*[F.col(f"`{c}`") for c in rows.columns], "_pattern")
+    met = rows.where(may_hold).join(words, "_h", "left").select(*rows.columns, "_pattern")
     return met.unionAll(rows.where(~may_hold).withColumn("_pattern", none))
 
 
 def pii_spans(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans of every row."""
     out = find_pii(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), support, disclosure)
-    count = lambda i: F.size(F.filter("_spans", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
-    return out.select("doc_id", *[count(i) for i in range(5)], F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
+    return out.select("d.doc_id", *[count(i) for i in range(5)], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def sanitize(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
     """``docs`` with each stretch of overlapping spans in text replaced by the kind of its first span: [EMAIL], [IP], [CARD], [PHONE], [TERM]."""
     out = find_pii(docs, support, disclosure)
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring("_text", acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
+        piece = F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, piece).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate(by_start, first, step, lambda acc: F.concat(acc["out"], F.substring("_text", acc["at"] + 1, F.length("_text"))))
-    text = F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    masked = F.aggregate(by_start, first, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("d")["text"])
+    return out.select(*[text.alias(c) if c == "text" else F.col("d")[c].alias(c) for c in docs.columns])
