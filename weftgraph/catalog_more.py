@@ -122,6 +122,63 @@ def repo_edge_union(spark, sf):
     return links.repo_edge_union(catalog._deps(spark, sf), catalog.QUERIES["http_flow"](spark, sf), event)
 
 
+@graph_query("""SELECT repo_id, string_split(repo_id, '/')[1] AS host, sum(n)::BIGINT AS n_nodes, string_agg(lang || '=' || n, ',' ORDER BY n DESC, lang) AS langs FROM (SELECT repo_id, lang, count(*) AS n FROM nodes WHERE NOT regexp_matches(repo_id, '^[(@]') GROUP BY 1, 2) GROUP BY 1""")
+def repo_table(spark, sf):
+    return graph.repo_table(nodes(spark, sf))
+
+
+@graph_query("SELECT DISTINCT repo_id, CASE WHEN repo_id = '(packages)' THEN 'sentinel' ELSE 'repository' END AS kind, CASE WHEN repo_id = '(packages)' THEN NULL ELSE repo_id END AS of FROM nodes UNION ALL SELECT DISTINCT '@enrich:' || repo_id, 'enrich', repo_id FROM nodes WHERE kind = 'class'")
+def list_partitions(spark, sf):
+    n = nodes(spark, sf).select("repo_id", "kind")
+    return graph.partitions(n.unionByName(n.where("kind = 'class'").withColumn("repo_id", F.concat(F.lit("@enrich:"), "repo_id"))))
+
+
+@graph_query("SELECT repo_id, '/src/' || lower(repo_id) AS path FROM (SELECT DISTINCT repo_id FROM nodes) WHERE repo_id LIKE 'ASIA/%' OR lower(repo_id) LIKE 'africa/nation_1_'")
+def repo_patterns(spark, sf):
+    repos = nodes(spark, sf).select("repo_id").distinct().withColumn("path", F.concat(F.lit("/src/"), F.lower("repo_id")))
+    return graph.repos_of_patterns(repos, ["asia/*", "./africa/nation_1?"])
+
+
+@graph_query("SELECT CASE WHEN len(string_split(repo_id, '/')) > 1 THEN string_split(repo_id, '/')[1] ELSE '(ungrouped)' END AS grp, lang, count(*) AS n_nodes FROM nodes WHERE NOT regexp_matches(repo_id, '^[(@]') GROUP BY 1, 2")
+def language_map(spark, sf):
+    return graph.language_map(nodes(spark, sf))
+
+
+@graph_query(_DEPS + """, w AS (SELECT repo_id, sum(weight)::BIGINT AS weight FROM (SELECT src_repo AS repo_id, weight FROM deps UNION ALL SELECT dst_repo, weight FROM deps) GROUP BY 1), k AS (SELECT repo_id, kind, count(*) AS n FROM nodes GROUP BY 1, 2),
+o AS (SELECT repo_id, weight, sum(n)::BIGINT AS n_nodes, list(kind ORDER BY n DESC, kind)[1] AS main_kind FROM k JOIN w USING (repo_id) GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY weight DESC, n_nodes DESC, repo_id)::INT AS rank FROM o QUALIFY rank <= 10""")
+def ranked_overview(spark, sf):
+    return graph.ranked_overview(catalog._deps(spark, sf), nodes(spark, sf), 10)
+
+
+@graph_query(ORACLE_SQL["repo_edge_union"].split("SELECT src_repo, dst_repo, weight, 'package' AS flavour")[0][len(catalog.VIEW_SQL):] + ", u AS (SELECT src_repo, dst_repo, weight, 'package' AS flavour" + ORACLE_SQL["repo_edge_union"].split("SELECT src_repo, dst_repo, weight, 'package' AS flavour")[1] + """)
+SELECT flavour, string_split(src_repo, '/')[1] AS src_ns, string_split(dst_repo, '/')[1] AS dst_ns, sum(weight)::BIGINT AS weight, count(*) AS n_edges FROM u GROUP BY 1, 2, 3""")
+def c4_flavours(spark, sf):
+    return graph.c4_flavours(QUERIES["repo_edge_union"](spark, sf))
+
+
+@query(f"""SELECT repo AS ns, host AS system, sum(n_calls)::BIGINT AS n_calls FROM ({ORACLE_SQL["external_systems"]}) GROUP BY 1, 2""")
+def system_context(spark, sf):
+    return graph.system_context(QUERIES["external_systems"](spark, sf))
+
+
+@graph_query("SELECT node_id, total, total > 500 AS truncated FROM (SELECT node_id, count(*) OVER () AS total FROM nodes) ORDER BY node_id LIMIT 500")
+def clamped_listing(spark, sf):
+    return graph.listing(nodes(spark, sf).select("node_id"), 10_000, "node_id")
+
+
+@query("""WITH s AS (SELECT 'b_' || item_id AS node_id, regexp_extract(text, '([A-Za-z]{4,})', 1) AS name FROM benchmark UNION ALL SELECT 'c_' || item_id, regexp_extract(text, '([A-Za-z]{4,})', 1) || '-v' || item_id FROM benchmark),
+n AS (SELECT name, count(*) AS n FROM s GROUP BY 1), t AS (SELECT doc_id, text || ' see ' || (SELECT max(name) FROM s WHERE node_id = 'c_' || doc_id % 40) AS text FROM documents),
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1))) AS name FROM t), e AS (SELECT doc_id, regexp_extract(text, ' see (.*)$', 1) AS name FROM t)
+SELECT DISTINCT doc_id, node_id, CASE n WHEN 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM (FROM d UNION FROM e) JOIN s USING (name) JOIN n USING (name) WHERE length(name) >= 3""")
+def compound_mentions(spark, sf):
+    b = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("i"), F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("w"))
+    compound = b.select(F.concat(F.lit("c_"), "i").alias("node_id"), F.concat("w", F.lit("-v"), "i").alias("name"))
+    docs = read(spark, sf, "documents").withColumn("c", F.concat(F.lit("c_"), (F.col("doc_id") % 40).cast("string")))
+    said = docs.join(compound.withColumnRenamed("node_id", "c"), "c").select("doc_id", F.concat("text", F.lit(" see "), "name").alias("text"))
+    return text.mentions(said, b.select(F.concat(F.lit("b_"), "i").alias("node_id"), F.col("w").alias("name")).unionByName(compound))
+
+
 # ---- resolution
 
 
@@ -495,6 +552,39 @@ def age_buckets(spark, sf):
     return fleet.age_buckets(rows, F.lit("1999-01-01").cast("date"))
 
 
+@query("""SELECT c_custkey AS repo, CASE WHEN row_number() OVER (ORDER BY c_custkey) > 100 THEN 'unchecked' WHEN c_acctbal < 0 THEN 'new' WHEN c_nationkey % 5 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM customer""")
+def freshness_within(spark, sf):
+    c = read(spark, sf, "customer")
+    head = F.col("c_nationkey").cast("string")
+    indexed = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("repo"), F.when(F.col("c_nationkey") % 5 == 0, "old").otherwise(head).alias("indexed_head"), F.lit("10").alias("indexed_parser"))
+    return fleet.freshness_within(c.select(F.col("c_custkey").alias("repo"), head.alias("head"), F.lit("10").alias("parser")), indexed, 100)
+
+
+@query("""WITH b AS (SELECT user_id AS repo, event_type AS branch, count(*) AS commits FROM events GROUP BY 1, 2)
+SELECT repo, branch, commits::DOUBLE AS score FROM b QUALIFY row_number() OVER (PARTITION BY repo ORDER BY (branch = 'error' AND repo % 2 = 0) DESC, commits DESC, branch) = 1""")
+def pinned_branch(spark, sf):
+    e = read(spark, sf, "events")
+    rows = e.groupBy(F.col("user_id").alias("repo"), F.col("event_type").alias("branch")).agg(F.count(F.lit(1)).cast("double").alias("commits"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).cast("double").alias("ts"))
+    pins = e.where("user_id % 2 = 0").select(F.col("user_id").alias("repo"), F.lit("error").alias("branch")).distinct()
+    return fleet.active_branch(rows, "commits", pins)
+
+
+@query("""WITH u AS (SELECT p_name AS name, p_brand AS file FROM part WHERE p_size > 5), v AS (SELECT name, count(*) AS n_sites, count(DISTINCT file) AS n_files FROM u GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT file) >= 2)
+SELECT name, n_sites, n_files, '= 1' AS declaration, round(n_sites / (SELECT count(*) FROM u), 6) AS coverage FROM v WHERE name NOT LIKE 'red %'""")
+def load_bearing_declared(spark, sf):
+    p = read(spark, sf, "part")
+    uses = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.when(F.col("p_size") > 5, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"))
+    return fleet.load_bearing_declared(uses, p.where("p_name not like 'red %'").select(F.col("p_name").alias("name"), F.lit("= 1").alias("declaration")))
+
+
+@graph_query("""SELECT '# Fleet' || chr(10) || '## Groups' || chr(10) || (SELECT string_agg('- `' || grp || '`: ' || r || ' repositories, ' || n || ' nodes', chr(10) ORDER BY grp) FROM (SELECT CASE WHEN len(string_split(repo_id, '/')) > 1 THEN string_split(repo_id, '/')[1] ELSE '(ungrouped)' END AS grp, count(DISTINCT repo_id) AS r, count(*) AS n FROM nodes WHERE NOT regexp_matches(repo_id, '^[(@]') GROUP BY 1))
+ || chr(10) || '## Shared packages (' || (SELECT count(*) FROM c) || ')' || chr(10) || (SELECT string_agg('- `' || package || '`: ' || r || ', versions disagree', chr(10) ORDER BY r DESC, package) FROM (SELECT * FROM c ORDER BY r DESC, package LIMIT 50)) AS markdown""".replace("SELECT '# Fleet'", """, c AS (SELECT p_brand AS package, count(DISTINCT p_type) AS r FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1)
+SELECT '# Fleet'""", 1))
+def fleet_page(spark, sf):
+    p = read(spark, sf, "part")
+    return views.fleet_page(graph.fleet_overview(nodes(spark, sf)), fleet.commitments(p.select(F.col("p_brand").alias("package"), F.col("p_type").alias("repo"), F.lit("m").alias("manifest"), F.monotonically_increasing_id().cast("string").alias("constraint"))))
+
+
 # ---- scalars
 
 

@@ -97,6 +97,24 @@ def ask(nodes: DataFrame, edges: DataFrame, question: str, k: int = 8, repo: str
     return answer(*search_with_floor(nodes, question, k))
 
 
+def impact_with_candidates(nodes: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(hits, others): the impact of what a name means, and the definitions of that name that were passed over, best first."""
+    node, _ = resolve(nodes, name)
+    others = graph.resolve_target(nodes.where(F.col("name") == name), name).where(F.col("node_id") != node) if node else nodes.limit(0)
+    seed = nodes.sparkSession.createDataFrame([(node,)] if node else [], "node_id string")
+    return traverse.blast_radius(edges, seed, nodes=nodes), others
+
+
+def path_with_candidates(nodes: DataFrame, edges: DataFrame, start: str, end: str, hops: int = 6) -> tuple[DataFrame, str | None]:
+    """(steps, note): the cited path between what two names mean; or why there is none."""
+    (a, why_a), (b, why_b) = resolve(nodes, start), resolve(nodes, end)
+    none = nodes.sparkSession.createDataFrame([], "step int, from_id string, to_id string, relation string, confidence string, line int, forward boolean")
+    if a is None or b is None:
+        return none, why_a if a is None else why_b
+    path = traverse.shortest_path(edges, a, b, hops)
+    return traverse.path_citations(edges, path), traverse.path_gap(path, start, end, hops) or why_a or why_b
+
+
 def search_with_floor(nodes: DataFrame, question: str, k: int = 8) -> tuple[DataFrame, str | None]:
     """(hits, note): nodes found by the question's own words, any of them; nothing, and why, where none of the words is in the graph."""
     spark = nodes.sparkSession

@@ -86,13 +86,37 @@ def freshness(current: DataFrame, indexed: DataFrame) -> DataFrame:
     return rows.select("repo", F.when(F.col("indexed_head").isNull() & F.col("head").isNotNull(), "new").when(same("head", "indexed_head") & same("parser", "indexed_parser"), "fresh").otherwise("stale").alias("state"))
 
 
-def active_branch(branches: DataFrame) -> DataFrame:
-    """(repo, branch, score): 0.6 of the scaled number of commits and 0.4 of the scaled recency; first of the best."""
-    w = Window.partitionBy("repo")
-    scaled = lambda c: F.when(F.max(c).over(w) == F.min(c).over(w), 1.0).otherwise((F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w)))
-    rows = branches.withColumn("score", F.round(0.6 * scaled("commits") + 0.4 * scaled("ts"), 6))
-    best = F.row_number().over(w.orderBy(F.desc("score"), "branch"))
-    return rows.withColumn("_r", best).where("_r = 1").select("repo", "branch", "score")
+def active_branch(branches: DataFrame, strategy: str = "hybrid", pins: DataFrame | None = None) -> DataFrame:
+    """(repo, branch, score): the branch with most commits, the one with the latest, or by 0.6 of the scaled number of commits and 0.4 of the scaled recency; first of the best by name.
+    A branch that ``pins`` (repo, branch) names is taken whatever its score, if the repository has it."""
+    least = branches.groupBy("repo").agg(F.min("commits").alias("c0"), F.max("commits").alias("c1"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    scaled = lambda c, lo, hi: F.when(F.col(hi) == F.col(lo), 1.0).otherwise((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)))
+    scores = {"commits": F.col("commits").cast("double"), "recency": F.col("ts").cast("double"), "hybrid": F.round(0.6 * scaled("commits", "c0", "c1") + 0.4 * scaled("ts", "t0", "t1"), 6)}
+    if strategy not in scores:
+        raise ValueError(f"strategy must be one of {', '.join(scores)}")
+    rows = branches.join(least, "repo").withColumn("score", scores[strategy])
+    pinned = F.lit(1)
+    if pins is not None:
+        rows = rows.join(pins.select("repo", "branch", F.lit(0).alias("_pin")), ["repo", "branch"], "left")
+        pinned = F.coalesce("_pin", F.lit(1))
+    best = rows.groupBy("repo").agg(F.min(F.struct(pinned.alias("p"), (-F.col("score")).alias("s"), "branch")).alias("m"))
+    return best.select("repo", "m.branch", (-F.col("m.s")).alias("score"))
+
+
+def freshness_within(current: DataFrame, indexed: DataFrame, budget: int) -> DataFrame:
+    """(repo, state) as ``freshness`` says for the first ``budget`` repositories by name, unchecked beyond: asking for a head costs a call each."""
+    first = current.select("repo").orderBy("repo").limit(budget).withColumn("_in", F.lit(True))
+    rows = freshness(current, indexed).join(first, "repo", "left")
+    return rows.select("repo", F.when(F.col("_in"), F.col("state")).otherwise("unchecked").alias("state"))
+
+
+def load_bearing_declared(uses: DataFrame, declarations: DataFrame, sites: int = 3, files: int = 2) -> DataFrame:
+    """(name, n_sites, n_files, declaration, coverage) of declared values (name, declaration) used surely at several places in several files; coverage is the share of all sure uses that they stand for."""
+    sure = uses.where(F.col("confidence") != "AMBIGUOUS")
+    total = sure.agg(F.count(F.lit(1)).alias("t"))
+    own = declarations.groupBy("name").agg(F.min("declaration").alias("declaration"))
+    found = sure.groupBy("name").agg(F.count(F.lit(1)).alias("n_sites"), F.count_distinct("file").alias("n_files")).where((F.col("n_sites") >= sites) & (F.col("n_files") >= files))
+    return found.join(own, "name").join(F.broadcast(total)).select("name", "n_sites", "n_files", "declaration", F.round(F.col("n_sites") / F.col("t"), 6).alias("coverage"))
 
 
 #: Routes in the order in which they are tried, each with the pattern that asks for it.

@@ -357,3 +357,75 @@ def relationships(repo_edges: DataFrame) -> DataFrame:
     """Each repository's summed weights out and in, in one scan of the edges."""
     ends = F.explode(F.array(F.struct(F.col("src_repo").alias("repo"), F.col("weight").alias("o"), F.lit(0).cast("long").alias("i")), F.struct(F.col("dst_repo").alias("repo"), F.lit(0).cast("long").alias("o"), F.col("weight").alias("i"))))
     return repo_edges.select(ends.alias("e")).select("e.*").groupBy("repo").agg(F.sum("o").alias("weight_out"), F.sum("i").alias("weight_in"))
+
+
+def repo_table(nodes: DataFrame) -> DataFrame:
+    """(repo_id, host, n_nodes, langs) of the real repositories: the first part of the id as the host, languages as lang=n, the most frequent first."""
+    by = nodes.where(is_real_repo(F.col("repo_id"))).groupBy("repo_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    told = F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct((-F.col("n")).alias("m"), "lang")), lambda x: x["lang"].isNotNull())), lambda x: F.concat_ws("=", x["lang"], (-x["m"]).cast("string"))), ",")
+    return by.groupBy("repo_id").agg(F.sum("n").cast("long").alias("n_nodes"), told.alias("langs")).select("repo_id", F.substring_index("repo_id", "/", 1).alias("host"), "n_nodes", "langs")
+
+
+def partitions(nodes: DataFrame) -> DataFrame:
+    """(repo_id, kind, of): every partition there is, what kind it is (repository, sentinel, connect, enrich), and the repository it belongs to."""
+    r = F.col("repo_id")
+    kind = F.when(r.startswith("("), "sentinel").when(r.startswith("@"), F.regexp_extract(r, "^@([a-z]+):", 1)).otherwise("repository")
+    of = F.when(r.startswith("("), None).otherwise(F.regexp_replace(r, "^@[a-z]+:", ""))
+    return nodes.select("repo_id").distinct().select("repo_id", kind.alias("kind"), of.alias("of"))
+
+
+def repos_of_patterns(repos: DataFrame, patterns: list[str]) -> DataFrame:
+    """Repositories (repo_id, path) that any pattern means: a glob over ids, or, if it begins with / . or ~, over the ends of local paths."""
+    keep = F.lit(False)
+    for p in patterns:
+        local = p[:1] in "/.~"
+        bare = re.sub(r"^(~|\.{1,2})?/", "", p) if local else p
+        keep = keep | (F.col("path").rlike(glob_pattern("*/" + bare) + "|" + glob_pattern("/" + bare)) if local else F.col("repo_id").rlike(glob_pattern(bare)))
+    return repos.where(keep)
+
+
+def language_map(nodes: DataFrame, depth: int = 1) -> DataFrame:
+    """(grp, lang, n_nodes) of the real repositories' groups."""
+    real = nodes.where(is_real_repo(F.col("repo_id")) & F.col("lang").isNotNull())
+    return real.groupBy(group_of(F.col("repo_id"), depth).alias("grp"), "lang").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def ranked_overview(repo_edges: DataFrame, nodes: DataFrame, n: int = 100) -> DataFrame:
+    """The first ``n`` of the overview with their rank."""
+    order = (F.desc("weight"), F.desc("n_nodes"), "repo_id")
+    return overview_rank(repo_edges, nodes).orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def c4_flavours(edges: DataFrame, depth: int = 1, included: list[str] | None = None) -> DataFrame:
+    """Summed weights between namespaces for each flavour of edges (src_repo, dst_repo, weight, flavour); with ``included`` only edges that touch one of these namespaces."""
+    ns = lambda c: F.substring_index(F.col(c), "/", depth)
+    rows = edges.select(ns("src_repo").alias("src_ns"), ns("dst_repo").alias("dst_ns"), "weight", "flavour")
+    rows = rows.where(F.col("src_ns").isin(included) | F.col("dst_ns").isin(included)) if included is not None else rows
+    return rows.groupBy("flavour", "src_ns", "dst_ns").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_edges"))
+
+
+def system_context(calls: DataFrame, depth: int = 1) -> DataFrame:
+    """(ns, system, n_calls): the outermost view: namespaces and the external systems (hosts) that their repositories call (repo, host, n_calls)."""
+    return calls.groupBy(F.substring_index("repo", "/", depth).alias("ns"), F.col("host").alias("system")).agg(F.sum("n_calls").cast("long").alias("n_calls"))
+
+
+#: The fewest and the most rows that a list may be asked for.
+FEWEST, MOST = 1, 500
+
+
+def clamped(limit: int) -> int:
+    return max(FEWEST, min(MOST, limit))
+
+
+def listing(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
+    """At most ``limit`` rows in order, no more than the ceiling and one at least, with the total and whether some were cut."""
+    return budget(rows, clamped(limit), *order)
+
+
+def seed_ids(nodes: DataFrame, ids: list[str] | None = None, names: list[str] | None = None, query: str | None = None, limit: int = 20) -> DataFrame:
+    """(node_id): where a view starts: ids that are nodes, else nodes of these names, else the first of a search; at most ``limit``."""
+    if ids:
+        return nodes.where(F.col("node_id").isin(ids)).select("node_id").distinct().orderBy("node_id").limit(limit)
+    if names:
+        return nodes.where(F.col("name").isin(names)).select("node_id").distinct().orderBy("node_id").limit(limit)
+    return search.fts_bm25(nodes, query or "", limit).select("node_id") if query and search.query_terms(query) else nodes.limit(0).select("node_id")

@@ -178,6 +178,19 @@ def design_page(values: DataFrame, commitments: DataFrame) -> DataFrame:
     return joined(heads.unionByName(v).unionByName(c), "# Design notes\n", "", "markdown")
 
 
+def fleet_page(groups: DataFrame, commitments: DataFrame, most: int = 50) -> DataFrame:
+    """Markdown of a fleet: its groups (grp, n_repos, n_nodes) and the packages that most repositories share (package, n_repos, disagreeing), how many there are in all, and how many are left out."""
+    spark = groups.sparkSession
+    shared = commitments.where("n_repos > 1")
+    total = shared.count()
+    g = groups.select(F.lit(1).alias("part"), F.col("grp").alias("key"), F.concat(F.lit("- `"), F.col("grp"), F.lit("`: "), F.col("n_repos").cast("string"), F.lit(" repositories, "), F.col("n_nodes").cast("string"), F.lit(" nodes")).alias("line"))
+    best = shared.orderBy(F.desc("n_repos"), "package").limit(most)
+    p = best.select(F.lit(3).alias("part"), F.concat(F.lpad((10**9 - F.col("n_repos")).cast("string"), 10, "0"), F.col("package")).alias("key"), F.concat(F.lit("- `"), F.col("package"), F.lit("`: "), F.col("n_repos").cast("string"), F.when(F.col("disagreeing"), ", versions disagree").otherwise("")).alias("line"))
+    rest = [(4, "", f"_{total - most} more are left out._")] if total > most else []
+    heads = spark.createDataFrame([(0, "", "## Groups"), (2, "", f"## Shared packages ({total})"), *rest], "part int, key string, line string")
+    return joined(heads.unionByName(g).unionByName(p), "# Fleet\n", "", "markdown")
+
+
 #: The sections of a structural page, in order.
 SECTIONS = ["Size", "Kinds", "Hubs", "Dispatchers"]
 
