@@ -379,3 +379,37 @@ def test_link_edges(spark):
     docs = frame(spark, [(1, "r"), (2, "r")], "doc_id long, repo_id string")
     found = frame(spark, [(1, "s", "AMBIGUOUS")], "doc_id long, node_id string, confidence string")
     assert links.link_documents(found, docs, "tracked_by").count() == 3 and links.link_documents(found, docs, "tracked_by", repo_edge=False).count() == 1
+
+
+def test_serving_surface(spark):
+    from weftgraph.serving import NAMES, Tools
+
+    assert len(set(NAMES)) == 25 and {"graph_stats", "who_knows", "search_code", "get_fleet_doc", "ask"} <= set(NAMES)
+    n, e = graph_of(spark)
+    docs = frame(spark, [("wiki", "g/api", "prose"), ("readme", "g/api", "read")], "kind string, key string, text string")
+    commits = frame(spark, [("g/api", "a@x", "Ann", "2024-01-01 00:00:00", 3)], "repo_id string, email string, name string, ts string, lines int").withColumn("ts", F.to_timestamp("ts"))
+    repos = frame(spark, [("g/api", "h2", "h1", "1", None)], "repo_id string, head string, indexed_head string, indexed_parser string, state string")
+    t = Tools(n, e, repos=repos, commits=commits, documents=docs)
+    assert t.find_definition("Store").rows.first()["cite"] == "src/store.py:1" and "not in the graph" in t.find_definition("Nope").note
+    assert t.find_callers("Store").rows.first()["node_id"] == "f" and t.find_callees("load").rows.first()["node_id"] == "s" and t.find_callers("Nope").rows.count() == 0
+    assert {r["node_id"] for r in t.blast_radius("Store").rows.collect()} == {"m", "f"} and t.shortest_path("MemStore", "load").rows.count() == 2
+    assert t.get_neighbors("s", limit=1).note and t.get_neighbors("s").rows.count() == 2 and t.search_code("store").rows.count() == 1
+    assert t.who_knows("api").rows.first()["name"] == "Ann" and t.get_repo_brief("api").rows.first()["n_nodes"] == 3 and t.graph_health().rows.first()["stale"] == 1
+    assert t.get_readme("g/api").rows.first()["text"] == "read" and "advisory" in t.get_wiki("g/api").note and "no fleet" in t.get_fleet_doc().note
+    assert t.repo_flow().note and t.semantic_search("x").note and t.ask("who calls Store").rows.first()["node_id"] == "f"
+
+
+def test_small_operators(spark):
+    rows = frame(spark, [("r", "a", 5.0, 1.0), ("r", "b", 1.0, 9.0)], "repo string, branch string, commits double, ts double")
+    assert [fleet.active_branch(rows, s).first()["branch"] for s in ("commits", "recency", "hybrid")] == ["a", "b", "a"]
+    with pytest.raises(ValueError):
+        fleet.active_branch(rows, "none")
+    n, e = graph_of(spark)
+    assert graph.clamped(0) == 1 and graph.clamped(10**6) == 500 and graph.listing(n, 0, "node_id").first()["truncated"]
+    assert [r[0] for r in graph.seed_ids(n, names=["Store"]).collect()] == ["s"] and graph.seed_ids(n).count() == 0 and graph.seed_ids(n, query="store").first()[0] == "s"
+    hits, others = ask.impact_with_candidates(n.unionByName(n.where("node_id = 's'").withColumn("node_id", F.lit("s2"))), e, "Store")
+    assert {r["node_id"] for r in hits.collect()} == {"m", "f"} and [r["node_id"] for r in others.collect()] == ["s2"]
+    assert "no indexed symbol" in ask.path_with_candidates(n, e, "Nope", "Store")[1]
+    symbols = frame(spark, [("x", "auth-service"), ("y", "a.b"), ("z", "run"), ("w", "run"), ("v", "go")], "node_id string, name string")
+    got = {tuple(r)[1:] for r in text.mentions(frame(spark, [(1, "see the auth-service, x.a.b.c and run."), (2, None), (3, "auth service go")], "doc_id long, text string"), symbols).collect()}
+    assert got == {("x", "INFERRED"), ("y", "INFERRED"), ("z", "AMBIGUOUS"), ("w", "AMBIGUOUS")}
