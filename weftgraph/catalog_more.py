@@ -455,7 +455,9 @@ def impact_index(spark, sf):
     return traverse.impact_index(edges(spark, sf), seeds)
 
 
-@query()
+@graph_query(f""", p AS ({ORACLE_SQL["shortest_path"]}), st AS (SELECT a.step, a.node_id AS f, b.node_id AS t FROM p a JOIN p b ON b.step = a.step + 1),
+w AS (SELECT step, f AS from_id, t AS to_id, relation, confidence, source_line AS line, src = f AS forward, row_number() OVER (PARTITION BY step ORDER BY {catalog._RANK}, src <> f, relation, source_line NULLS FIRST) AS r FROM st JOIN edges ON (src = f AND dst = t) OR (src = t AND dst = f))
+SELECT step::INT AS step, from_id, to_id, relation, confidence, line, forward FROM w WHERE r = 1""")
 def path_citations(spark, sf):
     e = edges(spark, sf)
     return traverse.path_citations(e, traverse.shortest_path(e, "customer_1", "supplier_2"))
