@@ -71,12 +71,13 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.nda
         h[own] += mix(w[own + k] ^ np.uint64(k + 1)) * np.uint64(2 * k + 3)
     h = mix(h ^ np.minimum(count[doc], words).astype(np.uint64))
     keep = (left >= words) | ((count[doc] < words) & (left == count[doc]))
-    h, doc = h[keep], doc[keep]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-    h, doc = h[new], doc[new]
-    return h, np.searchsorted(doc, np.arange(len(texts) + 1))
+    h, size = h[keep], np.bincount(doc[keep], minlength=len(texts))
+    ends = np.append(0, np.cumsum(size)).astype(np.int64)
+    for a, b in zip(ends.tolist(), ends[1:].tolist()):
+        h[a:b].sort()
+    new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+    new[ends[:-1][size > 0]] = True
+    return h[new], np.append(0, np.cumsum(new, dtype=np.int64))[ends]
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[pa.RecordBatch]:
