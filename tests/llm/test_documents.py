@@ -63,6 +63,44 @@ def test_op4_on_documents(spark, sf):
     assert np.mean([r["near_edited"] for r in out]) > np.mean([r["near_next"] for r in out]) + 0.15
 
 
+def test_likeness_equals_the_share_of_paragraphs():
+    """What the subtracted fingerprints say, against plain sets of digests."""
+    r = random.Random(8)
+    for n in (0, 1, 5, 60, 900):
+        a = [f"p{r.randrange(2000)}" for _ in range(n)]
+        b = [x for x in a if r.random() < 0.8] + [f"q{r.randrange(2000)}" for _ in range(r.randrange(n + 1))]
+        da, db = fingerprints.digests("\n".join(a)), fingerprints.digests("\n".join(b))
+        both, all_ = len(np.intersect1d(da, db)), len(np.union1d(da, db))
+        got = fingerprints.likeness(da, db, (fingerprints.sketch(da), fingerprints.sketch(db)))
+        assert got == (both / all_ if all_ else 1.0)
+        assert abs(fingerprints.estimate(fingerprints.sketch(da, 3000), fingerprints.sketch(db, 3000)) - (all_ - both)) <= 0.25 * (all_ - both) + 3
+
+
+def test_op4_likeness_on_documents(spark, sf):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    out = {r["doc_id"]: r for r in queries.op4_fingerprints(spark, sf).collect()}
+    near = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 1.0
+    for i, (d, t) in enumerate(rows):
+        nxt, n = rows[(i + 1) % len(rows)][1], len(t)
+        own, other, edited = (fingerprints.digests(x).tolist() for x in (t, nxt, t[: n - n // 2] + nxt[: n // 2]))
+        assert out[d]["near_next"] == near(own, other) and out[d]["near_edited"] == near(own, edited)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 50])
+def test_buckets_count_cuts_below(spark, n):
+    from pyspark.sql import functions as F
+
+    cuts = [3 * i for i in range(n)]
+    rows = spark.range(-2, 3 * n + 4)
+    assert all(r["b"] == sum(c < r["id"] for c in cuts) for r in rows.select("id", fingerprints._bucket(F.col("id"), cuts).alias("b")).collect())
+
+
+def test_fingerprints_of_long_texts(spark):
+    text = "".join(f"Sentence number {i} stands here.\n" for i in range(3000))
+    out = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs_of(spark, [(1, text), (2, text.replace("number 7 ", "count 7 "))])).collect()}
+    assert len(text) > 50_000 and out[1]["near_next"] == 2999 / 3001
+
+
 # ---- exact top-k
 
 
@@ -83,6 +121,25 @@ def test_topk_equals_brute_force(spark):
     assert exact_topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_prunes_blocks_of_sorted_vectors():
+    """Vectors that lie near each other where their ids do: most blocks fall below the k-th score, and a floor spares more."""
+    r = np.random.default_rng(2)
+    v = np.repeat(r.integers(-200, 200, (40, 16)), 64, axis=0) + r.integers(-3, 4, (40 * 64, 16))
+    ids, q, scored = np.arange(len(v)), v[::97], []
+    a = exact_topk.search(ids, v, ids[::97], q, 5, 64, scored=scored)
+    want = [np.sort((v @ x)[ids != i])[::-1][:5] for i, x in zip(ids[::97], q)]
+    assert a[2].reshape(-1, 5).tolist() == [w.tolist() for w in want] and scored[0] < 0.25 * scored[1]
+    floors, more = np.array([int(w[4]) for w in want], dtype=object), []
+    assert [x.tolist() for x in exact_topk.search(ids, v, ids[::97], q, 5, 64, floors, more)] == [x.tolist() for x in a] and more[0] <= scored[0]
+
+
+def test_topk_with_repeated_rows_and_ids(spark):
+    rows = [(1, [3.0, 1.0])] * 9 + [(2, [1.0, 1.0]), (2, [5.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, None)]
+    v = exact_topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in exact_topk.top_k(v, v.where("vec_id = 50"), k=3, block=2, cell=4, query_cell=1).orderBy("rank").collect()]
+    assert got == [(50, 1, 2, 5 * 65536), (50, 2, 1, 3 * 65536), (50, 3, 1, 3 * 65536)]
+
+
 def test_topk_large_components():
     v = np.array([[1 << 40, 1], [-(1 << 40), 3]], dtype=object)
     q, i, s = exact_topk.search(np.array([1, 2]), v, np.array([9]), np.array([[2, 5]], dtype=object), 2, 1)
@@ -236,3 +293,46 @@ def test_components_chain_and_hub(spark):
 def test_op8_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in queries.op8_jaccard_join(spark, sf).collect()) == brute(rows)
+
+
+def test_training_rows_are_cut_to_the_sample(spark):
+    docs = docs_of(spark, [(7, f"text {i}") for i in range(500)] + [(i, f"w{i}") for i in range(100, 140)])
+    labels = spark.createDataFrame([(7, 1), *((i, 0) for i in range(100, 140))], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, sample=5).collect()
+    assert sorted(r["grade"] for r in rows) == [0] * 5 + [1]
+    assert rows and {r["doc_id"] for r in rows if r["grade"]} == {7}
+
+
+def test_score_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "scum idiot", 5, "x", "y"), (2, None, 6, "x", "y")], "doc_id long, text string, grade int, _text string, `a.b` string")
+    model = toxicity.OrdinalModel([1.0], {"scum": 4.0})
+    out = toxicity.score(docs, model, keep=tuple(docs.columns)).collect()
+    assert [(r["doc_id"], r["grade"], r["_text"], r["a.b"], r["text"]) for r in out] == [(1, 1, "x", "y", "scum idiot"), (2, 0, "x", "y", None)]
+    assert toxicity.drop_toxic(docs, model).collect() == docs.where("doc_id = 2").collect()
+
+
+def test_keep_one_judges_rows_by_text(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, base, 1), (7, "an unrelated text under the same id as another one", 2), (8, base + " more", 3), (None, base, 4), (None, None, 5), (None, None, 5), (9, "  ", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = sorted(tuple(r) for r in parity_join.keep_one(docs).select("row").collect())
+    assert got == [(1,), (2,), (5,), (5,), (6,)]
+
+
+def test_hot_group_of_sketches_meets_in_cells(spark, monkeypatch):
+    """Many texts that share a passage without being near duplicates, and a few that are, with cells of a few rows each."""
+    monkeypatch.setattr(parity_join, "_CELL", 512)
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage + [f"x{r.randrange(10**6)}" for _ in range(12)])) for i in range(60)]
+    rows += [(100 + i, t + " tail") for i, t in rows[:10]]
+    assert sorted(tuple(x) for x in parity_join.near_duplicates(docs_of(spark, rows)).collect()) == brute(rows)
+
+
+def test_long_texts(spark):
+    """Texts above 50 kB, alike and not."""
+    r = random.Random(5)
+    words = [f"v{r.randrange(10**5)}" for _ in range(20_000)]
+    near = [w if i % 50 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]
+    assert sorted(tuple(x) for x in parity_join.near_duplicates(docs_of(spark, rows)).collect()) == brute(rows)

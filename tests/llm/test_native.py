@@ -193,3 +193,14 @@ def test_short_and_long_templates_together(spark):
     rows = [(1, "(c) ALL rights\nreserved."), (2, f"{filler} all rights reserved {filler}"), (3, "all rights are reserved"), (4, f"x {licenses.TEMPLATES['MIT']} {filler}"), (5, "public"), (6, None)]
     got = {(r["doc_id"], r["license"], r["n_windows"], r["first_word"]) for r in licenses.scan(docs_of(spark, rows), {**licenses.TEMPLATES, **licenses.SHORT_TEMPLATES, "one": "Public"}).collect()}
     assert got == {(1, "All-rights-reserved-line", 1, 0), (2, "All-rights-reserved-line", 2, 24), (4, "MIT", 1, 0), (5, "one", 1, 0)}
+
+
+def test_sanitize_with_clashing_columns(spark):
+    names = ["doc_id", "text", "_text", "_h", "_base", "_spans", "_pattern", "d"]
+    docs = spark.createDataFrame([(1, "mail bob@example.com now", "own", "h", "b", "s", "p", "x"), (2, None, "own", "h", "b", "s", "p", "x")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = sorted((tuple(r) for r in pii.sanitize(docs).collect()), key=lambda r: r[0])
+    assert got == [(1, "mail [EMAIL] now", "own", "h", "b", "s", "p", "x"), (2, None, "own", "h", "b", "s", "p", "x")]
+
+
+def test_scan_without_templates(spark):
+    assert licenses.scan(docs_of(spark, [(1, "licensed under the MIT license")]), {}).count() == 0
