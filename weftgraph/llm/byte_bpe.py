@@ -198,8 +198,15 @@ class _Pieces(dict):
         return ids
 
 
-@lru_cache(2)
 def vocabulary(path: str) -> ByteBpe:
+    """One for each worker process."""
+    made = shared.kept("bytes")
+    if path not in made:
+        made[path] = _vocabulary(path)
+    return made[path]
+
+
+def _vocabulary(path: str) -> ByteBpe:
     """One for each worker process."""
     return ByteBpe(path)
 
@@ -209,7 +216,7 @@ def encode_documents(docs: DataFrame, ranks: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks)
-        for batch in shared.slices(batches, most=1 << 20):
+        for batch in shared.slices(batches, most=1 << 20, owner="bytes"):
             ids = bpe.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -221,7 +228,7 @@ def decode_documents(encoded: DataFrame, ranks: str, with_offsets: bool = False)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(ranks)
-        for batch in shared.slices(batches, column="ids", most=4 << 20):
+        for batch in shared.slices(batches, column="ids", most=4 << 20, owner="bytes"):
             ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
             columns = [*batch.columns, pa.array([bpe.decode(x) for x in ids], pa.binary())]
             if with_offsets:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,11 @@ _made: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (local tests) a temporary one is set."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset and the master is local (tests) a temporary one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -82,8 +85,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that a slice holds about ``most`` bytes of ``column``; one row may hold more."""
+#: What a worker process keeps from task to task, by the operator that needs it.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    return _kept.setdefault(owner, {})
+
+
+def release(owner: str | None = None) -> None:
+    """Frees what other operators have left in this worker process, which Spark uses again for any stage."""
+    left = [k for k, v in _kept.items() if k != owner and v]
+    for k in left:
+        _kept[k].clear()
+    if left:
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # not this C library
+            pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that a slice holds about ``most`` bytes of ``column``; one row may hold more.  What operators other than ``owner`` keep in the worker is freed first."""
+    release(owner)
     for batch in batches:
         n = batch.num_rows
         if not n:

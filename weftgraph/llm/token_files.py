@@ -154,7 +154,7 @@ def write_token_files(
         end = np.array([end_id], dtype=dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
         writer, tmp, path = None, f"{root}/.shard-{shard:06d}-{context.taskAttemptId()}", f"{root}/shard-{shard:06d}"
-        for batch in shared.slices(batches, most=8 << 20):
+        for batch in shared.slices(batches, most=8 << 20, owner="words"):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 writer = ShardWriter(fs, tmp, dtype, length, rows_per_batch)

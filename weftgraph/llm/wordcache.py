@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import shared
+
 #: A blank between two characters that are not white space; the blank goes with what follows.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Blanks that are not such gaps, or white space beside one.
@@ -52,7 +54,7 @@ class CachedTokenizer:
     space only separates words.  A first or last stretch with white space at its edge is encoded whole.
     """
 
-    def __init__(self, path: str, keeps_space: bool, dtype: str = "<u4", entries: int = 900_000, longest: int = 48):
+    def __init__(self, path: str, keeps_space: bool, dtype: str = "<u4", entries: int = 700_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,12 +121,9 @@ class CachedTokenizer:
         return ids + (self._edge[" " + last] if last[-1:].isspace() else self._inner[" " + last])
 
 
-_made: dict[tuple, CachedTokenizer] = {}
-
-
 def cached_tokenizer(path: str, keeps_space: bool, dtype: str) -> CachedTokenizer:
     """One for each worker process."""
-    key = (path, keeps_space, dtype)
-    if key not in _made:
-        _made[key] = CachedTokenizer(path, keeps_space, dtype)
-    return _made[key]
+    made, key = shared.kept("words"), (path, keeps_space, dtype)
+    if key not in made:
+        made[key] = CachedTokenizer(path, keeps_space, dtype)
+    return made[key]
