@@ -137,6 +137,20 @@ def test_packing_plan(spark, rule, capacity):
     assert n <= 1.25 * need.max() + 1
 
 
+def test_packing_weighs_all_capacities():
+    """The best fit depends on documents and attention, not on tokens alone."""
+    counts = {40: 3, 30: 5, 17: 9, 9: 20, 3: 30}
+    three, one = (packing.plan(counts, packing.Capacity(64, documents=6, attention=2200), rule="norm", weights=w) for w in ((1.0, 1.0, 1.0), (1.0, 0.0, 0.0)))
+    assert any(three[k].tolist() != one[k].tolist() for k in counts)
+
+
+def test_packing_spreads_a_length_that_most_pieces_share(spark):
+    rows = [(i, 0, 64 if i % 3 else 1 + i % 50) for i in range(3000)]
+    out = packing.assign(spark.createDataFrame(rows, "row long, piece int, length long"), packing.Capacity(64)).collect()
+    check_packing(out, packing.Capacity(64))
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == len(rows)
+
+
 def test_packing_edges(spark):
     out = packing.pack_documents(docs_of(spark, EDGES), P.path("word_bpe_49k.json")).collect()
     check_packing(out, packing.Capacity())

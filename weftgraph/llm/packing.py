@@ -101,7 +101,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = 20
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = cached_tokenizer(tokenizer, False, "<u4"), np.array([end_id], "<u4").tobytes()
-        for batch in shared.slices(batches, most=8 << 20):
+        for batch in shared.slices(batches, most=8 << 20, owner="words"):
             out: list[tuple] = []
             for doc_id, row, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), tok.encode_many(batch.column("text"))):
                 ids += end
@@ -113,19 +113,22 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int = 20
     return shared.table(rows.mapInArrow(cut, "doc_id long, row long, piece int, start long, length long, ids binary"), "pieces")
 
 
-def assign(pieces: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple = (1.0, 1.0, 1.0), salt: int = 64) -> DataFrame:
+def assign(pieces: DataFrame, capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple = (1.0, 1.0, 1.0), salt: int = 4) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (columns row, piece and length are needed; others are kept).
 
-    Pieces are numbered within (length, salt) so that a length that a third of all pieces share is spread over
-    tasks; the salts' counts, at most ``salt`` for each length, give the numbers where each salt begins.
+    Pieces are numbered within (length, salt).  A length gets salts by its share of all pieces, ``salt`` times as many as there are shuffle partitions in all and one at
+    least, so a length that a third of all pieces share is spread over tasks; the salts' counts, at most the lengths and these salts, give the numbers where each salt begins.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salt)).cast("int"))
+    spark = pieces.sparkSession
+    # One row for each length that occurs: at most ``capacity.tokens``.
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    rows, total = plan(histogram, capacity, rule, weights), max(1, sum(histogram.values()))
+    parts = salt * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = spark.createDataFrame([(k, -(-n * parts // total)) for k, n in histogram.items()], "length long, _salts long")
+    salted = pieces.join(F.broadcast(share), "length").withColumn("_salt", F.expr("pmod(xxhash64(row, piece), _salts)").cast("int"))
     counts = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = shared.table(counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))), "lengths")
-    # One row for each length that occurs: at most ``capacity.tokens``.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    rows = plan(histogram, capacity, rule, weights)
 
     numbered = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("row", "piece")) - 1)
     numbered = numbered.join(F.broadcast(counts.select("length", "_salt", "_before")), ["length", "_salt"]).withColumn("_i", F.col("_n") + F.col("_before"))

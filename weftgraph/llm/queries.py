@@ -47,6 +47,7 @@ def op6_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels have two grades, so the model has one threshold here; with more grades it has one less than there are."""
     docs = shared.documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -56,6 +57,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 2,048 tokens a sequence.  The other two capacities, 2,048 documents and an attention cost of 2,048 squared, are those that this limit implies (a sum of squares is at most
+    the square of the sum), so as few sequences as possible are used; the score still weighs all three residuals.  Callers set tighter ones by ``Capacity``."""
     pieces = packing.tokenize_pieces(shared.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
     narrow = pieces.select("doc_id", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.assign(narrow).drop("row")
