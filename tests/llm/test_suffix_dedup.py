@@ -66,6 +66,28 @@ def test_buckets_smaller_than_groups(spark):
     assert removed == {d: (n, s) for d, _, n, s, _ in brute(rows)}
 
 
+def test_hot_anchors_in_halves(spark):
+    """Every anchor dealt by the longer keys."""
+    rows = fixture(5)
+    docs = docs_of(spark, rows)
+    got = suffix_dedup._with_marks(docs, suffix_dedup.find_marks(docs, chunk=64, hot=1)).collect()
+    removed = []
+    for g in got:
+        own = g["_marks"] and tuple(np.array([m[k] for m in g["_marks"]]) for k in ("check", "ident", "marks"))
+        a, b = suffix_dedup._runs((g["text"] or "").encode(), own)
+        removed.append((g["doc_id"], int((b - a).sum()), len(a)))
+    assert sorted(removed, key=str) == sorted(((d, n, s) for d, _, n, s, _ in brute(rows)), key=str)
+
+
+def test_long_texts(spark):
+    """Texts above 50 kB that share some passages, and runs of one sign."""
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n))
+    base = noise(60_000)
+    rows = [(1, base), (2, noise(30_000) + base[20_000:21_000] + noise(30_000)), (3, " " * 60_000), (4, base[:100] + " " * 3000), (5, noise(55_000))]
+    assert sorted((tuple(x)[:5] for x in suffix_dedup.find_repeats(docs_of(spark, rows)).collect()), key=str) == brute(rows)
+
+
 def test_sort_bucket_is_exact():
     r = np.random.default_rng(3)
     base = r.integers(97, 100, suffix_dedup._SLOT, dtype=np.uint8)

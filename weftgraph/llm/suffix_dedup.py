@@ -13,7 +13,8 @@ A byte is removed if a string of ``span`` bytes that covers it also starts in a
    left: the bytes up to the next cover position, then its rank.  Every other suffix reaches a cover position within few
    bytes, so it is sorted by those bytes and the rank found there: long ties cost nothing, and memory is that of one bucket.
    Neighbours in suffix order that agree in ``span`` bytes form a group; all but those of its smallest document are marked.
-   A longer anchor group is continued with those of its slots that held a string first.
+   A longer anchor group is continued with those of its slots that held a string first.  An anchor of very many documents is dealt in halves:
+   strings that start early enough in their slot go by the anchor and 13 bytes before it, the others by the anchor and 13 bytes behind it.
 4. *Cut.*  Marks return to their documents, whose covered bytes are cut out.
 
 Null text counts as empty.  Rows with a null doc_id neither remove nor lose anything (no document is smaller than they, they
@@ -41,6 +42,10 @@ _STARTS = _REACH + 1  # places in a slot at which such a string can start
 #: The smallest difference cover modulo 7.
 COVER, PERIOD = [0, 1, 3], 7
 _SLOT = 2 * _REACH + GRAM
+#: A string that holds an anchor holds this many bytes before it too (if it starts at most so far into its slot) or as many behind it.
+_HALF = _REACH // 2
+#: Documents beyond which an anchor's slots are dealt by a longer key.
+_HOT = 100_000
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -52,24 +57,54 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - reach)], x[width - reach :]) if width > reach else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, prefix sums) of the anchors of a text of at least SPAN bytes: grams that are smallest within some string of SPAN bytes."""
-    if len(data) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
-    n = len(data) - GRAM + 1
-    at = np.arange(n)
-    sums = prefix_sums(data)
-    h = range_hash(sums, at, at + GRAM)
-    width = SPAN - GRAM + 1
-    least = _slide(h, width, np.minimum)  # of the string that starts here
-    most = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    places = np.flatnonzero(h == most)
-    return places, h[places].astype(np.int64), sums
+class Anchored:
+    """The anchors of several texts, computed over all their bytes at once: grams that are smallest within some string of SPAN bytes of their text.
 
+    places (in data), hashes, doc (number of the text), and the bytes of the text on either side of each place, left and right, that its context holds.
+    """
 
-def extents(n: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a text of length n on either side of each place that its context holds."""
-    return np.minimum(places, _REACH), np.minimum(n - places - GRAM, _REACH)
+    def __init__(self, texts: list[bytes]):
+        self.data = data = np.frombuffer(b"".join(texts), np.uint8)
+        self.edges = edges = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        self.sums = prefix_sums(data)
+        n = len(data) - SPAN + 1
+        if n <= 0:
+            self.places = self.doc = self.hashes = np.zeros(0, np.int64)
+        else:
+            at = np.arange(len(data) - GRAM + 1)
+            h = range_hash(self.sums, at, at + GRAM)
+            width = SPAN - GRAM + 1
+            least = _slide(h, width, np.minimum)  # of the string that starts here
+            # Strings that cross from one text to the next don't count.
+            for e in edges[1:-1].tolist():
+                least[max(0, e - SPAN + 1) : e] = 0
+            most = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
+            self.places = np.flatnonzero((h == most) & (most != 0))
+            self.hashes = h[self.places].astype(np.int64)
+            self.doc = np.searchsorted(edges, self.places, side="right") - 1
+        self._extents()
+
+    def _extents(self) -> None:
+        self.left = np.minimum(self.places - self.edges[self.doc], _REACH)
+        self.right = np.minimum(self.edges[self.doc + 1] - self.places - GRAM, _REACH)
+
+    def keep(self, which: np.ndarray) -> None:
+        self.places, self.hashes, self.doc, self.left, self.right = (x[which] for x in (self.places, self.hashes, self.doc, self.left, self.right))
+
+    def own(self, value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Values told apart by their text."""
+        return mix(value.astype(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+
+    def idents(self) -> np.ndarray:
+        return idents(self.sums, self.places, self.left, self.right)
+
+    def slots(self) -> np.ndarray:
+        """A slot for each place: the context, zeros outside the text, and the two extents."""
+        padded = np.concatenate([np.zeros(_REACH, np.uint8), self.data, np.zeros(_REACH + GRAM, np.uint8)])
+        slots = np.lib.stride_tricks.sliding_window_view(padded, _SLOT)[self.places]
+        column = np.arange(_SLOT)
+        inside = (column >= (_REACH - self.left)[:, None]) & (column < (_REACH + GRAM + self.right)[:, None])
+        return np.concatenate([slots * inside, np.stack([self.left, self.right], axis=1).astype(np.uint8)], axis=1)
 
 
 def idents(sums: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -77,13 +112,6 @@ def idents(sums: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.nda
     return mix(range_hash(sums, places - left, places + GRAM + right) + left.astype(np.uint64)).astype(np.int64)
 
 
-def contexts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Slots around the places: the context, zeros outside the text, and the two extents."""
-    padded = np.concatenate([np.zeros(_REACH, np.uint8), data, np.zeros(_REACH + GRAM, np.uint8)])
-    slots = np.lib.stride_tricks.sliding_window_view(padded, _SLOT)[places]
-    return np.concatenate([slots, np.stack(extents(len(data), places), axis=1).astype(np.uint8)], axis=1)
-
-
 def _words(slots: np.ndarray, at: int, n: int) -> np.ndarray:
     """The n (at most 8) bytes at ``at`` of each slot, as integers in byte order."""
     out = np.zeros(len(slots), np.uint64)
@@ -157,12 +185,16 @@ def _sort_stream(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.R
         return out, (keys[at], docs[at], s[at], e[at])
 
     for batch in batches:
-        raw = np.frombuffer(b"".join(batch.column("slot").to_pylist()), np.uint8).reshape(batch.num_rows, _SLOT + 4)
+        raw = np.frombuffer(b"".join(batch.column("slot").to_pylist()), np.uint8).reshape(batch.num_rows, _SLOT + 5)
         slots, (left, right) = raw[:, :_SLOT], raw[:, _SLOT : _SLOT + 2].astype(np.int64).T
-        check = raw[:, _SLOT + 2].astype(np.int64) << 8 | raw[:, _SLOT + 3]
+        check, part = raw[:, _SLOT + 2].astype(np.int64) << 8 | raw[:, _SLOT + 3], raw[:, _SLOT + 4]
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
         sums, at = prefix_sums(np.ascontiguousarray(slots).ravel()), np.arange(batch.num_rows) * _SLOT + _REACH
-        key, edges = range_hash(sums, at, at + GRAM).astype(np.int64), np.stack([_REACH - left, np.maximum(right + left - _REACH + 1, 0)], axis=1)
+        key = mix(range_hash(sums, at - _HALF * (part == 1), at + GRAM + _HALF * (part == 2)) + part).astype(np.int64)
+        # Where strings that hold the anchor can start, and how many places there are; a half of a hot anchor takes its own.
+        low, high = _REACH - left, np.maximum(right + 1, _REACH - left)
+        low, high = np.where(part == 2, np.maximum(low, _HALF + 1), low), np.where(part == 1, np.minimum(high, _HALF + 1), high)
+        edges = np.stack([low, np.maximum(high - low, 0)], axis=1)
         held.append((key, doc, check, idents(sums, at, left, right), slots, edges))
         size += batch.num_rows
         if size >= chunk:
@@ -182,41 +214,53 @@ def _raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def find_marks(docs: DataFrame, chunk: int = 1 << 16, hot: int = _HOT) -> DataFrame:
     """(doc_id, _marks): for each document with repeats, (check of the text, hash of a context, starts marked in it)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = shared.texts(docs).where(F.col("doc_id").isNotNull())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.slices(batches, most=2 << 20):
-            keys = [np.unique(anchors(np.frombuffer(t, np.uint8))[1]) for t in _raw(batch)]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "keys"])
+        for batch in shared.slices(batches, most=1 << 19):
+            a = Anchored(_raw(batch))
+            _, one = np.unique(a.own(a.hashes, a.doc), return_index=True)
+            one.sort()
+            ends = np.append(0, np.cumsum(np.bincount(a.doc[one], minlength=batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(a.hashes[one]))], names=["doc_id", "keys"])
 
     sent = rows.mapInArrow(send, "doc_id long, keys array<long>").select(F.explode("keys").alias("key"), "doc_id")
     ordered = sent.repartition(n, "key").sortWithinPartitions("key", "doc_id")
     found = shared.table(ordered.mapInArrow(lambda b: shared_keys(b, "doc_id"), "key long, first long, doc_id long"), "shared-anchors")
 
+    # So many documents for each hot anchor that there are at most 50 of them a partition: the set is bounded by the cluster, not by the data.
+    limit = max(hot, found.count() // (50 * n))
+    hot_keys = np.array([r["key"] for r in found.groupBy("key").count().where(F.col("count") > limit).select("key").collect()], np.int64)
     wanted = found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.slices(batches, most=1 << 20):
-            ids, parts = [], []
-            for doc_id, text, keys in zip(batch.column("doc_id").to_pylist(), _raw(batch), batch.column("keys")):
-                data = np.frombuffer(text, np.uint8)
-                places, h, sums = anchors(data)
-                places = places[np.isin(h, keys.values.to_numpy(zero_copy_only=False))]
-                _, one = np.unique(idents(sums, places, *extents(len(data), places)), return_index=True)
-                check = np.full((len(one), 2), divmod(_check(text), 256), np.uint8)
-                parts.append(np.concatenate([contexts(data, places[one]), check], axis=1))
-                ids.append(np.full(len(one), doc_id))
-            both = np.concatenate(parts)
-            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SLOT + 4), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), fixed], names=["doc_id", "slot"])
+        for batch in shared.slices(batches, most=1 << 19):
+            texts, keys = _raw(batch), batch.column("keys")
+            a = Anchored(texts)
+            given = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            a.keep(np.isin(a.own(a.hashes, a.doc), a.own(keys.flatten().to_numpy(zero_copy_only=False), given)))
+            _, one = np.unique(a.own(a.idents(), a.doc), return_index=True)
+            a.keep(np.sort(one))
+            check = np.array([divmod(_check(t), 256) for t in texts], np.uint8).reshape(-1, 2)
+            both = np.concatenate([a.slots(), check[a.doc], np.zeros((len(a.doc), 1), np.uint8)], axis=1)
+            doc = a.doc
+            if len(hot_keys) and (split := np.isin(a.hashes, hot_keys)).any():
+                halves = [both[split], both[split]]
+                halves[0][:, -1], halves[1][:, -1] = 1, 2
+                both, doc = np.concatenate([both[~split], *halves]), np.concatenate([doc[~split], doc[split], doc[split]])
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SLOT + 5), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), fixed], names=["doc_id", "slot"])
 
     # Written, so that the shuffle of the texts is gone before that of the slots begins.
     joined = shared.table(rows.join(wanted, "doc_id"), "anchored-texts")
-    anchor = F.substring("slot", _REACH + 1, GRAM)
+    part = F.substring("slot", _SLOT + 5, 1)
+    one, two = (F.lit(bytes([k])) for k in (1, 2))
+    bytes_of = F.when(part == one, F.substring("slot", _REACH - _HALF + 1, GRAM + _HALF)).when(part == two, F.substring("slot", _REACH + 1, GRAM + _HALF)).otherwise(F.substring("slot", _REACH + 1, GRAM))
+    anchor = F.concat(part, bytes_of) if len(hot_keys) else F.substring("slot", _REACH + 1, GRAM)
     bucketed = joined.mapInArrow(slots, "doc_id long, slot binary").repartition(n, anchor).sortWithinPartitions(anchor, "doc_id")
     marks = shared.table(bucketed.mapInArrow(lambda b: _sort_stream(b, chunk), "doc_id long, check long, ident long, marks long"), "marks")
     shared.drop_table(found)
@@ -224,21 +268,38 @@ def find_marks(docs: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("check", "ident", "marks")).alias("_marks"))
 
 
-def covered(data: np.ndarray, ident: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which bytes lie in a marked string."""
-    places, _, sums = anchors(data)
-    order = np.argsort(ident)
-    ident, marks = ident[order], marks[order]
-    own = idents(sums, places, *extents(len(data), places))
+def _all_runs(texts: list[bytes], given: list[tuple | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the removed runs of each text, from its marks."""
+    none = np.zeros(0, np.int64)
+    out = [(none, none)] * len(texts)
+    marked = []
+    for i, (t, m) in enumerate(zip(texts, given)):
+        if m is not None and (own := m[0] == _check(t)).any():
+            marked.append((i, m[1][own], m[2][own]))
+    if not marked:
+        return out
+    a = Anchored([texts[i] for i, _, _ in marked])
+    number = np.repeat(np.arange(len(marked)), [len(x) for _, x, _ in marked])
+    ident, marks = a.own(np.concatenate([x for _, x, _ in marked]), number), np.concatenate([x for _, _, x in marked])
+    # A context's marks may come in two halves.
+    ident, where = np.unique(ident, return_inverse=True)
+    bits = np.zeros(len(ident), np.int64)
+    np.bitwise_or.at(bits, where, marks)
+    own = a.own(a.idents(), a.doc)
     at = np.minimum(np.searchsorted(ident, own), len(ident) - 1)
     hit = ident[at] == own
-    places, bits = places[hit], marks[at[hit]]
-    change = np.zeros(len(data) + 1, np.int32)
+    places, bits = a.places[hit], bits[at[hit]]
+    change = np.zeros(len(a.data) + 1, np.int32)
     for r in range(_STARTS):
         starts = places[(bits >> r) & 1 == 1] - _REACH + r
         change[starts] += 1  # places differ, so do the starts
         change[starts + SPAN] -= 1
-    return np.cumsum(change[:-1]) > 0
+    gone = np.cumsum(change[:-1]) > 0
+    for k, (i, _, _) in enumerate(marked):
+        g = np.concatenate([[False], gone[a.edges[k] : a.edges[k + 1]], [False]])
+        cut = np.flatnonzero(g[1:] != g[:-1])
+        out[i] = (cut[::2], cut[1::2])
+    return out
 
 
 def _with_marks(docs: DataFrame, marks: DataFrame, *keep: str) -> DataFrame:
@@ -256,12 +317,7 @@ def _marks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 def _runs(text: bytes, marks: tuple | None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the removed runs."""
-    own = marks[0] == _check(text) if marks is not None else np.zeros(0, bool)
-    if not own.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gone = np.concatenate([[False], covered(np.frombuffer(text, np.uint8), marks[1][own], marks[2][own]), [False]])
-    change = np.flatnonzero(gone[1:] != gone[:-1])
-    return change[::2], change[1::2]
+    return _all_runs([text], [marks])[0]
 
 
 def _rest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -273,10 +329,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start and end byte) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.slices(batches, most=2 << 20):
-            out = []
-            for doc_id, text, marks in zip(batch.column("doc_id").to_pylist(), _raw(batch), _marks_of(batch)):
-                a, b = _runs(text, marks)
+        for batch in shared.slices(batches, most=1 << 19):
+            out, raw = [], _raw(batch)
+            for doc_id, text, (a, b) in zip(batch.column("doc_id").to_pylist(), raw, _all_runs(raw, list(_marks_of(batch)))):
                 spans = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())]
                 out.append((doc_id, len(text), int((b - a).sum()), len(a), hashlib.sha256(_rest(text, a, b)).hexdigest(), spans))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -293,10 +348,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     rest = [c for c in names if c not in ("doc_id", "text")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.slices(batches, most=2 << 20):
-            texts = []
-            for text, marks in zip(_raw(batch), _marks_of(batch)):
-                a, b = _runs(text, marks)
+        for batch in shared.slices(batches, most=1 << 19):
+            texts, raw = [], _raw(batch)
+            for text, (a, b) in zip(raw, _all_runs(raw, list(_marks_of(batch)))):
                 texts.append(_rest(text, a, b).decode("utf-8", "ignore") if len(a) else text.decode())
             columns = [batch.column("doc_id"), pa.array(texts, pa.string()), *([batch.column("_row")] if rest else [])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", *(["_row"] if rest else [])])
