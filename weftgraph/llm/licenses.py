@@ -94,6 +94,8 @@ def _minhash(shingles: Column, bands: int) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.75, miss: float = 1e-4) -> DataFrame:
     """doc_id, license, containment (the best of the document's windows), n_windows (that hold it), first_word (start of the first such window)."""
     spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
+    if not templates:
+        return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long, first_word long")
     anchors = hitting_words(templates)
     has_anchor = lambda words: F.exists(words, lambda w: w.isin(anchors))
     rows = shared.texts(docs).select("doc_id", _words(F.col("text")).alias("words")).where(has_anchor("words"))
