@@ -4,10 +4,11 @@ A text is cut into paragraphs (lines, and the sentences of a line).  Each paragr
 occurrence in the text, gives a 64-bit digest; the digest is added to one cell in each third of the sketch.  A cell
 holds a count, the XOR of its digests and the XOR of their checks.  The difference of two sketches holds only
 what the texts don't share; cells with one digest are peeled until none is left, which recovers the differing digests.
-Where peeling fails, both sketches are built anew with twice the cells.
 
 The fingerprint of a text is its sketch with ``CELLS`` cells and its number of paragraphs: a function of the text
-alone, so equal texts have equal fingerprints.  Null text counts as empty (no paragraphs; two empty texts are
+alone, so equal texts have equal fingerprints.  The likeness of two texts comes from the difference of their fingerprints.  Where peeling it fails, the
+squares of its counts, of which every differing digest adds about one to each third, tell how many digests differ; both sketches are
+built anew for so many, at least twice as large, until one is peeled.  Null text counts as empty (no paragraphs; two empty texts are
 alike to 1).  An empty table gives no rows.  Rows are ordered by doc_id (null first), ties by a hash of the
 text and the text; repeated rows follow each other; other columns are ignored.
 """
@@ -15,6 +16,7 @@ text and the text; repeated rows follow each other; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -93,32 +95,46 @@ def peel(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]] | None:
     return None if any(count) or any(digest) or any(check) else only
 
 
-def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """The digests in which two texts differ, retrying with twice the cells; each retry fails with a small probability only."""
-    while True:
-        if (only := peel(sketch(a, cells), sketch(b, cells))) is not None:
-            return only
-        cells *= 2
+def estimate(a: np.ndarray, b: np.ndarray) -> float:
+    """How many digests two sketches differ in, about: without bias, as digests fall into cells at random."""
+    count = a["count"].astype(np.float64) - b["count"]
+    return float((count**2).sum() / 3)
 
 
-def fingerprint(d: np.ndarray) -> str:
-    return f"{len(d)}:{sketch(d).tobytes().hex()}"
+def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS, sketches: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[int], list[int]]:
+    """The digests in which two texts differ, from the difference of their sketches with ``cells`` cells (given, or built), then of larger ones; a
+    retry with enough cells for the estimated difference fails with a small probability only."""
+    x, y = sketches if sketches is not None else (sketch(a, cells), sketch(b, cells))
+    while (only := peel(x, y)) is None:
+        cells = 3 * -(-max(2 * cells, int(1.7 * min(estimate(x, y), len(a) + len(b)))) // 3)
+        x, y = sketch(a, cells), sketch(b, cells)
+    return only
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared paragraphs among all paragraphs of both, from the recovered difference."""
+def fingerprint(d: np.ndarray, s: np.ndarray | None = None) -> str:
+    return f"{len(d)}:{(sketch(d) if s is None else s).tobytes().hex()}"
+
+
+def likeness(a: np.ndarray, b: np.ndarray, sketches: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Shared paragraphs among all paragraphs of both, from the difference that their fingerprints' sketches give."""
     n = len(a) + len(b)
     if not n:
         return 1.0
-    if len(a) == len(b) and (a == b).all():
-        return 1.0
-    d = sum(map(len, differing(a, b, _first_size(n))))
+    d = sum(map(len, differing(a, b, sketches=sketches)))
     return (n - d) / (n + d)
 
 
-def _first_size(n: int) -> int:
-    """Cells for a first try: enough that texts which share nothing are peeled with few retries."""
-    return max(CELLS, 3 * (n // 2))
+def _bucket(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` lie below a value: counted among blocks of cuts first, then within one, so the work grows with the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
+    # The block before the first one that begins at or above the value holds the place.
+    block = F.greatest(below(F.array(*[F.lit(b[0]) for b in blocks])) - 1, F.lit(0))
+    table = F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks])
+    return block * size + below(F.get(table, block))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -132,11 +148,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = shared.texts(docs).select(F.approx_percentile("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.expr("0") + F.size(F.filter(bounds, lambda c: c < F.col("o")))
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", _bucket(F.col("o"), cuts))
     firsts = sorted((r["bucket"], r["f"]["o"], r["f"]["h"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("o", "h")).alias("f")).collect())
     if not firsts:
         return rows.withColumn("ghost", F.lit(False))
@@ -167,9 +179,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 if not held and ghost:
                     continue
                 d = digests(text)
+                s = sketch(d)
                 if held:
-                    out.append(_row(held, doc_id, text, d))
-                held = None if ghost else (bucket, doc_id, text, d)
+                    out.append(_row(held, doc_id, text, d, s))
+                held = None if ghost else (bucket, doc_id, text, d, s)
                 if len(out) >= 2000:
                     yield _record(out)
                     out = []
@@ -182,9 +195,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(work, schema)
 
 
-def _row(held: tuple, next_id: int | None, next_text: str, next_d: np.ndarray) -> tuple:
-    _, doc_id, text, d = held
+def _row(held: tuple, next_id: int | None, next_text: str, next_d: np.ndarray, next_s: np.ndarray) -> tuple:
+    _, doc_id, text, d, s = held
     n = len(text)
     edited = text[: n - n // 2] + next_text[: n // 2]
     e = digests(edited)
-    return doc_id, n, fingerprint(d), next_id, likeness(d, next_d), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(e), likeness(d, e)
+    t = sketch(e)
+    return doc_id, n, fingerprint(d, s), next_id, likeness(d, next_d, (s, next_s)), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(e, t), likeness(d, e, (s, t))
