@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, fingerprints, licenses, packing, parity_join, pii, shared, suffix_dedup, token_files, toxicity
+from . import byte_bpe, cross_align, exact_topk, fingerprints, licenses, packing, parity_join, pii, shared, suffix_dedup, token_files, toxicity
 
 #: Fixed value: the id that closes a document in token files.
 TOKEN_FILE_END = 2
@@ -70,6 +70,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One link for each group, since of a group's tokens only the last two end together."""
+    both = cross_align.align_documents(shared.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    narrow = both.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), digest, "pairs", "times")
+    return cross_align.score_links(narrow).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_cross_align": op11_cross_align,
 }
 
 
