@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cross_align, exact_topk, fingerprints, licenses, packing, parity_join, pii, shared, suffix_dedup, token_files, toxicity
+from . import byte_bpe, cross_align, exact_topk, fingerprints, licenses, packing, parity_join, pii, secret_scan, shared, suffix_dedup, token_files, toxicity
 
 #: Fixed value: the id that closes a document in token files.
 TOKEN_FILE_END = 2
@@ -78,6 +78,10 @@ def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_align.score_links(narrow).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(shared.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_cross_align": op11_cross_align,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 
