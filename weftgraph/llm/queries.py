@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cross_align, exact_topk, fingerprints, licenses, packing, parity_join, pii, secret_scan, shared, suffix_dedup, token_files, toxicity
+from . import byte_bpe, cross_align, exact_topk, fingerprints, licenses, packing, parity_join, pii, secret_scan, shared, suffix_dedup, token_files, toxicity, zorder_layout
 
 #: Fixed value: the id that closes a document in token files.
 TOKEN_FILE_END = 2
@@ -82,6 +82,11 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(shared.documents(spark, sf_dir))
 
 
+def op13_zorder_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = zorder_layout.place(zorder_layout.document_values(shared.documents(spark, sf_dir)), zorder_layout.DOCUMENTS)
+    return placed.select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_cross_align": op11_cross_align,
     "op12_secret_scan": op12_secret_scan,
+    "op13_zorder_layout": op13_zorder_layout,
 }
 
 
@@ -112,7 +118,33 @@ def _license_sql() -> str:
         SELECT doc_id, license, round(max(share), 6) AS containment, count(*) AS n_windows, min(start)::BIGINT AS first_word FROM h WHERE share >= 0.75 GROUP BY 1, 2"""
 
 
+def _layout_sql() -> str:
+    """The layout by ranks over all rows and a join of cells with cells and files."""
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: xor(a >> 1, 3988292384 * (a & 1)))))"
+    values = ["source", "lang", "length", "date"]
+    names = ["s", "l", "len", "d"]
+    ends = ", ".join(f"min({n}) AS a_{n}, max({n}) AS b_{n}" for n in names)
+    bounds = ", ".join(f"a_{n}, b_{n}" for n in names)
+    rank = ", ".join(f"(16 * (rank() OVER (ORDER BY {v} NULLS FIRST) - 1)) // count(*) OVER () AS {n}" for v, n in zip(values, names))
+    z = " + ".join(f"((({n} >> {bit}) & 1) << {4 * bit + 3 - k})" for bit in range(4) for k, n in enumerate(["len", "s", "d", "l"]))
+    return f"""
+        WITH v AS (SELECT doc_id::BIGINT AS doc_id, source, lang, CASE WHEN text IS NULL THEN -1 ELSE strlen(text) END AS length, {crc} % 365 AS date FROM documents),
+        c AS (SELECT doc_id, {rank} FROM v),
+        z AS (SELECT *, {z} AS z FROM c),
+        p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id) - 1 AS position FROM z),
+        f AS (SELECT *, position // 500 AS file FROM p),
+        b AS (SELECT file, {ends} FROM f GROUP BY 1),
+        q AS (SELECT DISTINCT z, {", ".join(names)} FROM f),
+        o AS (SELECT DISTINCT z, file, {", ".join(names)} FROM f),
+        t AS (SELECT q.z, count(*) AS files_touched FROM q JOIN b ON q.s BETWEEN a_s AND b_s AND q.l BETWEEN a_l AND b_l
+              AND a_len <= q.len + 2 AND b_len >= q.len - 2 AND a_d <= q.d + 2 AND b_d >= q.d - 2 GROUP BY 1),
+        m AS (SELECT q.z, count(DISTINCT o.file) AS files_matching FROM q JOIN o ON q.s = o.s AND q.l = o.l AND abs(q.len - o.len) <= 2 AND abs(q.d - o.d) <= 2 GROUP BY 1)
+        SELECT doc_id, z::BIGINT AS z, position::BIGINT AS position, file::BIGINT AS file, files_touched, files_matching, concat_ws(',', {bounds}) AS file_bounds
+        FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_zorder_layout": _layout_sql(),
     "op6_license_scan": _license_sql(),
     "op5_exact_topk": """
         WITH v AS (
