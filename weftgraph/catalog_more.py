@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import catalog
 from .catalog import _DEGREE, _DEPS, ORACLE_SQL, QUERIES, graph_query, query  # noqa: F401  (both tables are filled here too)
 from .functions import scalars
-from .operators import ask, embed, fleet, graph, health, links, render, search, text, traverse, views
-from .plans.view import edges, nodes, read
+from .operators import ask, embed, fleet, graph, health, links, render, search, text, textindex, traverse, views
+from .plans.view import VIEW_SQL, edges, nodes, read
 from .plans.work import shared_folder, work_table
 from .sources import extract, files, shards, sinks, web
 from .streaming import incremental
@@ -481,6 +481,27 @@ def fts_bm25(spark, sf):
     return search.fts_bm25(nodes(spark, sf), "old brand")
 
 
+@graph_query(ORACLE_SQL["fts_bm25"].removeprefix(VIEW_SQL))
+def fts_index(spark, sf):
+    """The same from a stored index."""
+    index = textindex.TextIndex(spark, _folder(spark, "text-index"))
+    index.build(nodes(spark, sf))
+    return index.search("old brand")
+
+
+@graph_query(ORACLE_SQL["fts_bm25"].removeprefix(VIEW_SQL).replace("'old brand'", "'order 1'").replace("'old'", "'order'").replace("'brand'", "'1'"))
+def fts_index_refreshed(spark, sf):
+    """An index of nodes that were named otherwise, and of some that are gone, after both were refreshed."""
+    n = nodes(spark, sf)
+    changed = n.where(F.crc32("node_id") % 3 == 0)
+    before = n.withColumn("name", F.when(F.crc32("node_id") % 3 == 0, F.concat(F.lit("former "), "name")).otherwise(F.col("name")))
+    gone = n.where(F.crc32("node_id") % 5 == 0).withColumn("node_id", F.concat(F.lit("gone_"), "node_id"))
+    index = textindex.TextIndex(spark, _folder(spark, "text-index"))
+    index.build(before.unionByName(gone))
+    index.refresh(changed, gone)
+    return index.search("order 1")
+
+
 @query()
 def ann_topk(spark, sf):
     v = read(spark, sf, "embeddings")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.view import confidence_rank
-from ..plans.work import work_table
+from ..plans.work import small, work_table
 
 #: The relations that carry an impact, how far it is followed, and how many hits are kept.
 IMPACT = ["calls", "depends_on", "inherits", "references", "reads", "writes", "uses"]
@@ -61,38 +63,70 @@ def impact_index(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, limit: in
     return hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n_hits"), F.sum((F.col("hop") == 1).cast("long")).alias("n_direct"), F.sum((F.col("confidence") == "EXTRACTED").cast("long")).alias("n_sure"), F.max("hop").alias("furthest"))
 
 
+def _step(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(node_id, via): what edges, in either direction, lead to from ``frontier`` (node_id), each with its smallest predecessor.  A frontier whose size is checked and small is broadcast, so
+    the edges are read without a shuffle."""
+    at = frontier.select(F.col("node_id").alias("via"))
+    at = F.broadcast(at) if small(at) else at
+    out = edges.select(F.col("src").alias("via"), F.col("dst").alias("node_id")).join(at, "via")
+    back = edges.select(F.col("dst").alias("via"), F.col("src").alias("node_id")).join(at, "via")
+    return out.unionByName(back).groupBy("node_id").agg(F.min("via").alias("via"))
+
+
+_REACHED = "node_id string, hop int, via string"
+
+
+def _next_level(edges: DataFrame, seen: DataFrame, frontier: DataFrame, hop: int) -> DataFrame:
+    new = _step(edges, frontier).join(seen.select("node_id"), "node_id", "left_anti")
+    return work_table(new.select("node_id", F.lit(hop).alias("hop"), "via"), "frontier")
+
+
 def hop_distance(edges: DataFrame, start: str, hops: int = 6) -> DataFrame:
     """(node_id, hop, via) over undirected edges; ``via`` is the smallest predecessor."""
-    both = work_table(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "adjacency")
-    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "node_id string, hop int, via string")
-    frontier = seen.select("node_id")
+    seen = frontier = edges.sparkSession.createDataFrame([(start, 0, None)], _REACHED)
     for hop in range(1, hops + 1):
-        reached = frontier.join(both, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("via"))
-        new = work_table(reached.join(seen, F.col("n") == F.col("node_id"), "left_anti").select(F.col("n").alias("node_id"), F.lit(hop).alias("hop"), "via"), "frontier")
-        seen, frontier = seen.unionByName(new), new.select("node_id")
-        if new.isEmpty():
+        frontier = _next_level(edges, seen, frontier, hop)
+        if frontier.isEmpty():
             break
+        seen = seen.unionByName(frontier)
     return seen
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 6) -> DataFrame:
-    """(step, node_id) of one shortest undirected path, empty if there is none within ``hops``; the driver walks back over at most ``hops`` rows."""
-    both = work_table(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "adjacency")
-    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "node_id string, hop int, via string")
-    frontier = seen.select("node_id")
-    for hop in range(1, hops + 1):
-        if start == end or frontier.where(F.col("node_id") == end).limit(1).count():
-            break
-        reached = frontier.join(both, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("via"))
-        new = work_table(reached.join(seen, F.col("n") == F.col("node_id"), "left_anti").select(F.col("n").alias("node_id"), F.lit(hop).alias("hop"), "via"), "frontier")
-        seen, frontier = seen.unionByName(new), new.select("node_id")
-        if new.isEmpty():
+    """(step, node_id) of one shortest undirected path, empty if there is none within ``hops``.  Of several shortest paths it is the one that, walked back from ``end``, always takes the smallest node.
+
+    Two searches grow towards each other, always that with the smaller frontier, and meet by a join.  From where they meet, the nodes on shortest paths are followed
+    to ``end`` level by level, each with its smallest predecessor; the driver then walks back over at most ``hops`` rows.
+    """
+    spark = edges.sparkSession
+    if start == end:
+        return spark.createDataFrame([(0, start)], "step int, node_id string")
+    levels = {side: [spark.createDataFrame([(at, 0, None)], _REACHED)] for side, at in (("start", start), ("end", end))}
+    size = {"start": 1, "end": 1}
+    for _ in range(hops):
+        side = min(size, key=lambda s: (size[s], s != "start"))
+        own, other = levels[side], levels["end" if side == "start" else "start"]
+        new = _next_level(edges, reduce(DataFrame.unionByName, own), own[-1], len(own))
+        size[side] = new.count()
+        if not size[side]:
+            return spark.createDataFrame([], "step int, node_id string")
+        own.append(new)
+        # What is new can only lie on the other side's last level: anything nearer would have met before.
+        met = new.select("node_id").join(other[-1].select("node_id"), "node_id", "left_semi")
+        if not met.isEmpty():
             break
-    path, at = [], end
-    while at is not None and (row := seen.where(F.col("node_id") == at).first()):
-        path.append((row["hop"], at))
-        at = row["via"]
-    return edges.sparkSession.createDataFrame(path, "step int, node_id string")
+    else:
+        return spark.createDataFrame([], "step int, node_id string")
+    ahead, behind = levels["start"], levels["end"]
+    on_path, tails = work_table(met, "met"), []
+    for level in reversed(behind[:-1]):
+        on_path = work_table(_step(edges, on_path).join(level.select("node_id"), "node_id", "left_semi"), "on-path")
+        tails.insert(0, on_path)
+    path, at = [end], end
+    for level in [*tails, *reversed(ahead[1:])]:
+        at = level.where(F.col("node_id") == at).first()["via"]
+        path.append(at)
+    return spark.createDataFrame([(len(path) - 1 - i, x) for i, x in enumerate(path)], "step int, node_id string")
 
 
 def path_citations(edges: DataFrame, path: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import work_table
+
 #: Confidence ranks, the order of results.
 CONFIDENCE = {"EXTRACTED": 0, "INFERRED": 1, "AMBIGUOUS": 2}
 #: Relations with an edge for each place of use; degrees count their distinct pairs.
@@ -33,8 +35,30 @@ def _nations(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("n_nationkey", "n_name", "n_regionkey", "r_name", F.concat_ws("/", "r_name", "n_name").alias("repo"))
 
 
+#: The views that an application has written, by application, tables and name.
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, made: DataFrame, by: str) -> DataFrame:
+    """Writes a view once for each application, in folders by ``by``, so that queries read only the kinds or relations they ask for."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        _stored[key] = work_table(made, name, by)
+    return _stored[key]
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     """node_id, repo_id, kind, name, file, line_start, lang.  Customers in debt have no node, so edges dangle."""
+    return _once(spark, sf, "nodes", make_nodes(spark, sf), "kind")
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """src, dst, relation, confidence, source_line, repo_id (of the source)."""
+    return _once(spark, sf, "edges", make_edges(spark, sf), "relation")
+
+
+def make_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes as a plan over the tables."""
     nation = _nations(spark, sf)
     customer = read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     supplier = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -52,8 +76,8 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """src, dst, relation, confidence, source_line, repo_id (of the source)."""
+def make_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges as a plan over the tables."""
     nation = _nations(spark, sf)
     customer = read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     supplier = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))

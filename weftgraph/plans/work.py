@@ -39,13 +39,13 @@ def _remove_all() -> None:
             return
 
 
-def work_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and reads it back."""
+def work_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` once, in folders by the column ``by`` if named, and reads it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def small(df: DataFrame, rows: int = 200_000) -> bool:
