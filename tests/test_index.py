@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from weftgraph.operators import search, textindex, traverse
+from weftgraph.operators import pagerank, search, textindex, traverse
 
 
 def frame(spark, rows, schema):
@@ -125,3 +125,43 @@ def test_path_keeps_away_from_hubs(spark):
     pairs = [("hub", f"leaf{i}") for i in range(200)] + [("leaf7", "m"), ("m", "n"), ("n", "far")]
     got = [x["node_id"] for x in traverse.shortest_path(frame(spark, pairs, "src string, dst string"), "hub", "far").orderBy("step").collect()]
     assert got == ["hub", "leaf7", "m", "n", "far"]
+
+
+# ---- personalized PageRank
+
+
+def power(pairs, seeds, damping=0.5, rounds=200):
+    """Power iteration; what nodes without edges hold goes back to the seeds."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    ids = {*near, *seeds}
+    positive = {v: max(0.0, s) for v, s in seeds.items()}
+    total = sum(positive.values())
+    p = {v: positive.get(v, 0) / total if total else (v in seeds) / len(seeds) for v in ids}
+    r = dict(p)
+    for _ in range(rounds):
+        new = {v: (1 - damping) * p[v] for v in ids}
+        for v in ids:
+            for w in near.get(v, ()):
+                new[w] += damping * r[v] / len(near[v])
+            if v not in near:
+                for w in ids:
+                    new[w] += damping * r[v] * p[w]
+        r = new
+    return r
+
+
+def test_forward_push_equals_power_iteration(spark, monkeypatch):
+    monkeypatch.setattr(pagerank, "HUB", 4)  # so that hubs have several salts
+    r = random.Random(2)
+    queries = {1: ([(0, i) for i in range(1, 30)] + [(r.randrange(30), r.randrange(30)) for _ in range(20)], {0: 0.5, 3: 0.2}), 2: ([(1, 2), (2, 3)], {1: 1.0, 9: 1.0}), 3: ([], {5: -1.0, 6: 0.0})}
+    pairs = frame(spark, [(q, a, b) for q, (e, _) in queries.items() for a, b in e], "query_id long, src long, dst long")
+    seeds = frame(spark, [(q, v, s) for q, (_, own) in queries.items() for v, s in own.items()], "query_id long, id long, score double")
+    got = pagerank.push(pairs, seeds, tolerance=1e-7).collect()
+    assert {r["query_id"] for r in got} == {1, 2, 3}
+    for q, (e, own) in queries.items():
+        want, mine = power(e, own), {x["node_id"]: x for x in got if x["query_id"] == q}
+        assert set(mine) == set(want)
+        assert all(-1e-9 <= want[v] - x["score"] <= x["residual"] + 1e-9 and x["residual"] < 1e-4 for v, x in mine.items())

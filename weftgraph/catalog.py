@@ -392,7 +392,14 @@ def knn_graph(spark, sf):
     return search.knn_edges(read(spark, sf, "embeddings"), 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE knn AS ({_KNN}), e AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn),
+q AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 4) AS score FROM embeddings ORDER BY score DESC, id LIMIT 20),
+w AS (SELECT id, greatest(score, 0) / sum(greatest(score, 0)) OVER () AS share FROM q),
+n1 AS (SELECT id FROM q UNION SELECT dst FROM e JOIN q ON src = id),
+f AS (SELECT src, dst FROM e JOIN n1 ON src = id UNION SELECT dst, src FROM e JOIN n1 ON src = id),
+d AS (SELECT src, count(*) AS n FROM f GROUP BY 1),
+r(i, id, r) AS (SELECT 0, id, share FROM w UNION ALL SELECT i + 1, dst, sum(r * 0.5 / n) FROM r JOIN f ON f.src = r.id JOIN d ON d.src = r.id WHERE i < 60 GROUP BY 1, 2)
+SELECT id AS node_id, round(sum(r * 0.5), 6) AS score FROM r GROUP BY 1 ORDER BY score DESC, node_id LIMIT 10""")
 def hybrid_ppr(spark, sf):
     v = read(spark, sf, "embeddings")
     return search.hybrid(v, search.knn_edges(v, 3), _vector(spark, sf), 10)

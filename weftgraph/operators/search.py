@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.work import small
+from . import pagerank
 
 #: Column weights and constants of the ranking.
 WEIGHTS = {"name": 10.0, "qualified_name": 3.0, "file": 1.0}
@@ -151,48 +152,20 @@ def knn_edges(vectors: DataFrame, k: int = 3, block: int = 1024) -> DataFrame:
     return hits.withColumn("r", best).where(F.col("r") <= k).select("src", "dst", "score")
 
 
-def personalized_pagerank(edges: pd.DataFrame, seeds: dict[int, float], damping: float = 0.5, rounds: int = 20) -> dict[int, float]:
-    """Power iteration on a bounded undirected neighbourhood; mass of nodes without edges returns to the seeds."""
-    ids = sorted({*edges["src"], *edges["dst"], *seeds})
-    at = {v: i for i, v in enumerate(ids)}
-    pairs = {(at[a], at[b]) for a, b in zip(edges["src"], edges["dst"])}
-    pairs |= {(b, a) for a, b in pairs}
-    src, dst = np.array([p[0] for p in pairs], dtype=int), np.array([p[1] for p in pairs], dtype=int)
-    degree = np.bincount(src, minlength=len(ids))
-    p = np.zeros(len(ids))
-    for v, s in seeds.items():
-        p[at[v]] = max(0.0, s)
-    p = p / p.sum() if p.sum() > 0 else np.where(np.isin(ids, list(seeds)), 1 / max(1, len(seeds)), 0.0)
-    r = p.copy()
-    for _ in range(rounds):
-        flow = np.bincount(dst, weights=r[src] / degree[src], minlength=len(ids)) if len(src) else np.zeros(len(ids))
-        r = (1 - damping) * p + damping * flow + damping * r[degree == 0].sum() * p
-    return dict(zip(ids, r.tolist()))
-
-
 def hybrid_rank(edges: DataFrame, seeds: DataFrame, k: int = 10, hops: int = 2) -> DataFrame:
-    """(query_id, node_id, score) of many queries: the neighbourhood of a query's seeds (query_id, id, score) within ``hops``, ranked by personalized PageRank.
-
-    A query's neighbourhood is one group, as large as its few seeds' surroundings; queries are spread over tasks.  Frontiers are broadcast only where their size is checked and small.
-    """
+    """(query_id, node_id, score) of many queries: the neighbourhood of a query's seeds (query_id, id, score) within ``hops``, ranked by personalized PageRank on it; scores
+    are rounded to six places, ties go to the smaller id.  Frontiers are broadcast only where their size is checked and small."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    found, near = None, seeds.select("query_id", "id").distinct()
+    near = seeds.select("query_id", "id").distinct()
+    found = both.select(F.lit(None).cast(near.schema["query_id"].dataType).alias("query_id"), "src", "dst").limit(0)
     for _ in range(hops):
         side = F.broadcast(near) if small(near) else near
         step = both.join(side, F.col("src") == F.col("id")).select("query_id", "src", "dst")
-        found = step if found is None else found.union(step)
+        found = found.union(step)
         near = step.select("query_id", F.col("dst").alias("id")).union(near).distinct()
-    none = F.lit(None)
-    own = seeds.select("query_id", F.col("id").alias("src"), none.cast("long").alias("dst"), "score")
-    rows = own if found is None else found.distinct().select("query_id", "src", "dst", none.cast("double").alias("score")).unionByName(own)
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["dst"].isna()]
-        r = personalized_pagerank(pdf[~pdf["dst"].isna()].astype({"dst": "int64"}), dict(zip(own["src"].tolist(), own["score"].tolist())))
-        best = sorted(((round(v, 6), i) for i, v in r.items()), key=lambda x: (-x[0], x[1]))[:k]
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node_id": [i for _, i in best], "score": [v for v, _ in best]})
-
-    return rows.groupBy("query_id").applyInPandas(rank, "query_id long, node_id long, score double")
+    scored = pagerank.push(found, seeds).withColumn("score", F.round("score", 6))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
+    return scored.withColumn("r", best).where(F.col("r") <= k).select("query_id", "node_id", "score")
 
 
 def hybrid(vectors: DataFrame, edges: DataFrame, query: list[float], k: int = 10, seeds: int = 20, hops: int = 2) -> DataFrame:
