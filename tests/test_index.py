@@ -3,9 +3,10 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 
-from weftgraph.operators import pagerank, search, textindex, traverse
+from weftgraph.operators import annindex, pagerank, search, textindex, traverse
 
 
 def frame(spark, rows, schema):
@@ -165,3 +166,40 @@ def test_forward_push_equals_power_iteration(spark, monkeypatch):
         want, mine = power(e, own), {x["node_id"]: x for x in got if x["query_id"] == q}
         assert set(mine) == set(want)
         assert all(-1e-9 <= want[v] - x["score"] <= x["residual"] + 1e-9 and x["residual"] < 1e-4 for v, x in mine.items())
+
+
+# ---- approximate neighbours
+
+
+def clustered(n, dim=16, places=30, seed=3):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(places, dim))
+    x = c[r.integers(places, size=n)] + 0.15 * r.normal(size=(n, dim))
+    return [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+def test_ann_reads_a_tenth_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(annindex, "SLICE", 40)  # lists in several slices, queries in several blocks
+    monkeypatch.setattr(annindex, "BLOCK", 16)
+    rows = clustered(1500)
+    v = frame(spark, rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 50 = 0")
+    index = annindex.AnnIndex(v)
+    got = index.search(q, 10, 0.1).collect()
+    x = np.array([r for _, r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(0, 1500, 50) for j in np.argsort(-s[i])[:10]}
+    assert len(got) == 300 and len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 270
+    assert all(abs(r["score"] - s[r["query_id"], r["vec_id"]]) < 1e-4 for r in got)
+    assert index.read_share(q, 0.1) < 0.13 and index.codes.count() == 1500
+    assert annindex.n_lists(10**4) == 100 and annindex.n_lists(10**12) == annindex.MOST_LISTS
+
+
+def test_all_lists_and_exact_ranks_find_all(spark):
+    rows = clustered(120, seed=9)
+    v = frame(spark, rows + [(500, [0.0] * 16), (501, rows[0][1])], "vec_id long, embedding array<float>")
+    got = annindex.AnnIndex(v).search(v, 3, 1.0, refined=50).collect()
+    want = search.knn_edges(v, 3).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got if r["query_id"] != 500) == sorted((r["src"], r["dst"]) for r in want if r["src"] != 500)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import catalog
 from .catalog import _DEGREE, _DEPS, ORACLE_SQL, QUERIES, graph_query, query  # noqa: F401  (both tables are filled here too)
 from .functions import scalars
-from .operators import ask, embed, fleet, graph, health, links, render, search, text, textindex, traverse, views
+from .operators import annindex, ask, embed, fleet, graph, health, links, render, search, text, textindex, traverse, views
 from .plans.view import VIEW_SQL, edges, nodes, read
 from .plans.work import shared_folder, work_table
 from .sources import extract, files, shards, sinks, web
@@ -502,10 +502,30 @@ def fts_index_refreshed(spark, sf):
     return index.search("order 1")
 
 
-@query()
+_ASKED = "vec_id % 50 = 0"
+
+
+@query("SELECT count(*) * 10 AS n_rows, TRUE AS recalled FROM embeddings WHERE vec_id % 50 = 0")
 def ann_topk(spark, sf):
+    """These vectors lie in all directions, so that most lists are read and more is compared exactly; the neighbours are held against exact search."""
     v = read(spark, sf, "embeddings")
-    return embed.ann_topk(v, v.where("vec_id % 50 = 0"), 10)
+    found = work_table(embed.ann_topk(v, v.where(_ASKED), 10, 0.85, 20), "ann")
+    exact = search.knn_edges(v, 10).where("src % 50 = 0").select(F.col("src").alias("query_id"), F.col("dst").alias("vec_id"))
+    hit = found.join(exact.withColumn("h", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_rows"), (F.coalesce(F.sum("h"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
+@query("SELECT count(*) * 10 AS n_rows, TRUE AS recalled, TRUE AS sparing FROM embeddings WHERE vec_id % 50 = 0")
+def ann_clustered(spark, sf):
+    """The same vectors drawn towards 40 places by their ids: a tenth of them is read, and nine tenths of the neighbours are found."""
+    place = F.transform(F.col("embedding"), lambda x, i: (x * 0.15 + (F.pmod(F.xxhash64(F.col("vec_id") % 40, i), F.lit(2001)) / 1000 - 1)).cast("float"))
+    v = work_table(read(spark, sf, "embeddings").select("vec_id", place.alias("embedding")), "clustered")
+    q = v.where(_ASKED)
+    index = annindex.AnnIndex(v)
+    found = work_table(index.search(q, 10, 0.1), "ann")
+    exact = search.knn_edges(v, 10).where("src % 50 = 0").select(F.col("src").alias("query_id"), F.col("dst").alias("vec_id"))
+    hit = found.join(exact.withColumn("h", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_rows"), (F.coalesce(F.sum("h"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("recalled"), F.lit(index.read_share(q, 0.1) <= 0.11).alias("sparing"))
 
 
 @query(f"""WITH m AS ({ORACLE_SQL["eval_metrics"]}), knn AS ({catalog._KNN}), r AS (SELECT src AS query_id, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM knn),

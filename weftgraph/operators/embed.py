@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunk import chunk_documents
 from ..sources.shards import write_shard
-from . import links, search, text
+from . import annindex, links, search, text
 
 #: Signs of a symbol's documentation that are embedded; kinds that have vectors.
 DOC_CHARS = 400
@@ -71,57 +67,10 @@ def ingest(documents: DataFrame, symbols: DataFrame, nodes_path: str, vectors_pa
     return {"nodes": count(nodes_path), "chunks": count(vectors_path), "edges": count(edges_path)}
 
 
-def centres(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 6, seed: int = 7) -> np.ndarray:
-    """``n`` unit centres by spherical k-means on a bounded sample: the ``sample`` vectors with the smallest hashes of their ids."""
-    rows = vectors.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()
-    x = np.array([r["embedding"] for r in rows], dtype=float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[np.random.default_rng(seed).permutation(len(x))[:n]]
-    for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
-        c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def ann_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 32, probes: int = 24, centre: np.ndarray | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest other vectors by cosine among those whose list is one of a query's ``probes`` nearest; every vector is in one list.
-
-    Approximate: exact search is ``vector_topk`` or ``knn_edges``, and the recall against it is tested.  Queries meet lists, each slice of a list by itself, so a list that holds most vectors is spread over tasks.
-    """
-    spark = vectors.sparkSession
-    c = centres(vectors, lists) if centre is None else centre
-    shared = spark.sparkContext.broadcast(c)  # lists x dimension numbers
-
-    def nearest(most: int):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    x = np.array(pdf["embedding"].tolist(), dtype=float)
-                    own = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :most]
-                    yield pd.DataFrame({"id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": own.tolist()})
-
-        return work
-
-    schema = "id long, embedding array<float>, lists array<int>"
-    slices = 4
-    placed = vectors.select("vec_id", "embedding").mapInPandas(nearest(1), schema).select("id", "embedding", F.col("lists")[0].alias("l"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("s"))
-    asked = queries.select("vec_id", "embedding").mapInPandas(nearest(min(probes, len(c))), schema).select("id", "embedding", F.explode("lists").alias("l")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
-    def cell(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s = np.round(unit(np.array(q["embedding"].tolist(), float)) @ unit(np.array(v["embedding"].tolist(), float)).T, 6)
-        ids, own = v["id"].to_numpy(), q["id"].to_numpy()
-        s[own[:, None] == ids[None, :]] = -9
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "vec_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-        return out[out["score"] > -9]
-
-    hits = asked.groupBy("l", "s").cogroup(placed.groupBy("l", "s")).applyInPandas(cell, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", best).where(F.col("rank") <= k)
+def ann_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.1, refined: int = 8) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest other vectors by cosine among what the nearest ``share`` of the lists hold (see ``annindex``).  Exact search is ``search.vector_topk`` or
+    ``search.knn_edges``; ``recall`` measures this one against it."""
+    return annindex.AnnIndex(vectors).search(queries, k, share, refined)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
