@@ -518,7 +518,7 @@ def embedded_sql(spark, sf):
 
 
 @query("""WITH s AS (SELECT 'part_' || p_partkey AS node_id, string_split(p_name, ' ')[1] AS name FROM part UNION ALL SELECT 'w_' || item_id, regexp_extract(text, '([A-Za-z]{4,})', 1) FROM benchmark),
-d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1))) AS name FROM documents)
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1))) AS name FROM documents)
 SELECT DISTINCT doc_id, node_id FROM d JOIN s USING (name) WHERE length(name) >= 3""")
 def symbol_mentions(spark, sf):
     parts = read(spark, sf, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("node_id"), F.split("p_name", " ")[0].alias("name"))

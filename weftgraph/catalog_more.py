@@ -58,7 +58,7 @@ def external_links(spark, sf):
 
 
 @query("""WITH s AS (SELECT 'w_' || item_id AS node_id, regexp_extract(text, '([A-Za-z]{4,})', 1) AS name FROM benchmark),
-d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1))) AS name FROM documents)
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1))) AS name FROM documents)
 SELECT DISTINCT node_id AS src, 'doc_' || doc_id AS dst, 'documented_by' AS relation, 'AMBIGUOUS' AS confidence FROM d JOIN s USING (name) UNION ALL SELECT 'repo_' || source, 'doc_' || doc_id, 'documented_by', 'INFERRED' FROM documents""")
 def link_documents(spark, sf):
     docs = read(spark, sf, "documents")
@@ -169,7 +169,7 @@ def clamped_listing(spark, sf):
 
 @query("""WITH s AS (SELECT 'b_' || item_id AS node_id, regexp_extract(text, '([A-Za-z]{4,})', 1) AS name FROM benchmark UNION ALL SELECT 'c_' || item_id, regexp_extract(text, '([A-Za-z]{4,})', 1) || '-v' || item_id FROM benchmark),
 n AS (SELECT name, count(*) AS n FROM s GROUP BY 1), t AS (SELECT doc_id, text || ' see ' || (SELECT max(name) FROM s WHERE node_id = 'c_' || doc_id % 40) AS text FROM documents),
-d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1))) AS name FROM t), e AS (SELECT doc_id, regexp_extract(text, ' see (.*)$', 1) AS name FROM t)
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)', 1))) AS name FROM t), e AS (SELECT doc_id, regexp_extract(text, ' see (.*)$', 1) AS name FROM t)
 SELECT DISTINCT doc_id, node_id, CASE n WHEN 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence FROM (FROM d UNION FROM e) JOIN s USING (name) JOIN n USING (name) WHERE length(name) >= 3""")
 def compound_mentions(spark, sf):
     b = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("i"), F.regexp_extract("text", "([A-Za-z]{4,})", 1).alias("w"))

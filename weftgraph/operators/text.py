@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.work import small
+from .names import names_in
 
 #: Spans and repeats at which a page is refused.
 LEAK_WORDS, MOST_REPEATS = 12, 8
@@ -134,38 +135,18 @@ def repeats(docs: DataFrame, least_words: int = LEAK_WORDS, most: int = MOST_REP
 
 
 def symbol_mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(doc_id, node_id) of symbols of at least three letters that a text names as a whole word."""
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("name"))
-    return seen.join(symbols.where(F.length("name") >= 3).select("node_id", "name"), "name").select("doc_id", "node_id").distinct()
-
-
-#: Fixed value: parts that a compound name in a text may have.
-COMPOUND = 6
+    """(doc_id, node_id) of symbols of at least three signs that a text names as a whole word."""
+    own = symbols.where(F.length("name") >= 3).select("node_id", "name")
+    return names_in(docs, own).join(own, "name").select("doc_id", "node_id").distinct()
 
 
 def mentions(docs: DataFrame, symbols: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(doc_id, node_id, confidence) of symbols of at least three letters that a text names, also names with . - / : between their words: INFERRED where one node has the name, else AMBIGUOUS.
-
-    A text is cut into its compound names, and these into their contiguous parts, of at most six words; names meet them by equality.
-    """
+    """(doc_id, node_id, confidence) of symbols of at least three signs that a text names as whole words, whatever signs the names hold: INFERRED where one node has the name, else AMBIGUOUS."""
     own = symbols.where(F.length("name") >= 3)
     own = own.where(F.col("kind").isin(kinds)) if kinds else own
     own = own.select("node_id", "name").distinct()
     named = own.join(own.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name")
-    sign = r"[.\-/:]+"
-
-    def parts(token: Column) -> Column:
-        ends = F.regexp_extract_all(token, F.lit(r"(\w+[.\-/:]*)"), F.lit(1))
-
-        def runs(w: Column) -> Column:
-            last = lambda i: F.least(F.size(w), i + COMPOUND - 1)
-            return F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(i, last(i)), lambda j: F.regexp_replace(F.array_join(F.slice(w, i, j - i + 1), ""), sign + "$", ""))))
-
-        return _bound(ends, runs)
-
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+(?:[.\-/:]+\w+)*)"), F.lit(1)))
-    seen = docs.select("doc_id", F.explode(tokens).alias("token")).select("doc_id", F.explode(parts(F.col("token"))).alias("name")).distinct()
-    return seen.join(named, "name").select("doc_id", "node_id", F.when(F.col("n") == 1, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"))
+    return names_in(docs, own).join(named, "name").select("doc_id", "node_id", F.when(F.col("n") == 1, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"))
 
 
 def secret_like(text: Column) -> Column:
