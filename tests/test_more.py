@@ -142,7 +142,7 @@ def test_flows():
     assert extract.http_flow('@app.get("/v1/users/{id}")\ndef x(): requests.post("https://Api.x.org/v2/orders/12?a=1")\n', "python") == [
         {"relation": "exposes", "endpoint": "/v1/users/{}", "method": "GET", "host": None, "line": 1}, {"relation": "calls_http", "endpoint": "/v2/orders/{}", "method": "POST", "host": "api.x.org", "line": 2}]
     assert extract.http_flow('client.get("/{}")\nclient.get("name")', "python") == []
-    assert [(x["relation"], x["topic"]) for x in extract.event_flow('bus.publish("arn:aws:sns:eu:1:Orders"); bus.publish("test"); c.subscribe("Orders")')] == [("publishes_event", "orders"), ("consumes_event", "orders")]
+    assert [(x["relation"], x["topic"]) for x in extract.event_flow('kafkaProducer.send("eu/Orders"); producer.send("test"); bus.publish("not-a-topic"); socket.send("nor-this"); c.subscribe("Orders")')] == [("publishes_event", "orders"), ("consumes_event", "orders")]
     state = 'class Order:\n  def pay(self):\n    if self.status == "open":\n      self.status = "paid"\n    if self.status == "paid":\n      pass\n    else:\n      self.status = "lost"\n'
     assert [(x["entity"], x["source"], x["target"], x["method"]) for x in extract.state_flow(state, "python")] == [("Order", "open", "paid", "pay")]
     assert extract.file_route("src/app/(shop)/items/[id]/page.tsx") == "/items/{}" and extract.file_route("pages/about.js") == "/about" and extract.file_route("app/x/util.ts") is None

@@ -672,7 +672,7 @@ def source_tree(spark: SparkSession, sf: str) -> DataFrame:
         return out
 
     python = of('import requests\n\n\nclass C@k(Base):\n    def @w(self):\n        if self.order.status == "open":\n            self.order.status = "paid"\n        requests.get("https://api.example.org/v1/@w/@s?x=1")\n        return helper@s()\n')
-    js = of('app.get("/v1/@w/:id", handler);\nconsumer.subscribe("Topic-@s");\nbus.publish("shop/@w");\nfunction f@k(a) { return helper@s(a); }\n')
+    js = of('app.get("/v1/@w/:id", handler);\nconsumer.subscribe("Topic-@s");\nkafkaProducer.send("shop/@w");\nfunction f@k(a) { return helper@s(a); }\n')
     sql = of("CREATE TABLE t@k (id int REFERENCES base(id)); -- references nothing\nINSERT INTO log@s SELECT * FROM t@k;\n")
     hcl = of('resource "aws_instance" "i@k" {\n  subnet_id = aws_subnet.@w.id\n  name = "${var.env}-aws_fake.no"\n}\n')
     c = of("#define LIMIT_@s 3\nstatic int g@k(int x) {\n  return helper@s(x) + LIMIT_@s; // helper99(0)\n}\n")
@@ -695,7 +695,7 @@ def code_definitions(spark, sf):
 
 
 @query(_TREE + """SELECT file, 'imports' AS stream, 'requests' AS name, 1 AS line FROM t WHERE t = 'ECONOMY' UNION ALL SELECT file, 'inherits', 'Base', 4 FROM t WHERE t = 'ECONOMY' UNION ALL SELECT file, 'calls', 'get', 8 FROM t WHERE t = 'ECONOMY' UNION ALL SELECT file, 'calls', 'helper' || s, 9 FROM t WHERE t = 'ECONOMY'
-UNION ALL SELECT file, 'calls', 'get', 1 FROM t WHERE t = 'SMALL' UNION ALL SELECT file, 'calls', 'subscribe', 2 FROM t WHERE t = 'SMALL' UNION ALL SELECT file, 'calls', 'publish', 3 FROM t WHERE t = 'SMALL' UNION ALL SELECT file, 'calls', 'helper' || s, 4 FROM t WHERE t = 'SMALL'
+UNION ALL SELECT file, 'calls', 'get', 1 FROM t WHERE t = 'SMALL' UNION ALL SELECT file, 'calls', 'subscribe', 2 FROM t WHERE t = 'SMALL' UNION ALL SELECT file, 'calls', 'send', 3 FROM t WHERE t = 'SMALL' UNION ALL SELECT file, 'calls', 'helper' || s, 4 FROM t WHERE t = 'SMALL'
 UNION ALL SELECT file, 'references', 'base', 1 FROM t WHERE t = 'MEDIUM' UNION ALL SELECT file, 'writes', 'log' || s, 2 FROM t WHERE t = 'MEDIUM' UNION ALL SELECT file, 'reads', 't' || k, 2 FROM t WHERE t = 'MEDIUM'
 UNION ALL SELECT file, 'depends_on', 'aws_subnet.' || w, 2 FROM t WHERE t = 'PROMO' UNION ALL SELECT file, 'depends_on', 'var.env', 3 FROM t WHERE t = 'PROMO' UNION ALL SELECT file, 'calls', 'helper' || s, 3 FROM t WHERE t = 'STANDARD' UNION ALL SELECT file, 'uses', 'LIMIT_' || s, 3 FROM t WHERE t = 'STANDARD'""")
 def code_references(spark, sf):

@@ -27,6 +27,11 @@ def large_shards(df: DataFrame, most: int = LARGE) -> DataFrame:
     return df.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
 
 
+def _partition(spark: SparkSession, path: str, repo: str):
+    """The folder of a repository's partition, its id escaped as Spark writes it."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path, "repo_id=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo))
+
+
 class LazyShard:
     """A repository's shard that is looked at when it is made and read when it is used: ``changed`` tells whether its files are others than then."""
 
@@ -35,7 +40,7 @@ class LazyShard:
         self.identity = self._look()
 
     def _look(self) -> tuple:
-        p = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/repo_id={self._repo}")
+        p = _partition(self._spark, self._path, self._repo)
         fs = p.getFileSystem(self._spark._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return ()
@@ -116,7 +121,7 @@ def forget(spark: SparkSession, paths: list[str], repo: str) -> None:
     """Drops a repository's partitions, also those of its connectors and enrichments, from every table."""
     for path in paths:
         for own in partitions_of(repo):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path, "repo_id=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(own))
+            p = _partition(spark, path, own)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
