@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from weftgraph.sources import extract, shards
+from weftgraph.sources import blocks, extract, shards
 
 
 def frame(spark, rows, schema):
@@ -57,3 +57,63 @@ def test_lazy_shards_of_any_id(spark, tmp_path):
     p = str(tmp_path / "s")
     shards.write_shard(frame(spark, [("AFRICA/NATION_0", 1), ("@connect:x", 2), ("plain", 3)], "repo_id string, v int"), p)
     assert [shards.LazyShard(spark, p, x).exists() for x in ("AFRICA/NATION_0", "@connect:x", "plain", "none")] == [True, True, True, False]
+
+
+# ---- languages with scopes by keyword
+
+CODE = {
+    "ruby": (
+        "module Acme\n class Animal\n  def speak; end\n end\n class Dog < Base::Animal\n  def bark\n   return 1 if loud?(x)\n   while go do\n    run(1)\n   end\n   [1].each do |x| puts x end\n   y = if a then b else c end\n  end\n  def self.make(a) = new(a)\n end\nend\n# class No; end\n",
+        {("class", "Acme"), ("class", "Acme.Animal"), ("method", "Acme.Animal.speak"), ("class", "Acme.Dog"), ("method", "Acme.Dog.bark"), ("method", "Acme.Dog.make")},
+        {("inherits", "Acme.Dog", "Animal"), ("calls", "Acme.Dog.bark", "loud?"), ("calls", "Acme.Dog.bark", "run")},
+    ),
+    "lua": (
+        "local function helper(a)\n  if a then return go(a) end\n  for i = 1, 3 do step(i) end\n  repeat tick() until done\nend\nfunction M.open(x) return helper(x) end\n-- function no() end\n--[[ function no2() end ]]\n",
+        {("function", "helper"), ("function", "M.open")},
+        {("calls", "helper", "go"), ("calls", "helper", "step"), ("calls", "helper", "tick"), ("calls", "M.open", "helper")},
+    ),
+    "shell": ("#!/bin/sh\nbuild() {\n  compile x\n  if true; then pack y; fi\n}\nfunction main {\n  A=1\n  build\n}\n# no() {\nmain\n", {("function", "build"), ("function", "main")}, {("calls", "build", "compile"), ("calls", "build", "pack"), ("calls", "main", "build"), ("calls", "", "main")}),
+    "scala": (
+        'trait Handler { def serve(): Unit }\nclass Server(a: String) extends lib.Handler with Log { def serve(): Unit = { help("} class No") } }\nobject App { def main(): Unit = () }\n',
+        {("interface", "Handler"), ("method", "Handler.serve"), ("class", "Server"), ("method", "Server.serve"), ("class", "App"), ("method", "App.main")},
+        {("inherits", "Server", "Handler"), ("inherits", "Server", "Log"), ("calls", "Server.serve", "help")},
+    ),
+    "php": (
+        "<?php\nnamespace App;\nuse App\\Base;\ninterface Auditable { public function audit(); }\nclass CatalogService extends Base implements Auditable, \\Lib\\Other {\n  public function get($id) { return $this->repo->find($id); }\n}\n",
+        {("interface", "Auditable"), ("method", "Auditable.audit"), ("class", "CatalogService"), ("method", "CatalogService.get")},
+        {("inherits", "CatalogService", "Base"), ("inherits", "CatalogService", "Auditable"), ("inherits", "CatalogService", "Other"), ("calls", "CatalogService.get", "find")},
+    ),
+    "swift": ("protocol Shape { func area() -> Double }\nclass Box: Base, Shape {\n  func area() -> Double { return side(2) }\n}\nfunc free() { area() }\n", {("interface", "Shape"), ("method", "Shape.area"), ("class", "Box"), ("method", "Box.area"), ("function", "free")}, {("inherits", "Box", "Base"), ("inherits", "Box", "Shape"), ("calls", "Box.area", "side"), ("calls", "free", "area")}),
+    "plsql": (
+        "CREATE OR REPLACE PACKAGE BODY shop IS\n  g NUMBER := 1;\n  PROCEDURE put(a IN NUMBER) IS\n    x NUMBER;\n  BEGIN\n    IF a > 1 THEN log_it(a); END IF;\n    FOR i IN 1..3 LOOP step(i); END LOOP;\n    BEGIN inner_call(1); END;\n    x := CASE WHEN a = 1 THEN 2 ELSE 3 END;\n  END put;\n  FUNCTION total(b NUMBER) RETURN NUMBER AS BEGIN RETURN calc(b); END;\n  PROCEDURE later(c NUMBER);\nBEGIN\n  setup(1);\nEND shop;\n-- PROCEDURE no IS\n",
+        {("namespace", "shop"), ("function", "shop.put"), ("function", "shop.total"), ("function", "shop.later")},
+        {("calls", "shop.put", "log_it"), ("calls", "shop.put", "step"), ("calls", "shop.put", "inner_call"), ("calls", "shop.total", "calc"), ("calls", "shop", "setup")},
+    ),
+}
+
+
+@pytest.mark.parametrize("lang", CODE)
+def test_scopes_by_keyword(lang):
+    source, defs, refs = CODE[lang]
+    got = blocks.parse(source, lang)
+    assert {(d["kind"], d["qualified_name"]) for d in got[0]} == defs
+    assert refs <= {(r["stream"], r["src"], r["name"]) for r in got[1]}
+    assert all(r["name"] not in ("No", "no", "no2") for r in got[1])
+    began = time.time()
+    blocks.parse(source * (2_000_000 // len(source)), lang)
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("lang", CODE)
+def test_any_text_parses(lang):
+    r = random.Random(3)
+    words = ["end", "def", "class", "function", "{", "}", "(", ")", "begin", "is", "if", "do", "x", "y", "\n", ";", "'", '"', "<", ":", ".", "procedure", "package", "--", "#", "/*", "é"]
+    for _ in range(300):
+        blocks.parse(" ".join(r.choice(words) for _ in range(r.randrange(30))), lang)
+
+
+def test_languages_by_suffix(spark):
+    from weftgraph.sources import files
+
+    rows = frame(spark, [(f"a.{s}",) for s in ("rb", "lua", "sh", "scala", "php", "swift", "pks", "pkb", "prc", "fnc", "trg", "pls", "zzz")], "file string").select("file", files.dispatch(files.F.col("file")).alias("d"))
+    assert {r["d"] for r in rows.where("file <> 'a.zzz'").collect()} == {"code"} and rows.where("file = 'a.zzz'").first()["d"] == "other"

@@ -18,6 +18,7 @@ LANGUAGES = {
     "py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "c": "c", "h": "cpp", "hpp": "cpp", "cc": "cpp",
     "cpp": "cpp", "cxx": "cpp", "pc": "c", "cs": "csharp", "sql": "sql", "tf": "hcl", "xsd": "xsd", "xsl": "xsl", "xslt": "xsl", "xml": "xml", "config": "xml", "html": "html", "css": "css", "scss": "css", "less": "css", "md": "markdown",
     "markdown": "markdown", "mdx": "markdown", "rst": "text", "txt": "text",
+    "rb": "ruby", "lua": "lua", "sh": "shell", "bash": "shell", "scala": "scala", "php": "php", "swift": "swift", "pks": "plsql", "pkb": "plsql", "plb": "plsql", "prc": "plsql", "fnc": "plsql", "trg": "plsql", "pls": "plsql",
 }
 #: Files that are manifests whatever their suffix.
 MANIFESTS = r"(^|/)(pyproject\.toml|package\.json|pom\.xml|[^/]*requirements[^/]*\.txt|[^/]*\.csproj)$"
