@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from weftgraph.sources import blocks, extract, shards
+from weftgraph.sources import blocks, extract, shards, xmlread
 
 
 def frame(spark, rows, schema):
@@ -117,3 +117,63 @@ def test_languages_by_suffix(spark):
 
     rows = frame(spark, [(f"a.{s}",) for s in ("rb", "lua", "sh", "scala", "php", "swift", "pks", "pkb", "prc", "fnc", "trg", "pls", "zzz")], "file string").select("file", files.dispatch(files.F.col("file")).alias("d"))
     assert {r["d"] for r in rows.where("file <> 'a.zzz'").collect()} == {"code"} and rows.where("file = 'a.zzz'").first()["d"] == "other"
+
+
+# ---- XML
+
+CONFIG = """<?xml version="1.0"?>
+<!DOCTYPE configuration>
+<configuration>
+  <appSettings>
+    <add key="Timeout" value="30"/>
+    <add key="ApiPassword" value="hunter2"/>
+    <add name="Main" value="Server=x;Pwd=y"/>
+    <add name="Db" connectionString="Server=z"/>
+    <add key="Blob" value="%s"/>
+  </appSettings>
+  <Retries>5</Retries>
+  <c:note xmlns:c="x">a &lt; b</c:note>
+</configuration>
+""" % ("Ab1" * 20)
+
+
+def test_configuration_keys_and_secrets():
+    got = [(r["name"], r["value"], r["hidden"], r["line"]) for r in xmlread.config_keys(CONFIG)]
+    assert got == [("Timeout", "30", False, 5), ("ApiPassword", None, True, 6), ("Main", None, True, 7), ("Db", None, True, 8), ("Blob", None, True, 9), ("Retries", "5", False, 11), ("note", "a < b", False, 12)]
+    assert [r["name"] for r in xmlread.config_keys("<a>1</a><b>2</b><c>")] == ["a", "b"]
+    assert xmlread.config_keys('<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>') == [] and xmlread.config_keys("no xml") == [] and xmlread.config_keys("<a>" * 100_000) == []
+    began = time.time()
+    assert len(xmlread.config_keys("<r>\n" + '<add key="k" value="v"/>\n' * 80_000 + "</r>")) == 80_000
+    assert time.time() - began < 12
+
+
+def test_configuration_and_decisions_are_indexed(spark):
+    rows = [("web.config", "xml", CONFIG), ("docs/adr/0001-use-x.md", "markdown", "# 1. Use X\n\nStatus: Accepted\n"), ("docs/other.md", "markdown", "# No\n"), ("pom.xml", "xml", "<project/>"), ("null.xml", "xml", None)]
+    files = frame(spark, rows, "file string, lang string, content string")
+    found = {(r["kind"], r["name"]) for r in extract.definitions(files).where("kind <> 'file'").collect()}
+    assert ("adr", "Use X") in found and ("config_key", "Retries") in found and len(found) == 8
+    assert [tuple(r) for r in extract.decisions(files).collect()] == [("docs/adr/0001-use-x.md", "markdown", "Use X", "accepted", 1)]
+    assert xmlread.config(files).where("hidden and value is not null").count() == 0 and xmlread.config(files).count() == 7
+
+
+def pom_of(artifact, parent=None, version=None, properties=(), managed=(), wanted=()):
+    dep = lambda d: "<dependency><groupId>g</groupId><artifactId>%s</artifactId>%s%s</dependency>" % (d[0], f"<version>{d[1]}</version>" if d[1] else "", "".join(d[2:]))
+    up = f"<parent><groupId>g</groupId><artifactId>{parent}</artifactId><version>1</version></parent>" if parent else "<groupId>g</groupId>"
+    return f"<project>\n{up}\n<artifactId>{artifact}</artifactId>{f'<version>{version}</version>' if version else ''}<properties>{''.join(f'<{k}>{v}</{k}>' for k, v in properties)}</properties><dependencyManagement><dependencies>{''.join(map(dep, managed))}</dependencies></dependencyManagement><dependencies>{''.join(map(dep, wanted))}</dependencies></project>"
+
+
+def test_maven_versions_are_inherited(spark):
+    files = [
+        ("top/pom.xml", pom_of("top", None, "1", [("lib.version", "${major}.5"), ("major", "2"), ("loop", "${loop}")], [("lib", "${lib.version}"), ("junit", "4")])),
+        ("mid/pom.xml", pom_of("mid", "top", "1", [("major", "3")], [("junit", "5")])),
+        ("leaf/pom.xml", pom_of("leaf", "mid", None, (), (), [("lib", None), ("junit", None, "<scope>test</scope>"), ("own", "${project.version}"), ("none", None), ("odd", "${loop}"), ("new", "9", "<optional>true</optional>")])),
+        ("a/pom.xml", pom_of("a", "b", "1", (), [("x", "1")], [("x", None), ("y", None)])),
+        ("b/pom.xml", pom_of("b", "a", "1", (), [("y", "2")], [("x", None)])),  # a circle
+        ("lost/pom.xml", pom_of("lost", "unknown", "1", (), (), [("z", None)])),
+        ("bad/pom.xml", "<project><artifactId>q"),
+        ("null/pom.xml", None),
+    ]
+    got = {(r["file"].split("/")[0], r["project"], r["package"]): (r["constraint"], r["group"]) for r in xmlread.maven_dependencies(frame(spark, files, "file string, content string")).collect()}
+    leaf = {k[2].split(":")[1]: v for k, v in got.items() if k[0] == "leaf"}
+    assert leaf == {"lib": ("3.5", "runtime"), "junit": ("5", "dev"), "own": ("1", "runtime"), "none": (None, "runtime"), "odd": ("${loop}", "runtime"), "new": ("9", "optional")}
+    assert got[("a", "g:a", "g:x")][0] == "1" and got[("a", "g:a", "g:y")][0] == "2" and got[("b", "g:b", "g:x")][0] == "1" and got[("lost", "g:lost", "g:z")][0] is None and len(got) == 10
