@@ -83,3 +83,37 @@ def test_shards_that_nothing_follows_are_settled(spark, tmp_path):
     run()
     state = {r["repo_id"]: (r["n"], r["status"]) for r in spark.read.parquet(str(tmp_path / "state")).collect()}
     assert state["r"] == (1, "settled") and held() == [("q", "z"), ("r", "a")]
+
+
+# ---- paged services as a stream
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    import json
+
+    from weftgraph.sources import paged, sinks
+
+    sinks.register_sources(spark)
+
+    def put(service, page, rows):
+        folder = tmp_path / "in" / f"service={service}" / f"page={page}"
+        folder.mkdir(parents=True)
+        (folder / "a.json").write_text("\n".join(json.dumps({"id": r, "user": {"name": None}}) for r in rows))
+
+    def run():
+        rows = spark.readStream.format("weft_pages").option("path", str(tmp_path / "in")).option("fields", "id=id;who=user.name").option("pages", "2").load()
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+        return sorted((r["service"], r["page"], r["id"], r["who"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for n in range(3):
+        put("a", n, [n, n])
+    put("b c", 0, ["x"])
+    put("b c", 2, ["waits"])
+    first = run()
+    assert first == [("a", n, str(n), None) for n in range(3) for _ in range(2)] + [("b c", 0, "x", None)]
+    put("b c", 1, [])
+    put("new", 0, ["y"])
+    (tmp_path / "in" / "service=a" / "page=0" / "a.json").unlink()  # a page that was read is not asked for again
+    assert run() == first + [("b c", 2, "waits", None), ("new", 0, "y", None)] == run()
+    reader = paged.PagedReader({"path": str(tmp_path / "in"), "fields": "id=id", "pages": "2"})
+    assert [p.value for p in reader.partitions({"a": 1}, {"a": 4, "b": 1})] == [("a", 1, 3), ("a", 3, 4), ("b", 0, 1)]

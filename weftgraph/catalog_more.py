@@ -6,7 +6,7 @@ come of them without repeating how.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog
@@ -15,7 +15,7 @@ from .functions import scalars
 from .operators import annindex, ask, embed, fleet, graph, health, links, render, search, text, textindex, traverse, views
 from .plans.view import VIEW_SQL, edges, nodes, read
 from .plans.work import shared_folder, work_table
-from .sources import extract, files, shards, sinks, web
+from .sources import extract, files, shards, sinks, web, xmlread
 from .streaming import incremental
 
 
@@ -657,6 +657,78 @@ def untrusted_blocks(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", text.untrusted_block(F.col("text")).alias("block"))
 
 
+# ---- projects, configuration and scripts
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, split_part(p_name, ' ', 2) AS w, p_type AS t FROM part)
+SELECT 'leaf/' || k || '/pom.xml' AS file, 'g:leaf' || k AS project, 'g:' || w AS package, CASE t WHEN 'ECONOMY' THEN s || '.own' ELSE s || '.0' END AS "constraint", 'runtime' AS "group" FROM p
+UNION ALL SELECT 'leaf/' || k || '/pom.xml', 'g:leaf' || k, 'g:unknown', NULL, 'dev' FROM p""")
+def maven_inherited(spark, sf):
+    """A project for each part: its version is managed by its grandparent, in terms of a property that the parent of its size sets; those of one type have their own."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("s"), F.split("p_name", " ")[1].alias("w"), F.col("p_type").alias("t"))
+    up = lambda name: F.concat(F.lit("<parent><groupId>g</groupId><artifactId>"), name, F.lit("</artifactId><version>1</version></parent>"))
+    dep = lambda name, rest: F.concat(F.lit("<dependency><groupId>g</groupId><artifactId>"), name, F.lit("</artifactId>"), rest, F.lit("</dependency>"))
+    pom = lambda file, *parts: (file.alias("file"), F.concat(F.lit("<project>\n"), *parts, F.lit("</project>")).alias("content"))
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    own = F.when(F.col("t") == "ECONOMY", tag("version", F.lit("${size}.own"))).otherwise("")
+    leaf = p.select(*pom(F.concat(F.lit("leaf/"), "k", F.lit("/pom.xml")), up(F.concat(F.lit("size"), "s")), tag("artifactId", F.concat(F.lit("leaf"), "k")), tag("dependencies", F.concat(dep(F.col("w"), own), dep(F.lit("unknown"), F.lit("<scope>test</scope>"))))))
+    mid = p.select("s").distinct().select(*pom(F.concat(F.lit("mid/"), "s", F.lit("/pom.xml")), up(F.lit("top")), tag("artifactId", F.concat(F.lit("size"), "s")), tag("version", F.lit("1")), tag("properties", tag("size", F.col("s")))))
+    managed = F.array_join(F.array_sort(F.collect_set(dep(F.col("w"), F.lit("<version>${size}.0</version>")))), "")
+    top = p.agg(managed.alias("m")).select(*pom(F.lit("top/pom.xml"), F.lit("<groupId>g</groupId><artifactId>top</artifactId><version>1</version><properties><size>none</size></properties>"), tag("dependencyManagement", tag("dependencies", F.col("m")))))
+    return xmlread.maven_dependencies(leaf.unionByName(mid).unionByName(top)).select("file", "project", "package", "constraint", "group")
+
+
+@query("""SELECT c_custkey || '.config' AS file, x.name, x.value, x.hidden, x.line FROM customer, LATERAL (VALUES ('Segment', c_mktsegment, FALSE, 2), ('Owner', NULL, TRUE, 3), ('DbPassword', NULL, TRUE, 4), ('Nation', c_nationkey::VARCHAR, FALSE, 5)) AS x(name, value, hidden, line)""")
+def config_keys(spark, sf):
+    """A configuration for each customer: one value is plain, one is a leaf's text, one is a secret by its name and one by what it holds."""
+    c = read(spark, sf, "customer")
+    content = F.concat(F.lit('<configuration>\n<add key="Segment" value="'), "c_mktsegment", F.lit('"/>\n<add key="Owner" value="'), F.concat(F.lit("user=x;pwd="), "c_name"), F.lit('"/>\n<add key="DbPassword" value="'), "c_name", F.lit('"/>\n<Nation>'), F.col("c_nationkey").cast("string"), F.lit("</Nation>\n</configuration>"))
+    return xmlread.config(c.select(F.concat(F.col("c_custkey").cast("string"), F.lit(".config")).alias("file"), F.lit("xml").alias("lang"), content.alias("content")))
+
+
+@query("""SELECT 'docs/adr/' || n_nationkey || '.md' AS file, 'Use ' || n_name AS name, CASE n_regionkey % 2 WHEN 0 THEN 'accepted' ELSE 'superseded' END AS status, 3 AS line FROM nation""")
+def decision_records(spark, sf):
+    n = read(spark, sf, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
+    status = F.when(F.col("n_regionkey") % 2 == 0, "Accepted").otherwise("Superseded")
+    record = n.select(F.concat(F.lit("docs/adr/"), "k", F.lit(".md")).alias("file"), F.concat(F.lit("---\n---\n# "), "k", F.lit(". Use "), "n_name", F.lit("\n\n## Status\n\n"), status, F.lit("\n")).alias("content"))
+    other = n.select(F.concat(F.lit("docs/"), "k", F.lit(".md")).alias("file"), F.lit("# Notes\n\nStatus: Accepted\n").alias("content"))
+    return extract.decisions(record.unionByName(other).withColumn("lang", F.lit("markdown"))).select("file", "name", "status", "line")
+
+
+_SCRIPTS = """WITH p AS (SELECT p_partkey AS k, p_size AS s, split_part(p_name, ' ', 2) AS w, CASE p_type WHEN 'ECONOMY' THEN 'rb' WHEN 'SMALL' THEN 'lua' WHEN 'MEDIUM' THEN 'pkb' WHEN 'PROMO' THEN 'php' WHEN 'STANDARD' THEN 'sh' ELSE 'swift' END AS e FROM part), t AS (SELECT k || '.' || e AS file, * FROM p)
+"""
+
+
+@query(_SCRIPTS + """SELECT file, 'class' AS kind, 'C' || k AS name FROM t WHERE e IN ('rb', 'php', 'swift') UNION ALL SELECT file, 'namespace', 'c' || k FROM t WHERE e = 'pkb' UNION ALL
+SELECT file, CASE WHEN e IN ('rb', 'php', 'swift') THEN 'method' ELSE 'function' END, CASE e WHEN 'lua' THEN w || k WHEN 'sh' THEN w || k WHEN 'pkb' THEN 'c' || k || '.' || w ELSE 'C' || k || '.' || w END FROM t""")
+def script_definitions(spark, sf):
+    """Scripts in six languages, with scopes within the bodies that must end before the next definition."""
+    return extract.definitions(_scripts(spark, sf)).where("kind <> 'file'").select("file", "kind", F.col("qualified_name").alias("name"))
+
+
+@query(_SCRIPTS + """SELECT file, CASE e WHEN 'lua' THEN w || k WHEN 'sh' THEN w || k WHEN 'pkb' THEN 'c' || k || '.' || w ELSE 'C' || k || '.' || w END AS src, 'go' || s AS name FROM t""")
+def script_calls(spark, sf):
+    return extract.references(_scripts(spark, sf)).where("stream = 'calls' and name like 'go%'").select("file", "src", "name")
+
+
+def _scripts(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part")
+    texts = {
+        "ECONOMY": ("rb", "ruby", "class C@k < Base\n  def @w(a)\n    return 0 unless a\n    [1].each do |x|\n      if x then go@s(x) end\n    end\n  end\nend\n"),
+        "SMALL": ("lua", "lua", "-- function no() end\nlocal function @w@k(a)\n  for i = 1, 3 do if a then go@s(i) end end\nend\n"),
+        "MEDIUM": ("pkb", "plsql", "create package body C@k is\n  procedure @w(a number) is\n  begin\n    if a > 1 then GO@s(a); end if;\n  end;\nend;\n"),
+        "PROMO": ("php", "php", "<?php\nclass C@k extends Base {\n  function @w($a) { if ($a) { return go@s('}'); } }\n}\n"),
+        "STANDARD": ("sh", "shell", "@w@k() {\n  if true; then go@s x; fi\n}\n"),
+    }
+    key, size, word = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.split("p_name", " ")[1]
+    suffix, lang, content = F.lit("swift"), F.lit("swift"), F.lit("class C@k: Base {\n  func @w() { if x { go@s(1) } }\n}\n")
+    for kind, (s, name, text_) in texts.items():
+        suffix, lang, content = (F.when(F.col("p_type") == kind, new).otherwise(old) for new, old in ((s, suffix), (name, lang), (text_, content)))
+    for sign, value in (("@w", word), ("@k", key), ("@s", size)):
+        content = F.replace(content, F.lit(sign), value)
+    return p.select(F.concat(key, F.lit("."), suffix).alias("file"), lang.alias("lang"), content.alias("content"))
+
+
 # ---- source trees
 
 
@@ -808,6 +880,22 @@ def stream_index(spark, sf):
     return shards.read_table(spark, f"{place}/out").select("repo_id", "head", "event_id")
 
 
+@query("SELECT event_type AS service, event_id // 1000 AS page, event_id::VARCHAR AS id, user_id::VARCHAR AS user FROM events")
+def stream_pages(spark, sf):
+    """Event types as services, a page for each thousand ids: the first half of the pages, then, from the checkpoint, the rest."""
+    place = _folder(spark, "pages")
+    sinks.register_sources(spark)
+    e = read(spark, sf, "events").select(F.col("event_type").alias("service"), F.expr("event_id div 1000").alias("n"), F.struct(F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id")).alias("user")).alias("r"))
+    ids = e.select("service", "n").distinct().withColumn("page", F.row_number().over(Window.partitionBy("service").orderBy("n")) - 1)
+    pages = work_table(e.join(ids, ["service", "n"]), "page-rows")
+    last = pages.agg(F.max("page")).first()[0]
+    for part in (F.col("page") <= last / 2, F.col("page") > last / 2):
+        pages.where(part).select("service", "page", "n", "r.*").repartition("service", "page").write.mode("append").partitionBy("service", "page").json(f"{place}/in")
+        rows = spark.readStream.format("weft_pages").option("path", f"{place}/in").option("fields", "n=n;id=id;user=user.id").option("pages", "3").load()
+        rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination(600)
+    return spark.read.parquet(f"{place}/out").select("service", F.col("n").cast("long").alias("page"), "id", "user")
+
+
 @query("""SELECT 'events_total{type="' || event_type || '"} ' || count(*)::DOUBLE AS line FROM events GROUP BY event_type""")
 def prometheus_lines(spark, sf):
     m = read(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("events_total").alias("name"), F.create_map(F.lit("type"), "event_type").alias("labels"), "value", F.lit("events by type").alias("help"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .paged import PagedSource
+
 
 def write_audit(rows: DataFrame, folder: str) -> None:
     """The same audit as JSON lines and as CSV with a header, each replaced as a whole."""
@@ -83,9 +85,11 @@ class _RecordReader(DataSourceReader):
 
 
 def register_sources(spark: SparkSession, group: str = "weftgraph.sources") -> list[str]:
-    """Registers the built-in data source and those that installed packages name under an entry-point group; one that cannot be loaded is left out.  The names."""
-    spark.dataSource.register(RecordSource)
-    names = [RecordSource.name()]
+    """Registers the built-in data sources and those that installed packages name under an entry-point group; one that cannot be loaded is left out.  The names."""
+    own = (RecordSource, PagedSource)
+    for source in own:
+        spark.dataSource.register(source)
+    names = [source.name() for source in own]
     for point in entry_points(group=group):
         try:
             found = point.load()
