@@ -336,3 +336,10 @@ def test_long_texts(spark):
     near = [w if i % 50 else "changed" for i, w in enumerate(words)]
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]
     assert sorted(tuple(x) for x in parity_join.near_duplicates(docs_of(spark, rows)).collect()) == brute(rows)
+
+
+def test_sets_that_share_a_class_each_get_a_sketch():
+    seen: set[int] = set()
+    classes, checks = np.array([5, 5, -7, 5], np.int64), np.array([1, -1, 1, 1], np.int64)
+    assert parity_join.met_before(seen, classes, checks) == [False, False, False, True]
+    assert parity_join.met_before(seen, classes, checks) == [True] * 4

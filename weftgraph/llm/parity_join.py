@@ -160,6 +160,15 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(a) + len(b) - both)
 
 
+def met_before(seen: set[int], classes: np.ndarray, checks: np.ndarray) -> list[bool]:
+    """Which sets are in ``seen``, by both of their hashes, so that two sets which share the first each get a sketch; adds them."""
+    out = []
+    for c, k in zip(classes.tolist(), checks.tolist()):
+        out.append((whole := (c << 64) ^ (k & (1 << 64) - 1)) in seen)
+        seen.add(whole)
+    return out
+
+
 def sets_of(docs: DataFrame, words: int = 5) -> DataFrame:
     """Of every row: row (a number of its own), doc_id, n, class, check, bits and fine (the sketches, once for each class and task, else null) and d, the columns of ``docs``."""
     kinds = {"n": pa.int64(), "class": pa.int64(), "check": pa.int64(), "bits": pa.binary(), "fine": pa.binary()}
@@ -172,11 +181,9 @@ def sets_of(docs: DataFrame, words: int = 5) -> DataFrame:
             for batch in shared.slices([pa.record_batch([column], ["text"])], most=2 << 20):
                 hashes, at = shingle_sets([t.encode() for t in batch.column("text").to_pylist()], words)
                 (classes, checks), bits, sizes = class_ids(hashes, at), dense_sketches(hashes, at), np.diff(at)
-                for i, (c, n) in enumerate(zip(classes.tolist(), sizes.tolist())):
-                    if not n or c in seen:
+                for i, again in enumerate(met_before(seen, classes, checks)):
+                    if again or not sizes[i]:
                         bits[i] = None
-                    else:
-                        seen.add(c)
                 if len(seen) > 1_000_000:  # bounded: a class that was forgotten is given again
                     seen = set()
                 folded = [None if b is None else coarse(b, n) for b, n in zip(bits, sizes.tolist())]
