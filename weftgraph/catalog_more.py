@@ -427,17 +427,42 @@ def design_page(spark, sf):
     return views.design_page(values, fleet.commitments(p.select(F.col("p_brand").alias("package"), F.col("p_type").alias("repo"), F.lit("m").alias("manifest"), F.col("p_size").cast("string").alias("constraint"))))
 
 
-@graph_query(_CAPPED + """, hub AS (SELECT repo_id, name, n_in AS n, row_number() OVER (PARTITION BY repo_id ORDER BY n_in DESC, node_id) AS rank FROM nodes JOIN deg USING (node_id) WHERE n_in > 0 QUALIFY rank <= 5)
+def _floored_sql(name: str, n: str, least: str) -> str:
+    return f"""{name}_r AS (SELECT repo_id, node_id, kind, name, coalesce({n}, 0) AS n FROM nodes LEFT JOIN deg USING (node_id) WHERE {least}),
+{name}_h AS (SELECT x.*, cap, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, node_id) AS r FROM {name}_r x JOIN b USING (repo_id) QUALIFY r <= cap),
+{name}_m AS (SELECT repo_id, node_id, kind, name, n, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, node_id) AS k FROM (SELECT x.*, cap FROM {name}_r x JOIN b USING (repo_id) WHERE (repo_id, kind) NOT IN (SELECT repo_id, kind FROM {name}_h) QUALIFY row_number() OVER (PARTITION BY repo_id, kind ORDER BY n DESC, node_id) = 1) QUALIFY k <= cap // 2),
+{name} AS (SELECT repo_id, node_id, name, n, r AS place FROM {name}_h h WHERE r <= cap - (SELECT count(*) FROM {name}_m m WHERE m.repo_id = h.repo_id) UNION ALL SELECT repo_id, node_id, name, n, 1000 + k FROM {name}_m)"""
+
+
+@graph_query(_CAPPED + ", " + ", ".join(_floored_sql(*x) for x in (("tops", "degree", "TRUE"), ("hubs", "n_in", "n_in > 0"), ("disp", "n_out", "n_out > 0"))) + """,
+own AS (SELECT DISTINCT repo_id, dst FROM edges WHERE relation = 'publishes'), need AS (SELECT DISTINCT repo_id, dst FROM edges WHERE relation = 'depends_on' AND (repo_id, dst) NOT IN (SELECT repo_id, dst FROM own)),
+pk AS (SELECT 'own' AS side, repo_id, name, row_number() OVER (PARTITION BY repo_id ORDER BY name, dst) AS r FROM own JOIN nodes n2(node_id, r2, kind, name, file, line_start, lang) ON dst = n2.node_id UNION ALL SELECT 'need', repo_id, name, row_number() OVER (PARTITION BY repo_id ORDER BY name, dst) FROM need JOIN nodes n3(node_id, r2, kind, name, file, line_start, lang) ON dst = n3.node_id),
+fl AS (SELECT repo_id, file, row_number() OVER (PARTITION BY repo_id ORDER BY file) AS r FROM (SELECT DISTINCT repo_id, file FROM nodes WHERE file IS NOT NULL)),
+gr AS (SELECT repo_id, count(DISTINCT node_id) AS n FROM (SELECT repo_id, node_id FROM tops UNION SELECT repo_id, node_id FROM hubs UNION SELECT repo_id, node_id FROM disp) WHERE node_id IN (SELECT node_id FROM nodes WHERE file IS NOT NULL) GROUP BY 1)
+SELECT b.repo_id, n_nodes, n_files, (SELECT count(file) FROM nodes WHERE nodes.repo_id = b.repo_id) AS coverage_total, (SELECT count(*) FROM edges WHERE edges.repo_id = b.repo_id) AS n_edges, coalesce((SELECT n FROM gr WHERE gr.repo_id = b.repo_id), 0) AS grounded_count, FALSE AS generated,
+coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM tops WHERE tops.repo_id = b.repo_id), '') AS top_symbols, coalesce((SELECT string_agg(name || '=' || n, ',' ORDER BY place) FROM hubs WHERE hubs.repo_id = b.repo_id), '') AS hubs, coalesce((SELECT string_agg(name || '=' || n, ',' ORDER BY place) FROM disp WHERE disp.repo_id = b.repo_id), '') AS dispatchers,
+(SELECT string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) FROM (SELECT kind, count(*) AS n FROM nodes WHERE nodes.repo_id = b.repo_id GROUP BY 1)) AS kinds, 'py=' || n_nodes AS langs,
+coalesce((SELECT string_agg(name, ',' ORDER BY r) FROM pk WHERE side = 'own' AND r <= 20 AND pk.repo_id = b.repo_id), '') AS own_packages, (SELECT count(*) FROM own WHERE own.repo_id = b.repo_id) AS n_own_packages, coalesce((SELECT string_agg(name, ',' ORDER BY r) FROM pk WHERE side = 'need' AND r <= 20 AND pk.repo_id = b.repo_id), '') AS needed_packages, (SELECT count(*) FROM need WHERE need.repo_id = b.repo_id) AS n_needed_packages,
+coalesce((SELECT string_agg(file, ',' ORDER BY r) FROM fl WHERE r <= 20 AND fl.repo_id = b.repo_id), '') AS files, '' AS decisions FROM b""")
+def whole_brief(spark, sf):
+    return health.whole_brief(nodes(spark, sf), edges(spark, sf))
+
+
+@graph_query(_CAPPED + """, hub AS (SELECT repo_id, name, n_in AS n, row_number() OVER (PARTITION BY repo_id ORDER BY n_in DESC, node_id) AS rank FROM nodes JOIN deg USING (node_id) WHERE n_in > 0 QUALIFY rank <= 5),
+dis AS (SELECT repo_id, name, n_out AS n, row_number() OVER (PARTITION BY repo_id ORDER BY n_out DESC, node_id) AS rank FROM nodes JOIN deg USING (node_id) WHERE n_out > 0 QUALIFY rank <= 5)
 SELECT b.repo_id, '# ' || b.repo_id || chr(10) || chr(10) || '## Size' || chr(10) || n_nodes || ' nodes in ' || n_files || ' files, ' || (SELECT count(*) FROM edges WHERE edges.repo_id = b.repo_id) || ' edges' || chr(10) || chr(10) || '## Kinds' || chr(10)
  || (SELECT string_agg('- `' || kind || '`: ' || n, chr(10) ORDER BY n DESC, kind) FROM (SELECT kind, count(*) AS n FROM nodes WHERE nodes.repo_id = b.repo_id GROUP BY 1))
- || coalesce(chr(10) || chr(10) || '## Hubs' || chr(10) || (SELECT string_agg('- `' || name || '`: ' || n || ' callers', chr(10) ORDER BY rank) FROM hub WHERE hub.repo_id = b.repo_id), '') AS markdown FROM b""")
+ || coalesce(chr(10) || chr(10) || '## Hubs' || chr(10) || (SELECT string_agg('- `' || name || '`: ' || n || ' callers', chr(10) ORDER BY rank) FROM hub WHERE hub.repo_id = b.repo_id), '')
+ || coalesce(chr(10) || chr(10) || '## Dispatchers' || chr(10) || (SELECT string_agg('- `' || name || '`: ' || n || ' callees', chr(10) ORDER BY rank) FROM dis WHERE dis.repo_id = b.repo_id), '') AS markdown FROM b""")
 def structural_page(spark, sf):
-    from pyspark.sql import Window
-
     n, e = nodes(spark, sf), edges(spark, sf)
-    order = Window.partitionBy("repo_id").orderBy(F.desc("n_in"), "node_id")
-    hubs = graph.distinct_degree(e).where("n_in > 0").join(n, "node_id").withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("repo_id", "rank", "name", F.col("n_in").alias("count"))
-    return views.structural_page(health.repo_brief(n, e), hubs, hubs.limit(0))
+    degree = graph.distinct_degree(e).join(n, "node_id")
+
+    def best(by: str) -> DataFrame:
+        order = Window.partitionBy("repo_id").orderBy(F.desc(by), "node_id")
+        return degree.where(F.col(by) > 0).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("repo_id", "rank", "name", F.col(by).alias("count"))
+
+    return views.structural_page(health.repo_brief(n, e), best("n_in"), best("n_out"))
 
 
 @query("""SELECT doc_id, substr(sha256(text), 1, 12) AS digest, lang AS head, TRUE AS intact FROM documents""")

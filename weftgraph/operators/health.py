@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import is_generated
 from . import graph, text
 
 #: Citations confirmed for one drift probe, lines around a citation that may hold the name.
@@ -68,11 +71,11 @@ def drift(answer: DataFrame, files: DataFrame, checks: DataFrame, budget: int =
     rows = answer.join(files, ["repo_id", "file"], "left")
     gate = F.when(F.col("mtime").isNull(), "unknown").when(F.col("mtime") <= F.col("indexed_at"), "current")
     rows = rows.withColumn("gate", gate)
-    # The budget goes by rank among the rows that need a check; an answer is bounded.
-    probes = F.sum(F.col("gate").isNull().cast("int")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("probe", probes).join(checks.select("node_id", "status"), "node_id", "left")
+    # The budget goes by rank among the rows that need a check: the last rank within it is that of a top-k, so no task sorts all rows.
+    last = rows.where(F.col("gate").isNull()).select("rank").orderBy("rank").limit(budget).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+    rows = rows.join(F.broadcast(last)).join(checks.select("node_id", "status"), "node_id", "left")
     told = F.when(F.col("status") == "verified", "confirmed").when(F.col("status") == "broken", "drifted").otherwise("unknown")
-    return rows.select("rank", "node_id", F.coalesce("gate", F.when(F.col("probe") > budget, "unchecked").otherwise(told)).alias("state"))
+    return rows.select("rank", "node_id", F.coalesce("gate", F.when((F.col("n") == budget) & (F.col("rank") > F.col("last")), "unchecked").otherwise(told)).alias("state"))
 
 
 def structural_gate(drafts: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -124,3 +127,66 @@ def repo_brief(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sized = best.join(kinds.select("repo_id", grounding_cap(F.col("n_nodes")).alias("cap")), "repo_id").where("_r <= cap")
     grounded = sized.groupBy("repo_id").agg(F.max("cap").alias("cap"), F.sum(F.col("file").isNotNull().cast("long")).alias("n_grounded"))
     return kinds.join(files, "repo_id").join(n_edges, "repo_id", "left").join(grounded, "repo_id").select("repo_id", "n_nodes", "n_files", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "cap", "n_grounded", "kinds")
+
+
+#: Names of a list of packages, files or decisions that a brief holds; what is left out is counted.
+LISTED = 20
+_MOST = 80
+
+
+def floored(rows: DataFrame, caps: DataFrame) -> DataFrame:
+    """(repo_id, node_id, kind, name, n, place): of each repository the ``cap`` best rows by n and id (caps: repo_id, cap of at most 80), where kinds that miss get the place of their best row, at most half of
+    them, and the tail makes room.  The best are found behind a partial top of each salt."""
+    order = (F.desc("n"), "node_id")
+    salted = F.row_number().over(Window.partitionBy("repo_id", F.pmod(F.xxhash64("node_id"), F.lit(64))).orderBy(*order))
+    first = rows.withColumn("_w", salted).where(F.col("_w") <= _MOST).drop("_w")
+    head = first.withColumn("_r", F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))).join(caps, "repo_id").where(F.col("_r") <= F.col("cap"))
+    best = rows.groupBy("repo_id", "kind").agg(F.min(F.struct((-F.col("n")).alias("m"), "node_id", "name")).alias("b")).select("repo_id", "kind", (-F.col("b.m")).alias("n"), "b.node_id", "b.name")
+    lost = best.join(head.select("repo_id", "kind").distinct(), ["repo_id", "kind"], "left_anti").join(caps, "repo_id")
+    lost = lost.withColumn("_k", F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))).where(F.col("_k") <= F.floor(F.col("cap") / 2))
+    slots = lost.groupBy("repo_id").agg(F.count(F.lit(1)).alias("slots"))
+    kept = head.join(slots, "repo_id", "left").where(F.col("_r") <= F.col("cap") - F.coalesce("slots", F.lit(0)))
+    return kept.select("repo_id", "node_id", "kind", "name", "n", F.col("_r").alias("place")).unionByName(lost.select("repo_id", "node_id", "kind", "name", "n", (F.lit(1000) + F.col("_k")).alias("place")))
+
+
+def _told(rows: DataFrame, by: list, value: Column, name: str, most: int | None = None) -> DataFrame:
+    """(repo_id, name): the values of each repository's rows in order, the first ``most`` of them."""
+    if most:
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("repo_id").orderBy(*by))).where(F.col("_n") <= most)
+    items = F.array_sort(F.collect_list(F.struct(*[F.col(b) if isinstance(b, str) else b for b in by], value.alias("_v"))))
+    return rows.groupBy("repo_id").agg(F.array_join(F.transform(items, lambda x: x["_v"]), ",").alias(name))
+
+
+def whole_brief(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each repository with all that a brief holds: n_nodes, n_files, n_edges, coverage_total (nodes with a file), grounded_count (those of them that one of the lists names), kinds and langs (name=n),
+    top_symbols (by degree, every kind with a place), hubs and dispatchers (name=callers, name=callees), own and needed packages with their numbers, the first files, decisions, and whether generated files were seen.
+
+    Lists of symbols have ``grounding_cap`` places, others ``LISTED``; lists of a repository are bounded, and so are the kinds, so no task gathers a repository.
+    """
+    degree = graph.distinct_degree(edges)
+    rows = nodes.select("repo_id", "node_id", "kind", "name", "file").join(degree, "node_id", "left")
+    size = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("file").alias("n_files"), F.count("file").alias("coverage_total"))
+    caps = size.select("repo_id", grounding_cap(F.col("n_nodes")).alias("cap"))
+    ranked = {name: floored(rows.select("repo_id", "node_id", "kind", "name", F.coalesce(column, F.lit(0)).alias("n")).where(at_least), caps) for name, column, at_least in (("top_symbols", "degree", F.lit(True)), ("hubs", "n_in", F.col("n_in") > 0), ("dispatchers", "n_out", F.col("n_out") > 0))}
+    counted = F.concat_ws("=", "name", F.col("n").cast("string"))
+    lists = [_told(r, ["place"], F.col("name") if name == "top_symbols" else counted, name) for name, r in ranked.items()]
+    named = functools.reduce(DataFrame.unionByName, [r.select("repo_id", "node_id") for r in ranked.values()]).distinct()
+    grounded = named.join(nodes.where(F.col("file").isNotNull()).select("node_id"), "node_id", "left_semi").groupBy("repo_id").agg(F.count(F.lit(1)).alias("grounded_count"))
+    for column, name in (("kind", "kinds"), ("lang", "langs")):
+        n = nodes.where(F.col(column).isNotNull()).groupBy("repo_id", column).agg((-F.count(F.lit(1))).alias("m"))
+        lists.append(_told(n, ["m", column], F.concat_ws("=", column, (-F.col("m")).cast("string")), name))
+    ends = edges.where(F.col("relation").isin("publishes", "depends_on")).select("repo_id", "dst", "relation").distinct()
+    own = ends.where("relation = 'publishes'").select("repo_id", "dst")
+    needed = ends.where("relation = 'depends_on'").select("repo_id", "dst").join(own, ["repo_id", "dst"], "left_anti")
+    for found, name in ((own, "own_packages"), (needed, "needed_packages")):
+        called = found.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst")
+        lists += [_told(called, ["name", "dst"], F.col("name"), name, LISTED), found.groupBy("repo_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))]
+    files = nodes.where(F.col("file").isNotNull()).select("repo_id", "file").distinct()
+    lists.append(_told(files, ["file"], F.col("file"), "files", LISTED))
+    lists.append(_told(nodes.where("kind = 'adr'"), ["name", "node_id"], F.col("name"), "decisions", LISTED))
+    made = files.groupBy("repo_id").agg(F.max(F.array_contains(F.split(F.lower("file"), "/"), "generated") | is_generated(F.col("file"), F.lit(""))).alias("generated"))
+    out = size.join(edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_edges")), "repo_id", "left").join(grounded, "repo_id", "left").join(made, "repo_id", "left")
+    for x in lists:
+        out = out.join(x, "repo_id", "left")
+    blank = {"n_edges": 0, "grounded_count": 0, "n_own_packages": 0, "n_needed_packages": 0, **{c: "" for c in ("top_symbols", "hubs", "dispatchers", "kinds", "langs", "own_packages", "needed_packages", "files", "decisions")}}
+    return out.fillna(blank).withColumn("generated", F.coalesce("generated", F.lit(False)))
