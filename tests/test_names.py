@@ -117,3 +117,33 @@ def test_pages_are_read_once(spark, tmp_path):
     assert run() == first + [("b c", 2, "waits", None), ("new", 0, "y", None)] == run()
     reader = paged.PagedReader({"path": str(tmp_path / "in"), "fields": "id=id", "pages": "2"})
     assert [p.value for p in reader.partitions({"a": 1}, {"a": 4, "b": 1})] == [("a", 1, 3), ("a", 3, 4), ("b", 0, 1)]
+
+
+# ---- redaction and exports
+
+
+def test_redaction(spark):
+    said = "/home/me/ws/team/api/src/x.py of team/api, myteam/api, team/api.git; /home/me/other at git.corp.example"
+    rows = frame(spark, [(1, said), (2, None), (3, "")], "id long, t string")
+    out = rows.select("id", text.redact(rows["t"], ["team/api", "api", ""], {"/home/me": "<home>", "/home/me/ws": "<workspace>"}, {"git.corp.example": "<host>"}).alias("t"))
+    got = {r["id"]: r["t"] for r in out.collect()}
+    d = text.digest
+    assert got == {1: f"<workspace>/{d('team/api')}/src/x.py of {d('team/api')}, myteam/{d('api')}, team/api.git; <home>/other at <host>", 2: None, 3: ""}
+    under = frame(spark, [("/w/secret-repo/a.py",)], "t string")
+    assert under.select(text.redact(under["t"], [], {"/w": "<workspace>"}).alias("t")).first()["t"] == f"<workspace>/{d('secret-repo/a.py')}"
+
+
+def test_json_export_can_be_read_again(spark, monkeypatch):
+    import json
+
+    import pytest
+
+    from weftgraph.operators import render
+
+    n = frame(spark, [("a", 'x"<y>\n', None), ("b", "é", 3)], "node_id string, name string, line_start int")
+    e = frame(spark, [("a", "b", "calls"), ("a", "b", "calls")], "src string, dst string, relation string")
+    assert json.loads(render.to_json(n, e).first()["json"]) == {"nodes": [{"node_id": "a", "name": 'x"<y>\n', "line_start": None}, {"node_id": "b", "name": "é", "line_start": 3}], "edges": [{"src": "a", "dst": "b", "relation": "calls"}] * 2}
+    assert json.loads(render.to_json(n.limit(0), e.limit(0)).first()["json"]) == {"nodes": [], "edges": []}
+    monkeypatch.setattr(render, "MOST_LINES", 3)
+    with pytest.raises(ValueError):
+        render.to_json(n, e)

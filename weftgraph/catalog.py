@@ -649,6 +649,13 @@ def render_mermaid(spark, sf):
     return render.to_mermaid(*_payload(spark, sf))
 
 
+@graph_query("""SELECT '{"nodes": [' || chr(10) || (SELECT string_agg('{"node_id":"' || node_id || '","name":"' || name || '"}', ',' || chr(10) ORDER BY node_id) FROM nodes WHERE kind IN ('region', 'namespace'))
+ || chr(10) || '], "edges": [' || chr(10) || (SELECT string_agg('{"src":"' || src || '","dst":"' || dst || '","relation":"' || relation || '"}', ',' || chr(10) ORDER BY src || '|' || dst || '|' || relation) FROM edges WHERE relation = 'contains' AND src LIKE 'region%') || chr(10) || ']}' AS json""")
+def render_json(spark, sf):
+    n, e = _payload(spark, sf)
+    return render.to_json(n.select("node_id", "name"), e.select("src", "dst", "relation"))
+
+
 @graph_query("""SELECT 'digraph g {' || chr(10) || string_agg(line, chr(10) ORDER BY part, key) || chr(10) || '}' AS dot FROM (
  SELECT 0 AS part, node_id AS key, '  "' || node_id || '" [label="' || name || '"];' AS line FROM nodes WHERE kind IN ('region', 'namespace')
  UNION ALL SELECT 1, src || '|' || dst || '|' || relation, '  "' || src || '" -> "' || dst || '" [label="' || relation || '"];' FROM edges WHERE relation = 'contains' AND src LIKE 'region%')""")

@@ -480,6 +480,16 @@ def impact_index(spark, sf):
     return traverse.impact_index(edges(spark, sf), seeds)
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
+SELECT 'order_' || min(k) FILTER (WHERE r = 1) AS seed, count(*) - 1 AS n_hits, 1::BIGINT AS n_direct, count(*) FILTER (WHERE r > 1 AND s = 'F') AS n_sure, (count(*) - 1)::INT AS furthest FROM o WHERE r <= 4 GROUP BY c HAVING count(*) > 1""")
+def impact_depth(spark, sf):
+    """Every order calls the one before it of its customer, so what the first one reaches lies one, two and three hops away."""
+    o = read(spark, sf, "orders").withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    key = lambda c: F.concat(F.lit("order_"), F.col(c).cast("string"))
+    calls = o.where("before is not null").select(key("o_orderkey").alias("src"), key("before").alias("dst"), F.lit("calls").alias("relation"), F.when(F.col("o_orderstatus") == "F", "EXTRACTED").otherwise("INFERRED").alias("confidence"))
+    return traverse.impact_index(calls, o.where("before is null").select(key("o_orderkey").alias("node_id")))
+
+
 @graph_query(f""", p AS ({ORACLE_SQL["shortest_path"]}), st AS (SELECT a.step, a.node_id AS f, b.node_id AS t FROM p a JOIN p b ON b.step = a.step + 1),
 w AS (SELECT step, f AS from_id, t AS to_id, relation, confidence, source_line AS line, src = f AS forward, row_number() OVER (PARTITION BY step ORDER BY {catalog._RANK}, src <> f, relation, source_line NULLS FIRST) AS r FROM st JOIN edges ON (src = f AND dst = t) OR (src = t AND dst = f))
 SELECT step::INT AS step, from_id, to_id, relation, confidence, line, forward FROM w WHERE r = 1""")
@@ -672,9 +682,10 @@ def date_scalars(spark, sf):
     return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.round(age, 6).alias("age"), F.round(scalars.decay(age), 6).alias("weight"))
 
 
-@query("""SELECT replace(replace(p_name, 'widget', 'repo-' || substr(sha256('widget'), 1, 8)), 'small', 'repo-' || substr(sha256('small'), 1, 8)) AS told, p_partkey FROM part""")
+@query(f"""SELECT '<workspace>: ' || replace(replace(p_name, 'widget', '{text.digest('widget')}'), 'small', '{text.digest('small')}') || ' smaller small.x' AS told, p_partkey FROM part""")
 def redacted(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", text.redact(F.col("p_name"), ["small", "widget"]).alias("told"))
+    said = F.concat(F.lit("/srv/ws: "), "p_name", F.lit(" smaller small.x"))
+    return read(spark, sf, "part").select("p_partkey", text.redact(said, ["small", "widget"], {"/srv": "<root>", "/srv/ws": "<workspace>"}).alias("told"))
 
 
 @query("""SELECT conv_id, turn, '<<<untrusted ' || substr(sha256(text), 1, 8) || '>>>' || chr(10) || text || chr(10) || '<<<end ' || substr(sha256(text), 1, 8) || '>>>' AS block FROM conversations""")

@@ -59,3 +59,13 @@ def to_mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node = F.concat(F.lit("  "), c("node_id"), F.lit('["'), label, F.lit('"]'))
     edge = F.concat(F.lit("  "), c("src"), F.lit(" -->|"), c("relation"), F.lit("| "), c("dst"))
     return _document(_both(nodes, edges, node, edge), "graph LR\n", "", "mermaid")
+
+
+def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One JSON document of all columns of nodes and edges: {"nodes": [...], "edges": [...]}, each in order."""
+    part = lambda rows, k, key: rows.select(F.lit(k).alias("part"), key.alias("key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+    lines = part(nodes, 0, F.col("node_id")).unionByName(part(edges, 1, F.concat_ws("|", "src", "dst", "relation")))
+    if lines.limit(MOST_LINES + 1).count() > MOST_LINES:
+        raise ValueError(f"a payload of more than {MOST_LINES} lines is not written as one document; narrow it first, or write rows")
+    all_of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == k, F.struct("key", "line")))), lambda x: x["line"]), ",\n")
+    return lines.agg(F.concat(F.lit('{"nodes": [\n'), all_of(0), F.lit('\n], "edges": [\n'), all_of(1), F.lit("\n]}")).alias("json"))

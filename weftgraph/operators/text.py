@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +67,37 @@ def untrusted_block(text: Column) -> Column:
     return F.concat(F.lit("<<<untrusted "), mark, F.lit(">>>\n"), body, F.lit("\n<<<end "), mark, F.lit(">>>"))
 
 
-def redact(text: Column, names: list[str]) -> Column:
-    """Known names become a short digest of themselves."""
-    for n in sorted(names, key=lambda x: (-len(x), x)):
-        text = F.replace(text, F.lit(n), F.concat(F.lit("repo-"), F.substring(F.sha2(F.lit(n), 256), 1, 8)))
-    return text
+#: Fixed value: what of a path behind a root's placeholder becomes a digest.
+UNDER_ROOT = r"(<workspace>|<group>)/(?!repo-)([\w.@+-]+(?:/[\w.@+-]+)*)"
+
+
+def digest(name: str) -> str:
+    """The short digest that stands for a name; the same name has the same one everywhere."""
+    return "repo-" + hashlib.blake2s(name.encode("utf-8", "replace"), digest_size=4).hexdigest()
+
+
+def redact(text: Column, names: list[str], prefixes: dict[str, str] | None = None, literals: dict[str, str] | None = None) -> Column:
+    """A text without what tells whose it is: path prefixes and literals become their placeholders, known names, longest first and only where no word, dot or dash goes on, become digests, and so does what lies
+    under the placeholder of a root.  In Arrow batches, since Spark has no function for the digest and none that computes a replacement."""
+    from pyspark.sql.functions import pandas_udf
+
+    plain = [*sorted((prefixes or {}).items(), key=lambda x: -len(x[0])), *(literals or {}).items()]
+    known = "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n)) if n)
+    named = re.compile(rf"(?<![\w.-])(?:{known})(?![\w.-])") if known else None
+
+    @pandas_udf("string")
+    def work(column: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if not t:
+                return t
+            for old, new in plain:
+                t = t.replace(old, new)
+            t = named.sub(lambda m: digest(m[0]), t) if named else t
+            return re.sub(UNDER_ROOT, lambda m: f"{m[1]}/{digest(m[2])}", t)
+
+        return column.map(one)
+
+    return work(text)
 
 
 def words(text: Column) -> Column:
