@@ -537,6 +537,22 @@ def fts_index_refreshed(spark, sf):
     return index.search("order 1")
 
 
+@graph_query(ORACLE_SQL["fts_bm25"].removeprefix(VIEW_SQL).replace("'old brand'", "'order 1'").replace("'old'", "'order'").replace("'brand'", "'1'").replace("FROM nodes)", "FROM nodes WHERE repo_id LIKE 'ASIA/%')"))
+def scoped_search(spark, sf):
+    """A search within some repositories: their pattern becomes a scope, and the scope is met by a join before the search."""
+    n = nodes(spark, sf)
+    return search.fts_bm25(graph.in_scope(n, graph.repos_matching(n, "asia/*")), "order 1")
+
+
+@query(f"""WITH d AS (SELECT *, manifest % 3 AS depth, min(manifest % 3) OVER (PARTITION BY repo) AS m, CASE manifest % 2 WHEN 0 THEN 'requires' ELSE 'dev_requires' END AS side FROM ({catalog._COMMIT})), own AS (SELECT DISTINCT repo, package FROM d WHERE manifest % 5 = 0),
+e AS (SELECT repo, side, package, coalesce(array_to_string(list_sort(list_distinct(list(con) FILTER (WHERE con IS NOT NULL))), ', '), '') AS c FROM d WHERE depth = m AND (repo, package) NOT IN (SELECT repo, package FROM own) GROUP BY 1, 2, 3 UNION ALL SELECT repo, 'publishes', package, '' FROM own),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo, side ORDER BY lower(package), package) AS r FROM e)
+SELECT repo, side, string_agg(rtrim(package || ' ' || c), '; ' ORDER BY r) FILTER (WHERE r <= 20) AS listed, count(*) AS total FROM r GROUP BY 1, 2""")
+def package_lists(spark, sf):
+    d = catalog._constraints(spark, sf).withColumn("depth", F.col("manifest") % 3).withColumn("group", F.when(F.col("manifest") % 2 == 0, "runtime").otherwise("dev"))
+    return fleet.package_lists(d, d.where("manifest % 5 = 0").select("repo", "package"))
+
+
 _ASKED = "vec_id % 50 = 0"
 
 

@@ -115,11 +115,11 @@ def path_with_candidates(nodes: DataFrame, edges: DataFrame, start: str, end: st
     return traverse.path_citations(edges, path), traverse.path_gap(path, start, end, hops) or why_a or why_b
 
 
-def search_with_floor(nodes: DataFrame, question: str, k: int = 8) -> tuple[DataFrame, str | None]:
-    """(hits, note): nodes found by the question's own words, any of them; nothing, and why, where none of the words is in the graph."""
+def search_with_floor(nodes: DataFrame, question: str, k: int = 8, repos: DataFrame | None = None) -> tuple[DataFrame, str | None]:
+    """(hits, note): nodes, of the scope of ``repos`` (repo_id) if given, found by the question's own words, any of them; nothing, and why, where none of the words is in the graph."""
     spark = nodes.sparkSession
     terms = [t for t in spark.range(1).select(fleet.content_terms(F.lit(question)).alias("t")).first()["t"]]
-    hits = search.fts_any(nodes, terms, k)
+    hits = search.fts_any(graph.in_scope(nodes, repos), terms, k)
     if not terms:
         return hits, "the question holds no word to look for"
     if not hits.limit(1).count():

@@ -66,6 +66,25 @@ def package_facts(deps: DataFrame) -> DataFrame:
     return shallow.groupBy("repo", "package").agg(F.array_join(F.array_sort(F.collect_set("constraint")), ",").alias("constraints"))
 
 
+#: Fixed value: packages of a list; what is left out is told by its total.
+LISTED = 20
+
+
+def package_lists(deps: DataFrame, published: DataFrame) -> DataFrame:
+    """(repo, side, listed, total) of each repository with packages: what it requires, what development requires (dev_requires) and what it publishes, as package or package constraint, constraint; by lower-cased name,
+    the first LISTED of them, and how many there are.  ``deps`` (repo, package, constraint, group, depth) count from the shallowest manifests alone; a package may stand on both
+    sides; what a repository publishes (repo, package) it does not require."""
+    own = published.select("repo", "package").distinct()
+    least = deps.groupBy("repo").agg(F.min("depth").alias("depth"))
+    rows = deps.join(least, ["repo", "depth"]).join(own, ["repo", "package"], "left_anti").withColumn("constraint", F.coalesce("constraint", F.lit("")))
+    side = F.when(F.col("group").isin("runtime", "peer"), "requires").otherwise("dev_requires")
+    each = rows.groupBy("repo", side.alias("side"), "package").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("constraint") != "", F.col("constraint")))), ", ").alias("c"))
+    each = each.unionByName(own.select("repo", F.lit("publishes").alias("side"), "package", F.lit("").alias("c")))
+    named = each.withColumn("told", F.rtrim(F.concat_ws(" ", "package", "c"))).withColumn("r", F.row_number().over(Window.partitionBy("repo", "side").orderBy(F.lower("package"), "package")))
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= LISTED, F.struct("r", "told"))))  # nothing is gathered beyond LISTED
+    return named.groupBy("repo", "side").agg(F.array_join(F.transform(first, lambda x: x["told"]), "; ").alias("listed"), F.count(F.lit(1)).alias("total"))
+
+
 def audit(files: DataFrame, meta: str = r"(?i)(^|/)(license|\.gitignore|\.editorconfig|codeowners)[^/]*$", readme: str = r"(?i)(^|/)readme[^/]*$") -> DataFrame:
     """(repo, class): content, readme-only, boilerplate or empty, from (repo, file)."""
     is_readme, is_meta = F.col("file").rlike(readme), F.col("file").rlike(meta)

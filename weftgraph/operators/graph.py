@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.view import PER_SITE, confidence_rank
+from ..plans.work import small
 from . import search
 
 
@@ -47,6 +48,14 @@ def repo_scope(repo: str) -> list[str]:
     return [repo, f"@connect:{repo}", f"@enrich:{repo}"]
 
 
+def in_scope(rows: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """The rows (repo_id) of some repositories (repo_id), with those of their connectors and enrichments; all rows without any are asked for."""
+    if repos is None:
+        return rows
+    parts = repos.select(F.explode(F.array("repo_id", F.concat(F.lit("@connect:"), "repo_id"), F.concat(F.lit("@enrich:"), "repo_id"))).alias("repo_id")).distinct()
+    return rows.join(F.broadcast(parts) if small(parts) else parts, "repo_id", "left_semi").select(*rows.columns)
+
+
 def glob_pattern(glob: str) -> str:
     """A case-insensitive pattern, anchored at both ends, for a glob of * and ?."""
     return "(?i)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob) + "$"
