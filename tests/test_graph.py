@@ -188,11 +188,13 @@ def test_rendering_escapes(spark):
     assert 'MERGE (:Node {id: "a"' in render.to_cypher(n, e).first()[0] and "-[:CALLS]->" in render.to_cypher(n, e).first()[0]
 
 
-def test_pagerank_keeps_mass():
-    import pandas as pd
+def test_pagerank_keeps_mass(spark):
+    from weftgraph.operators import pagerank
 
-    r = search.personalized_pagerank(pd.DataFrame({"src": [1, 2], "dst": [2, 3]}), {1: 1.0, 9: 0.5})
-    assert math.isclose(sum(r.values()), 1.0) and r[1] > r[2] > r[3]
+    pairs = frame(spark, [(0, 1, 2), (0, 2, 3)], "query_id long, src long, dst long")
+    got = pagerank.push(pairs, frame(spark, [(0, 1, 1.0), (0, 9, 0.5)], "query_id long, id long, score double"), tolerance=1e-4).collect()
+    r = {x["node_id"]: x["score"] for x in got}
+    assert math.isclose(sum(r.values()) + got[0]["residual"], 1.0) and r[1] > r[2] > r[3] and set(r) == {1, 2, 3, 9}
 
 
 def repeats_of(t, least=12):
