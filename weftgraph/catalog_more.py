@@ -709,6 +709,33 @@ def untrusted_blocks(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", text.untrusted_block(F.col("text")).alias("block"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, split_part(p_name, ' ', 2) AS w FROM part), f AS (SELECT k, s, w || '/m' || k || '.py' AS file FROM p)
+SELECT 'contains' AS relation, file AS src, 'C' || k AS dst FROM f UNION ALL SELECT 'contains', 'C' || k, 'C' || k || '.m' || k FROM f UNION ALL SELECT 'contains', file, 'h' || k FROM f
+UNION ALL SELECT 'calls', 'C' || k || '.m' || k, 'h' || k FROM f UNION ALL SELECT 'calls', 'C' || k || '.m' || k, 'h' || (k - 1) FROM f WHERE k > 0 UNION ALL SELECT 'inherits', 'C' || k, 'C' || (k - 1) FROM f WHERE k > 0""")
+def indexed_edges(spark, sf):
+    """A module for each part: a class with a method that calls the module's function and the one of the module before, whose class it inherits from.  Edges by the names of their ends."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.split("p_name", " ")[1].alias("w"))
+    key, last = F.col("k").cast("string"), (F.col("k") - 1).cast("string")
+    content = F.lit("class C@k(C@l):\n    def m@k(self):\n        return h@k() + h@l()\n\n\ndef h@k():\n    return 1\n")
+    tree = p.select(F.concat("w", F.lit("/m"), key, F.lit(".py")).alias("file"), F.lit("python").alias("lang"), F.replace(F.replace(content, F.lit("@k"), key), F.lit("@l"), last).alias("content"))
+    n, e, _ = extract.index_repo(tree, "shop")
+    name = lambda at: n.select(F.col("node_id").alias(at), F.col("qualified_name").alias(f"{at}_name"))
+    return e.join(name("src"), "src").join(name("dst"), "dst").select("relation", F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 2) AS w, p_size % 3 AS m FROM part)
+SELECT 'app/' || w || '/' || k || '/[id]/page.tsx' AS file, 'file' AS how, '/' || w || '/' || k || '/{}' AS route FROM p WHERE m = 0
+UNION ALL SELECT 'pages/' || w || k || '/index.jsx', 'file', '/' || w || k FROM p WHERE m = 1
+UNION ALL SELECT 'src/router' || k || '.ts', 'table', '/' || w || '/{}' FROM p WHERE m = 2 UNION ALL SELECT 'src/router' || k || '.ts', 'link', '/go/' || w FROM p WHERE m = 2""")
+def web_routes(spark, sf):
+    """Pages by their folders, by a router's table and by links."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("k"), F.split("p_name", " ")[1].alias("w"), (F.col("p_size") % 3).alias("m"))
+    file = F.when(F.col("m") == 0, F.concat(F.lit("app/"), "w", F.lit("/"), "k", F.lit("/[id]/page.tsx"))).when(F.col("m") == 1, F.concat(F.lit("pages/"), "w", "k", F.lit("/index.jsx"))).otherwise(F.concat(F.lit("src/router"), "k", F.lit(".ts")))
+    table = F.concat(F.lit("const routes = [{ path: '/"), "w", F.lit("/:id', component: P }];\nreturn <Link to=\"/go/"), "w", F.lit("\">x</Link>;\n"))
+    tree = p.select(file.alias("file"), F.when(F.col("m") == 1, "javascript").otherwise("typescript").alias("lang"), F.when(F.col("m") == 2, table).otherwise("export default function P() {}\n").alias("content"))
+    return extract.flows(tree).where("flow = 'web'").select("file", F.col("relation").alias("how"), F.col("name").alias("route"))
+
+
 # ---- projects, configuration and scripts
 
 
