@@ -228,6 +228,10 @@ def test_shards_lazily_and_as_of(spark, tmp_path):
     assert shards.read_as_of(spark, h, history, "007", "2024-05-01").count() == 1
     with pytest.raises(LookupError):
         shards.read_as_of(spark, h, history, "007", "2023-05-01")
+    later = frame(spark, [("r2", "c1", "2024-01-02 00:00:00"), ("r2", "c2", "2024-01-03 00:00:00"), ("007", "c2", "2024-06-01 00:00:00")], "repo_id string, commit string, at string").withColumn("indexed_at", F.to_timestamp("at"))
+    shards.archive(a.where("repo_id in ('007', 'r2')"), h, "c2")
+    fleet_then = lambda at: {(r["repo_id"], r["commit"]) for r in shards.snapshots_at(spark, h, history.unionByName(later), at).collect()}
+    assert fleet_then("2024-03-01") == {("007", "c1"), ("r2", "c2")} and fleet_then("2024-07-01") == {("007", "c2"), ("r2", "c2")} and fleet_then("2023-01-01") == set()
     shards.forget(spark, [p], "r2")
     assert {r["repo_id"] for r in shards.read_shard(spark, p).collect()} == {"007"}
     assert shards.migrate(spark, p, "007", "new") == 1 and shards.migrate(spark, p, "007", "new") == 0 and shards.large_shards(a, 0).count() == 3
@@ -273,6 +277,24 @@ def test_paths_and_sequences(spark):
     assert traverse.call_sequence(calls, "a") == [("a", "c", 1), ("c", "b", 9), ("b", "a", 5), ("a", "b", 2), ("b", "a", 5)] and len(traverse.call_sequence(calls, "a", 2)) == 2
 
 
+def test_sequences_of_many_starts_equal_those_of_one(spark):
+    schema = "src string, dst string, line int"
+    calls = [("a", "b", 2), ("a", "c", 1), ("b", "a", 5), ("c", "b", 9), ("c", "b", 9), ("c", "d", None), ("d", "d", 3), ("e", "a", 1), ("e", "f", 1), ("e", "c", None)]
+    rows = frame(spark, [*calls, (None, "a", 1), ("a", None, 1)], schema)
+    for most in (4, 200):
+        starts = frame(spark, [("a",), ("c",), ("e",), ("f",), ("a",), (None,)], "node_id string")
+        got = traverse.call_sequences(rows, starts, most).orderBy("start", "step").collect()
+        for start in "acef":
+            own = [r for r in got if r["start"] == start]
+            assert [(r["src"], r["dst"], r["line"]) for r in own] == traverse.call_sequence(calls, start, most)
+            assert [r["step"] for r in own] == list(range(len(own)))
+    assert {(r["src"], r["dst"], r["depth"]) for r in got if r["start"] == "c" and r["back"]} == {("d", "d", 2), ("a", "c", 3), ("a", "b", 3)}
+    assert traverse.call_sequences(rows, starts.limit(0)).count() == 0 and traverse.call_sequences(rows.limit(0), starts).count() == 0
+    wide = frame(spark, [("h", f"x{i:04}", i % 7) for i in range(3000)], schema)
+    got = traverse.call_sequences(wide, frame(spark, [("h",)], "node_id string"), 50).orderBy("step").collect()
+    assert [(r["src"], r["dst"], r["line"]) for r in got] == traverse.call_sequence([tuple(r) for r in wide.collect()], "h", 50)
+
+
 def test_ann_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     q = v.where("vec_id % 50 = 0")

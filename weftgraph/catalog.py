@@ -541,7 +541,14 @@ def citation_check(spark, sf):
     return text.cited(lines, cites)
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')) AS ps FROM documents WHERE text <> ''),
+w(doc_id, ps, i, held, p, ix, chunk) AS (SELECT doc_id, ps, 1, '', NULL::VARCHAR, -1, NULL::VARCHAR FROM d UNION ALL
+ SELECT doc_id, ps, CASE WHEN p IS NULL AND NOT ready THEN i + 1 ELSE i END,
+  CASE WHEN p IS NOT NULL THEN CASE WHEN length(p) > 1200 THEN '' ELSE p END WHEN ready THEN '' WHEN length(ps[i]) > 1200 THEN '' WHEN held <> '' THEN held || chr(10) || chr(10) || ps[i] ELSE coalesce(ps[i], '') END,
+  CASE WHEN p IS NOT NULL THEN CASE WHEN length(p) > 1200 THEN regexp_replace(substr(p, cut - 199), '^\s+', '') END WHEN NOT ready AND length(ps[i]) > 1200 THEN ps[i] END,
+  CASE WHEN length(p) > 1200 OR (p IS NULL AND ready) THEN ix + 1 ELSE ix END, CASE WHEN length(p) > 1200 THEN substr(p, 1, cut) WHEN p IS NULL AND ready THEN held END
+ FROM (SELECT *, held <> '' AND (i > len(ps) OR length(held) + 2 + length(ps[i]) > 1200) AS ready, CASE WHEN b > 200 THEN b ELSE 1200 END AS cut FROM (SELECT *, length(regexp_extract(substr(p, 1, 1200), '(?s)^(.*) [^ ]*$', 1)) AS b FROM w)) WHERE p IS NOT NULL OR i <= len(ps) OR held <> '')
+SELECT doc_id, ix::INT AS chunk_ix, chunk FROM w WHERE chunk IS NOT NULL""")
 def document_chunks(spark, sf):
     return chunk_documents(read(spark, sf, "documents"))
 

@@ -490,6 +490,27 @@ def impact_depth(spark, sf):
     return traverse.impact_index(calls, o.where("before is null").select(key("o_orderkey").alias("node_id")))
 
 
+_SEQUENCE = """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey AS c, lag(o_orderkey) OVER w AS before, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS newest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+calls AS (SELECT 'order_' || k AS src, 'order_' || before AS dst, 4 AS line FROM o WHERE before IS NOT NULL UNION ALL SELECT 'order_' || k, 'order_' || newest, NULL FROM o WHERE before IS NULL UNION ALL SELECT 'order_' || l_orderkey, 'part_' || l_partkey, l_linenumber FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY line NULLS LAST, dst) AS rank FROM calls),
+s(start, place, path, src, dst, line) AS (SELECT src, [rank], [src], src, dst, line FROM r WHERE src IN (SELECT 'order_' || newest FROM o)
+ UNION ALL SELECT start, list_append(place, r.rank), list_append(path, r.src), r.src, r.dst, r.line FROM s JOIN r ON r.src = s.dst WHERE NOT list_contains(path, s.dst)),
+t AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY place) AS n FROM s)
+"""
+
+
+@query(_SEQUENCE + "SELECT start, (n - 1)::INT AS step, len(place)::INT AS depth, src, dst, line::INT AS line, list_contains(path, dst) AS back FROM t WHERE n <= 40")
+def call_sequences(spark, sf):
+    """Every order calls the one before it of its customer, amid its parts, and the oldest calls the newest again: the first 40 calls from each customer's newest order."""
+    w = Window.partitionBy("o_custkey")
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w.orderBy("o_orderkey")).alias("before"), F.max("o_orderkey").over(w).alias("newest"))
+    key = lambda kind, c: F.concat(F.lit(f"{kind}_"), F.col(c).cast("string"))
+    row = lambda df, src, dst, line: df.select(src.alias("src"), dst.alias("dst"), line.cast("int").alias("line"))
+    calls = row(o.where("before is not null"), key("order", "o_orderkey"), key("order", "before"), F.lit(4)).unionByName(row(o.where("before is null"), key("order", "o_orderkey"), key("order", "newest"), F.lit(None)))
+    calls = calls.unionByName(row(read(spark, sf, "lineitem"), key("order", "l_orderkey"), key("part", "l_partkey"), F.col("l_linenumber")))
+    return traverse.call_sequences(calls, o.where("o_orderkey = newest").select(key("order", "newest").alias("node_id")), 40)
+
+
 @graph_query(f""", p AS ({ORACLE_SQL["shortest_path"]}), st AS (SELECT a.step, a.node_id AS f, b.node_id AS t FROM p a JOIN p b ON b.step = a.step + 1),
 w AS (SELECT step, f AS from_id, t AS to_id, relation, confidence, source_line AS line, src = f AS forward, row_number() OVER (PARTITION BY step ORDER BY {catalog._RANK}, src <> f, relation, source_line NULLS FIRST) AS r FROM st JOIN edges ON (src = f AND dst = t) OR (src = t AND dst = f))
 SELECT step::INT AS step, from_id, to_id, relation, confidence, line, forward FROM w WHERE r = 1""")
@@ -901,13 +922,29 @@ def json_records(spark, sf):
 # ---- shards, snapshots and streams
 
 
-@graph_query("SELECT node_id, kind, repo_id FROM nodes WHERE repo_id NOT LIKE 'ASIA%' UNION ALL SELECT node_id, 'renewed', repo_id FROM nodes WHERE repo_id LIKE 'ASIA%' AND kind = 'class'")
+@graph_query(""", r AS (SELECT DISTINCT repo_id FROM nodes WHERE repo_id LIKE 'ASIA%' AND kind = 'class')
+SELECT node_id, kind, repo_id FROM nodes WHERE repo_id NOT IN (SELECT repo_id FROM r) UNION ALL SELECT node_id, 'renewed', repo_id FROM nodes WHERE kind = 'class' AND repo_id IN (SELECT repo_id FROM r)""")
 def shard_replace(spark, sf):
+    """All shards, of which those of one region are replaced by their classes alone."""
     path = _folder(spark, "shards")
     n = nodes(spark, sf).select("node_id", "kind", "repo_id")
     shards.write_shard(n, path)
     shards.write_shard(n.where("repo_id like 'ASIA%' and kind = 'class'").withColumn("kind", F.lit("renewed")), path)
-    return shards.read_shard(spark, path).where("repo_id not like 'ASIA%' or kind = 'renewed'").select("node_id", "kind", "repo_id")
+    return shards.read_shard(spark, path).select("node_id", "kind", "repo_id")
+
+
+@graph_query("SELECT node_id, repo_id, CASE WHEN length(repo_id) % 2 = 0 THEN name ELSE 'old_' || name END AS name FROM nodes WHERE repo_id <> '(packages)'")
+def fleet_as_of(spark, sf):
+    """Two snapshots of every repository; the second one comes before the asked time in some of them, and packages come after it."""
+    path = _folder(spark, "history")
+    n = nodes(spark, sf).select("node_id", "name", "repo_id")
+    shards.archive(n.withColumn("name", F.concat(F.lit("old_"), "name")), path, "c1")
+    shards.archive(n, path, "c2")
+    repos = n.select("repo_id").distinct()
+    early = F.when(F.col("repo_id") == "(packages)", "2024-05-01").otherwise("2024-01-01")
+    late = F.when((F.length("repo_id") % 2 == 0) & (F.col("repo_id") != "(packages)"), "2024-02-01").otherwise("2024-06-01")
+    history = repos.select("repo_id", F.lit("c1").alias("commit"), early.alias("t")).unionByName(repos.select("repo_id", F.lit("c2").alias("commit"), late.alias("t"))).withColumn("indexed_at", F.to_timestamp("t"))
+    return shards.snapshots_at(spark, path, history, "2024-03-01 00:00:00").select("node_id", "repo_id", "name")
 
 
 @graph_query("SELECT node_id, 'old_' || name AS name FROM nodes WHERE kind = 'class' AND repo_id = 'AFRICA/NATION_0'")
@@ -944,19 +981,19 @@ def needs_reindex(spark, sf):
     return incremental.needs_reindex(c.select("repo_id", "head", "parser"), indexed).select("repo_id", "head")
 
 
-@query("SELECT user_id::VARCHAR AS repo_id, event_type AS head, event_id FROM events WHERE event_type = (CASE user_id % 2 WHEN 0 THEN 'view' ELSE 'click' END)")
+@query("SELECT user_id::VARCHAR AS repo_id, CASE user_id % 2 WHEN 0 THEN 'h1' ELSE 'h2' END AS head, event_type, event_id FROM events WHERE user_id IS NOT NULL")
 def stream_index(spark, sf):
     """Two files of a stream: the second renews the odd repositories and brings the rest of the even ones' shards."""
     place = _folder(spark, "stream")
-    e = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("repo_id"), F.col("event_type").alias("head"), F.lit("11").alias("parser"), "event_id", "user_id")
-    even, half = e.where("user_id % 2 = 0 and head = 'view'"), F.col("event_id") % 2 == 0
-    first = even.where(half).withColumn("seq", F.lit(1)).unionByName(e.where("user_id % 2 = 1 and head = 'view'").withColumn("seq", F.lit(1)))
-    second = even.where(~half).withColumn("seq", F.lit(1)).unionByName(e.where("user_id % 2 = 1 and head = 'click'").withColumn("seq", F.lit(2)))
-    schema = "repo_id string, head string, parser string, seq long, event_id long"
+    e = read(spark, sf, "events").where("user_id is not null").select(F.col("user_id").cast("string").alias("repo_id"), "event_type", F.lit("11").alias("parser"), "event_id", "user_id")
+    even, half = F.col("user_id") % 2 == 0, F.col("event_id") % 2 == 0
+    first = e.where(half).withColumn("head", F.lit("h1")).withColumn("seq", F.lit(1))
+    second = e.where(even & ~half).withColumn("head", F.lit("h1")).withColumn("seq", F.lit(1)).unionByName(e.where(~even).withColumn("head", F.lit("h2")).withColumn("seq", F.lit(2)))
+    schema = "repo_id string, head string, parser string, seq long, event_id long, event_type string"
     for part in (first, second):
-        part.select("repo_id", "head", "parser", F.col("seq").cast("long").alias("seq"), "event_id").coalesce(1).write.mode("append").parquet(f"{place}/in")
+        part.select("repo_id", "head", "parser", F.col("seq").cast("long").alias("seq"), "event_id", "event_type").coalesce(1).write.mode("append").parquet(f"{place}/in")
         incremental.index_stream(spark, f"{place}/in", schema, f"{place}/out", f"{place}/state", f"{place}/checkpoint").awaitTermination()
-    return shards.read_table(spark, f"{place}/out").select("repo_id", "head", "event_id")
+    return shards.read_table(spark, f"{place}/out").select("repo_id", "head", "event_type", "event_id")
 
 
 @query("SELECT event_type AS service, event_id // 1000 AS page, event_id::VARCHAR AS id, user_id::VARCHAR AS user FROM events")

@@ -178,3 +178,28 @@ def call_sequence(calls: list[tuple[str, str, int | None]], start: str, most: in
         if step[0] not in on_path:
             stack.append((step[0], iter(by.get(step[0], ())), on_path | {step[0]}))
     return out
+
+
+def call_sequences(calls: DataFrame, starts: DataFrame, most: int = 200) -> DataFrame:
+    """(start, step, depth, src, dst, line, back) for every one of many starts (node_id): the calls (src, dst, line) made from it, in the order of their lines and depth first, at most
+    ``most``; a call back into the open path is told (``back``) but not followed.  What ``call_sequence`` gives for one start on the driver.
+
+    A call's place is the array of its ranks among the calls of each node on its path, so sorting by it walks depth first.  Of a node only the first ``most`` calls are kept, and of a start
+    only the first ``most`` places known so far: both are exact, as later ones can only be pushed further behind.  Calls without a line come last, those with a null end are ignored; equal
+    calls stay apart; null and repeated starts give nothing more."""
+    by = Window.partitionBy("src").orderBy(F.col("line").isNull(), "line", "dst")
+    ranked = calls.where("src is not null and dst is not null").select("src", "dst", "line").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
+    ranked = work_table(ranked, "ranked-calls")
+    within = Window.partitionBy("start").orderBy("place")
+    at = starts.where("node_id is not null").select(F.col("node_id").alias("start")).distinct()
+    new = at.join(ranked, F.col("start") == F.col("src")).select("start", F.array("rank").alias("place"), F.array("src").alias("path"), "src", "dst", "line")
+    known = None
+    for depth in range(1, most + 1):
+        rows = new if known is None else known.unionByName(new)
+        known = work_table(rows.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= most).drop("_r"), "call-places")
+        open_ = known.where((F.size("place") == depth) & ~F.array_contains("path", F.col("dst"))).select("start", "place", "path", F.col("dst").alias("src"))
+        if open_.isEmpty():
+            break
+        step = F.concat("place", F.array("rank")).alias("place"), F.concat("path", F.array("src")).alias("path")
+        new = open_.join(ranked, "src").select("start", *step, "src", "dst", "line")
+    return known.select("start", (F.row_number().over(within) - 1).alias("step"), F.size("place").alias("depth"), "src", "dst", "line", F.array_contains("path", F.col("dst")).alias("back"))

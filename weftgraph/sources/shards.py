@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.work import small
+
 SCHEMA_VERSION = 1
 #: Rows of one repository beyond which a shard is worth a warning.
 LARGE = 50_000_000
@@ -98,6 +100,14 @@ def read_as_of(spark: SparkSession, path: str, history: DataFrame, repo: str, at
     return read_at(spark, path, repo, last["commit"])
 
 
+def snapshots_at(spark: SparkSession, path: str, history: DataFrame, at: str) -> DataFrame:
+    """What ``read_as_of`` gives, for every repository at once: of each the last snapshot that was indexed at or before a time.  Repositories not indexed by then have no rows.  The chosen
+    commits prune the folders that are read, as long as they are few enough to be broadcast."""
+    then = history.where(F.col("indexed_at") <= F.lit(at).cast("timestamp"))
+    last = then.groupBy("repo_id").agg(F.max(F.struct("indexed_at", "commit")).alias("m")).select("repo_id", "m.commit")
+    return read_table(spark, path).join(F.broadcast(last) if small(last) else last, ["repo_id", "commit"])
+
+
 def indexed_commits(spark: SparkSession, path: str, repo: str) -> DataFrame:
     return read_table(spark, path).where(F.col("repo_id") == repo).select("commit").distinct()
 
