@@ -186,6 +186,43 @@ def test_ordinal_held_out_accuracy():
     assert severity[np.array(grades[400:]) == 2].mean() > severity[np.array(grades[400:]) == 1].mean() > severity[np.array(grades[400:]) == 0].mean()
 
 
+def test_toxicity_fit_is_the_likeliest_model():
+    """The fitted thresholds and weights against a search for the least penalised loss, on a table of three grades and three words."""
+    counts = {("calm",): (30, 6, 2), ("vile",): (8, 20, 6), ("scum",): (3, 7, 25), ("calm", "scum"): (6, 9, 8), ("vile", "scum"): (1, 4, 15), (): (12, 7, 5)}
+    rows = [(words, grade) for words, per in counts.items() for grade, k in enumerate(per) for _ in range(k)]
+    names, l1, l2 = ["calm", "scum", "vile"], 2e-4, 2e-4
+    x = np.array([[w in words for w in names] for words, _ in rows], float)
+    y = np.array([g for _, g in rows])
+    weight = (len(y) / (3 * np.bincount(y)))[y]
+
+    def loss(p):
+        if p[1] <= p[0]:
+            return np.inf
+        cdf = 1 / (1 + np.exp(-(np.array([-60, p[0], p[1], 60])[None, :] - (x @ p[2:])[:, None])))
+        at = np.arange(len(y))
+        return -(weight * np.log(cdf[at, y + 1] - cdf[at, y])).sum() / len(y) + l2 / 2 * (p[2:] ** 2).sum() + l1 * np.abs(p[2:]).sum()
+
+    best, step = np.array([-1.0, 1.0, 0.0, 0.0, 0.0]), 1.0
+    while step > 1e-6:
+        near = min((best + s * step * e for e in np.eye(5) for s in (1, -1)), key=loss)
+        best, step = (near, step) if loss(near) < loss(best) else (best, step / 2)
+    m = toxicity.fit([" ".join(w) for w, _ in rows], y.tolist(), least=1, clear=0.0, l1=l1, l2=l2)
+    got = np.array([*m.thresholds, *(m.weights[w] for w in names)])
+    assert loss(got) <= loss(best) + 1e-4
+    assert np.abs(got - best).max() < 0.05 and got[0] < got[1]
+    above = m.at_least(m.scores(["calm", "scum vile"]))
+    assert np.allclose(above, 1 / (1 + np.exp(best[None, :2] - np.array([best[2], best[3] + best[4]])[:, None])), atol=0.02)
+
+
+def test_texts_without_words_are_never_toxic(spark):
+    """Also where the prior alone would reject them; a text with any word is judged by the model."""
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- \n"), (4, "scum"), (5, "fine"), (6, "7 " * 60000)], "doc_id long, text string")
+    model = toxicity.OrdinalModel([-1.0], {"scum": 2.0, "fine": -4.0})
+    got = {r["doc_id"]: (r["is_toxic"], r["p_toxic"] >= 0.5) for r in toxicity.score(docs, model).collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (False, True), 4: (True, True), 5: (False, False), 6: (False, True)}
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()} == {1, 2, 3, 5, 6}
+
+
 def test_toxicity_edges(spark):
     texts, grades = toxic_fixture(300)
     docs = docs_of(spark, [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (None, "scum"), (902, "scum idiot"), (902, "scum idiot")])

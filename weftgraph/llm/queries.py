@@ -106,10 +106,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 
-def _license_sql() -> str:
-    """The scan by plain containment: every template against every window of its size class."""
-    rows = [f"('{name}', {m}, {words})" for m, _, own in licenses.size_classes(licenses.TEMPLATES, 0.75, 1e-4) for name, words in own]
-    shingles = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' ')))"
+def _license_sql(templates: dict[str, str], n: int) -> str:
+    """The scan by plain containment of shingles of ``n`` words: every template against every window of its size class."""
+    rows = [f"('{name}', {m}, {words})" for m, _, own in licenses.size_classes(templates, 0.75, 1e-4) for name, words in own]
+    shingles = f"list_distinct(list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i:i+{n - 1}], ' ')))"
     return f"""
         WITH t AS (SELECT license, m, {shingles} AS template FROM (VALUES {", ".join(rows)}) AS x(license, m, w)),
         d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
@@ -145,7 +145,8 @@ def _layout_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op13_zorder_layout": _layout_sql(),
-    "op6_license_scan": _license_sql(),
+    "op6_license_scan": _license_sql(licenses.TEMPLATES, licenses.WORDS),
+    "op6_short_notices": _license_sql(licenses.SHORT_TEMPLATES, 3),
     "op5_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings

@@ -9,7 +9,7 @@ The model is fitted on at most ``sample`` labelled documents of each grade (thos
 does not depend on partitioning); everything else covers all rows.  The vocabulary (words of at least ``least``
 sampled documents whose share differs between grades) and so the model is bounded by ``words``.
 
-Null text counts as empty: it holds no word and gets the prior.  Labels without a document, null labels and documents
+Null text counts as empty: it holds no word, gets the prior and is never rejected, whatever the prior is.  Labels without a document, null labels and documents
 without labels do not enter the fit; of repeated labels of one document the highest counts.  With no label of some grade,
 nothing can be learned and every document gets grade 0 and severity 0.  An empty table gives no rows, repeated rows a row each; other columns are kept
 by ``score`` only if named.
@@ -149,10 +149,11 @@ def verdict(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> Column
     def grades(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
         for column in columns:
-            scores = [m.scores(b.column("text").to_pylist()) for b in shared.slices([pa.record_batch([column], ["text"])])]
-            above = m.at_least(np.concatenate([np.zeros(0), *scores]))
+            slices = [b.column("text").to_pylist() for b in shared.slices([pa.record_batch([column], ["text"])])]
+            above = m.at_least(np.concatenate([np.zeros(0), *map(m.scores, slices)]))
+            worded = np.array([_WORD.search(t) is not None for texts in slices for t in texts], bool)
             likely = np.argmax(np.column_stack([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]]), axis=1)
-            parts = [pa.array(above.sum(1).round(6)), pa.array(likely.astype(np.int32)), pa.array(above[:, 0].round(6)), pa.array(above[:, 0] >= reject)]
+            parts = [pa.array(above.sum(1).round(6)), pa.array(likely.astype(np.int32)), pa.array(above[:, 0].round(6)), pa.array((above[:, 0] >= reject) & worded)]
             yield pa.StructArray.from_arrays(parts, ["expected_severity", "grade", "p_toxic", "is_toxic"])
 
     return grades(F.coalesce(F.col("text"), F.lit("")))
@@ -168,5 +169,5 @@ def score(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, keep: tuple
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not reject; null and empty texts hold no word and stay unless the prior alone rejects."""
+    """The rows of ``docs``, all columns, that the model does not reject; null and empty texts, and others without words, stay."""
     return docs.where(~verdict(docs, model, reject)["is_toxic"])
