@@ -159,6 +159,18 @@ def test_op5_against_sql(spark, sf):
     assert sorted(tuple(r) for r in queries.op5_exact_topk(spark, sf).collect()) == want
 
 
+def test_topk_floors_are_exact_beyond_doubles(spark):
+    """A query that has no floor, as its id has two vectors, stands beside one whose floor is no double."""
+    big = 2**53 + 3
+    values = {1: big, 2: 5, 3: big - 2, 4: 7, 5: 9, 6: big - 1}
+    candidates = spark.createDataFrame([(v, [x]) for v, x in values.items()], "vec_id long, q array<long>")
+    asked = spark.createDataFrame([(0, [1]), (50, [1]), (50, [2])], "vec_id long, q array<long>")
+    for k in (1, 2):
+        got = {(r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(candidates, asked, k, block=1, cell=2).collect() if r["query_id"] == 0}
+        best = sorted(values.items(), key=lambda p: (-p[1], p[0]))[:k]
+        assert got == {(i + 1, v, x) for i, (v, x) in enumerate(best)}
+
+
 # ---- toxicity
 
 

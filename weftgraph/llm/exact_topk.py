@@ -103,10 +103,12 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], k: int, block: int
     def cell_hits(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        floors = np.array([None if pd.isna(x) else int(x) for x in b["floor"]], dtype=object)
+        floors = np.array([int(x) if some else None for x, some in zip(b["floor"], b["has_floor"])], dtype=object)
         hits = search(a["vec_id"].to_numpy(np.int64), _matrix(list(a["q"])), b["vec_id"].to_numpy(np.int64), _matrix(list(b["q"])), k, block, floors)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), hits)))
 
+    # Without nulls the floors stay integers; a column with nulls would reach pandas as doubles, which round beyond 2**53.
+    right = right.withColumn("has_floor", F.col("floor").isNotNull()).withColumn("floor", F.coalesce("floor", F.lit(0)))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell_hits, "query_id long, vec_id long, score long")
 
 
