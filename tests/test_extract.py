@@ -177,3 +177,10 @@ def test_maven_versions_are_inherited(spark):
     leaf = {k[2].split(":")[1]: v for k, v in got.items() if k[0] == "leaf"}
     assert leaf == {"lib": ("3.5", "runtime"), "junit": ("5", "dev"), "own": ("1", "runtime"), "none": (None, "runtime"), "odd": ("${loop}", "runtime"), "new": ("9", "optional")}
     assert got[("a", "g:a", "g:x")][0] == "1" and got[("a", "g:a", "g:y")][0] == "2" and got[("b", "g:b", "g:x")][0] == "1" and got[("lost", "g:lost", "g:z")][0] is None and len(got) == 10
+
+
+def test_nodes_of_an_indexed_tree_do_not_clash(spark):
+    """The class ids of these two files have the same eight first digits."""
+    tree = frame(spark, [(f, "python", "class C:\n    pass\n") for f in ("f8581.py", "f16210.py")], "file string, lang string, content string")
+    nodes, edges, _ = extract.index_repo(tree, "r")
+    assert nodes.where("kind = 'class'").count() == 2 and edges.where("relation = 'contains'").count() == 2

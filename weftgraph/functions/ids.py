@@ -27,14 +27,14 @@ def make_id(*parts: Column) -> Column:
     return normalize_id(F.concat_ws("_", *parts))
 
 
-def symbol_id(slug: Column, *parts: Column) -> Column:
-    """The slug and eight hex digits of the parts' digest; a null part counts as empty."""
+def symbol_id(slug: Column, *parts: Column, digits: int = 8) -> Column:
+    """The slug and the first hex digits of the parts' digest; a null part counts as empty.  Eight tell some tens of thousands of symbols of one slug apart, 32 any number."""
     joined = F.concat_ws("\u0000", *[F.coalesce(p, F.lit("")) for p in parts])
-    return F.concat(slug, F.lit("_"), F.substring(F.sha2(joined, 256), 1, 8))
+    return F.concat(slug, F.lit("_"), F.substring(F.sha2(joined, 256), 1, digits))
 
 
-def symbol_id_of(slug: str, *parts: str | None) -> str:
-    return f"{slug}_{hashlib.sha256(chr(0).join(p or '' for p in parts).encode()).hexdigest()[:8]}"
+def symbol_id_of(slug: str, *parts: str | None, digits: int = 8) -> str:
+    return f"{slug}_{hashlib.sha256(chr(0).join(p or '' for p in parts).encode()).hexdigest()[:digits]}"
 
 
 def remote_key(url: Column) -> Column:
