@@ -203,3 +203,27 @@ def test_all_lists_and_exact_ranks_find_all(spark):
     got = annindex.AnnIndex(v).search(v, 3, 1.0, refined=50).collect()
     want = search.knn_edges(v, 3).collect()
     assert sorted((r["query_id"], r["vec_id"]) for r in got if r["query_id"] != 500) == sorted((r["src"], r["dst"]) for r in want if r["src"] != 500)
+
+
+def test_hybrid_ranking_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    edges = frame(spark, [(i, (i * 7 + 1) % 30) for i in range(30)], "src long, dst long").mapInPandas(work, "src long, dst long")
+    got = search.hybrid_rank(edges, frame(spark, [(0, 1, 0.5), (0, 2, 0.25)], "query_id long, id long, score double"), 5)
+    assert got.count() == 5 and made.value == 30
+
+
+def test_nearest_others_with_ties():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(700, 16)), np.repeat(rng.normal(size=(2, 16)), 300, 0), rng.integers(-1, 2, size=(700, 4)).astype(float)):
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x, ids = x / np.where(n == 0, 1, n), rng.permutation(10_000)[: len(x)]
+        s = np.round(x @ x.T, 6)
+        np.fill_diagonal(s, -9)
+        want = sorted((int(q), int(i)) for q, o in zip(ids, np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :3]) for i in ids[o])
+        assert sorted((int(a), int(b)) for a, b in zip(*search._best_of(x, ids, x, ids, 3)[:2])) == want
