@@ -4,9 +4,11 @@ import random
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from weftgraph.operators import annindex, pagerank, search, textindex, traverse
+from weftgraph.operators import annindex, embed, pagerank, search, textindex, traverse
 
 
 def frame(spark, rows, schema):
@@ -205,6 +207,18 @@ def test_all_lists_and_exact_ranks_find_all(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in got if r["query_id"] != 500) == sorted((r["src"], r["dst"]) for r in want if r["src"] != 500)
 
 
+def test_codes_tell_neighbours_apart_in_narrow_and_in_wide_lists(spark):
+    rng = np.random.default_rng(11)
+    wide = rng.normal(size=(6000, 64))
+    narrow = rng.normal(size=(24, 64))[np.arange(6000) % 24] + 0.02 * wide
+    for x, share, refined in ((wide, 1.0, 5), (narrow, 0.2, 2)):
+        v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist()})).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        q = v.where("vec_id % 100 = 0")
+        found = embed.ann_topk(v, q, 10, share, refined)
+        exact = search.knn_edges(v, 10, queries=q).withColumnRenamed("src", "query_id").withColumnRenamed("dst", "vec_id")
+        assert embed.recall(found, exact) >= 0.9
+
+
 def test_hybrid_ranking_makes_its_edges_once(spark):
     made = spark.sparkContext.accumulator(0)
 
