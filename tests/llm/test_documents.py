@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import exact_topk, fingerprints, parity_join, queries, toxicity
 from weftgraph.llm.components import components
@@ -378,6 +379,23 @@ def test_hot_group_of_sketches_meets_in_cells(spark, monkeypatch):
     assert sorted(tuple(x) for x in parity_join.near_duplicates(docs_of(spark, rows)).collect()) == brute(rows)
 
 
+def test_a_task_gives_each_class_one_nearest_partner(spark):
+    """Forty near copies that meet under ten keys: a task's rows are its classes, not its keys or pairs, and the copies still join."""
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, f"x{r.randrange(10**6)}"])) for i in range(40)]
+    held = parity_join.sets_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    sketches = held.select("class", "n", "bits", "fine")
+    met = held.select("class", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("key"), F.col("class").alias("part"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert parity_join._cells(met, sketches, "fine", "nearest", 3, 4).count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(tuple(x) for x in parity_join.near_duplicates(docs_of(spark, rows)).collect()) == brute(rows)
+
+
 def test_long_texts(spark):
     """Texts above 50 kB, alike and not."""
     r = random.Random(5)

@@ -12,7 +12,7 @@ Equal sets form a class, known by 128 bits of hashes of the whole set; classes w
 classes.  Rows (key, class) are sorted within their shuffle partition and streamed; keys with the same classes become one *group*.
 A class's id tells its size to some percent, which rules many pairs out; dense sketches rule pairs out by their Hamming distance before any text moves, a coarse
 one of one to two bits a shingle those below a Jaccard of about 0.65, a fine one of four to eight bits those below about 0.735; exact verification then reads texts, dealt by the pair's first class, which is sent once for each salt of its partners.  Every class is compared first with the
-nearest of its groups' smallest classes; then, round by round, with its nearest partner in another component, found in cells of bounded size by coarse sketches and, for rows
+nearest of its groups' smallest classes; then, round by round, with its nearest partner in another component of those that each task holds, found in cells of bounded size by coarse sketches and, for rows
 that have a partner by these, by fine ones; when a round joins nothing, with all partners that are left.  Copies are never expanded into pairs and no group is capped.
 
 Null text counts as empty; texts without words have an empty set and are linked with nothing; a null doc_id takes part in
@@ -37,8 +37,6 @@ from .hashing import mix, shingle_sets
 _ROOM, _MORE = 1.1, 6
 #: Bytes of dense sketches in one side of a cell when a group's pairs are compared; partners of a class for each copy of its text.
 _CELL, _FAN = 4 << 20, 128
-#: Partners of a class that a cell proposes in a round; all others follow when rounds join nothing more.
-_FEW = 6
 
 #: Levels of size at the end of a class's id.
 _LEVELS = 512
@@ -322,7 +320,7 @@ _FAR = 1 << 30
 
 def _cells(rows: DataFrame, sketches: DataFrame, bits: str, want: str, num: int, den: int) -> DataFrame:
     """Of rows (key, class, part), by sketches, what may be linked among the classes of one key and different parts: the ``rows`` (key, class) that have any such partner, for each
-    class the ``nearest`` partner in each of some other parts, those of its nearest few in a cell, as (class, far, other, there), or all ``pairs`` (a, b).
+    class the ``nearest`` partner of those that each task meets, the nearest for each other part, as (class, other), or all ``pairs`` (a, b).  A task gives a class once, so its rows are no more than its classes.
 
     A key's rows are dealt in cells: pairs of its slices, each slice of about ``_CELL`` bytes of sketches, so a cell fits a task however many rows a key has.
     """
@@ -344,7 +342,7 @@ def _cells(rows: DataFrame, sketches: DataFrame, bits: str, want: str, num: int,
             out[i] = np.where(ok if one else ok & (left[i, None] != left[None, :]), far, _FAR)
         return out
 
-    def close(cell: tuple, c: list[tuple], out: list[tuple], seen: set[tuple]) -> None:
+    def close(cell: tuple, c: list[tuple], out: list[tuple], seen: set[tuple], best: dict[int, tuple]) -> None:
         if len(c) < 2:
             return
         far = distances(c, cell[1] == cell[2])
@@ -360,13 +358,14 @@ def _cells(rows: DataFrame, sketches: DataFrame, bits: str, want: str, num: int,
         if want == "rows":
             out.extend((cell[0], c[i][1]) for i in np.flatnonzero(far.min(axis=1) < _FAR).tolist())
             return
-        few = min(_FEW, len(c))
-        at = np.argpartition(far, few - 1, axis=1)[:, :few]
-        for i, some in enumerate(at.tolist()):
-            out.extend((c[i][1], int(far[i, j]), c[j][1], c[j][2]) for j in some if far[i, j] < _FAR)
+        at = far.argmin(axis=1)
+        for i, (j, d) in enumerate(zip(at.tolist(), far[np.arange(len(c)), at].tolist())):
+            if d < _FAR and (d, c[j][1]) < best.get(c[i][1], (_FAR,))[:2]:
+                best[c[i][1]] = (d, c[j][1], c[j][2])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
+        best: dict[int, tuple] = {}  # of each class that the task has met, whatever the number of keys and cells: (far, other, there)
         cell, held, out = None, [], []
         full = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(len(names))], names=names)
         for batch in shared.slices(batches, column="bits", most=4 << 20):
@@ -374,14 +373,18 @@ def _cells(rows: DataFrame, sketches: DataFrame, bits: str, want: str, num: int,
             for key, row in zip(keys, zip(*(batch.column(x).to_pylist() for x in ("left", "class", "part", "n", "bits")))):
                 if key != cell:
                     if cell is not None:
-                        close(cell, held, out, seen)
+                        close(cell, held, out, seen, best)
                     cell, held = key, []
                 held.append(row)
+            if len(best) > 1_000_000:  # bounded: what is told again is told apart when the tasks' rows meet
+                out.extend((c, *b) for c, b in best.items())
+                best.clear()
             if out:
                 yield full()
                 out = []
         if cell is not None:
-            close(cell, held, out, seen)
+            close(cell, held, out, seen, best)
+        out.extend((c, *b) for c, b in best.items())
         if out:
             yield full()
 
