@@ -9,6 +9,7 @@ import __spark_entry__
 from weftgraph import catalog
 from weftgraph.functions import chunk, ids
 from weftgraph.operators import fleet, graph, render, search, text, traverse
+from weftgraph.plans import work
 from weftgraph.sources import files, shards, web
 from weftgraph.streaming import incremental
 
@@ -224,3 +225,21 @@ def test_repeats_on_documents(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert got == sorted(con.sql(catalog.ORACLE_SQL["repeated_sentence_or_span"]).fetchall())
+
+
+def test_dependencies_are_counted_where_they_are_joined(spark):
+    """A package meets a pair of repositories once, also where several nodes of a repository ask for it; no distinct count keeps the pairs apart."""
+    nodes = frame(spark, [("a", "r1"), ("b", "r1"), ("c", "r2"), ("d", "r3")], "node_id string, repo_id string")
+    edges = frame(spark, [("a", "p", "depends_on"), ("b", "p", "depends_on"), ("a", "q", "depends_on"), ("c", "p", "publishes"), ("c", "q", "publishes"), ("d", "q", "publishes"), ("a", "q", "publishes"), ("x", "p", "publishes")], "src string, dst string, relation string")
+    got = graph.repo_dependencies(nodes, edges)
+    assert sorted(map(tuple, got.collect())) == [("r1", "r2", 2), ("r1", "r3", 1)]
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_work_tables_have_tasks_by_rows_and_put_settings_back(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.maxConcurrentOutputFileWriters")
+    before = [spark.conf.get(x, None) for x in names]
+    made = work.work_table(frame(spark, [(1, "x"), (2, "y"), (3, "x")], "n int, k string"), "halves", "k", work.tasks_for(spark, 50_000_000))
+    assert sorted(map(tuple, made.collect())) == [(1, "x"), (2, "y"), (3, "x")]
+    assert [spark.conf.get(x, None) for x in names] == before
+    assert work.tasks_for(spark, 50_000_000) == 50 and work.tasks_for(spark, 10) == int(before[0])
