@@ -158,6 +158,24 @@ def test_index_repo(spark):
     assert ("file", "bad.py", "bad.py") in names.values() and [tuple(r) for r in counts.where("stream = 'calls'").select("fate", "n").collect()] == [("resolved", 1)]
 
 
+def test_index_repo_reads_a_tree_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def told(batches):
+        for pdf in batches:
+            with open(seen, "a") as f:
+                f.writelines(f"{x}\n" for x in pdf["file"])
+            yield pdf
+
+    rows = [(f"m{k}.py", "python", f"class C{k}(C{k - 1}):\n    def m{k}(self):\n        return h{k}()\n\n\ndef h{k}():\n    return 1\n") for k in range(4)]
+    schema = "file string, lang string, content string"
+    nodes, edges, counts = extract.index_repo(frame(spark, rows, schema).coalesce(1).mapInPandas(told, schema), "r")
+    assert edges.groupBy("relation").count().orderBy("relation").collect() == [("calls", 4), ("contains", 12), ("inherits", 3)] and nodes.count() == 16
+    assert {(r["stream"], r["n"]) for r in counts.collect()} == {("calls", 4), ("inherits", 3)}
+    assert len(seen.read_text().split()) <= 2 * len(rows)  # the files are counted, then parsed
+    assert [x.count() for x in extract.index_repo(frame(spark, [("a.txt", "text", "x")], schema), "r")] == [1, 0, 0]
+
+
 # ---- sources and sinks
 
 
