@@ -265,6 +265,23 @@ def test_stream_takes_a_shard_in_two_batches(spark, tmp_path):
     assert sorted(r["node_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "two"]
 
 
+def test_stream_of_many_repositories_has_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKETS", 8)
+    schema = "repo_id string, head string, parser string, seq long, node_id string"
+    at = {k: str(tmp_path / k) for k in ("in", "out", "state", "cp")}
+    for head, most in (("h1", 60), ("h2", 20)):
+        rows = [(str(i), head, "10", int(head[1]), f"{head}-{j}") for i in range(most) for j in range(2)]
+        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(at["in"])
+        incremental.index_stream(spark, at["in"], schema, at["out"], at["state"], at["cp"]).awaitTermination()
+    want = sorted((str(i), f"{'h2' if i < 20 else 'h1'}-{j}") for i in range(60) for j in range(2))
+    assert sorted((r["repo_id"], r["node_id"]) for r in shards.read_table(spark, at["out"]).collect()) == want
+    assert all(len(list((tmp_path / k).glob("*=*"))) <= shards.BUCKETS for k in ("out", "state"))
+    shards.forget(spark, [at["out"]], "7")
+    assert shards.migrate(spark, at["out"], "8", "eight") == 2
+    kept = [((r, n) if r != "8" else ("eight", n)) for r, n in want if r != "7"]
+    assert sorted((r["repo_id"], r["node_id"]) for r in shards.read_table(spark, at["out"]).collect()) == sorted(kept)
+
+
 # ---- text, traversal, retrieval
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.work import small
+from ..plans.work import remove, small, work_table
 
 SCHEMA_VERSION = 1
 #: Rows of one repository beyond which a shard is worth a warning.
 LARGE = 50_000_000
+#: Fixed value: folders of a table of many small repositories.
+BUCKETS = 256
 
 
 def write_shard(df: DataFrame, path: str) -> None:
@@ -17,6 +19,30 @@ def write_shard(df: DataFrame, path: str) -> None:
     df.repartition("repo_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
 
 
+def _write_buckets(df: DataFrame, path: str) -> None:
+    df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_buckets(df: DataFrame, path: str) -> None:
+    """Replaces the rows of the repositories that ``df`` holds and no others, in a table whose folders (``bucket``) hold many repositories each, so that files do not grow with their number.
+    A folder with such a repository is read and written again.  ``read_table``, ``forget`` and ``migrate`` take both kinds of tables; the others want a folder for each repository."""
+    spark = df.sparkSession
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(BUCKETS)).cast("int"))
+    if in_buckets(spark, path):
+        at = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # no more than there are folders
+        there = read_table(spark, path).where(F.col("bucket").isin(at))
+        new = df.select(F.col("repo_id").alias("_new")).distinct()
+        rows = work_table(rows.unionByName(there.join(new, there["repo_id"].eqNullSafe(new["_new"]), "left_anti")), "buckets")
+    _write_buckets(rows, path)
+
+
+def in_buckets(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table and its folders are buckets."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(f.getPath().getName().startswith("bucket=") for f in fs.listStatus(p))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table of shards; ids that look like numbers stay text, as they were written."""
     schema = spark.read.parquet(path).schema
@@ -130,6 +156,15 @@ def partitions_of(repo: str) -> list[str]:
 def forget(spark: SparkSession, paths: list[str], repo: str) -> None:
     """Drops a repository's partitions, also those of its connectors and enrichments, from every table."""
     for path in paths:
+        if in_buckets(spark, path):
+            rows = read_table(spark, path)
+            own = F.coalesce(F.col("repo_id").isin(partitions_of(repo)), F.lit(False))
+            at = [r["bucket"] for r in rows.where(own).select("bucket").distinct().collect()]
+            left = work_table(rows.where(F.col("bucket").isin(at) & ~own), "buckets")
+            _write_buckets(left, path)
+            for b in set(at) - {r["bucket"] for r in left.select("bucket").distinct().collect()}:
+                remove(spark, f"{path}/bucket={b}")
+            continue
         for own in partitions_of(repo):
             p = _partition(spark, path, own)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -141,6 +176,7 @@ def migrate(spark: SparkSession, path: str, old: str, new: str) -> int:
     own = rows.where(F.col("repo_id").isin(partitions_of(old)))
     n = own.count()
     if n:
-        write_shard(own.withColumn("repo_id", F.replace("repo_id", F.lit(old), F.lit(new))), path)
+        moved = own.withColumn("repo_id", F.replace("repo_id", F.lit(old), F.lit(new)))
+        write_buckets(moved.drop("bucket"), path) if in_buckets(spark, path) else write_shard(moved, path)
         forget(spark, [path], old)
     return n
