@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import exact_topk, fingerprints, parity_join, queries, toxicity
-from weftgraph.llm.components import components
+from weftgraph.llm import components as components_of
+from weftgraph.llm.components import components, joined
 
 
 def docs_of(spark, rows):
@@ -340,6 +341,32 @@ def test_components_chain_and_hub(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_joined_by_further_links(spark):
+    """Links within a component change nothing, links between two rename the larger one, and their ends need not be known; only these are worked on."""
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (21, 22), (30, 31)]
+    more = [(1, 3), (22, 11), (5, 31), (50, 51), (51, 3), (21, 20)]
+    label = components(frame(first))
+    got = sorted(tuple(r) for r in joined(label, frame(more)).collect())
+    assert got == sorted(tuple(r) for r in components(frame(first + more)).collect())
+    assert sorted(tuple(r) for r in joined(label, frame([])).collect()) == sorted(tuple(r) for r in label.collect())
+    assert sorted(tuple(r) for r in joined(components(frame([])), frame(first)).collect()) == sorted(tuple(r) for r in label.collect())
+
+
+def test_components_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(components_of, "_FEW", 3)
+    test_components_chain_and_hub(spark)
+    test_components_joined_by_further_links(spark)
+
+
+def test_ids_tell_how_long_sketches_are(spark):
+    """Sizes of cells are told from the ids, without a join with the sketches."""
+    rows = [(n, " ".join(f"w{i}" for i in range(n + 4))) for n in (1, 2, 31, 32, 33, 63, 64, 255, 256, 257, 511, 512, 1023, 1024, 1500)]
+    held = parity_join.sets_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    for bits in ("bits", "fine"):
+        assert held.where(F.length(bits) != parity_join._sketch_bytes(F.col("class"), bits)).count() == 0
+
+
 def test_op8_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in queries.op8_jaccard_join(spark, sf).collect()) == brute(rows)

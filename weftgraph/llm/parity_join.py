@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .components import components
+from .components import components, joined
 from .hashing import mix, shingle_sets
 
 #: Blocks of a band's sketch, as a multiple of the largest symmetric difference in it, and some more for the smallest sets.
@@ -136,6 +136,13 @@ def coarse(sketch: bytes, n: int) -> bytes:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, U).reshape(-1, words), axis=0).tobytes()
 
 
+def _sketch_bytes(classes: Column, bits: str) -> Column:
+    """How long a class's coarse (bits) or fine sketch is, told from its id alone."""
+    doubled = F.shiftright(classes.bitwiseAND(_LEVELS - 1), 4).cast("int")
+    one = F.lit(1).cast("long")
+    return F.greatest(F.call_function("shiftleft", one, doubled) * (2 if bits == "bits" else 2 * _FINE), F.lit(64 if bits == "bits" else _LEAST)) / 8
+
+
 def _folded(sketches: list[bytes]) -> np.ndarray:
     """One row of 64-bit words for each sketch, all of the shortest one's length: halves XORed keep the lower bound."""
     least = min(map(len, sketches))
@@ -326,7 +333,7 @@ def _cells(rows: DataFrame, sketches: DataFrame, bits: str, want: str, num: int,
     """
     names = {"rows": ["key", "class"], "nearest": ["class", "far", "other", "there"], "pairs": ["a", "b"]}[want]
     own = sketches.select("class", "n", F.col(bits).alias("bits"))
-    sizes = rows.join(own.select("class", F.length("bits").alias("z")), "class").groupBy("key").agg(F.ceil(F.sum("z") / _CELL).cast("int").alias("k"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum(_sketch_bytes(F.col("class"), bits)) / _CELL).cast("int").alias("k"))
     placed = rows.select("key", "class", "part").join(sizes, "key").withColumn("s", F.expr("cast(pmod(xxhash64(class), k) as int)"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), (F.col("s") == F.least("s", "o")).alias("left"), "class", "part").join(own, "class")
 
@@ -404,8 +411,8 @@ def _apart(rows: DataFrame, label: DataFrame, least: int) -> DataFrame:
     return shared.table(named.join(split, "key"), "unsettled")
 
 
-def jaccard_links(held: DataFrame, words: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """Verified links (a, b) between classes, enough that their components are those of all links."""
+def class_components(held: DataFrame, words: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """(node, component) of the classes that are linked; component is the smallest class reachable.  Only links between components are verified, enough to join all that are linked."""
     found = candidates(held, words, num, den)
     reps = held.where(F.col("bits").isNotNull()).groupBy("class").agg(F.min("row").alias("row"))
     reps = shared.table(found.select("class").distinct().join(reps, "class"), "representatives")
@@ -413,8 +420,7 @@ def jaccard_links(held: DataFrame, words: int = 5, num: int = 3, den: int = 4) -
     near = _near(found.where((F.col("first") != F.col("class")) & _near_sizes("first", "class", num, den)).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), sketches, "bits", num, den)
     # First each class meets the nearest of the first classes of its groups.
     stars = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
-    links = _verify(stars, held, reps, words, num, den)
-    label = components(links)
+    label = components(_verify(stars, held, reps, words, num, den))
     # Then, in groups of three or more that lie in several components, each class its nearest partners in others, round by round while that joins any.  Rows without a
     # partner left are out for good, as components only grow.
     rest = _apart(found, label, 3)
@@ -424,20 +430,19 @@ def jaccard_links(held: DataFrame, words: int = 5, num: int = 3, den: int = 4) -
         more = _verify(partners.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")), held, reps, words, num, den)
         if not more.limit(1).count():
             break
-        links = shared.table(links.unionByName(more), "links")
-        label = components(links)
+        label = joined(label, more)
         rest = _apart(rest.join(partners.select("class").distinct(), "class", "left_semi"), label, 2)
     # Last, whatever pair of such a group is left, and of the pairs with a group's first class: all that is linked is now joined.
     last = _cells(rest.join(partners.select("class").distinct(), "class", "left_semi"), sketches, "fine", "pairs", num, den)
     x, y = label.select(F.col("node").alias("a"), F.col("component").alias("pa")), label.select(F.col("node").alias("b"), F.col("component").alias("pb"))
     across = near.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
     across = _near(across, sketches, "fine", num, den).select("a", "b")
-    return links.unionByName(_verify(last.unionByName(across), held, reps, words, num, den))
+    return joined(label, _verify(last.unionByName(across), held, reps, words, num, den))
 
 
 def component_of(held: DataFrame, words: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """(class, component, component_id) of every class that is not empty: the smallest class linked with it, and the smallest doc_id."""
-    label = components(jaccard_links(held, words, num, den)).withColumnRenamed("node", "class")
+    label = class_components(held, words, num, den).withColumnRenamed("node", "class")
     classes = held.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
