@@ -312,6 +312,16 @@ def test_paths_and_sequences(spark):
     assert traverse.call_sequence(calls, "a") == [("a", "c", 1), ("c", "b", 9), ("b", "a", 5), ("a", "b", 2), ("b", "a", 5)] and len(traverse.call_sequence(calls, "a", 2)) == 2
 
 
+def test_a_round_of_sequences_holds_only_what_it_reaches(spark, monkeypatch):
+    """A chain of six, each with five calls that lead nowhere: every caller is written once, calls and earlier rounds are not written again."""
+    made, plain = [], traverse.work_table
+    monkeypatch.setattr(traverse, "work_table", lambda df, name, *a: made.append(plain(df, name, *a)) or made[-1])
+    calls = [(f"n{i}", f"leaf{i}{k}", k) for i in range(6) for k in range(5)] + [(f"n{i}", f"n{i + 1}", 2) for i in range(5)] + [("n5", "n0", None)]
+    rows = traverse.call_sequences(frame(spark, calls, "src string, dst string, line int"), frame(spark, [("n0",)], "node_id string")).orderBy("step").collect()
+    assert [(r["src"], r["dst"], r["line"]) for r in rows] == traverse.call_sequence(calls, "n0")
+    assert sum(x.count() for x in made) == 6
+
+
 def test_sequences_of_many_starts_equal_those_of_one(spark):
     schema = "src string, dst string, line int"
     calls = [("a", "b", 2), ("a", "c", 1), ("b", "a", 5), ("c", "b", 9), ("c", "b", 9), ("c", "d", None), ("d", "d", 3), ("e", "a", 1), ("e", "f", 1), ("e", "c", None)]

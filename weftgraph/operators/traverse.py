@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.view import confidence_rank
-from ..plans.work import small, work_table
+from ..plans.work import bucketed_table, small, work_table
 
 #: The relations that carry an impact, how far it is followed, and how many hits are kept.
 IMPACT = ["calls", "depends_on", "inherits", "references", "reads", "writes", "uses"]
@@ -180,26 +180,41 @@ def call_sequence(calls: list[tuple[str, str, int | None]], start: str, most: in
     return out
 
 
-def call_sequences(calls: DataFrame, starts: DataFrame, most: int = 200) -> DataFrame:
+def call_sequences(calls: DataFrame, starts: DataFrame, most: int = 200, tasks: int | None = None) -> DataFrame:
     """(start, step, depth, src, dst, line, back) for every one of many starts (node_id): the calls (src, dst, line) made from it, in the order of their lines and depth first, at most
     ``most``; a call back into the open path is told (``back``) but not followed.  What ``call_sequence`` gives for one start on the driver.
 
-    A call's place is the array of its ranks among the calls of each node on its path, so sorting by it walks depth first.  Of a node only the first ``most`` calls are kept, and of a start
-    only the first ``most`` places known so far: both are exact, as later ones can only be pushed further behind.  Calls without a line come last, those with a null end are ignored; equal
-    calls stay apart; null and repeated starts give nothing more."""
+    A call's place is the array of its ranks among the calls of each node on its path, so sorting by it walks depth first.  Of a node only the first ``most`` calls are kept, and a node is
+    followed only while fewer than ``most`` calls are known to come before its own: both are exact, as later ones can only be pushed further behind.  Calls without a line come last, those
+    with a null end are ignored; equal calls stay apart; null and repeated starts give nothing more.
+
+    A round moves only the nodes that it reaches and that make calls, by numbers; calls lie in ``tasks`` buckets of their source, are not moved by rounds, and are joined to the nodes once, at the end."""
+    n = tasks or int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = Window.partitionBy("src").orderBy(F.col("line").isNull(), "line", "dst")
-    ranked = calls.where("src is not null and dst is not null").select("src", "dst", "line").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
-    ranked = work_table(ranked, "ranked-calls")
-    within = Window.partitionBy("start").orderBy("place")
+    own = calls.where("src is not null and dst is not null").select("src", "dst", "line").repartition(n, "src")
+    ranked = bucketed_table(own.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most), "ranked-calls", "src", n, dealt=True)
+    callers = bucketed_table(ranked.groupBy("src").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("id", F.monotonically_increasing_id()), "callers", "src", n)
+    # Of each caller, by number, the calls that lead on to a caller: no more than ``most``.
+    onward = ranked.select("src", "dst", "rank").join(callers.select(F.col("src").alias("dst"), "id", "n"), "dst").select("src", F.struct("rank", "id", "n").alias("to"))
+    onward = onward.join(callers.select("src", F.col("id").alias("at")), "src").groupBy("at").agg(F.collect_list("to").alias("to"))
+    onward = bucketed_table(onward, "onward-calls", "at", n)
+    none, before = F.array().cast("array<int>"), F.sum("n").over(Window.partitionBy("start").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     at = starts.where("node_id is not null").select(F.col("node_id").alias("start")).distinct()
-    new = at.join(ranked, F.col("start") == F.col("src")).select("start", F.array("rank").alias("place"), F.array("src").alias("path"), "src", "dst", "line")
-    known = None
-    for depth in range(1, most + 1):
-        rows = new if known is None else known.unionByName(new)
-        known = work_table(rows.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= most).drop("_r"), "call-places")
-        open_ = known.where((F.size("place") == depth) & ~F.array_contains("path", F.col("dst"))).select("start", "place", "path", F.col("dst").alias("src"))
-        if open_.isEmpty():
+    new = at.join(callers, F.col("start") == F.col("src")).select("start", F.col("id").alias("at"), "n", F.lit(0).cast("long").alias("pos"), none.alias("place"), F.array().cast("array<long>").alias("path"))
+    reached = []
+    while True:
+        # How many calls come before a node's own, those of the nodes of its round included; a node that is too far behind stays without any.
+        rows = new.withColumn("pos", F.col("pos") + F.coalesce(before, F.lit(0))).where(F.col("pos") < most)
+        rows = rows.withColumn("path", F.concat("path", F.array("at"))).join(onward, "at", "left")
+        open_ = F.filter("to", lambda x: ~F.array_contains("path", x["id"]) & (F.col("pos") + x["rank"] < most))
+        back = F.transform(F.filter("to", lambda x: F.array_contains("path", x["id"])), lambda x: x["rank"])
+        level = work_table(rows.select("start", "at", "pos", "place", "path", F.coalesce(back, none).alias("back"), open_.alias("to")), "call-places")
+        reached.append(level.select("start", "at", "place", "back"))
+        new = level.select("start", "pos", "place", "path", F.explode("to").alias("x")).select("start", F.col("x.id").alias("at"), "x.n", (F.col("pos") + F.col("x.rank")).alias("pos"), F.concat("place", F.array("x.rank")).alias("place"), "path")
+        if new.isEmpty():
             break
-        step = F.concat("place", F.array("rank")).alias("place"), F.concat("path", F.array("src")).alias("path")
-        new = open_.join(ranked, "src").select("start", *step, "src", "dst", "line")
-    return known.select("start", (F.row_number().over(within) - 1).alias("step"), F.size("place").alias("depth"), "src", "dst", "line", F.array_contains("path", F.col("dst")).alias("back"))
+    named = reduce(DataFrame.unionByName, reached).join(callers.select(F.col("id").alias("at"), "src"), "at").drop("at")
+    rows = named.join(ranked, "src").select("start", F.concat("place", F.array("rank")).alias("place"), "src", "dst", "line", F.array_contains("back", F.col("rank")).alias("back"))
+    within = Window.partitionBy("start").orderBy("place")
+    rows = rows.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= most)
+    return rows.select("start", (F.col("_r") - 1).alias("step"), F.size("place").alias("depth"), "src", "dst", "line", "back")
