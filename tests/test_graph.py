@@ -9,7 +9,7 @@ import __spark_entry__
 from weftgraph import catalog
 from weftgraph.functions import chunk, ids
 from weftgraph.operators import fleet, graph, render, search, text, traverse
-from weftgraph.plans import work
+from weftgraph.plans import view, work
 from weftgraph.sources import files, shards, web
 from weftgraph.streaming import incremental
 
@@ -243,3 +243,13 @@ def test_work_tables_have_tasks_by_rows_and_put_settings_back(spark):
     assert sorted(map(tuple, made.collect())) == [(1, "x"), (2, "y"), (3, "x")]
     assert [spark.conf.get(x, None) for x in names] == before
     assert work.tasks_for(spark, 50_000_000) == 50 and work.tasks_for(spark, 10) == int(before[0])
+
+
+def test_dependencies_are_made_without_the_views(spark, sf):
+    """Neither the nodes nor the edges are written for them; they are those of the views."""
+    own = f"{sf}/."
+    got = catalog._deps(spark, own)
+    assert {name for _, at, name in view._stored if at == own} == {"dependencies"}
+    assert sorted(got.collect()) == sorted(graph.repo_dependencies(view.nodes(spark, sf), view.edges(spark, sf)).collect())
+    assert sorted(catalog.overview_rank(spark, own).collect()) == sorted(graph.overview_rank(got, view.nodes(spark, sf)).collect())
+    assert {name for _, at, name in view._stored if at == own} == {"dependencies"}
