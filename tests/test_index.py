@@ -87,6 +87,17 @@ def test_index_of_nothing(spark, tmp_path):
     assert [r[0] for r in rows(own.search("store"))] == ["n1"]
 
 
+def test_a_folder_of_most_names_is_dealt_to_tasks(spark, tmp_path):
+    own = textindex.TextIndex(spark, str(tmp_path / "a"), block_nodes=8)
+    nodes = [(f"n{i}", f"order_{i} order", None, None) for i in range(400)]
+    own.build(frame(spark, nodes, NODES))
+    own.refresh(frame(spark, [(a, b.upper(), c, d) for a, b, c, d in nodes[:200]], NODES))
+    for what, text in (("names", "lname"), ("postings", "term")):
+        each = own.prefix(what, text, "or").groupBy("gen", F.input_file_name()).count().groupBy("gen").agg(F.count("*"), F.max("count"), F.sum("count")).collect()
+        assert len(each) == 2 and all(files > 1 and most < n for _, files, most, n in each), (what, each)
+    assert [r["wtf"] for r in own.prefix("postings", "term", "order").where("gen = 0").select("wtf").distinct().collect()] == [20.0]
+
+
 # ---- paths
 
 

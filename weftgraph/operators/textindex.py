@@ -16,6 +16,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.work import settings, tasks_for, work_table
 from .search import B, K1, WEIGHTS, query_terms
 
 _SCHEMAS = {
@@ -31,7 +32,7 @@ FIRST_BLOCKS = 2
 
 
 def _words(column: str) -> Column:
-    return F.filter(F.split(F.coalesce(F.lower(F.col(column)), F.lit("")), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(F.lower(F.col(column)), F.lit("")), r"[^a-z0-9]+"), "")
 
 
 def _lead(text: Column) -> Column:
@@ -50,31 +51,38 @@ class TextIndex:
     def build(self, nodes: DataFrame) -> None:
         """Replaces the index by one of ``nodes`` (node_id unique, name, and any of qualified_name and file)."""
         self._write(nodes, 0, "overwrite")
-        self._spark.createDataFrame([], "node_id string, gen long, len long").write.mode("overwrite").parquet(f"{self._path}/dead")
+        self._spark.range(0).select(F.lit("").alias("node_id"), F.col("id").alias("gen"), F.col("id").alias("len")).write.mode("overwrite").parquet(f"{self._path}/dead")
 
     def _write(self, nodes: DataFrame, gen: int, mode: str) -> None:
         own = [c for c in WEIGHTS if c in nodes.columns]
-        size = sum((F.size(_words(c)) for c in own), F.lit(0)).cast("long")
-        rows = nodes.select(F.col("node_id").cast("string").alias("node_id"), "name", size.alias("len"), F.lit(gen).cast("long").alias("gen"), *[_words(c).alias(f"_{c}") for c in own])
+        dealt = nodes.withColumn("node_id", F.col("node_id").cast("string")).repartition("node_id")  # files of few kinds would make few long tasks
+        words = dealt.select("node_id", "name", *[_words(c).alias(f"_{c}") for c in own])
+        rows = work_table(words.withColumn("len", sum((F.size(f"_{c}") for c in own), F.lit(0)).cast("long")), "index-rows")  # texts are cut once
+        n, length = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         # Nodes of a length are dealt to so many blocks that one has about ``block_nodes`` of them; the number is fixed with the first generation.
-        if gen:
-            slices = self._read("slices")
-        else:
+        if not gen:
             slices = rows.groupBy("len").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / self._block)).cast("long").alias("slices"))
             slices.write.mode("overwrite").parquet(f"{self._path}/slices")
-            slices = self._read("slices")
-        placed = rows.join(slices, "len", "left").withColumn("block", F.concat_ws("-", F.col("len").cast("string"), F.pmod(F.xxhash64("node_id"), F.coalesce("slices", F.lit(1))).cast("string")))
-        docs = placed.select("node_id", "name", F.lower("name").alias("lname"), "len", "block", "gen", _lead(F.lower("name")).alias("lead"))
-        docs.repartition("lead").sortWithinPartitions("lead", "lname").write.mode(mode).partitionBy("lead").parquet(f"{self._path}/names")
-        each = reduce(DataFrame.unionByName, [placed.select("node_id", "len", "block", "gen", F.explode(f"_{c}").alias("term"), F.lit(WEIGHTS[c]).alias("w")) for c in own])
-        terms = each.groupBy("term", "node_id", "len", "block", "gen").agg(F.sum("w").alias("wtf")).withColumn("lead", _lead(F.col("term")))
-        n = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
-        terms.repartitionByRange(n, "lead", "term", "block").sortWithinPartitions("lead", "term", "block").write.mode(mode).partitionBy("lead").parquet(f"{self._path}/postings")
+        placed = rows.join(self._read("slices"), "len", "left").withColumn("block", F.concat_ws("-", F.col("len").cast("string"), F.pmod(F.xxhash64("node_id"), F.coalesce("slices", F.lit(1))).cast("string")))
+        docs = placed.select("node_id", "name", F.lower("name").alias("lname"), "len", "block")
+        self._store("names", docs, gen, mode, n)
+        # A node's terms are counted within its row, so nothing has to be grouped.
+        each = placed.withColumn("term", F.explode(F.array_distinct(F.concat(*[f"_{c}" for c in own]))))
+        weight = sum(((F.size(f"_{c}") - F.size(F.array_remove(f"_{c}", F.col("term")))) * F.lit(WEIGHTS[c]) for c in own), F.lit(0.0))
+        each = each.select("term", "node_id", "len", "block", weight.alias("wtf"))
+        self._store("postings", each, gen, mode, length)
         stored = self._read("postings").where(F.col("gen") == gen)
-        tops = stored.groupBy("lead", "term", "block", "len").agg(F.max("wtf").alias("most"), F.count(F.lit(1)).alias("n")).withColumn("gen", F.lit(gen).cast("long"))
-        tops.repartitionByRange(n, "lead", "term").sortWithinPartitions("lead", "term").write.mode(mode).partitionBy("lead").parquet(f"{self._path}/blocks")
-        totals = self._read("names").where(F.col("gen") == gen).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
-        totals.write.mode(mode).parquet(f"{self._path}/totals")
+        tops = stored.groupBy("term", "block", "len").agg(F.max("wtf").alias("most"), F.count(F.lit(1)).alias("n"))
+        self._store("blocks", tops, gen, mode, length)
+        self._spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(length).cast("long").alias("len")).write.mode(mode).parquet(f"{self._path}/totals")
+
+    def _store(self, what: str, rows: DataFrame, gen: int, mode: str, size: int) -> None:
+        """Writes rows of a generation to their folders, in order.  They are dealt by ranges that end within a folder and within equal names or terms too, as one folder may hold most of the rows."""
+        text, place = ("lname", "node_id") if what == "names" else ("term", "block")
+        tasks = tasks_for(self._spark, size)
+        with settings(self._spark, {"spark.sql.shuffle.partitions": str(tasks)}):
+            dealt = rows.repartitionByRange(tasks, text, place).withColumn("gen", F.lit(gen).cast("long")).withColumn("lead", _lead(F.col(text)))
+            dealt.sortWithinPartitions("lead", text).write.mode(mode).partitionBy("lead").parquet(f"{self._path}/{what}")
 
     def _read(self, what: str) -> DataFrame:
         return self._spark.read.schema(_SCHEMAS[what]).parquet(f"{self._path}/{what}")
@@ -87,20 +95,20 @@ class TextIndex:
         gone = changed.select(F.col("node_id").cast("string").alias("node_id"))
         if removed is not None:
             gone = gone.union(removed.select(F.col("node_id").cast("string")))
-        old = self._alive(self._read("names")).join(gone.distinct(), "node_id", "left_semi").select("node_id", "gen", "len")
+        old = self._alive(self._read("names").select("node_id", "gen", "len").join(gone.distinct(), "node_id", "left_semi"))
         gen = (self._read("names").agg(F.max("gen")).first()[0] or 0) + 1
-        old.write.mode("append").parquet(f"{self._path}/dead")
+        with settings(self._spark, {"spark.sql.shuffle.partitions": str(tasks_for(self._spark, self._totals()[0]))}):
+            old.write.mode("append").parquet(f"{self._path}/dead")
         self._write(changed, gen, "append")
 
     def compact(self, path: str) -> TextIndex:
         """The same index at another ``path`` in one generation, without what is dead; the old one may be dropped then."""
         out = TextIndex(self._spark, path, self._block)
-        for what in ("names", "postings"):  # dead rows are told by node and generation
-            rows = self._alive(self._read(what)).withColumn("gen", F.lit(0).cast("long"))
-            order = ["lead", "lname"] if what == "names" else ["lead", "term", "block"]
-            rows.repartitionByRange(int(self._spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("lead").parquet(f"{path}/{what}")
-        tops = out._read("postings").groupBy("lead", "term", "block", "len", "gen").agg(F.max("wtf").alias("most"), F.count(F.lit(1)).alias("n"))
-        tops.write.mode("overwrite").partitionBy("lead").parquet(f"{path}/blocks")
+        n, average = self._totals()
+        for what, size in (("names", n), ("postings", n * average)):  # dead rows are told by node and generation
+            out._store(what, self._alive(self._read(what)).drop("gen", "lead"), 0, "overwrite", int(size))
+        tops = out._read("postings").groupBy("term", "block", "len").agg(F.max("wtf").alias("most"), F.count(F.lit(1)).alias("n"))
+        out._store("blocks", tops, 0, "overwrite", int(n * average))
         out._read("names").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).write.mode("overwrite").parquet(f"{path}/totals")
         self._read("slices").write.mode("overwrite").parquet(f"{path}/slices")
         self._read("dead").limit(0).write.mode("overwrite").parquet(f"{path}/dead")
@@ -121,12 +129,15 @@ class TextIndex:
         return n, words / n if n else 0.0
 
     def _score(self, terms: list[str], idf: list[float], average: float, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
-        """(node_id, block, score) of nodes with every term, among the postings that ``keep`` leaves."""
-        each = [self._alive(keep(self.prefix("postings", "term", t))).select("node_id", "block", "len", F.lit(i).alias("i"), "wtf") for i, t in enumerate(terms)]
-        f = reduce(DataFrame.unionByName, each).groupBy("node_id", "block", "len", "i").agg(F.sum("wtf").alias("f"))
-        part = _weight(F.col("f"), F.col("len"), F.element_at(F.array(*[F.lit(x) for x in idf]), F.col("i") + 1), average)
-        whole = f.withColumn("p", part).groupBy("node_id", "block").agg(F.sum("p").alias("score"), F.count(F.lit(1)).alias("k"))
-        return whole.where(F.col("k") == len(terms)).select("node_id", "block", "score")
+        """(node_id, gen, block, score) of nodes with every term, among the postings that ``keep`` leaves."""
+        held = self._held(terms, keep).groupBy("node_id", "gen", "block", "len").agg(*[F.sum(F.when(F.col("i") == i, F.col("wtf"))).alias(f"f{i}") for i in range(len(terms))])
+        score = sum((_weight(F.col(f"f{i}"), F.col("len"), F.lit(x), average) for i, x in enumerate(idf)), F.lit(0.0))
+        return held.dropna(subset=[f"f{i}" for i in range(len(terms))]).select("node_id", "gen", "block", score.alias("score"))
+
+    def _held(self, terms: list[str], keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+        """(node_id, gen, block, len, wtf, i) of the postings of the terms, by number, without those of dead nodes: they meet these once, by node and generation, and can be grouped by both where they lie."""
+        each = [keep(self.prefix("postings", "term", t)).select("node_id", "gen", "block", "len", "wtf", F.lit(i).alias("i")) for i, t in enumerate(terms)]
+        return self._alive(reduce(DataFrame.unionByName, each))
 
     def bounds(self, terms: list[str], idf: list[float], average: float) -> DataFrame:
         """(block, bound): no node of the block has a higher score; blocks that lack a term are left out."""
@@ -139,7 +150,7 @@ class TextIndex:
 
     def blocks_for(self, terms: list[str], idf: list[float], average: float, named: DataFrame, limit: int) -> DataFrame:
         """(block) of the blocks that may hold one of the ``limit`` best: those of the highest bounds are scored first, and the last of their scores is the others' floor."""
-        bound = self.bounds(terms, idf, average)
+        bound = work_table(self.bounds(terms, idf, average), "bounds")
         first = F.broadcast(bound.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS * limit).select("block"))
         best = self._score(terms, idf, average, lambda rows: rows.join(first, "block", "left_semi")).orderBy(F.desc("score")).limit(limit)
         floor, found = best.agg(F.min("score"), F.count(F.lit(1))).first()
@@ -153,8 +164,10 @@ class TextIndex:
         n, average = self._totals()
         if not n or any(not t.isascii() or "_" in t for t in terms):  # words hold ASCII letters and digits only
             return [], [], average
-        counts = [self._alive(self.prefix("postings", "term", t)).select("node_id").distinct().agg(F.count(F.lit(1)).alias("d")).withColumn("i", F.lit(i)) for i, t in enumerate(terms)]
-        df = {r["i"]: r["d"] for r in reduce(DataFrame.unionByName, counts).collect()} if terms else {}  # one row a query term
+        df = {}
+        if terms:
+            each = self._held(terms).groupBy("node_id", "gen").agg(*[F.max(F.col("i") == i).cast("long").alias(f"d{i}") for i in range(len(terms))])
+            df = dict(enumerate(each.agg(*[F.coalesce(F.sum(f"d{i}"), F.lit(0)) for i in range(len(terms))]).first()))
         return terms, [max(log((n - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) for i in range(len(terms))], average
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
@@ -163,14 +176,13 @@ class TextIndex:
         q = query.lower()
         if not terms:
             return self._read("names").limit(0).select("node_id", "name", F.lit(True).alias("exact"), F.lit(True).alias("prefix"), F.lit(0.0).alias("score"))
-        named = self._alive(self.prefix("names", "lname", q)).select("node_id", "block")
-        kept = self.blocks_for(terms, idf, average, named, limit)
+        named = self._alive(self.prefix("names", "lname", q)).select("node_id", "gen", "block", "lname")
+        kept = work_table(self.blocks_for(terms, idf, average, named, limit), "blocks")
         hits = self._score(terms, idf, average, lambda rows: rows.join(kept, "block", "left_semi")).withColumn("score", F.round("score", 4))
-        marked = hits.join(named.select("node_id", F.lit(True).alias("_named")), "node_id", "left")
-        # Nodes named like the query come first; of the others no more than ``limit`` can follow.
-        others = marked.where(F.col("_named").isNull()).orderBy(F.desc("score"), "node_id").limit(limit)
-        names = self._alive(self._read("names")).select("node_id", "name", "lname")
-        out = marked.where("_named").unionByName(others).join(names, "node_id")
+        # Nodes named like the query come first; the best are told without the others' names.
+        marked = hits.join(named.select("node_id", "gen", "lname"), ["node_id", "gen"], "left")
+        best = marked.orderBy(F.desc(F.coalesce(F.col("lname") == q, F.lit(False))), F.desc(F.col("lname").isNotNull()), F.desc("score"), "node_id").limit(limit).select("node_id", "gen", "score")
+        out = self._read("names").join(F.broadcast(best), ["node_id", "gen"])
         out = out.select("node_id", "name", (F.col("lname") == q).alias("exact"), F.col("lname").startswith(q).alias("prefix"), "score")
         return out.orderBy(F.desc("exact"), F.desc("prefix"), F.desc("score"), "node_id").limit(limit)
 
