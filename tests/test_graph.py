@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 from weftgraph import catalog
 from weftgraph.functions import chunk, ids
-from weftgraph.operators import fleet, graph, render, search, text, traverse
+from weftgraph.operators import fleet, graph, health, render, search, text, traverse
 from weftgraph.plans import view, work
 from weftgraph.sources import files, shards, web
 from weftgraph.streaming import incremental
@@ -253,3 +253,19 @@ def test_dependencies_are_made_without_the_views(spark, sf):
     assert sorted(got.collect()) == sorted(graph.repo_dependencies(view.nodes(spark, sf), view.edges(spark, sf)).collect())
     assert sorted(catalog.overview_rank(spark, own).collect()) == sorted(graph.overview_rank(got, view.nodes(spark, sf)).collect())
     assert {name for _, at, name in view._stored if at == own} == {"dependencies"}
+
+
+def test_briefs_meet_degrees_once(spark, monkeypatch):
+    """The pairs of edges are made and the nodes joined to their degrees once for the three lists, and a package with two nodes counts once."""
+    made = []
+    monkeypatch.setattr(health, "work_table", lambda df, name, *a, **k: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or work.work_table(df, name, *a, **k))
+    nodes = [(f"n{i}", "r1" if i < 30 else "r2", "class" if i % 5 else "function", f"N{i}", f"src/{i % 3}.py" if i % 2 else None, "py") for i in range(50)] + [("p", "(packages)", "package", n, None, None) for n in ("P", "Q")]
+    edges = [(f"n{i}", f"n{i * 7 % 50}", "calls", "r1" if i < 30 else "r2") for i in range(50)] + [("n1", "p", "depends_on", "r1"), ("n2", "p", "depends_on", "r1"), ("n40", "p", "publishes", "r2"), ("n41", "p", "depends_on", "r2")]
+    out = health.whole_brief(frame(spark, nodes, "node_id string, repo_id string, kind string, name string, file string, lang string"), frame(spark, edges, "src string, dst string, relation string, repo_id string"), 3)
+    got = {r["repo_id"]: r.asDict() for r in out.collect()}
+    assert [n for n, _ in made].count("degrees") == 1 and not any("relation" in plan for n, plan in made if n in ("best", "ranked"))
+    assert (got["r1"]["needed_packages"], got["r1"]["n_needed_packages"], got["r1"]["n_own_packages"]) == ("P,Q", 1, 0)
+    assert (got["r2"]["own_packages"], got["r2"]["n_own_packages"], got["r2"]["n_needed_packages"]) == ("P,Q", 1, 0)
+    order = sorted(((-sum((s == n[0]) + (d == n[0]) for s, d, *_ in edges), n[0]) for n in nodes if n[1] == "r1"))
+    assert len(got["r1"]["top_symbols"].split(",")) == 15 and got["r1"]["top_symbols"].split(",")[:10] == ["N" + x[1:] for _, x in order[:10]]
+    assert got["r1"]["coverage_total"] == 15 and got["r1"]["n_files"] == 3 and "package=2" in got["(packages)"]["kinds"]

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.work import bucketed_table, work_table
 from ..sources.files import is_generated
 from . import graph, text
 
@@ -131,17 +132,17 @@ def repo_brief(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Names of a list of packages, files or decisions that a brief holds; what is left out is counted.
 LISTED = 20
-_MOST = 80
+_MOST, _SALTS = 80, 4
 
 
 def floored(rows: DataFrame, caps: DataFrame) -> DataFrame:
     """(repo_id, node_id, kind, name, n, place): of each repository the ``cap`` best rows by n and id (caps: repo_id, cap of at most 80), where kinds that miss get the place of their best row, at most half of
-    them, and the tail makes room.  The best are found behind a partial top of each salt."""
+    them, and the tail makes room.  Both are among the best of each kind, which are found once, behind a partial top of each salt, and written: no more than ``_MOST`` rows for each kind and salt."""
     order = (F.desc("n"), "node_id")
-    salted = F.row_number().over(Window.partitionBy("repo_id", F.pmod(F.xxhash64("node_id"), F.lit(64))).orderBy(*order))
-    first = rows.withColumn("_w", salted).where(F.col("_w") <= _MOST).drop("_w")
+    salted = F.row_number().over(Window.partitionBy("repo_id", "kind", F.pmod(F.xxhash64("node_id"), F.lit(_SALTS))).orderBy(*order))
+    first = work_table(rows.select("repo_id", "node_id", "kind", "name", "n").withColumn("_w", salted).where(F.col("_w") <= _MOST).drop("_w"), "best")
     head = first.withColumn("_r", F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))).join(caps, "repo_id").where(F.col("_r") <= F.col("cap"))
-    best = rows.groupBy("repo_id", "kind").agg(F.min(F.struct((-F.col("n")).alias("m"), "node_id", "name")).alias("b")).select("repo_id", "kind", (-F.col("b.m")).alias("n"), "b.node_id", "b.name")
+    best = first.groupBy("repo_id", "kind").agg(F.min(F.struct((-F.col("n")).alias("m"), "node_id", "name")).alias("b")).select("repo_id", "kind", (-F.col("b.m")).alias("n"), "b.node_id", "b.name")
     lost = best.join(head.select("repo_id", "kind").distinct(), ["repo_id", "kind"], "left_anti").join(caps, "repo_id")
     lost = lost.withColumn("_k", F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))).where(F.col("_k") <= F.floor(F.col("cap") / 2))
     slots = lost.groupBy("repo_id").agg(F.count(F.lit(1)).alias("slots"))
@@ -157,30 +158,40 @@ def _told(rows: DataFrame, by: list, value: Column, name: str, most: int | None
     return rows.groupBy("repo_id").agg(F.array_join(F.transform(items, lambda x: x["_v"]), ",").alias(name))
 
 
-def whole_brief(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def whole_brief(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row for each repository with all that a brief holds: n_nodes, n_files, n_edges, coverage_total (nodes with a file), grounded_count (those of them that one of the lists names), kinds and langs (name=n),
     top_symbols (by degree, every kind with a place), hubs and dispatchers (name=callers, name=callees), own and needed packages with their numbers, the first files, decisions, and whether generated files were seen.
 
     Lists of symbols have ``grounding_cap`` places, others ``LISTED``; lists of a repository are bounded, and so are the kinds, so no task gathers a repository.
+    Shuffles of edges have at least ``tasks`` partitions.
     """
     degree = graph.distinct_degree(edges)
-    rows = nodes.select("repo_id", "node_id", "kind", "name", "file").join(degree, "node_id", "left")
+    # Degrees are met once; the three lists read them from there.
+    rows = work_table(nodes.select("repo_id", "node_id", "kind", "name").join(degree, "node_id", "left"), "degrees", tasks=tasks)
     size = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("file").alias("n_files"), F.count("file").alias("coverage_total"))
+    size = work_table(size, "sizes")
     caps = size.select("repo_id", grounding_cap(F.col("n_nodes")).alias("cap"))
-    ranked = {name: floored(rows.select("repo_id", "node_id", "kind", "name", F.coalesce(column, F.lit(0)).alias("n")).where(at_least), caps) for name, column, at_least in (("top_symbols", "degree", F.lit(True)), ("hubs", "n_in", F.col("n_in") > 0), ("dispatchers", "n_out", F.col("n_out") > 0))}
+    ranked = {}
+    for name, column, at_least in (("top_symbols", "degree", F.lit(True)), ("hubs", "n_in", F.col("n_in") > 0), ("dispatchers", "n_out", F.col("n_out") > 0)):
+        ranked[name] = work_table(floored(rows.where(at_least).withColumn("n", F.coalesce(column, F.lit(0))), caps), "ranked")
     counted = F.concat_ws("=", "name", F.col("n").cast("string"))
     lists = [_told(r, ["place"], F.col("name") if name == "top_symbols" else counted, name) for name, r in ranked.items()]
     named = functools.reduce(DataFrame.unionByName, [r.select("repo_id", "node_id") for r in ranked.values()]).distinct()
-    grounded = named.join(nodes.where(F.col("file").isNotNull()).select("node_id"), "node_id", "left_semi").groupBy("repo_id").agg(F.count(F.lit(1)).alias("grounded_count"))
+    placed = nodes.where(F.col("file").isNotNull()).select("node_id").join(named.select("node_id").distinct(), "node_id", "left_semi").distinct()  # only what is listed, so that no node is moved for it
+    grounded = named.join(placed, "node_id", "left_semi").groupBy("repo_id").agg(F.count(F.lit(1)).alias("grounded_count"))
     for column, name in (("kind", "kinds"), ("lang", "langs")):
         n = nodes.where(F.col(column).isNotNull()).groupBy("repo_id", column).agg((-F.count(F.lit(1))).alias("m"))
         lists.append(_told(n, ["m", column], F.concat_ws("=", column, (-F.col("m")).cast("string")), name))
-    ends = edges.where(F.col("relation").isin("publishes", "depends_on")).select("repo_id", "dst", "relation").distinct()
-    own = ends.where("relation = 'publishes'").select("repo_id", "dst")
-    needed = ends.where("relation = 'depends_on'").select("repo_id", "dst").join(own, ["repo_id", "dst"], "left_anti")
-    for found, name in ((own, "own_packages"), (needed, "needed_packages")):
-        called = found.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst")
-        lists += [_told(called, ["name", "dst"], F.col("name"), name, LISTED), found.groupBy("repo_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))]
+    # A package of a repository is its own if it publishes it, else needed: told by one group of both relations.  They lie in buckets of packages, so that names meet them where they lie.
+    ends = edges.where(F.col("relation").isin("publishes", "depends_on")).select("repo_id", "dst", (F.col("relation") == "publishes").alias("own"))
+    n = tasks or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packages = bucketed_table(ends.repartition(n, "dst").groupBy("repo_id", "dst").agg(F.max("own").alias("own")), "brief-packages", "dst", n, dealt=True)
+    place = F.row_number().over(Window.partitionBy("repo_id", "own").orderBy("name", "dst"))
+    first = packages.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").withColumn("_n", place).where(F.col("_n") <= LISTED).drop("_n")
+    first = work_table(first, "first-packages", tasks=tasks)
+    n_packages = packages.groupBy("repo_id", "own").agg(F.count(F.lit(1)).alias("n"))
+    for own, name in ((True, "own_packages"), (False, "needed_packages")):
+        lists += [_told(first.where(F.col("own") == own), ["name", "dst"], F.col("name"), name, LISTED), n_packages.where(F.col("own") == own).select("repo_id", F.col("n").alias(f"n_{name}"))]
     files = nodes.where(F.col("file").isNotNull()).select("repo_id", "file").distinct()
     lists.append(_told(files, ["file"], F.col("file"), "files", LISTED))
     lists.append(_told(nodes.where("kind = 'adr'"), ["name", "node_id"], F.col("name"), "decisions", LISTED))
