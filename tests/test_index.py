@@ -210,6 +210,19 @@ def test_ann_reads_a_tenth_of_clustered_vectors(spark, monkeypatch):
     assert annindex.n_lists(10**4) == 100 and annindex.n_lists(10**12) == annindex.MOST_LISTS
 
 
+def test_read_share_counts_all_queries(spark, monkeypatch):
+    rows = clustered(600)
+    v = frame(spark, rows, "vec_id long, embedding array<float>")
+    index = annindex.AnnIndex(v)
+    monkeypatch.setattr(annindex, "SAMPLE", 3)
+    sizes = {r["list"]: r["count"] for r in index.codes.groupBy("list").count().collect()}
+    each = np.array([sizes.get(i, 0) for i in range(len(index.model.centres))])
+    x = np.array([np.array(r, np.float32) for _, r in rows], float)
+    near = np.argsort(-((x / np.linalg.norm(x, axis=1, keepdims=True)) @ index.model.centres.T), axis=1, kind="stable")[:, : index.probes(0.1)]
+    assert abs(index.read_share(v, 0.1) - each[near].sum(1).mean() / 600) < 1e-9
+    assert index.read_share(v.where("false"), 0.1) == 0.0
+
+
 def test_all_lists_and_exact_ranks_find_all(spark):
     rows = clustered(120, seed=9)
     v = frame(spark, rows + [(500, [0.0] * 16), (501, rows[0][1])], "vec_id long, embedding array<float>")
